@@ -9,8 +9,10 @@ items.  A document's whole text is fingerprinted in windows of the items' sizes
 Items are indexed by four 16-bit blocks.  Fingerprints within radius ``RADIUS``
 agree with an item's in at least one block up to ``RADIUS // 4`` bits, and every
 such variant of every item's block is in the index, so all fingerprints within
-the radius are found, not some of them.  A window of which less than 60% of the
-words occur in any item cannot reach the similarity and is not looked up.
+the radius are found, not some of them.  A window of which less than 55% of the
+word pairs occur in any item cannot reach the similarity (at 0.75, six sevenths
+of an item's shingles are in the window, and each holds four such pairs), so it
+is not fingerprinted.
 
 Each candidate is then verified exactly: among the item-sized windows that start
 within a window's step of it, the best weighted Jaccard similarity of 5-word
@@ -64,6 +66,10 @@ def pack(sums: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(sums > 0, axis=1, bitorder="little")).view(np.uint64).ravel()
 
 
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    return wd.mix(words[:-1] * U(0x9FB21C651E98DF25) + words[1:]) if len(words) > 1 else np.zeros(0, U)
+
+
 class Index:
     """The benchmark items; small enough to be sent to every task."""
 
@@ -82,10 +88,12 @@ class Index:
         self.vocabulary = np.array(sorted(df), U)
         self.weights = np.array([math.log((1 + n) / (1 + df[w])) + 0.1 for w in self.vocabulary.tolist()], np.float32)
         self.unknown = np.float32(math.log(1 + n) + 0.1)
-        self.hit = np.zeros(1 << 16, bool)
+        self.follow = np.unique(np.concatenate([pairs_of(w) for w in self.words] or [np.zeros(0, U)]))
+        self.hit, self.follows = np.zeros(1 << 16, bool), np.zeros(1 << 20, bool)
         self.hit[(self.vocabulary >> U(48)).astype(np.int64)] = True
-        self.prints = np.array([pack((bits_of(w) * self.weigh(w)[1][:, None]).sum(0, keepdims=True))[0] for w in self.words], U)
-        self.shingles = [self.bag(w, self.weigh(w)[1]) for w in self.words]
+        self.follows[(self.follow >> U(44)).astype(np.int64)] = True
+        self.prints = np.array([pack((bits_of(w) * self.weigh(w)[:, None]).sum(0, keepdims=True))[0] for w in self.words], U)
+        self.shingles = [self.bag(w, self.weigh(w)) for w in self.words]
         # Window sizes: items within 12% of a size share it.
         self.sizes: dict[int, list[int]] = defaultdict(list)
         size = 0
@@ -108,16 +116,25 @@ class Index:
             out.append((np.searchsorted(key[order], np.arange(65537)), item[order]))
         return out
 
-    def weigh(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is in any item, weight) of each word."""
+    def known_pairs(self, words: np.ndarray) -> np.ndarray:
+        """Whether each word and the next occur so in any item."""
+        pairs = pairs_of(words)
+        known = self.follows[(pairs >> U(44)).astype(np.int64)]
+        at = np.flatnonzero(known)
+        if len(at):
+            where = np.minimum(np.searchsorted(self.follow, pairs[at]), len(self.follow) - 1)
+            known[at] = self.follow[where] == pairs[at]
+        return known
+
+    def weigh(self, words: np.ndarray) -> np.ndarray:
+        """The weight of each word."""
         known = self.hit[(words >> U(48)).astype(np.int64)]
         weight = np.full(len(words), self.unknown, np.float32)
         at = np.flatnonzero(known)
         where = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
         real = self.vocabulary[where] == words[at]
-        known[at[~real]] = False
         weight[at[real]] = self.weights[where[real]]
-        return known, weight
+        return weight
 
     def bag(self, words: np.ndarray, weight: np.ndarray) -> dict[int, float]:
         hashes, _ = wd.shingle_hashes(words, np.array([0, len(words)]), SHINGLE)
@@ -159,11 +176,10 @@ def best_window(index: Index, item: int, words: np.ndarray, weight: np.ndarray,
     best, where = 0.0, low
     hashes, _ = wd.shingle_hashes(words[low : high + m], np.array([0, len(words[low : high + m])]), SHINGLE)
     shared = np.concatenate(([0], np.cumsum([h in target for h in hashes.tolist()])))
-    need = 0.6 * len(target)  # fewer shared shingles than this cannot reach the similarity
     k = max(1, m - SHINGLE + 1)
     for s in range(low, max(low, min(high, len(words) - m)) + 1):
         own = shared[min(s - low + k, len(shared) - 1)] - shared[min(s - low, len(shared) - 1)]
-        if own and own >= min(need, 1e9) * 0.5:
+        if own >= max(1, 0.3 * len(target)):  # with fewer, the similarity is out of reach
             value = similarity(index.bag(words[s : s + m], weight[s : s + m]), target)
             if value > best:
                 best, where = value, s
@@ -185,8 +201,9 @@ def finder(index: Index):
 
 
 def _search(index: Index, first: int, words: np.ndarray, bounds: np.ndarray) -> list[tuple]:
-    known, weight = index.weigh(words)
-    inside = np.concatenate(([0], np.cumsum(known)))
+    inside = np.concatenate(([0], np.cumsum(index.known_pairs(words)), [0]))
+    inside[-1] = inside[-2]
+    weight = None
     best: dict[tuple[int, int], tuple[float, int]] = {}
     tried: set[tuple[int, int, int]] = set()
     for size, own in index.sizes.items():
@@ -197,20 +214,16 @@ def _search(index: Index, first: int, words: np.ndarray, bounds: np.ndarray) ->
         doc = np.repeat(np.arange(len(per)), per)
         at = bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
         end = np.minimum(at + size, bounds[1:][doc])
-        most = max(len(index.words[k]) for k in own)
-        rich = np.flatnonzero((inside[end] - inside[at] >= 0.6 * size) & (end - at >= 0.6 * min(size, most)))
+        rich = np.flatnonzero((inside[np.maximum(end - 1, at)] - inside[at] >= 0.55 * (size - 1)) | ((end - at < size) & (size <= 2 * SHINGLE)))
         if not len(rich):
             continue
+        if weight is None:
+            weight = index.weigh(words)
         for part in np.array_split(rich, len(rich) // 2000 + 1):
-            span = np.arange(size)
-            where = np.minimum(at[part][:, None] + span[None, :], end[part][:, None] - 1)
-            valid = (at[part][:, None] + span[None, :]) < end[part][:, None]
-            uniq, inverse = np.unique(where, return_inverse=True)
-            vector = bits_of(words[uniq]) * weight[uniq][:, None]
-            sums = np.cumsum(np.vstack([np.zeros((1, 64), np.float64), vector]), axis=0)
-            inverse = inverse.reshape(where.shape)
-            stop = inverse[np.arange(len(part)), valid.sum(1) - 1] + 1
-            prints = pack(sums[stop] - sums[inverse[:, 0]])
+            spans = end[part] - at[part]
+            first_of = np.cumsum(spans) - spans
+            where = np.arange(int(spans.sum())) + np.repeat(at[part] - first_of, spans)
+            prints = pack(np.add.reduceat(bits_of(words[where]) * weight[where][:, None], first_of, axis=0))
             i, items = index.candidates(size, prints)
             for w, item in zip(i.tolist(), items.tolist(), strict=True):
                 d, s = int(doc[part[w]]), int(at[part[w]])
