@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import words as wd
 
 DIMENSIONS = 4096
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 #: Languages that are learned at most; more labels than that are an input error.
 MOST_LANGUAGES = 200
 
@@ -86,15 +86,16 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) -> np.ndarray:
     """Weights (last one the bias) of a linear SVM with squared hinge loss, by accelerated gradient descent; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost
-    step = 1 / (1 / len(x) + 4 * cost)
-    w = v = np.zeros(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * np.float32(cost)
+    step = np.float32(1 / (1 / len(x) + 4 * cost))
+    w = v = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        grad = v / len(x) - 2 * x.T @ (weight * slack * y)
+        grad = v / np.float32(len(x)) - 2 * (weight * slack * y) @ x
         new = v - step * grad
-        v = new + t / (t + 3) * (new - w)
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w
 
@@ -213,7 +214,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 #: A document whose best language gets less than this is rejected by the pipeline stage.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.25
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
