@@ -19,8 +19,8 @@
     components are verified in a second round.
 4.  A large region whose classes still lie in several components is completed
     exactly: its classes are joined on the rarest quarter of their shingles
-    (prefix filter under one global order), which meets every pair of
-    similarity 0.75 or more.
+    (prefix and position filter under one global order), which meets every pair
+    of similarity 0.75 or more.
 
 A pair of similarity 0.75 agrees in one order's first three minima with
 probability 0.42 and is a candidate unless fewer than two of 32 orders agree,
@@ -214,56 +214,68 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check, "a long, b long")
 
 
-def _prefixes(frequent: np.ndarray):
-    """Rows (shingle, doc_id, n) for the rarest quarter of each set, by (estimated frequency, hash)."""
+def _prefixes(common: np.ndarray, count: np.ndarray):
+    """Rows (shingle, doc_id, n, place) for the rarest quarter of each set, by (frequency, hash); ``common`` is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles, docs, sizes = [], [], []
+            shingles, docs, sizes, places = [], [], [], []
             for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = unpack(raw)
                 keep = len(own) - -(-PERCENT * len(own) // 100) + 1
-                order = np.lexsort((own, frequent[(own % np.uint64(len(frequent))).astype(np.int64)]))[:keep]
-                shingles.append(own[order].view(np.int64))
-                docs += [d] * len(order)
-                sizes += [len(own)] * len(order)
+                often = np.zeros(len(own), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    often = np.where(common[at] == own, count[at], 0)
+                order = np.lexsort((own, often))[:keep]
+                # A shingle of no other document meets none.
+                real = np.flatnonzero(often[order] > 0) if len(common) < MOST_COMMON else np.arange(len(order))
+                shingles.append(own[order[real]].view(np.int64))
+                docs += [d] * len(real)
+                sizes += [len(own)] * len(real)
+                places.append(real)
             if shingles:
-                yield pa.record_batch([pa.array(np.concatenate(shingles)), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64())], names=["shingle", "doc_id", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(shingles)), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(places))], names=["shingle", "doc_id", "n", "place"])
 
     return run
 
 
-def _tally(cells: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(cells, np.int64)
-        for batch in batches:
-            for raw in batch.column(1).to_pylist():
-                count += np.bincount((unpack(raw) % np.uint64(cells)).astype(np.int64), minlength=cells)
-        at = np.flatnonzero(count)
-        yield pa.record_batch([pa.array(at), pa.array(count[at])], names=["cell", "k"])
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = b"".join(batch.column(1).to_pylist())
+        for at in range(0, len(raw), 6 << 20):
+            shingle, k = np.unique(unpack(raw[at : at + (6 << 20)]), return_counts=True)
+            yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(k)], names=["shingle", "k"])
 
-    return run
+
+#: Shingles whose frequency is known exactly for the prefix filter's order; others count as rare, which is as right but prunes less.
+MOST_COMMON = 1 << 18
 
 
 def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact candidate pairs between components inside the large regions ``rest(hi, doc_id)``."""
-    cells = 1 << 18  # the tally's fixed size, so its collection is bounded
+    """Exact candidate pairs between components inside the large regions ``rest(hi, doc_id)``.
+
+    Prefix and position filter: with shingles ordered from rare to common, two
+    sets of similarity 0.75 share a shingle of both prefixes, and the shingles
+    from there on are enough for the overlap they need.
+    """
     placed = rest.join(part, rest.doc_id == part.id, "left").select("hi", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("hi").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where(f"low <> high and k > {SMALL}")
     open_ = store.put(placed.join(mixed.select("hi"), "hi", "left_semi").select("doc_id", "component").distinct())
     if open_.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    own = sets.join(open_.select("doc_id"), "doc_id", "left_semi")
-    frequent = np.zeros(cells, np.int64)
-    for r in own.mapInArrow(_tally(cells), "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toLocalIterator():
-        frequent[r.cell] = r.k
-    rows = own.mapInArrow(_prefixes(frequent), "shingle long, doc_id long, n long").join(open_, "doc_id")
-    # One row for each shingle and component that needs partners outside its component.
+    own = store.put(sets.join(open_.select("doc_id"), "doc_id", "left_semi"))
+    top = own.mapInArrow(_tally, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k")).where("k > 1").orderBy(F.desc("k"), "shingle").limit(MOST_COMMON)
+    table = top.toArrow()
+    common, count = table.column("shingle").to_numpy().view(np.uint64), table.column("k").to_numpy()
+    order = np.argsort(common)
+    rows = own.mapInArrow(_prefixes(common[order], count[order]), "shingle long, doc_id long, n long, place long").join(open_, "doc_id")
+    # Only shingles of several components can link them.
     several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     rows = store.put(rows.join(several, "shingle", "left_semi"))
-    a = rows.select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = rows.select("shingle", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    return a.join(b, "shingle").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
+    side = lambda x: rows.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    enough = f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)"
+    return side("a").join(side("b"), "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
