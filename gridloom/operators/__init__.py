@@ -1,0 +1 @@
+"""Operators on feature tables (``geometry`` as WKB) and cell tables."""
