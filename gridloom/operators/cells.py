@@ -187,7 +187,8 @@ def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None)
             yield pa.record_batch([pa.array(out, pa.string()), *[taken.column(k) for k in keep]], names=[name, *[batch.schema.names[k] for k in keep]])
 
     spread = df.mapInArrow(tiles, T.StructType([*df.schema.fields, block]))
-    spread = spread.repartition(partitions) if partitions else spread.repartition()
+    # Round robin: a block's cost does not show in its bytes, so partitions must not be coalesced by size.
+    spread = spread.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType([T.StructField(name, T.StringType()), *[f for f in df.schema.fields if f.name != GEOMETRY]])
     return spread.mapInArrow(cells, schema).dropDuplicates()
 

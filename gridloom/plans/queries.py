@@ -1,11 +1,376 @@
-"""Registered queries of the grid engine."""
+"""Registered queries of the grid engine over the driver's tables, and their DuckDB SQL.
+
+Positions, boxes and triangles derive from keys by integer arithmetic, so both
+engines see the same doubles; results are names and whole numbers.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import geohash, geometry as geo, rhealpix, s2
+from gridloom.operators import cells as ops
+from gridloom.operators import prepare
+from gridloom.types import GEOMETRY, column_name, parent_resolution
+
+ALPHABET = geohash.ALPHABET
+
+
+# -- inputs -------------------------------------------------------------------------------------
+
+
+def _lon(key: str):
+    return (F.col(key) * 7919 % 360000) / 1000 - 180
+
+
+def _lat(key: str):
+    return (F.col(key) * 104729 % 170000) / 1000 - 85
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "value", _lon("event_id").alias("lon"), _lat("event_id").alias("lat"))
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment", _lon("c_custkey").alias("lon"), _lat("c_custkey").alias("lat"))
+
+
+def _shaped(df: DataFrame, make, *names: str) -> DataFrame:
+    """``df`` with a WKB geometry made from the named columns (kept: all others)."""
+    at = [df.columns.index(n) for n in names]
+    keep = [k for k in range(len(df.columns)) if k not in at]
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*[batch.column(k).to_pylist() for k in at], strict=True)
+            raw = pa.array([None if None in r else geo.encode(make(*r)) for r in rows], pa.binary())
+            yield pa.record_batch([*[batch.column(k) for k in keep], raw], names=[*[batch.schema.names[k] for k in keep], GEOMETRY])
+
+    schema = df.select(*[df.columns[k] for k in keep]).withColumn(GEOMETRY, F.lit(None).cast("binary")).schema
+    return df.mapInArrow(run, schema)
+
+
+def box(x0: float, y0: float, x1: float, y1: float) -> tuple:
+    return "polygon", [np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])]
+
+
+def donut(x0: float, y0: float, x1: float, y1: float) -> tuple:
+    """A box with a hole over its middle half."""
+    w, h = (x1 - x0) / 4, (y1 - y0) / 4
+    return "polygon", [*box(x0, y0, x1, y1)[1], *box(x0 + w, y0 + h, x1 - w, y1 - h)[1]]
+
+
+def supplier_boxes(spark: SparkSession, d: str, make=box) -> DataFrame:
+    """Boxes of 0.1 to 0.7 degrees by supplier."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", _lon("s_suppkey").alias("x"), _lat("s_suppkey").alias("y"), ((F.col("s_suppkey") % 7 + 1) / 10).alias("w"), ((F.col("s_suppkey") % 5 + 1) / 10).alias("h"))
+    return _shaped(rows.select("s_suppkey", "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1")), make, "x", "y", "x1", "y1")
+
+
+# -- queries ------------------------------------------------------------------------------------
+
+
+def encode(res: int):
+    return lambda spark, d: ops.point_cells(events(spark, d), F.col("lon"), F.col("lat"), "geohash", res).select("event_id", F.col(column_name("geohash", res)).alias("cell"))
+
+
+def geohash_encode_customers(spark, d):
+    return ops.point_cells(customers(spark, d), F.col("lon"), F.col("lat"), "geohash", 5).select("c_custkey", F.col("geohash_05").alias("cell"))
+
+
+def geohash_decode_center(spark, d):
+    c = encode(6)(spark, d).withColumn("m", geohash.center(F.col("cell"), 6))
+    return c.select("event_id", F.round(F.col("m.lon") * 1e6).cast("long").alias("lon_u"), F.round(F.col("m.lat") * 1e6).cast("long").alias("lat_u"))
+
+
+def geohash_bounds(spark, d):
+    c = encode(4)(spark, d).withColumn("b", geohash.bounds(F.col("cell"), 4))
+    return c.select("event_id", *[F.round(F.col(f"b.{k}") * 1e6).cast("long").alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+
+
+def geohash_parent(spark, d):
+    c = encode(9)(spark, d)
+    return c.select("event_id", geohash.parent(F.col("cell"), 3).alias("parent"), geohash.resolution(F.col("cell")).alias("res"))
+
+
+def geohash_children(spark, d):
+    c = encode(2)(spark, d).select("cell").distinct()
+    return c.select("cell", F.explode(geohash.children(F.col("cell"), 2, 4)).alias("child"))
+
+
+def representative_child(spark, d):
+    return encode(3)(spark, d).select("event_id", geohash.representative(F.col("cell"), 7).alias("child"))
+
+
+def cell_density_by_parent(spark, d):
+    c = ops.with_parent(ops.point_cells(events(spark, d), F.col("lon"), F.col("lat"), "geohash", 6), "geohash", 6, 2)
+    return c.groupBy(F.col("geohash_02").alias("parent")).agg(F.count("*").alias("n_events"), F.countDistinct("geohash_06").alias("n_cells"))
+
+
+def polyfill_rect(spark, d):
+    return ops.polyfill(supplier_boxes(spark, d), "geohash", 5).select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def polyfill_rect_with_hole(spark, d):
+    return ops.polyfill(supplier_boxes(spark, d, donut), "geohash", 5).select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def polyfill_triangle(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", _lon("s_suppkey").alias("x"), _lat("s_suppkey").alias("y"), ((F.col("s_suppkey") % 7 + 1) / 10).alias("w"))
+    shapes = _shaped(rows, lambda x, y, w: ("polygon", [np.array([(x, y), (x + w, y), (x, y + w), (x, y)])]), "x", "y", "w")
+    return ops.polyfill(shapes, "geohash", 5).select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def polyfill_counts(dggs: str, res: int):
+    def run(spark, d):
+        return ops.polyfill(prepare.cleaned(supplier_boxes(spark, d), ops.grid(dggs).GEODESIC), dggs, res).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min(column_name(dggs, res)).alias("first_cell"))
+
+    return run
+
+
+def _sibling_sets(spark, d):
+    """Leaves of two levels below a cell of each supplier, some without their last ones."""
+    base = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey <= 60").select("s_suppkey", geohash.point(_lon("s_suppkey"), _lat("s_suppkey"), 3).alias("up"))
+    leaves = base.select("s_suppkey", F.posexplode(geohash.children(F.col("up"), 3, 5)).alias("k", "geohash_05"))
+    return leaves.where("s_suppkey % 3 = 0 or k % 101 <> s_suppkey % 101 or (s_suppkey % 3 = 1 and k < 512)").select("s_suppkey", F.col("k").alias("attr"), "geohash_05")
+
+
+def compact_geohash(spark, d):
+    return ops.compact(_sibling_sets(spark, d), "geohash", 5, 3, "s_suppkey").select("s_suppkey", "attr", F.col("geohash_05").alias("cell"))
+
+
+def compact_floor(spark, d):
+    return ops.compact(_sibling_sets(spark, d), "geohash", 5, 4, "s_suppkey").select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def expand_roundtrip(spark, d):
+    packed = ops.compact(_sibling_sets(spark, d), "geohash", 5, 3, "s_suppkey").select("s_suppkey", "geohash_05")
+    return ops.expand(packed, "geohash", 5, "geohash_05").select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def lon_normalise(spark, d):
+    e = events(spark, d).withColumn("wide", F.col("lon") + 360 * (F.col("event_id") % 3 - 1))
+    return e.select("event_id", F.round(prepare.longitude(F.col("wide")) * 1000).cast("long").alias("lon_m"))
+
+
+def antimeridian_flag(spark, d):
+    e = events(spark, d).withColumn("far", F.col("lon") + (F.col("event_id") % 4) * 90)
+    return e.select("event_id", (F.col("far") - F.col("lon") > 180).alias("crosses"), F.when(F.col("lon") >= 180, "east").when(F.col("far") <= -180, "west").when((F.col("far") > 180) | (F.col("lon") < -180), "straddle").otherwise("inside").alias("class"))
+
+
+def oversize_count(spark, d):
+    b = prepare.bounds(supplier_boxes(spark, d))
+    return b.agg(F.count_if(F.round((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 6) > 0.1).alias("n_oversize"), F.count("*").alias("n"))
+
+
+def bisect_rect_piece_count(spark, d):
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 7 + 1).cast("double").alias("w"), (F.col("s_suppkey") % 5 + 1).cast("double").alias("h"))
+    return prepare.bisected(_shaped(rows, lambda w, h: box(0.0, 0.0, w, h), "w", "h"), 0.5).groupBy("s_suppkey").agg(F.count("*").alias("n_pieces"))
+
+
+def features_without_cells(spark, d):
+    boxes = supplier_boxes(spark, d)
+    return prepare.dropped(boxes, ops.polyfill(boxes, "geohash", 3), "s_suppkey")
+
+
+def synthetic_fid(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").withColumn(GEOMETRY, F.lit(None).cast("binary"))
+    return prepare.with_id(rows, None, True).select("fid", "n_name")
+
+
+def attach_attributes(spark, d):
+    c = ops.point_cells(customers(spark, d), F.col("lon"), F.col("lat"), "geohash", 4).select("c_custkey", F.col("geohash_04").alias("cell"))
+    facts = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    return c.join(facts, "c_custkey")
+
+
+def cell_join_events_customers(spark, d):
+    e = ops.point_cells(events(spark, d), F.col("lon"), F.col("lat"), "geohash", 4).groupBy(F.col("geohash_04").alias("cell")).agg(F.count("*").alias("n_events"))
+    c = ops.point_cells(customers(spark, d), F.col("lon"), F.col("lat"), "geohash", 4).groupBy(F.col("geohash_04").alias("cell")).agg(F.count("*").alias("n_customers"))
+    return e.join(c, "cell")
+
+
+def morton_sort_key(spark, d):
+    return events(spark, d).select("event_id", ops.morton(F.col("lon"), F.col("lat")).alias("key"))
+
+
+def default_threshold(spark, d):
+    return spark.range(1).select(F.lit(round(prepare.default_threshold(105_332.513, 1.0))).cast("long").alias("threshold"), F.lit(parent_resolution("s2", 13)).alias("parent_res"))
+
+
+def drop_report(spark, d):
+    shapes = supplier_boxes(spark, d).withColumn(GEOMETRY, F.when(F.col("s_suppkey") % 10 != 0, F.col(GEOMETRY)))
+    return prepare.cleaned(shapes).agg(F.count("*").alias("n_kept")).crossJoin(shapes.agg(F.count("*").alias("n"))).select((F.col("n") - F.col("n_kept")).alias("n_dropped"), "n")
+
+
+def line_trace(dggs: str, res: int):
+    def run(spark, d):
+        e = events(spark, d).where("event_id % 10 = 0 or event_id % 10 = 1").select(F.floor(F.col("event_id") / 10).alias("line_id"), "lon", "lat")
+        ends = e.groupBy("line_id").agg(F.min("lon").alias("x"), F.min("lat").alias("y"))
+        lines = _shaped(ends, lambda x, y: ("line", [np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])]), "x", "y")
+        return ops.polyfill(lines, dggs, res).select("line_id", F.col(column_name(dggs, res)).alias("cell"))
+
+    return run
+
+
+def hierarchy(dggs: str, res: int, parent: int):
+    module = ops.grid(dggs)
+
+    def run(spark, d):
+        c = events(spark, d).select("event_id", module.point(F.col("lon"), F.col("lat"), res).alias("cell"))
+        return c.select("event_id", "cell", module.parent(F.col("cell"), parent).alias("parent"), module.resolution(F.col("cell")).cast("int").alias("res"), module.representative(module.parent(F.col("cell"), parent), res).alias("first"))
+
+    return run
+
+
+def compact_counts(dggs: str, res: int, parent: int):
+    module = ops.grid(dggs)
+
+    def run(spark, d):
+        base = customers(spark, d).where("c_custkey <= 200").select("c_custkey", module.point(F.col("lon"), F.col("lat"), parent).alias("up"))
+        leaves = base.select("c_custkey", F.posexplode(module.children(F.col("up"), parent, res)).alias("k", column_name(dggs, res)))
+        packed = ops.compact(leaves.where("c_custkey % 2 = 0 or k > 0"), dggs, res, parent, "c_custkey")
+        return packed.groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "cell_density_by_parent": cell_density_by_parent,
+        "geohash_encode_r3": encode(3),
+        "geohash_encode_r6": encode(6),
+        "geohash_encode_r12": encode(12),
+        "geohash_encode_customers": geohash_encode_customers,
+        "geohash_decode_center": geohash_decode_center,
+        "geohash_bounds": geohash_bounds,
+        "geohash_parent": geohash_parent,
+        "geohash_children": geohash_children,
+        "representative_child": representative_child,
+        "polyfill_rect": polyfill_rect,
+        "polyfill_rect_with_hole": polyfill_rect_with_hole,
+        "polyfill_triangle": polyfill_triangle,
+        "compact_geohash": compact_geohash,
+        "compact_floor": compact_floor,
+        "expand_roundtrip": expand_roundtrip,
+        "lon_normalise": lon_normalise,
+        "antimeridian_flag": antimeridian_flag,
+        "oversize_count": oversize_count,
+        "bisect_rect_piece_count": bisect_rect_piece_count,
+        "features_without_cells": features_without_cells,
+        "synthetic_fid": synthetic_fid,
+        "attach_attributes": attach_attributes,
+        "cell_join_events_customers": cell_join_events_customers,
+        "morton_sort_key": morton_sort_key,
+        "default_threshold": default_threshold,
+        "drop_report": drop_report,
+        "line_trace_geohash": line_trace("geohash", 5),
+        "line_trace_s2": line_trace("s2", 9),
+        "line_trace_rhp": line_trace("rhp", 5),
+        "s2_hierarchy": hierarchy("s2", 13, 7),
+        "rhp_hierarchy": hierarchy("rhp", 8, 3),
+        "s2_polyfill": polyfill_counts("s2", 11),
+        "rhp_polyfill": polyfill_counts("rhp", 7),
+        "s2_compact": compact_counts("s2", 9, 6),
+        "rhp_compact": compact_counts("rhp", 6, 4),
+    }
+
+
+# -- SQL ----------------------------------------------------------------------------------------
+
+_E = "(SELECT event_id, ((event_id * 7919) % 360000) / 1000 - 180 AS lon, ((event_id * 104729) % 170000) / 1000 - 85 AS lat FROM events)"
+_C = "(SELECT c_custkey, ((c_custkey * 7919) % 360000) / 1000 - 180 AS lon, ((c_custkey * 104729) % 170000) / 1000 - 85 AS lat FROM customer)"
+
+
+def _name(x: str, y: str, res: int) -> str:
+    """SQL for the geohash of cell numbers."""
+    nx, ny = (5 * res + 1) // 2, 5 * res // 2
+    letters = []
+    for k in range(res):
+        bits = []
+        for b in range(5 * k, 5 * k + 5):
+            axis, place = (x, nx - 1 - b // 2) if b % 2 == 0 else (y, ny - 1 - b // 2)
+            bits.append(f"((({axis}) >> {place}) & 1) * {1 << (4 - (b - 5 * k))}")
+        letters.append(f"substr('{ALPHABET}', ({' + '.join(bits)} + 1)::INTEGER, 1)")
+    return " || ".join(letters)
+
+
+def _gh(lon: str, lat: str, res: int) -> str:
+    nx, ny = (5 * res + 1) // 2, 5 * res // 2
+    x = f"least(floor(({lon} + 180.0) / 360.0 * {1 << nx}), {(1 << nx) - 1})::BIGINT"
+    y = f"least(floor(({lat} + 90.0) / 180.0 * {1 << ny}), {(1 << ny) - 1})::BIGINT"
+    return _name(x, y, res)
+
+
+def _numbers(cell: str, res: int) -> tuple[str, str]:
+    out = []
+    for axis in (0, 1):
+        bits = [b for b in range(5 * res) if b % 2 == axis]
+        terms = [f"(((instr('{ALPHABET}', substr({cell}, {b // 5 + 1}, 1)) - 1) >> {4 - b % 5}) & 1) * {1 << (len(bits) - 1 - k)}" for k, b in enumerate(bits)]
+        out.append("(" + " + ".join(terms) + ")")
+    return out[0], out[1]
+
+
+def _fill(inside: str, res: int, w: str, h: str) -> str:
+    """SQL that lists the cells of each supplier's box whose centre (cx, cy) passes ``inside``."""
+    nx, ny = 1 << (5 * res + 1) // 2, 1 << 5 * res // 2
+    return f"""
+WITH s AS (SELECT s_suppkey, ((s_suppkey * 7919) % 360000) / 1000 - 180 AS x0, ((s_suppkey * 104729) % 170000) / 1000 - 85 AS y0, {w} AS w, {h} AS h FROM supplier),
+b AS (SELECT *, x0 + w AS x1, y0 + h AS y1 FROM s),
+i AS (SELECT *, unnest(range(greatest(floor((x0 + 180) / 360 * {nx})::BIGINT, 0), least(floor((x1 + 180) / 360 * {nx})::BIGINT, {nx - 1}) + 1)) AS i FROM b),
+j AS (SELECT *, unnest(range(greatest(floor((y0 + 90) / 180 * {ny})::BIGINT, 0), least(floor((y1 + 90) / 180 * {ny})::BIGINT, {ny - 1}) + 1)) AS j FROM i),
+c AS (SELECT *, (i + 0.5) * 360 / {nx} - 180 AS cx, (j + 0.5) * 180 / {ny} - 90 AS cy FROM j)
+SELECT s_suppkey, {_name('i', 'j', res)} AS cell FROM c WHERE {inside}"""
+
+
+_W, _H = "(s_suppkey % 7 + 1) / 10", "(s_suppkey % 5 + 1) / 10"
+_IN = "cx > x0 AND cx < x1 AND cy > y0 AND cy < y1"
+_HOLE = "cx >= x0 + (x1 - x0) / 4 AND cx <= x1 - (x1 - x0) / 4 AND cy >= y0 + (y1 - y0) / 4 AND cy <= y1 - (y1 - y0) / 4"
+_LETTERS = f"(SELECT unnest(string_split('{','.join(ALPHABET)}', ',')) AS a)"
+_NUMBERED = f"(SELECT k - 1 AS p, substr('{ALPHABET}', k::INTEGER, 1) AS a FROM range(1, 33) t(k))"
+_SETS = f"""
+u AS (SELECT s_suppkey, {_gh('(((s_suppkey * 7919) % 360000) / 1000 - 180)', '(((s_suppkey * 104729) % 170000) / 1000 - 85)', 3)} AS up FROM supplier WHERE s_suppkey <= 60),
+l AS (SELECT s_suppkey, m.p * 32 + n.p AS k, up || m.a || n.a AS leaf FROM u, {_NUMBERED} m, {_NUMBERED} n),
+x AS (SELECT * FROM l WHERE s_suppkey % 3 = 0 OR k % 101 <> s_suppkey % 101 OR (s_suppkey % 3 = 1 AND k < 512)),
+f AS (SELECT *, count(*) OVER (PARTITION BY s_suppkey, substr(leaf, 1, 3)) = 1024 AS f3, count(*) OVER (PARTITION BY s_suppkey, substr(leaf, 1, 4)) = 32 AS f4 FROM x)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    x6, y6 = _numbers("cell", 6)
+    x4, y4 = _numbers("cell", 4)
+    u = lambda e: f"CAST(round(({e}) * 1e6) AS BIGINT)"
+    enc = lambda r: f"SELECT event_id, {_gh('lon', 'lat', r)} AS cell FROM {_E}"
+    morton = " + ".join(f"((x >> {k}) & 1) * {1 << (2 * k + 1)} + ((y >> {k}) & 1) * {1 << (2 * k)}" for k in range(16))
+    return {
+        "cell_density_by_parent": f"SELECT substr(cell, 1, 2) AS parent, count(*) AS n_events, count(DISTINCT cell) AS n_cells FROM ({enc(6)}) GROUP BY 1",
+        "geohash_encode_r3": enc(3),
+        "geohash_encode_r6": enc(6),
+        "geohash_encode_r12": enc(12),
+        "geohash_encode_customers": f"SELECT c_custkey, {_gh('lon', 'lat', 5)} AS cell FROM {_C}",
+        "geohash_decode_center": f"SELECT event_id, {u(f'({x6} + 0.5) * {360 / (1 << 15)!r} - 180')} AS lon_u, {u(f'({y6} + 0.5) * {180 / (1 << 15)!r} - 90')} AS lat_u FROM ({enc(6)})",
+        "geohash_bounds": f"SELECT event_id, {u(f'{x4} * {360 / 1024!r} - 180')} AS minx, {u(f'{y4} * {180 / 1024!r} - 90')} AS miny, {u(f'({x4} + 1) * {360 / 1024!r} - 180')} AS maxx, {u(f'({y4} + 1) * {180 / 1024!r} - 90')} AS maxy FROM ({enc(4)})",
+        "geohash_parent": f"SELECT event_id, substr(cell, 1, 3) AS parent, length(cell)::INTEGER AS res FROM ({enc(9)})",
+        "geohash_children": f"SELECT cell, cell || m.a || n.a AS child FROM (SELECT DISTINCT cell FROM ({enc(2)})), {_LETTERS} m, {_LETTERS} n",
+        "representative_child": f"SELECT event_id, rpad(cell, 7, '0') AS child FROM ({enc(3)})",
+        "polyfill_rect": _fill(_IN, 5, _W, _H),
+        "polyfill_rect_with_hole": _fill(f"{_IN} AND NOT ({_HOLE})", 5, _W, _H),
+        "polyfill_triangle": _fill("cx > x0 AND cy > y0 AND w * (cy - y0) + w * (cx - x1) < 0", 5, _W, _W),
+        "compact_geohash": f"WITH {_SETS} SELECT s_suppkey, k::INTEGER AS attr, CASE WHEN f3 THEN substr(leaf, 1, 3) WHEN f4 THEN substr(leaf, 1, 4) ELSE leaf END AS cell FROM f WHERE CASE WHEN f3 THEN k = 0 WHEN f4 THEN k % 32 = 0 ELSE true END",
+        "compact_floor": f"WITH {_SETS} SELECT s_suppkey, CASE WHEN f4 THEN substr(leaf, 1, 4) ELSE leaf END AS cell FROM f WHERE NOT f4 OR k % 32 = 0",
+        "expand_roundtrip": f"WITH {_SETS} SELECT s_suppkey, leaf AS cell FROM x",
+        "lon_normalise": f"SELECT event_id, CAST(round(lon * 1000) AS BIGINT) AS lon_m FROM {_E}",
+        "antimeridian_flag": f"SELECT event_id, (event_id % 4) * 90 > 180 AS crosses, CASE WHEN lon >= 180 THEN 'east' WHEN lon + (event_id % 4) * 90 <= -180 THEN 'west' WHEN lon + (event_id % 4) * 90 > 180 OR lon < -180 THEN 'straddle' ELSE 'inside' END AS class FROM {_E}",
+        "oversize_count": "SELECT count(*) FILTER ((s_suppkey % 7 + 1) * (s_suppkey % 5 + 1) > 10) AS n_oversize, count(*) AS n FROM supplier",
+        "bisect_rect_piece_count": "WITH RECURSIVE p AS (SELECT s_suppkey, (s_suppkey % 7 + 1)::DOUBLE AS w, (s_suppkey % 5 + 1)::DOUBLE AS h, 1 AS n FROM supplier UNION ALL SELECT s_suppkey, CASE WHEN h >= w THEN w ELSE w / 2 END, CASE WHEN h >= w THEN h / 2 ELSE h END, n * 2 FROM p WHERE w * h > 0.5) SELECT s_suppkey, max(n)::BIGINT AS n_pieces FROM p GROUP BY 1",
+        "features_without_cells": f"SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM ({_fill(_IN, 3, _W, _H)}))",
+        "synthetic_fid": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS fid, n_name FROM nation",
+        "attach_attributes": f"SELECT a.c_custkey, {_gh('lon', 'lat', 4)} AS cell, c_name, c_nationkey FROM {_C} a JOIN customer USING (c_custkey)",
+        "cell_join_events_customers": f"WITH e AS (SELECT {_gh('lon', 'lat', 4)} AS cell, count(*) AS n_events FROM {_E} GROUP BY 1), c AS (SELECT {_gh('lon', 'lat', 4)} AS cell, count(*) AS n_customers FROM {_C} GROUP BY 1) SELECT cell, n_events, n_customers FROM e JOIN c USING (cell)",
+        "morton_sort_key": f"SELECT event_id, ({morton})::BIGINT AS key FROM (SELECT event_id, least(floor((lon + 180.0) / 360.0 * 65536), 65535)::BIGINT AS x, least(floor((lat + 90.0) / 180.0 * 65536), 65535)::BIGINT AS y FROM {_E})",
+        "default_threshold": "SELECT round(5000 * 105332.513)::BIGINT AS threshold, 7::INTEGER AS parent_res",
+        "drop_report": "SELECT count(*) FILTER (s_suppkey % 10 = 0) AS n_dropped, count(*) AS n FROM supplier",
+        "s2_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 9 END::BIGINT AS n FROM customer WHERE c_custkey <= 200",
+        "rhp_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 16 END::BIGINT AS n FROM customer WHERE c_custkey <= 200",
+    }
