@@ -12,8 +12,7 @@ expressions; the model table is broadcast because the labelled samples bound it
 (``MOST_SAMPLES`` rows, each giving ``ORDER + 1`` rows a character at most).
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
-fits no rule and gets score 0, which is judged like any other; repeated rows get
-equal results.  Only ``page_id`` and ``url`` are read.
+fits no rule, gets score 0 and is allowed; repeated rows get equal results.  Only ``page_id`` and ``url`` are read.
 """
 
 from __future__ import annotations
@@ -143,7 +142,7 @@ def verdicts(pages: DataFrame, samples: DataFrame | None = None, rules=RULES) ->
     scores = _score(rows.select("s").distinct(), made.table, "s")
     name, what = rule_for(F.col("host"), F.col("path"), rules)
     judged = rows.join(scores, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    by_model = F.when(F.col("score") > made.threshold, "block").otherwise("allow")
+    by_model = F.when((F.col("s") != "") & (F.col("score") > made.threshold), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(what, by_model).alias("verdict"), "score")
 
 
