@@ -47,7 +47,7 @@ def record_id(*parts: object) -> str:
 
 def plain_text(source: str) -> str:
     """All of a page's visible text: a line for each block, white space made single."""
-    text = _BREAK.sub("\n", _RAW.sub("\n", source))
+    text = _BREAK.sub("\n", " ".join(_RAW.sub(" ", source).split()))
     lines = (" ".join(line.split()) for line in entities.unescape(_TAG.sub(" ", text)).split("\n"))
     return "\n".join(line for line in lines if line)
 
