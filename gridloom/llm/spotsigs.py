@@ -141,18 +141,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they and the next document's are."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(key.alias("k"), F.shiftright(key, int(math.log2(GROUP))).alias("g"), text.alias("text")).withColumn("sig", signatures(F.col("text")))
+    group = F.shiftright(key, int(math.log2(GROUP)))
+    # The one exchange of texts; signatures are formed after it, so that it carries nothing else and both uses share it.
+    base = docs.select(key.alias("k"), group.alias("g"), text.alias("text")).repartition("g")
     order = Window.partitionBy("g").orderBy("k", "text")
-    placed = base.withColumn("after", F.lead(F.struct("text", "sig")).over(order)).withColumn("first", F.lag("k").over(order).isNull())
-    groups = following(docs.select(F.shiftright(key, int(math.log2(GROUP))).alias("v")).distinct())
-    heads = placed.where("first").select(F.col("g").alias("next"), F.struct("text", "sig").alias("head"))
+    placed = base.withColumn("after", F.lead("text").over(order)).withColumn("first", F.lag("k").over(order).isNull())
+    groups = following(docs.select(group.alias("v")).distinct())
+    heads = placed.where("first").select(F.col("g").alias("next"), F.col("text").alias("head"))
     border = groups.join(heads, "next").select(F.col("v").alias("g"), "head")
-    whole = placed.join(border, "g").select("k", "text", "sig", F.coalesce("after", "head").alias("after"))
+    whole = placed.join(border, "g").select("k", "text", F.coalesce("after", "head").alias("after"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("after.text"), F.lit(1), half))
-    out = whole.select("k", n.cast("long").alias("n_chars"), "sig", F.col("after.sig").alias("next_sig"), edited.alias("edited"))
-    out = out.withColumn("edited_sig", signatures(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("after", F.lit(1), half))
+    out = whole.select("k", n.cast("long").alias("n_chars"), "text", "after", edited.alias("edited"))
+    out = out.withColumns({"sig": signatures(F.col("text")), "next_sig": signatures(F.col("after")), "edited_sig": signatures(F.col("edited"))})
+    out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("text", "after", "edited")
     return out.select(
         F.when(F.col("k") < 2**63 - 1, F.col("k")).alias("doc_id"),
         "n_chars",
