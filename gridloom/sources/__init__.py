@@ -1,0 +1 @@
+"""Feature sources and cell sinks."""
