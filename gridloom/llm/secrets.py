@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-TOKEN = r"(?<![\p{L}\p{N}+/_=-])[A-Za-z0-9+/_=-]{16,}+(?!\p{L})"
+TOKEN = r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?!\p{L})"
 #: Letters and digits of ordinary identifiers, for the default samples.
 ORDINARY = (
     "account action address after agent alert allow answer append archive array article async audio author backup balance batch before billing binary block branch "
@@ -59,19 +59,19 @@ def spans(text: Column, pattern: str, kind: str, order: int, keep=None, group: i
         lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("len"), x["m"].alias("m"), x["g"].alias("g")),
     )
 
-    def run(p: Column) -> Column:
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["gap"] + x["len"])
-        step = 64
-        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / step).cast("int")), lambda b: total(F.slice(p, b * step + 1, F.lit(step))))
-        start = lambda x, i, s: F.aggregate(F.slice(s, F.lit(1), F.floor(i / step).cast("int")), F.lit(0), lambda a, v: a + v) + total(F.slice(p, F.floor(i / step).cast("int") * step + 1, i % step)) + x["gap"]
-        made = F.transform(
-            p,
-            lambda x, i: F.struct(
-                start(x, i, sums).alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), (start(x, i, sums) + x["len"]).alias("stop"), x["m"].alias("word"), x["g"].alias("g")
-            ),
-        )
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value, which a lambda would else form anew for each element
+    step = 64
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["gap"] + x["len"])
+
+    def placed(p: Column, sums: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(sums, F.lit(1), F.floor(i / step).cast("int")), F.lit(0), lambda a, v: a + v) + total(F.slice(p, F.floor(i / step).cast("int") * step + 1, i % step))
+        made = F.transform(p, lambda x, i: F.struct((before(i) + x["gap"]).alias("start"), x["len"].alias("len"), x["m"].alias("word"), x["g"].alias("g")))
         made = F.filter(made, keep) if keep else made
-        return F.transform(made, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["stop"], x["word"]))
+        return F.transform(made, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + x["len"]).alias("stop"), x["word"].alias("word")))
+
+    def run(pieces: Column) -> Column:
+        sums = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / step).cast("int")), lambda b: total(F.slice(p, b * step + 1, F.lit(step))))
+        return once(pieces, lambda p: once(sums(p), lambda q: placed(p, q)))
 
     none = F.lit(None).cast("array<struct<start:int,rank:int,kind:string,stop:int,word:string>>")
     return F.coalesce(F.when(text.rlike(pattern), run(pieces)).otherwise(none), F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,kind:string,stop:int,word:string>>"))
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
         spans(text, ACCESS, "access", 1, lambda x: F.length(x["word"]) >= 20),
         spans(text, HEX, "hex", 2),
     )
-    tokens = spans(text, TOKEN, "random", 3, lambda x: x["word"].rlike("[A-Za-z]") & x["word"].rlike("[0-9]") & (mean_ratio(x["word"], table) > least))
+    tokens = spans(text, TOKEN, "random", 3, lambda x: mean_ratio(x["word"], table) > least)
     found = docs.withColumn("_base", F.array_sort(base)).withColumn("_more", tokens)
     apart = F.filter("_more", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     return found.withColumn("_more", apart).withColumn("_all", F.array_sort(F.concat("_base", "_more")))
