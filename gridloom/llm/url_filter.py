@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.store import Store
+
 ORDER = 4
 MOST_SAMPLES = 20_000
 #: (verdict, rule): a host and its subdomains, and the beginning of the path.
@@ -87,7 +89,9 @@ def _characters(of: DataFrame, *keep: str) -> DataFrame:
 
 def _model(samples: DataFrame) -> DataFrame:
     """(gram, ratio): log P(last character | the others) under the rejected model less that under the accepted one."""
-    rows = _characters(samples, "rejected")
+    # Stored level by level: the plan of a level would else hold those of all below it.
+    store = Store(samples.sparkSession, "url-model")
+    rows = store.put(_characters(samples, "rejected"))
     below: DataFrame | None = None
     parts = []
     for k in range(ORDER + 1):
@@ -103,6 +107,7 @@ def _model(samples: DataFrame) -> DataFrame:
             now = now.withColumn("suffix", F.substring("gram", 2, k)).join(below.select(F.col("gram").alias("suffix"), F.col("p1").alias("b1"), F.col("p0").alias("b0")), "suffix")
         smooth = lambda n, t, c, b: F.when(F.col(c) > 0, (F.col(n) + F.col(t) * F.col(b)) / (F.col(c) + F.col(t))).otherwise(F.col(b))
         below = now.select("gram", smooth("n1", "t1", "c1", "b1").alias("p1"), smooth("n0", "t0", "c0", "b0").alias("p0"))
+        below = store.put(below)
         parts.append(below.select("gram", (F.log("p1") - F.log("p0")).alias("ratio")))
     out = parts[0]
     for p in parts[1:]:
