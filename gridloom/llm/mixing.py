@@ -167,11 +167,12 @@ def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = Non
     chosen = store.put(clear.unionAll(close))
     left = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
     miss = F.abs(F.col("size") - F.col("left"))
-    last = chosen.where("extra = 0 and size > 0").join(left, "pattern").where(miss < F.col("left"))
+    # One row a pattern, MOST_PATTERNS at most: small enough to broadcast, and a hot pattern stays dealt out.
+    last = chosen.where("extra = 0 and size > 0").join(F.broadcast(left), "pattern").where(miss < F.col("left"))
     last = last.groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size")).alias("last"))
     once = (F.col("last.h") == F.col("h")) & F.col("last.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("last.size") == F.col("size")) & (F.col("extra") == 0)
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra") + F.when(once, 1).otherwise(0)).otherwise(0).cast("long")
-    out = chosen.join(last, "pattern", "left").withColumn("copies", copies)
+    out = chosen.join(F.broadcast(last), "pattern", "left").withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pattern")
 
 
