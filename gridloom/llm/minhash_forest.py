@@ -261,7 +261,8 @@ def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFram
     """
     placed = rest.join(part, rest.doc_id == part.id, "left").select("hi", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("hi").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where(f"low <> high and k > {SMALL}")
-    open_ = store.put(placed.join(mixed.select("hi"), "hi", "left_semi").select("doc_id", "component").distinct())
+    mixed = store.put(mixed.select("hi")).hint("merge")  # a sort-merge join of stored rows is one that AQE splits where a region is hot
+    open_ = store.put(placed.join(mixed, "hi", "left_semi").select("doc_id", "component").distinct())
     if open_.isEmpty():
         return spark.createDataFrame([], "a long, b long")
     own = store.put(sets.join(open_.select("doc_id"), "doc_id", "left_semi"))
