@@ -272,8 +272,9 @@ def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFram
     order = np.argsort(common)
     rows = own.mapInArrow(_prefixes(common[order], count[order]), "shingle long, doc_id long, n long, place long").join(open_, "doc_id")
     # Only shingles of several components can link them.
-    several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    rows = store.put(rows.join(several, "shingle", "left_semi"))
+    rows = store.put(rows)
+    several = store.put(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"))
+    rows = store.put(rows.join(several.hint("merge"), "shingle", "left_semi"))
     side = lambda x: rows.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
     enough = f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)"
     return side("a").join(side("b"), "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
