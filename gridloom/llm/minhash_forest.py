@@ -285,8 +285,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     store = Store(spark, "minhash-forest")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store.put(text.mapInArrow(_sign, _SIGNED))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    planted = signed.join(classes, ["s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "sig").mapInArrow(_plant, "hi long, lo long, doc_id long, n long")
+    classes = store.put(signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    planted = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select("doc_id", "n", "sig").mapInArrow(_plant, "hi long, lo long, doc_id long, n long")
     walked = store.put(planted.repartitionByRange("hi", "lo", "doc_id").sortWithinPartitions("hi", "lo", "doc_id").mapInArrow(_walk, _RUN))
     ends = walked.where("kind = 1").select("hi", "lo", "x", "n").groupBy("hi").applyInArrow(_ends, "x long, y long")
     pairs = store.put(walked.where("kind = 0").select("x", "y").unionAll(ends).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("orders")))
@@ -314,8 +314,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if not links_3.isEmpty():
         part = components(spark, links_2.unionAll(links_3), store)
 
-    # Members of a class follow their first document.
-    member = signed.select("doc_id", "n", "s1", "s2").join(classes.join(part, classes.rep == part.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("c")), ["s1", "s2"], "left")
+    # Members of a class follow their first document; AQE splits a hot class.
+    first = store.put(classes.join(part, classes.rep == part.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))).hint("merge")
+    member = signed.select("doc_id", "n", "s1", "s2").join(first, ["s1", "s2"], "left")
     root = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
