@@ -229,7 +229,7 @@ def compact_counts(dggs: str, res: int, parent: int):
     module = ops.grid(dggs)
 
     def run(spark, d):
-        base = customers(spark, d).where("c_custkey <= 200").select("c_custkey", module.point(F.col("lon"), F.col("lat"), parent).alias("up"))
+        base = customers(spark, d).select("c_custkey", module.point(F.col("lon"), F.col("lat"), parent).alias("up"))
         leaves = base.select("c_custkey", F.posexplode(module.children(F.col("up"), parent, res)).alias("k", column_name(dggs, res)))
         packed = ops.compact(leaves.where("c_custkey % 2 = 0 or k > 0"), dggs, res, parent, "c_custkey")
         return packed.groupBy("c_custkey").agg(F.count("*").alias("n"))
