@@ -198,11 +198,13 @@ def named(cells: np.ndarray, res: int) -> np.ndarray:
 
 
 def meets(cells: np.ndarray, res: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each cell meets the short great-circle arc a-b: clipping of its line on the cell's face."""
-    ua, va = uv_on(np.repeat(a[None], len(cells), 0), cells[:, 0])
-    ub, vb = uv_on(np.repeat(b[None], len(cells), 0), cells[:, 0])
+    """Whether each cell meets its short great-circle arc a-b (one for all, or one for each cell): clipping of its line on the cell's face."""
+    a, b = np.broadcast_to(a, (len(cells), 3)), np.broadcast_to(b, (len(cells), 3))
+    ua, va = uv_on(a, cells[:, 0])
+    ub, vb = uv_on(b, cells[:, 0])
     sign = np.where(cells[:, 0] < 3, 1, -1)
-    front = (a[cells[:, 0] % 3] * sign > 0) & (b[cells[:, 0] % 3] * sign > 0)
+    at = np.arange(len(cells)), cells[:, 0] % 3
+    front = (a[at] * sign > 0) & (b[at] * sign > 0)
     low, high = np.zeros(len(cells)), np.ones(len(cells))
     ok = front.copy()
     for p, q, k in ((ua, ub, cells[:, 1]), (va, vb, cells[:, 2])):

@@ -112,7 +112,7 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
             out.update(dict.fromkeys(geohash.trace_segment(tuple(a), tuple(b), res)))
         return list(out)
     if module is s2:
-        return sorted(_cover_line(line, res))
+        return sorted(_cover_lines([line], res)[0])
     step = np.degrees(module.radius(res)) / 12
     for a, b in zip(line[:-1], line[1:], strict=True):
         n = int(np.ceil(np.hypot(*(b - a)) / step)) + 1
@@ -122,31 +122,50 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
     return list(out)
 
 
-def _cover_line(line: np.ndarray, res: int) -> set[str]:
-    """All S2 cells at ``res`` that the great-circle line meets."""
-    p = s2.xyz(line[:, 0], line[:, 1])
-    found: set[str] = set(s2.encode(line[:, 0], line[:, 1], res).tolist())
-    for a, b in zip(p[:-1], p[1:], strict=True):
-        angle = float(np.arccos(np.clip(a @ b, -1, 1)))
-        if angle < 1e-15:
-            continue
-        n = int(np.ceil(angle / np.radians(10)))
-        t = np.linspace(0, 1, n + 1)[:, None]
-        knots = (np.sin((1 - t) * angle) * a + np.sin(t * angle) * b) / np.sin(angle)
-        for u, v in zip(knots[:-1], knots[1:], strict=True):
-            middle = (u + v) / np.linalg.norm(u + v)
-            half = float(np.arccos(np.clip(u @ middle, -1, 1)))
-            normal = np.cross(u, v)
-            normal /= np.linalg.norm(normal)
-            cells = s2.roots()
-            for level in range(res + 1):
-                if level:
-                    cells = s2.divide(cells)
-                cells = _near(s2, cells, level, middle, half)
-                away = np.abs(np.arcsin(np.clip(s2.middle(cells, level) @ normal, -1, 1)))
-                cells = cells[away <= s2.radius(level) + 1e-12]
-            if len(cells):
-                found.update(s2.named(cells[s2.meets(cells, res, u, v)], res).tolist())
+def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
+    """``trace`` of every line; those on S2 are traced together."""
+    if module is not s2:
+        return [trace(module, line, res) for line in lines]
+    out: list[list[str]] = []
+    for k in range(0, len(lines), 256):
+        out += [sorted(found) for found in _cover_lines(lines[k : k + 256], res)]
+    return out
+
+
+def _cover_lines(lines: list[np.ndarray], res: int) -> list[set[str]]:
+    """For each line all S2 cells at ``res`` that it, of great-circle edges, meets."""
+    found = [set(s2.encode(line[:, 0], line[:, 1], res).tolist()) for line in lines]
+    owner, ends = [], []
+    for k, line in enumerate(lines):
+        p = s2.xyz(line[:, 0], line[:, 1])
+        for a, b in zip(p[:-1], p[1:], strict=True):
+            angle = float(np.arccos(np.clip(a @ b, -1, 1)))
+            if angle < 1e-15:
+                continue
+            n = int(np.ceil(angle / np.radians(10)))
+            t = np.linspace(0, 1, n + 1)[:, None]
+            knots = (np.sin((1 - t) * angle) * a + np.sin(t * angle) * b) / np.sin(angle)
+            owner += [k] * n
+            ends.append(np.stack([knots[:-1], knots[1:]], 1))
+    if not owner:
+        return found
+    u, v = np.concatenate(ends).transpose(1, 0, 2)
+    middle = (u + v) / np.linalg.norm(u + v, axis=1, keepdims=True)
+    half = np.arccos(np.clip((u * middle).sum(1), -1, 1))
+    normal = np.cross(u, v)
+    normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+    cells, arc = np.tile(s2.roots(), (len(u), 1)), np.repeat(np.arange(len(u)), 6)
+    for level in range(res + 1):
+        if level:
+            cells, arc = s2.divide(cells), np.tile(arc, 4)
+        centre = s2.middle(cells, level)
+        angle = np.arccos(np.clip((centre * middle[arc]).sum(1), -1, 1))
+        away = np.abs(np.arcsin(np.clip((centre * normal[arc]).sum(1), -1, 1)))
+        near = (angle <= half[arc] + s2.radius(level) + 1e-12) & (away <= s2.radius(level) + 1e-12)
+        cells, arc = cells[near], arc[near]
+    met = s2.meets(cells, res, u[arc], v[arc])
+    for k, name in zip(arc[met].tolist(), s2.named(cells[met], res).tolist(), strict=True):
+        found[owner[k]].add(name)
     return found
 
 
@@ -172,16 +191,20 @@ def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None)
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
+            lines: list[tuple[int, np.ndarray]] = []
             for k, (raw, own) in enumerate(zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                 for kind, parts in geo.flat(geo.decode(raw)):
                     if (kind == "polygon") != bool(own):
                         continue
                     if kind == "polygon":
                         found = fill_block(module, parts, own, res).tolist()
+                        rows += [k] * len(found)
+                        out += found
                     else:
-                        found = trace(module, parts[0], res)
-                    rows += [k] * len(found)
-                    out += found
+                        lines.append((k, parts[0]))
+            for (k, _), found in zip(lines, traces(module, [line for _, line in lines], res), strict=True):
+                rows += [k] * len(found)
+                out += found
             taken = batch.take(pa.array(rows, pa.int64()))
             keep = [k for k in range(batch.num_columns - 1) if k != at]
             yield pa.record_batch([pa.array(out, pa.string()), *[taken.column(k) for k in keep]], names=[name, *[batch.schema.names[k] for k in keep]])

@@ -207,9 +207,9 @@ def drop_report(spark, d):
 
 def line_trace(dggs: str, res: int):
     def run(spark, d):
-        e = events(spark, d).where("event_id % 10 = 0 or event_id % 10 = 1").select(F.floor(F.col("event_id") / 10).alias("line_id"), "lon", "lat")
-        ends = e.groupBy("line_id").agg(F.min("lon").alias("x"), F.min("lat").alias("y"))
-        lines = _shaped(ends, lambda x, y: ("line", [np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])]), "x", "y")
+        # A line of each event, from its position.
+        starts = events(spark, d).select(F.col("event_id").alias("line_id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+        lines = _shaped(starts, lambda x, y: ("line", [np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])]), "x", "y")
         return ops.polyfill(lines, dggs, res).select("line_id", F.col(column_name(dggs, res)).alias("cell"))
 
     return run

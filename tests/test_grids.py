@@ -202,3 +202,19 @@ def test_compaction_covers_all_customers(spark, tmp_path, name):
         db.execute("create table customer as select range as c_custkey from range(1, 301)")
         # The rule of the SQL without its bound on the key.
         assert got == set(db.sql(plans.oracle_sql()[name].replace("WHERE c_custkey <= 200", "")).fetchall()) and len(got) == 300
+
+
+@pytest.mark.parametrize("dggs,res", [("geohash", 5), ("s2", 9), ("rhp", 5)])
+def test_lines_of_all_events(spark, tmp_path, dggs, res):
+    from gridloom.plans import queries as plans
+
+    rows = spark.range(1, 41).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit(0).alias("ts"), F.lit(0.0).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got: dict[int, set] = {}
+    for r in plans.queries()[f"line_trace_{dggs}"](spark, str(tmp_path)).collect():
+        got.setdefault(r.line_id, set()).add(r.cell)
+    assert set(got) == set(range(1, 41))
+    for k, found in got.items():
+        x, y = k * 7919 % 360000 / 1000 - 180, k * 104729 % 170000 / 1000 - 85
+        line = np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])
+        assert set(ops.grid(dggs).encode(*line.T, res).tolist()) <= found == set(ops.trace(ops.grid(dggs), line, res))
