@@ -13,7 +13,7 @@ from gridloom.llm.store import Store
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language has too low a score, go."""
+    """Documents without a letter, whose best language has too low a score or whose letters are unlike that language's, go."""
     return language.keep_identified(docs)
 
 

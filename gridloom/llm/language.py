@@ -111,6 +111,20 @@ class Model:
     #: family -> its languages, and for each pair of them the weights (positive: the first)
     members: dict[str, list[str]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    #: language -> log probabilities of its n-grams, their usual mean over a text, and how far below it a text may be
+    usual: dict[str, tuple[np.ndarray, float, float]] = field(default_factory=dict)
+
+    def fits(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
+        """Whether each row's n-grams are as likely in its language as those of the learned texts.
+
+        The likelihood is of this language alone, so text of a language that was not learned fails whichever learned one is nearest.
+        """
+        out = np.ones(len(x), bool)
+        y = np.array(langs, object)
+        for lang, (log, mean, depth) in self.usual.items():
+            rows = np.flatnonzero(y == lang)
+            out[rows] = mean - x[rows] ** 2 @ log <= depth + _spread(x[rows])
+        return out
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(x)
@@ -145,6 +159,37 @@ class Model:
         return lang.tolist(), score
 
 
+#: Learned rows that a language needs for a limit of its own; with fewer all its texts fit.
+LEAST_ROWS = 20
+#: A text may lie so far (nats an n-gram) below its language's mean at least.
+LEAST_DEPTH = 2.0
+
+
+def _grams(x: np.ndarray) -> np.ndarray:
+    """About the number of n-grams of each row: the least frequent one counts once."""
+    return 1 / np.where(x > 0, x, 1).min(1) ** 2
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """What the mean log probability of a text may vary by, for its length alone."""
+    return 10 / np.sqrt(_grams(x))
+
+
+def _log_probabilities(x: np.ndarray) -> np.ndarray:
+    count = (x**2 * _grams(x)[:, None]).sum(0) + 0.5
+    return np.log(count / count.sum())
+
+
+def usual(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """The entry of ``Model.usual`` for a language's rows; mean and depth are of rows that their own probabilities have not seen."""
+    fold = np.arange(len(x)) % 4
+    value = np.zeros(len(x))
+    for k in range(4):
+        value[fold == k] = x[fold == k] ** 2 @ _log_probabilities(x[fold != k])
+    mean = float(np.average(value, weights=_grams(x)))
+    return _log_probabilities(x), mean, max(LEAST_DEPTH, 1.5 * float(np.quantile(mean - value - _spread(x), 0.995)))
+
+
 def fit(x: np.ndarray, langs: list[str]) -> Model:
     model, y = Model(), np.array(langs, object)
     for lang in sorted(set(langs)):
@@ -157,6 +202,10 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
         for a, b in itertools.combinations(langs_, 2):
             rows = (y == a) | (y == b)
             model.pairs[a, b] = fit_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0))
+    for lang in set(langs):
+        rows = (y == lang) & (x > 0).any(1)
+        if rows.sum() >= LEAST_ROWS:
+            model.usual[lang] = usual(x[rows])
     return model
 
 
@@ -187,14 +236,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(x, [r.lang for r in rows]) if rows else Model()
 
 
+def lettered(text: pa.Array) -> np.ndarray:
+    return np.array(pc.fill_null(pc.match_substring_regex(text.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False))
+
+
 def predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
-            lettered = pc.fill_null(pc.match_substring_regex(text.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            with_letters = lettered(text)
             for first, last, x in features(text):
                 lang, score = model.predict(x)
-                ok = lettered[first:last]
+                ok = with_letters[first:last]
                 lang = [v if k else "und" for v, k in zip(lang, ok, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0).astype(np.float64))], names=["doc_id", "lang_pred", "score"])
 
@@ -218,17 +271,18 @@ LEAST_SCORE = 0.25
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those that have no language or too low a score; the text is judged in place, without a join."""
+    """``docs`` without those that have no language, too low a score or letters unlike their language's; the text is judged in place, without a join."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(columns.where(~held_out()))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = predictor(model)
         for batch in batches:
             text = batch.column(at)
-            rows = pa.record_batch([pa.array(np.arange(batch.num_rows)), text], names=["doc_id", "text"])
-            keep = [v for out in judge(iter([rows])) for v in ((np.array(out.column(1).to_pylist(), object) != "und") & (out.column(2).to_numpy() >= least)).tolist()]
+            keep = lettered(text)
+            for first, last, x in features(text):
+                lang, score = model.predict(x)
+                keep[first:last] &= (np.array(lang, object) != "und") & (score >= least) & model.fits(x, lang)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema).select(*names)

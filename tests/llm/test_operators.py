@@ -150,6 +150,21 @@ def test_language_held_out_accuracy(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_text_of_no_learned_language_is_rejected(spark):
+    r = random.Random(1)
+    noise = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(n))
+    planted = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        noise(20), noise(300), noise(5000), "zx qj kk", None, "12 !",
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where(r"text rlike '\\p{L}'")
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(planted)], "doc_id long, text string, lang string")
+    left = {x.doc_id for x in language.keep_identified(docs.unionByName(more)).collect()}
+    assert left == {x.doc_id for x in docs.collect()}
+
+
 # -- 9 ------------------------------------------------------------------------------------------
 
 
