@@ -12,7 +12,9 @@ value is dropped as a whole.  So no node is kept below a dropped one, and no nod
 is kept for nothing.
 
 Defined cases: a null html is an empty page; a page without main text has an
-empty text; unclosed and unmatched tags are closed as browsers do for blocks;
+empty text; unclosed and unmatched tags are closed as browsers do for blocks; a
+head ends where something that may not stand in it begins; the text of another
+dropped element that is not closed before a block around it (or at all) counts;
 nothing is cut, whatever the depth or length; repeated rows get equal results.
 Only ``page_id``, ``url`` and ``html`` are read.
 """
@@ -36,6 +38,8 @@ BLOCKS = frozenset(
     "legend main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset("head script style template noscript svg math iframe object select textarea button canvas audio video map title".split())
+#: What may stand in a head; any other element, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
@@ -64,13 +68,92 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
+@dataclass
+class Tag:
+    start: int
+    stop: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+def tags_of(source: str) -> list[Tag]:
+    """The page's tags in order (comments and the like have no name); a raw element with its content is one tag.
+
+    An unclosed script or style runs to the end of the page, as in browsers; other unclosed raw elements give their text back.
+    """
+    out: list[Tag] = []
+    at, length = 0, len(source)
+    endless: set[str] = set()
+    while at < length and (m := _TAG.search(source, at)):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name in RAW and not m[1]:
+            end = None if name in endless else re.compile(f"</{name}[^>]*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = length
+            else:
+                endless.add(name)
+        out.append(Tag(m.start(), at, bool(m[1]), name, m[3] or ""))
+    return out
+
+
+def dropped_parts(source: str, tags: list[Tag]) -> dict[int, int]:
+    """For each outer or inner dropped element that ends: its tag's number and that of the first tag behind it.
+
+    A head ends at its end tag or before the first thing that may not stand in it.  Any other dropped element must be
+    closed before a block around it is; one that is not has no entry, so that its text counts as that around it.
+    """
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    count: dict[str, int] = {}
+    head, seen = -1, False  # the open head's tag; whether a head may no longer open
+    templates = max((k for k, tag in enumerate(tags) if tag.closing and tag.name == "template"), default=-1)
+    before = 0
+
+    def pop() -> int:
+        count[tags[open_[-1]].name] -= 1
+        return open_.pop()
+
+    for k, tag in enumerate(tags):
+        inner = k <= templates and count.get("template")
+        if head >= 0 and not inner and (source[before : tag.start].strip() or tag.name and tag.name not in IN_HEAD):
+            out[head] = k + (tag.closing and tag.name == "head" and not source[before : tag.start].strip())
+            head, seen = -1, True
+            while open_ and tags[open_[-1]].name not in BLOCKS:
+                pop()
+        before = tag.stop
+        name = tag.name
+        if name == "head":
+            if not tag.closing and not seen:
+                head, seen = k, True
+        elif tag.closing:
+            if count.get(name):
+                while True:
+                    last = pop()
+                    if tags[last].name == name:
+                        break
+                if name in DROPPED:
+                    out[last] = k + 1
+        elif name in RAW:
+            continue
+        elif name in DROPPED and not tag.attributes.endswith("/") or name in BLOCKS and name not in VOID:
+            seen = seen or name != "html"
+            open_.append(k)
+            count[name] = count.get(name, 0) + 1
+    if head >= 0:
+        out[head] = len(tags)
+    return out
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[int] = []
     count: dict[str, int] = {}
     pieces: list[str] = []
     links = 0  # open <a> elements
-    skip: list[str] = []  # open dropped elements
 
     def open_(tag: str, attributes: str) -> None:
         tokens = [t for m in _ATTRIBUTE.findall(attributes) for t in _TOKEN.findall("".join(m).lower())] if attributes else []
@@ -104,59 +187,50 @@ def parse(source: str) -> Page:
             if page.tag[node] == tag:
                 break
 
-    at = 0
-    length = len(source)
-    while at < length:
-        m = _TAG.search(source, at)
-        text = source[at : m.start() if m else length]
-        if text and not skip:
+    tags = tags_of(source)
+    ends = dropped_parts(source, tags)
+    at = k = 0
+    while True:
+        tag = tags[k] if k < len(tags) else None
+        text = source[at : tag.start if tag else len(source)]
+        if text:
             pieces.append(text)
             if links and stack:
                 page.linked[stack[-1]] += len(text)
-        if not m:
+        if tag is None:
             break
-        at = m.end()
-        if m[2] is None:
+        at, name, attributes = tag.stop, tag.name, tag.attributes
+        if k in ends:
+            k = ends[k]
+            at = tags[k - 1].stop
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if skip:
-                if tag == skip[-1]:
-                    skip.pop()
-            elif tag == "a":
+        k += 1
+        if tag.closing:
+            if name == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCKS:
-                close(tag)
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
-            at = end.end() if end else length
-            continue
-        if tag in DROPPED:
-            if not m[3].endswith("/"):
-                skip.append(tag)
+            elif name in BLOCKS:
+                close(name)
             continue
-        if skip and not (skip == ["head"] and tag == "body"):
+        if not name or name in DROPPED or name in RAW:
             continue
-        skip.clear()
         if stack:
             page.tags[stack[-1]] += 1
-        if tag == "a":
+        if name == "a":
             links = 1
-        elif tag == "br" or tag not in BLOCKS:
-            if tag in ("br", "img", "input"):
+        elif name == "br" or name not in BLOCKS:
+            if name in ("br", "img", "input"):
                 pieces.append(" ")
         else:
             flush()
-            if tag in ENDS_P and count.get("p"):
+            if name in ENDS_P and count.get("p"):
                 close("p")
-            for other in SELF_ENDING.get(tag, ()):
+            for other in SELF_ENDING.get(name, ()):
                 # Only within the nearest list or table.
                 if stack and page.tag[stack[-1]] == other or (count.get(other) and stack and page.tag[stack[-1]] == "p" and len(stack) > 1 and page.tag[stack[-2]] == other):
                     close(other)
             links = 0
-            if tag not in VOID:
-                open_(tag, m[3])
+            if name not in VOID:
+                open_(name, attributes)
     flush()
     return page
 

@@ -335,6 +335,22 @@ def test_html_main_text(spark):
     assert out[2].text == "" and out[3].text == "" and len(out) == 4
 
 
+def test_unclosed_dropped_elements_do_not_cut_the_page():
+    def text(source):
+        return " ".join(t for _, t in html_main.parse(source).segments)
+
+    assert text("<html><head><title>T</title><meta charset=x><p>One<p>two") == "One two"
+    assert text("<html><head><title>T</title><style>x</style>Bare <b>text</b>") == "Bare text"
+    assert text("<head><script>a<p>b</script></head><body>one<head>two") == "onetwo" and text("<head><title>T</title>") == ""
+    for tag in ("button", "select", "object", "map", "svg"):
+        assert text(f"<body><div>a <{tag}>b</div><p>c</p></body>") == "a b c"
+        assert text(f"<div>a<{tag}>b<p>c") == "ab c"
+        assert text(f"<div>a<{tag}><div>b</div>x</{tag}>c</div><p>d") == "ac d"
+        assert text(f"<div>a<{tag}>b</div></{tag}><p>c") == "ab c"
+    assert text("<div>a<svg/>b<object><object>x</object>y</object>c<textarea>d<p>e") == "abcd e"
+    assert len(html_main.parse("<button><p>x" * 20000).segments) == 20000
+
+
 def test_decoding_keeps_nothing_below_a_dropped_node():
     import numpy as np
 
