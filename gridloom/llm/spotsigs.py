@@ -3,7 +3,9 @@
 The text is lower-cased and reduced to its letter and digit runs.  Every common
 word (an anchor) that a content word follows gives a spot: the anchor and the
 next two content words, common words between them skipped.  The beginning of the
-text is an anchor too, so every text with a word has a signature.  A document's
+text is an anchor too, so every text with a word has a signature.  Where spots
+are few for the text's length (menus, other languages), every content word and
+the next one give a chain too, so the whole text counts.  A document's
 fingerprint is its sorted set of spot hashes (32 bits each, hexadecimal); equal
 texts have equal fingerprints.
 
@@ -38,6 +40,8 @@ ANCHORS = (
     "uno y ya"
 ).split()
 CHAIN = 2
+#: A text with fewer spots than one for so many words has a chain from every content word too.
+SPARSE = 40
 #: Ids of one window; each group of ids holds at most so many.
 GROUP = 32
 
@@ -64,6 +68,8 @@ def trie(words: list[str]) -> str:
 _MARK = rf"(?<= )({trie(sorted(set(ANCHORS)))})(?= )"
 _NEXT = r" (?:#[^ ]+ )*+[^ #][^ ]*+"
 _SPOT = r"(?<= )(?=(#[^ ]+ [^ #][^ ]*+" + _NEXT * (CHAIN - 1) + " ))"
+#: A chain from every content word.
+_EACH = r"(?<= )(?=([^ #][^ ]*+" + _NEXT * (CHAIN - 1) + " ))"
 _HEAD = r"^ (?:#[^ ]+ )*+([^ #][^ ]*+(?:" + _NEXT * (CHAIN - 1) + ")?)"
 
 
@@ -76,14 +82,20 @@ def signatures(text: Column) -> Column:
     words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     marked = F.regexp_replace(words, _MARK, "#$1")
 
+    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    plain = lambda s: F.regexp_replace(s, " #[^ ]+", "")
+
     def made(m: Column) -> Column:
-        spots = F.transform(F.regexp_extract_all(m, F.lit(_SPOT), F.lit(1)), lambda s: _code(F.regexp_replace(s, " #[^ ]+", "")))
+        spots = F.transform(F.regexp_extract_all(m, F.lit(_SPOT), F.lit(1)), lambda s: _code(plain(s)))
         head = F.regexp_extract(m, _HEAD, 1)
-        first = F.concat(F.lit("^ "), F.when(head == "", m).otherwise(F.regexp_replace(head, " #[^ ]+", "")))
-        return F.array_sort(F.array_distinct(F.concat(F.array(_code(first)), spots)))
-
-    # A one-element transform binds the marked text once.
-    full = F.element_at(F.transform(F.array(marked), made), 1)
+        first = F.concat(F.lit("^ "), F.when(head == "", m).otherwise(plain(head)))
+        n = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) - 1
+        each = F.transform(F.regexp_extract_all(m, F.lit(_EACH), F.lit(1)), lambda s: _code(F.concat(F.lit("* "), plain(s))))
+        whole = bound(spots, lambda s: F.when(F.size(s) * SPARSE < n, F.concat(s, each)).otherwise(s))
+        return F.array_sort(F.array_distinct(F.concat(F.array(_code(first)), whole)))
+
+    # A one-element transform binds the marked text, and the spots, once.
+    full = bound(marked, made)
     empty = F.from_json(F.lit("[]"), "array<bigint>")
     return F.when(text.isNull() | (F.length(text) == 0), empty).when(~text.rlike(r"[\p{L}\p{N}]"), F.array(_code(text))).otherwise(full)
 

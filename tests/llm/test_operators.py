@@ -276,6 +276,16 @@ def test_spotsigs_fingerprints(spark):
     assert spotsigs.edited_fingerprints(table(spark, [])).count() == 0
 
 
+def test_spotsigs_cover_texts_without_anchors(spark):
+    menu = "home news shop sport music film games books cars maps"
+    far = ["zz" + w for w in prose(200).split()]
+    texts = [menu, menu.replace("maps", "jobs"), "home news", " ".join([*far, "the", "zza", "zzb"]), " ".join([*far[:150], *far[:50], "the", "zza", "zzb"])]
+    rows = sorted(spotsigs.edited_fingerprints(table(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert len({r.fingerprint for r in rows}) == 5 and len(rows[0].fingerprint) == 8 * 10
+    assert rows[0].near_next == 9 / 11 and all(r.near_edited < 1 for r in rows[:1]) and rows[3].near_next < 1
+    assert len(rows[3].fingerprint) > 8 * 100
+
+
 def test_next_document_over_sparse_and_repeated_ids(spark):
     ids = [0, 31, 32, 5000, 5000, 10**9, None]
     texts = [f"text number {k} of this run" for k in range(len(ids))]
