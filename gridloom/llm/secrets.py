@@ -2,10 +2,10 @@
 
 Two character bigram models, one of random strings and one of ordinary
 identifiers, are trained from labelled samples (``samples(text, random)``; the
-default set is made by rule).  A token of 16 or more characters with letters and
-digits is a secret of kind ``random`` if its mean log-likelihood ratio exceeds a threshold, calibrated
+default set is made by rule).  A token of 16 or more characters with a letter is
+a secret of kind ``random`` if its mean log-likelihood ratio exceeds a threshold, calibrated
 on a quarter of the samples that the models have not seen, at which no ordinary
-sample passes.  The fixed patterns find assignments, access keys and hex runs;
+sample passes; for a token without digits the threshold is stricter.  The fixed patterns find assignments, access keys and hex runs;
 their spans always stay, and a random span that meets one of them is left out.
 
 Everything on the data runs as column expressions.  The models are two tables of
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-TOKEN = r"(?<![\p{L}\p{N}+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?!\p{L})"
+TOKEN = r"(?<![\p{L}\p{N}+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?!\p{L})"
+#: A token without digits must exceed the threshold by so much more, and have so many different characters.
+STRICTER, DISTINCT = 0.25, 8
 #: Letters and digits of ordinary identifiers, for the default samples.
 ORDINARY = (
     "account action address after agent alert allow answer append archive array article async audio author backup balance batch before billing binary block branch "
@@ -130,6 +132,12 @@ def train(samples: DataFrame) -> tuple[Column, float]:
     return table, max(found[False].high + 0.1, (found[False].high + found[True].low) / 2)
 
 
+def looks_random(word: Column, table: Column, least: float) -> Column:
+    varied = F.size(F.array_distinct(F.split(word, ""))) >= DISTINCT
+    digits = word.rlike("[0-9]")
+    return (digits | varied) & (mean_ratio(word, table) > F.when(digits, least).otherwise(least + STRICTER))
+
+
 def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """``docs(doc_id, text)`` with ``base`` and ``extra`` arrays of spans."""
     table, least = train(default_samples(docs.sparkSession) if samples is None else samples)
@@ -139,7 +147,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
         spans(text, ACCESS, "access", 1, lambda x: F.length(x["word"]) >= 20),
         spans(text, HEX, "hex", 2),
     )
-    tokens = spans(text, TOKEN, "random", 3, lambda x: mean_ratio(x["word"], table) > least)
+    tokens = spans(text, TOKEN, "random", 3, lambda x: looks_random(x["word"], table, least))
     found = docs.withColumn("_base", F.array_sort(base)).withColumn("_more", tokens)
     apart = F.filter("_more", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     return found.withColumn("_more", apart).withColumn("_all", F.array_sort(F.concat("_base", "_more")))

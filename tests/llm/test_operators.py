@@ -194,6 +194,14 @@ def test_secrets_match_regular_expressions(spark):
     assert rows[9].spans == "random:4:27" and rows[10].spans == ""
 
 
+def test_random_tokens_without_digits(spark):
+    words = ["kXqZvTbRwLpJmNcY", "QzHkVxWpRtYbNmLcKj", "hJkWqXzPvBnRtYcMdGfLsQwEzXkVbNpT"]
+    plain = ["getUserAccountNameFromDatabase", "x" * 40, "hahahahahahahahahaha", "--------------------a", "reeuxouierauxaux", "/usr/share/document/library", "INTERNATIONALISATION"]
+    rows = {r.doc_id: r.spans for r in secrets.secrets(table(spark, [f"key {w} end" for w in words + plain])).collect()}
+    assert [rows[k] for k in range(len(words))] == [f"random:4:{4 + len(w)}" for w in words]
+    assert all(rows[len(words) + k] == "" for k in range(len(plain)))
+
+
 def test_redaction_leaves_no_secret_and_clean_rows_alone(spark):
     docs = table(spark, SECRETS)
     out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
