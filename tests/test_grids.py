@@ -218,3 +218,16 @@ def test_lines_of_all_events(spark, tmp_path, dggs, res):
         x, y = k * 7919 % 360000 / 1000 - 180, k * 104729 % 170000 / 1000 - 85
         line = np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])
         assert set(ops.grid(dggs).encode(*line.T, res).tolist()) <= found == set(ops.trace(ops.grid(dggs), line, res))
+
+
+def test_rhealpix_lines_hold_cells_of_clipped_corners():
+    res, more = 5, 0
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        a = np.array([r.uniform(-170, 170), r.uniform(-35, 35)])
+        line = np.stack([a, a + r.uniform(-1, 1, 2)])
+        got = ops.trace(rhealpix, line, res)
+        dense = lambda n: set(rhealpix.encode(*(line[0] + np.linspace(0, 1, n)[:, None] * (line[1] - line[0])).T, res).tolist())
+        assert len(got) == len(set(got)) and dense(100_001) <= set(got)
+        more += len(set(got) - dense(int(np.ceil(np.hypot(*(line[1] - line[0])) / (np.degrees(rhealpix.radius(res)) / 12))) + 2))
+    assert more > 0
