@@ -70,6 +70,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lowe
     """Hashes of the maximal runs of word bytes, and the index of each document's first word (n + 1 entries)."""
     if not len(data):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    if len(data) > SLICE and len(offsets) == 2:
+        return _long(data, is_word, lower)
     if lower:
         data = _LOWER[data]
     inside = is_word[data]
@@ -89,6 +91,45 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lowe
     return hashes, np.searchsorted(at, offsets)
 
 
+def _long(data: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of one document longer than a slice: piece by piece, cut between words, so that memory stays that of a slice and the hashes."""
+    parts, at = [], 0
+    while at < len(data):
+        to = at + SLICE // 2
+        while to < len(data):  # a word that is longer than a piece stays whole
+            gaps = np.flatnonzero(~is_word[data[to : to + 4096]])
+            if len(gaps):
+                to += int(gaps[0])
+                break
+            to += 4096
+        to = min(to, len(data))
+        if to - at <= SLICE:
+            parts.append(word_hashes(data[at:to], np.array([0, to - at]), is_word, lower)[0])
+        else:
+            value = _VALUE[_LOWER[data[at:to]] if lower else data[at:to]]
+            parts.append(_giant(value, is_word[data[at:to]]))
+        at = to
+    hashes = np.concatenate(parts)
+    return hashes, np.array([0, len(hashes)])
+
+
+def _giant(value: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a piece that holds a word longer than a slice; the powers are made for it and go with it."""
+    start = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+    stop = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False]))) + 1
+    out = []
+    up, _ = _powers(SLICE)
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        h, power = 0, 1
+        for low in range(a, b, SLICE):
+            part = value[low : min(low + SLICE, b)]
+            h += int((part * up[: len(part)]).sum(dtype=U)) * power
+            power = power * pow(int(_BASE), SLICE, 2**64) % 2**64
+        out.append(h % 2**64)
+    out = np.array(out, U)
+    return mix(out)
+
+
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's k-word runs and the bounds of its part.
 
