@@ -16,18 +16,23 @@ The flow runs on the driver over the patterns: at most ``MOST_PATTERNS``
 (more is a ValueError).
 
 Defined cases: null or blank texts have size 0 and are taken 0 times over;
-a null source is a source of its own, ordered last; a null ``doc_id`` is hashed
-as the word null; repeated rows are separate documents; an empty table gives no
-rows.  Ties of the hash are broken by doc_id and size.
+a null source is a source of its own, ordered last; a row without a ``doc_id`` is
+hashed by its text; repeated rows are separate documents, of which one, not each,
+gets a further copy; a row of no source (an empty ``members``) is taken 0 times
+and has no target; an empty table gives no rows.  Ties of the hash are broken by
+doc_id and size.  Sizes are counted in whole texts, one text at a time.  Only
+``doc_id``, ``text`` and ``source`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.columns import fresh, own
 from gridloom.llm.store import Store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,40 +122,41 @@ def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int]
     return flows
 
 
-def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = None, seed: str = SEED) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, pattern.
+def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = None, seed: str = SEED, row: Column | None = None) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, pattern, row.
 
-    ``members`` is an array of source names, by default the one ``source``.
-    Sources by code point, null last, weigh 1, 2, 3, repeating.
+    ``members`` is an array of source names, by default the one ``source``; a
+    document of several sources may serve any of them.  Sources by code point,
+    null last, weigh 1, 2, 3, repeating; source_size and target are sums over a
+    document's sources.  ``row`` tells rows apart, by default a number.
     """
     store = Store(spark, "mixing")
     names = F.array(F.col("source").cast("string")) if members is None else members
     keys = F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
+    text = F.col("text").cast("string")
     sized = store.put(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            word_count(F.col("text").cast("string")).alias("size"),
-            F.to_json(keys).alias("pattern"),
-            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("h"),
+            word_count(text).alias("size"),
+            F.coalesce(F.to_json(keys), F.lit("[]")).alias("pattern"),
+            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary")).alias("h"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
         )
     )
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy("pattern").limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    import json
-
     patterns = [json.loads(r.pattern) for r in rows]
     words = [r.words for r in rows]
     sources = sorted({s for p in patterns for s in p})
     at = {s: k for k, s in enumerate(sources)}
     member = [[at[s] for s in p] for p in patterns]
     size = [sum(w for w, m in zip(words, member, strict=True) if k in m) for k in range(len(sources))]
-    target = targets(size, [1 + k % 3 for k in range(len(sources))], sum(words))
+    target = targets(size, [1 + k % 3 for k in range(len(sources))], sum(w for w, m in zip(words, member, strict=True) if m))
     flows = min_cost_flow(words, member, [int(t) for t in target])
     plan = [
-        (r.pattern, size[m[0]], target[m[0]], sum(f.values()) // w if w else 0, sum(f.values()) % w if w else 0)
+        (r.pattern, sum(size[k] for k in m) if m else None, float(sum(target[k] for k in m)) if m else None, sum(f.values()) // w if w else 0, sum(f.values()) % w if w else 0)
         for r, w, m, f in zip(rows, words, member, flows, strict=True)
-        if m
     ]
     plan_df = spark.createDataFrame(plan, "pattern string, source_size long, target double, rounds long, rest long")
 
@@ -160,36 +166,41 @@ def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = Non
     edges = sums.withColumn("high", F.sum("words").over(before)).withColumn("low", F.col("high") - F.col("words")).drop("words").join(plan_df, "pattern")
     placed = sized.withColumn("bucket", bucket).join(edges, ["pattern", "bucket"])
     cut = "low <= rest and rest < high"
-    columns = ["doc_id", "size", "source_size", "target", "rounds", "rest", "pattern", "h"]
+    columns = ["doc_id", "size", "source_size", "target", "rounds", "rest", "pattern", "h", "row"]
     clear = placed.where(f"not ({cut})").select(*columns, F.when(F.col("high") <= F.col("rest"), 1).otherwise(0).alias("extra"))
-    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     close = placed.where(cut).select(*columns, F.when(F.sum("size").over(order) + F.col("low") <= F.col("rest"), 1).otherwise(0).alias("extra"))
     chosen = store.put(clear.unionAll(close))
     left = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
     miss = F.abs(F.col("size") - F.col("left"))
     # One row a pattern, MOST_PATTERNS at most: small enough to broadcast, and a hot pattern stays dealt out.
     last = chosen.where("extra = 0 and size > 0").join(F.broadcast(left), "pattern").where(miss < F.col("left"))
-    last = last.groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size")).alias("last"))
-    once = (F.col("last.h") == F.col("h")) & F.col("last.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("last.size") == F.col("size")) & (F.col("extra") == 0)
+    last = last.groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "row")).alias("last"))
+    once = F.col("last.row") == F.col("row")
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra") + F.when(once, 1).otherwise(0)).otherwise(0).cast("long")
     out = chosen.join(F.broadcast(last), "pattern", "left").withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pattern")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pattern", "row")
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents the mix takes, with ``copies`` saying how often (rows with a repeated id follow the id's largest count)."""
-    take = copies_of(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("target").alias("target")).where("copies > 0")
-    take = take.withColumnRenamed("doc_id", "_id")
-    return docs.join(take, docs["doc_id"].cast("long").eqNullSafe(take["_id"])).select(*[docs[c] for c in docs.columns if c not in ("copies", "target")], "copies", "target")
+    """The documents the mix takes, with ``copies`` saying how often and ``target`` what their source is to give.
+
+    Rows are numbered in a stored copy, so that each row follows its own count, repeated ids or not.  The input's own
+    columns stay as they are; where it has these two names already, the new ones get a number behind them.
+    """
+    row, copies, target = fresh(docs.columns, "row", "copies", "target")
+    numbered = Store(spark, "mixed").put(docs.withColumn(row, F.monotonically_increasing_id()))
+    take = copies_of(spark, numbered, row=own(row)).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies), F.col("target").alias(target))
+    return numbered.join(take, row).select(*[own(c) for c in docs.columns], own(copies), own(target))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies_of(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pattern")
+    return copies_of(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pattern", "row")
 
 
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-             md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+             md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
 w AS (SELECT source, words, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight FROM s),
 o AS (SELECT *, sum(words) OVER () AS total, sum(weight) OVER () AS weights,

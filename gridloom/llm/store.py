@@ -2,13 +2,19 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``; a lost
 executor then costs a re-read, never a recomputation of an iterative plan.
+
+An operator's lazy result reads its tables, so they stay until the caller is
+done: code that has stored the result itself gives them back with ``released``
+(the pipeline does after each stage), and all others go when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +22,11 @@ _OWN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder.  Only a local master, whose executors are the driver, may do without one; it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -53,6 +61,16 @@ class Store:
             delete(self.spark, t._gridloom_path)
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Frees at its end the tables of all stores made inside; what they gave must be stored or done with by then."""
+    before = len(_OWN)
+    yield
+    for spark, base in _OWN[before:]:
+        delete(spark, base)
+    del _OWN[before:]
+
+
 def _clear() -> None:
     for spark, base in _OWN:
         try:
