@@ -12,8 +12,10 @@ Everything on the data runs as column expressions.  The models are two tables of
 95 by 95 counts; the log ratio is a constant array in the plan.
 
 Defined cases: a null text is empty and has no spans; positions are code points;
-very many matches in one text cost about k^1.5 steps; repeated rows get equal
-results.  Only ``doc_id`` and ``text`` are read.
+k matches in one text cost about k * (k / 64 + 64) steps; a text's spans are held
+at once (about 100 bytes each); repeated rows get equal results; an empty table
+gives no rows.  Only ``doc_id`` and ``text`` are read; other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.columns import fresh, own
+
 # The base patterns, by kind, in the order that breaks ties.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -50,6 +54,14 @@ ORDINARY = (
 ).split()
 
 
+STEP = 64
+
+
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value formed once; a lambda would else form it anew for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def spans(text: Column, pattern: str, kind: str, order: int, keep=None, group: int = 0) -> Column:
     """array<struct<start, rank, kind, stop, word>> of a pattern's matches, leftmost and non-overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -61,18 +73,16 @@ def spans(text: Column, pattern: str, kind: str, order: int, keep=None, group: i
         lambda x, gap: F.struct(F.length(gap).alias("gap"), F.length(x["m"]).alias("len"), x["m"].alias("m"), x["g"].alias("g")),
     )
 
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value, which a lambda would else form anew for each element
-    step = 64
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["gap"] + x["len"])
 
     def placed(p: Column, sums: Column) -> Column:
-        before = lambda i: F.aggregate(F.slice(sums, F.lit(1), F.floor(i / step).cast("int")), F.lit(0), lambda a, v: a + v) + total(F.slice(p, F.floor(i / step).cast("int") * step + 1, i % step))
+        before = lambda i: F.aggregate(F.slice(sums, F.lit(1), F.floor(i / STEP).cast("int")), F.lit(0), lambda a, v: a + v) + total(F.slice(p, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP))
         made = F.transform(p, lambda x, i: F.struct((before(i) + x["gap"]).alias("start"), x["len"].alias("len"), x["m"].alias("word"), x["g"].alias("g")))
         made = F.filter(made, keep) if keep else made
         return F.transform(made, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + x["len"]).alias("stop"), x["word"].alias("word")))
 
     def run(pieces: Column) -> Column:
-        sums = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / step).cast("int")), lambda b: total(F.slice(p, b * step + 1, F.lit(step))))
+        sums = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STEP).cast("int")), lambda b: total(F.slice(p, b * STEP + 1, F.lit(STEP))))
         return once(pieces, lambda p: once(sums(p), lambda q: placed(p, q)))
 
     none = F.lit(None).cast("array<struct<start:int,rank:int,kind:string,stop:int,word:string>>")
@@ -138,19 +148,52 @@ def looks_random(word: Column, table: Column, least: float) -> Column:
     return (digits | varied) & (mean_ratio(word, table) > F.when(digits, least).otherwise(least + STRICTER))
 
 
-def scan(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` with ``base`` and ``extra`` arrays of spans."""
-    table, least = train(default_samples(docs.sparkSession) if samples is None else samples)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = F.concat(
-        spans(text, ASSIGN, "assign", 0, lambda x: F.length(x["g"]) >= 6, 1),
-        spans(text, ACCESS, "access", 1, lambda x: F.length(x["word"]) >= 20),
-        spans(text, HEX, "hex", 2),
+def running(values: Column, best) -> Column:
+    """The array of ``best`` (``F.array_max`` or ``F.array_min``) over each element and all before it."""
+    both = F.greatest if best is F.array_max else F.least
+
+    def made(v: Column, tops: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            block = F.floor(i / STEP).cast("int")
+            near = best(F.slice(v, block * STEP + 1, i % STEP + 1))
+            return F.when(block > 0, both(near, best(F.slice(tops, F.lit(1), block)))).otherwise(near)
+
+        return F.transform(v, at)
+
+    tops = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda b: best(F.slice(v, b * STEP + 1, F.lit(STEP))))
+    return once(values, lambda v: F.when(F.size(v) > 0, once(tops(v), lambda t: made(v, t))).otherwise(F.from_json(F.lit("[]"), "array<int>")))
+
+
+def apart(base: Column, more: Column) -> Column:
+    """``base`` and those of ``more`` that meet none of it, sorted."""
+
+    def kept(all_: Column) -> Column:
+        before = running(F.transform(all_, lambda x: F.when(x["rank"] < 3, x["stop"]).otherwise(0)), F.array_max)
+        after = F.reverse(running(F.reverse(F.transform(all_, lambda x: F.when(x["rank"] < 3, x["start"]).otherwise(2**31 - 1))), F.array_min))
+        return once(before, lambda b: once(after, lambda a: F.filter(all_, lambda x, i: (x["rank"] < 3) | (F.get(b, i) <= x["start"]) & (F.get(a, i) >= x["stop"]))))
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), once(F.array_sort(F.concat(base, more)), kept)).otherwise(F.concat(base, more))
+
+
+def found(text: Column, samples: DataFrame) -> tuple[Column, Column]:
+    """(the base spans, all spans) of a text, each sorted; the second is formed from a column that holds the first."""
+    table, least = train(samples)
+    base = F.array_sort(
+        F.concat(
+            spans(text, ASSIGN, "assign", 0, lambda x: F.length(x["g"]) >= 6, 1),
+            spans(text, ACCESS, "access", 1, lambda x: F.length(x["word"]) >= 20),
+            spans(text, HEX, "hex", 2),
+        )
     )
-    tokens = spans(text, TOKEN, "random", 3, lambda x: looks_random(x["word"], table, least))
-    found = docs.withColumn("_base", F.array_sort(base)).withColumn("_more", tokens)
-    apart = F.filter("_more", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    return found.withColumn("_more", apart).withColumn("_all", F.array_sort(F.concat("_base", "_more")))
+    return base, spans(text, TOKEN, "random", 3, lambda x: looks_random(x["word"], table, least))
+
+
+def scan(docs: DataFrame, samples: DataFrame | None = None) -> tuple[DataFrame, str, str]:
+    """``docs(text)`` with two more columns, and their names: the base spans and all spans."""
+    base, all_, more = fresh(docs.columns, "base", "all_spans", "more")
+    first, tokens = found(F.coalesce(F.col("text").cast("string"), F.lit("")), default_samples(docs.sparkSession) if samples is None else samples)
+    wide = docs.withColumn(base, first).withColumn(more, tokens)
+    return wide.withColumn(all_, apart(F.col(base), F.col(more))).drop(more), base, all_
 
 
 def joined(array: str) -> Column:
@@ -158,9 +201,9 @@ def joined(array: str) -> Column:
 
 
 def secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), samples)
-    of = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined("_all").alias("spans"))
+    wide, base, all_ = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), samples)
+    of = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return wide.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(all_).alias("spans"))
 
 
 MARK = "[secret]"
@@ -168,22 +211,32 @@ MARK = "[secret]"
 
 def redacted(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """``docs`` with every span replaced by a mark; ``n_chars`` follows, other columns and clean rows stay as they are."""
-    found = scan(docs, samples)
-    stop = lambda i: F.array_max(F.transform(F.slice("_all", F.lit(1), i + 1), lambda s: s["stop"]))
-    # Spans that touch an earlier one are merged into it: cuts are (start, stop) with no overlap.
-    lead = F.filter(F.transform("_all", lambda x, i: F.struct(x["start"].alias("start"), stop(i).alias("stop"), F.coalesce(x["start"] >= F.when(i > 0, stop(i - 1)), F.lit(True)).alias("new"))), lambda x: x["new"])
-    cuts = F.transform(lead, lambda x: F.struct(x["start"].alias("start"), F.array_max(F.transform(F.filter("_all", lambda y: y["start"] < x["stop"]), lambda y: y["stop"])).alias("stop")))
-    piece = lambda c, i: F.concat(F.expr(f"'{MARK}'"), F.col("text").substr(c["stop"] + 1, F.coalesce(F.get(F.col("_cuts.start"), i + 1), F.length("text")) - c["stop"]))
-    text = F.when(F.size("_cuts") > 0, F.concat(F.col("text").substr(F.lit(1), F.get("_cuts", F.lit(0))["start"]), F.array_join(F.transform("_cuts", piece), ""))).otherwise(F.col("text"))
-    out = found.withColumn("_cuts", cuts).withColumn("_text", text)
+    wide, _, all_ = scan(docs, samples)
+    cuts, new = fresh(wide.columns, "cuts", "new_text")
+    text = F.col("text").cast("string")
+
+    def merged(found: Column) -> Column:
+        """Spans that touch an earlier one are merged into it: cuts are (start, stop) with no overlap."""
+
+        def led(stops: Column) -> Column:
+            # A cut ends where the running stop stands when the next cut begins.
+            last = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), F.get(stops, i).alias("stop"), F.coalesce(x["start"] >= F.get(stops, i - 1), F.lit(True)).alias("leads")))
+            ends = lambda a: F.filter(a, lambda x, i: F.coalesce(F.get(a, i + 1)["leads"], F.lit(True)))
+            return once(last, lambda a: F.zip_with(F.filter(a, lambda x: x["leads"]), ends(a), lambda x, y: F.struct(x["start"].alias("start"), y["stop"].alias("stop"))))
+
+        return once(running(F.transform(found, lambda x: x["stop"]), F.array_max), led)
+
+    piece = lambda c, i: F.concat(F.lit(MARK), text.substr(c["stop"] + 1, F.coalesce(F.get(F.col(f"{cuts}.start"), i + 1), F.length(text)) - c["stop"]))
+    pieces = F.concat(text.substr(F.lit(1), F.get(cuts, F.lit(0))["start"]), F.array_join(F.transform(cuts, piece), ""))
+    out = wide.withColumn(cuts, F.when(F.size(all_) > 0, merged(F.col(all_)))).withColumn(new, F.when(F.col(cuts).isNotNull(), pieces).otherwise(text))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col(new).cast(docs.schema[c].dataType).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.size("_cuts") > 0, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.col(cuts).isNotNull(), F.length(new).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(own(c))
     return out.select(*columns)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import chat, decontaminate, html_main, language, minhash_forest, mixing, secrets, spotsigs, url_filter, warc
 
@@ -294,8 +295,8 @@ def test_mix_follows_targets_and_sql(spark):
     sources = ["a", "b", None, "c", "b"] * 60
     texts = [None if k % 37 == 0 else prose(1 + k % 50) for k in range(300)]
     docs = table(spark, texts, sources=sources)
-    rows = mixing.copies_of(spark, docs).drop("pattern").toPandas()
-    again = mixing.copies_of(spark, docs).drop("pattern").toPandas()
+    rows = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
+    again = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
     documents = docs.select("doc_id", "text", "source").toPandas()
     want = duckdb.sql(mixing.OP1_SQL).df()
     order = lambda f: f[sorted(f.columns)].sort_values("doc_id").reset_index(drop=True)
@@ -307,6 +308,61 @@ def test_mix_follows_targets_and_sql(spark):
     assert mixing.copies_of(spark, docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows_matches_sql(spark):
+    import duckdb
+
+    rows = [(5, "a b c d e f", "s"), (5, "a b c d e f", "s")] * 12 + [(None, "x y z", "t"), (None, "x y z", "t"), (None, None, None), (7, "w " * 9, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents = docs.toPandas().astype({"doc_id": "Int64"})
+    got = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
+    want = duckdb.sql(mixing.OP1_SQL).df()
+    plain = lambda f: sorted(tuple(-1.0 if v != v else float(v) for v in r) for r in f[sorted(f.columns)].astype(float).itertuples(index=False))
+    assert plain(got) == plain(want) and len(documents) == len(rows)
+    for s in ("s", "t"):
+        own = [r for r in mixing.copies_of(spark, docs.where(f"source = '{s}'")).collect()]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    taken = mixing.mixed(spark, docs.withColumn("copies", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("a.b", F.lit(2)))
+    assert taken.columns == ["doc_id", "text", "source", "copies", "row", "a.b", "copies_2", "target"]
+    words = sum(len(r.text.split()) * r.copies_2 for r in taken.collect())
+    assert words == got.taken.sum() and {r.copies for r in taken.collect()} == {"mine"}
+
+
+def test_mix_of_overlapping_sources_is_least_cost(spark):
+    """Against all integer flows of a small program: the largest flow, and among those the least repetition cost."""
+    import itertools
+
+    r = random.Random(8)
+    for _ in range(12):
+        member = [sorted(r.sample(range(2), r.randint(1, 2))) for _ in range(3)]
+        capacity, quota = [r.randint(1, 3) for _ in member], [r.randint(0, 6) for _ in range(2)]
+        arcs = [(p, s) for p, m in enumerate(member) for s in m]
+        best = None
+        for flow in itertools.product(*[range(min(3 * capacity[p], quota[s]) + 1) for p, s in arcs]):
+            by_pattern = [sum(f for f, (p, _) in zip(flow, arcs, strict=True) if p == k) for k in range(3)]
+            if any(b > 3 * c for b, c in zip(by_pattern, capacity, strict=True)) or any(sum(f for f, (_, s) in zip(flow, arcs, strict=True) if s == k) > quota[k] for k in range(2)):
+                continue
+            value = (-sum(flow), sum(max(0, b - c) + max(0, b - 2 * c) for b, c in zip(by_pattern, capacity, strict=True)))
+            best = value if best is None else min(best, value)
+        flows = mixing.min_cost_flow(capacity, member, quota)
+        sums = [sum(f.values()) for f in flows]
+        assert (-sum(sums), sum(max(0, b - c) + max(0, b - 2 * c) for b, c in zip(sums, capacity, strict=True))) == best
+
+
+def test_mix_of_overlapping_members(spark):
+    """Documents of both sources fill the quota that its own documents cannot."""
+    rows = [(k, prose(10), ["a"] if k < 40 else ["b"] if k < 44 else ["a", "b"] if k < 100 else []) for k in range(103)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, names array<string>")
+    out = {r.doc_id: r for r in mixing.copies_of(spark, docs, F.col("names")).collect()}
+    assert all(out[k].taken == 0 and out[k].target is None for k in range(100, 103))
+    flows = mixing.min_cost_flow([400, 560, 40], [[0], [0, 1], [1]], [int(t) for t in mixing.targets([960, 600], [1, 2], 1000)])
+    want = {'["0a"]': sum(flows[0].values()), '["0a","0b"]': sum(flows[1].values()), '["0b"]': sum(flows[2].values())}
+    got = Counter()
+    for r in out.values():
+        got[r.pattern] += r.taken
+        assert r.taken <= 3 * r.size
+    assert all(abs(got[p] - w) <= 10 for p, w in want.items()), (got, want)
+
+
 def test_flow_uses_overlap_and_first_copies_first():
     # Pattern 0 serves either source, pattern 1 only source 1: the shared words go to source 0.
     flows = mixing.min_cost_flow([100, 100], [[0, 1], [1]], [100, 100])
