@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,9 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 def own(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def in_place(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` with the schema of ``df``; columns go by number meanwhile, as ``mapInArrow`` cannot take names with dots."""
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*df.columns)

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
+from gridloom.llm.columns import in_place
 
 SHINGLE = 5
 #: Similarity needed, in hundredths.
@@ -342,7 +343,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     keep[out.column(0).to_numpy()] = False
                 yield batch.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return in_place(docs, run)
 
     for index in load(items):
         docs = kept(docs, index)

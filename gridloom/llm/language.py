@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
+from gridloom.llm.columns import in_place
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
@@ -274,7 +275,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those that have no language, too low a score or letters unlike their language's; the text is judged in place, without a join."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(columns.where(~held_out()))
-    names, at = docs.columns, docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,7 +286,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
                 keep[first:last] &= (np.array(lang, object) != "und") & (score >= least) & model.fits(x, lang)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return in_place(docs, run)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
