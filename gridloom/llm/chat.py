@@ -132,4 +132,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     text = f"{END}{START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return formatted(rows.unionByName(extra)).drop("formatted", "loss_token_spans")
+    # The columns that SQL can express too; token counts, ranges and the string itself are ``formatted``'s.
+    return formatted(rows.unionByName(extra)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+_ESCAPES = r"len(regexp_extract_all({0}, '<\\*\|'))"
+OP6_SQL = f"""
+WITH r AS (SELECT conv_id::BIGINT AS conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok'),
+t AS (SELECT *, coalesce(role, '') AS who, coalesce(text, '') AS said FROM r),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(who || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+        string_agg(CASE WHEN who = 'assistant' THEN said ELSE '' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS loss,
+        sum(length(who) + length(said) + {_ESCAPES.format('who')} + {_ESCAPES.format('said')} + {len(START) + len(SEP) + len(END) + 1})::BIGINT AS formatted_chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""

@@ -242,3 +242,22 @@ def redacted(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op9_secret_scan`` that SQL can express: the base spans."""
+    return op9_secret_scan(spark, sf_dir).drop("spans")
+
+
+_SQL_ASSIGN = r"""'((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_FOUND = "SELECT doc_id, {0} AS rank, '{1}' AS kind, regexp_extract_all(x, {2}) AS m, regexp_extract_all(x, {2}, {3}) AS g, string_split_regex(x, {2}) AS s FROM t WHERE regexp_matches(x, {2})"
+SECRET_BASE_SPANS_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+k AS ({_FOUND.format(0, "assign", _SQL_ASSIGN, 2)} UNION ALL {_FOUND.format(1, "access", "'AKIA[A-Z0-9]+'", 0)} UNION ALL {_FOUND.format(2, "hex", "'[0-9a-f]+'", 0)}),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
+v AS (SELECT * FROM u WHERE CASE rank WHEN 0 THEN length(g[i]) >= 6 WHEN 1 THEN length(m[i]) >= 20 ELSE length(m[i]) >= 24 END),
+p AS (SELECT doc_id, rank, kind, (list_sum(list_transform(s[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0))::BIGINT AS start, length(m[i]) AS n FROM v),
+j AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        string_agg(kind || ':' || start || ':' || (start + n), ',' ORDER BY start, rank) AS found FROM p GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(found, '')) AS base_sha256 FROM t LEFT JOIN j ON t.doc_id = j.doc_id
+"""

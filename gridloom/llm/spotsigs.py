@@ -157,16 +157,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # The one exchange of texts; signatures are formed after it, so that it carries nothing else and both uses share it.
     base = docs.select(key.alias("k"), group.alias("g"), text.alias("text")).repartition("g")
     order = Window.partitionBy("g").orderBy("k", "text")
-    placed = base.withColumn("after", F.lead("text").over(order)).withColumn("first", F.lag("k").over(order).isNull())
+    # Each text is signed once and its signature carried to the row before; only the first text of a group is signed again for the border.
+    placed = base.withColumn("sig", signatures(F.col("text"))).select("*", F.lead("text").over(order).alias("after"), F.lead("sig").over(order).alias("next_sig"), F.lag("k").over(order).isNull().alias("first"))
     groups = following(docs.select(group.alias("v")).distinct())
     heads = placed.where("first").select(F.col("g").alias("next"), F.col("text").alias("head"))
-    border = groups.join(heads, "next").select(F.col("v").alias("g"), "head")
-    whole = placed.join(border, "g").select("k", "text", F.coalesce("after", "head").alias("after"))
+    border = groups.join(heads, "next").select(F.col("v").alias("g"), "head", signatures(F.col("head")).alias("head_sig"))
+    whole = placed.join(border, "g").select("k", "text", "sig", F.coalesce("after", "head").alias("after"), F.coalesce("next_sig", "head_sig").alias("next_sig"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("after", F.lit(1), half))
-    out = whole.select("k", n.cast("long").alias("n_chars"), "text", "after", edited.alias("edited"))
-    out = out.withColumns({"sig": signatures(F.col("text")), "next_sig": signatures(F.col("after")), "edited_sig": signatures(F.col("edited"))})
+    out = whole.select("k", n.cast("long").alias("n_chars"), "sig", "next_sig", "text", "after", edited.alias("edited"))
+    out = out.withColumn("edited_sig", signatures(F.col("edited")))
     out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("text", "after", "edited")
     return out.select(
         F.when(F.col("k") < 2**63 - 1, F.col("k")).alias("doc_id"),
@@ -182,3 +183,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spotsigs_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op8_spotsigs`` that SQL can express: lengths and edited texts."""
+    return op8_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+SPOTSIGS_EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS after FROM documents)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2)) AS edited_sha256 FROM d
+"""

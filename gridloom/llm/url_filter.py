@@ -1,32 +1,48 @@
 """URL filters: host and path rules, and a character language-model ratio.
 
-Two variable-order Markov models (up to order ``ORDER``, Witten-Bell smoothed
+Two variable-order Markov models (contexts of up to ``ORDER`` characters that
+occur at least ``LEAST`` times, Witten-Bell smoothed through all shorter contexts
 down to a uniform distribution) are trained from labelled URLs
 (``samples(url, rejected)``; the default set is made by rule from word lists).
-A URL's score is the mean log-likelihood ratio of its characters, each in its
-longest context that the models know.  The threshold lies half way between the
-classes' mean scores on a quarter of the samples that the models have not seen.
-
-Rules come first: the longest fitting one decides.  All steps are column
-expressions; the model table is broadcast because the labelled samples bound it
-(``MOST_SAMPLES`` rows, each giving ``ORDER + 1`` rows a character at most).
+They become one automaton: a state is the longest known context, and for each
+state and character a table holds the log ratio of the two models' probabilities
+and the next state.  A URL's score is the sum of the ratios along its characters
+divided by their number.  A URL is blocked if its score exceeds the threshold,
+which lies where a share of ``FALSE_POSITIVES`` of the accepted samples that the
+models have not seen would be blocked.
+
+Rules come first: the longest fitting one decides.  On the data all is one
+projection: a text is split into characters once and followed through the table,
+a constant array of the plan, so a URL costs time and memory in proportion to its
+length.  The models are fitted on the driver on a bounded sample: up to
+``MOST_SAMPLES`` rows of each class, drawn by a hash of the URL.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
-fits no rule, gets score 0 and is allowed; repeated rows get equal results.  Only ``page_id`` and ``url`` are read.
+fits no rule, gets score 0 and is always allowed; without samples of both classes the
+model blocks nothing; an empty table gives no rows; repeated rows get equal
+results.  Only ``page_id`` and ``url`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import Store
+from gridloom.llm.spotsigs import ANCHORS
 
 ORDER = 4
+LEAST = 2
 MOST_SAMPLES = 20_000
+FALSE_POSITIVES = 0.01
+#: Characters the models tell apart; any other counts as one more, and letters as lower case.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789-._/~%"
+WIDTH = len(SYMBOLS) + 1
+#: Bits of a state's number beside the running sum, and whole steps of a nat.
+STATE, NAT = 20, 1000
 #: (verdict, rule): a host and its subdomains, and the beginning of the path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,8 +56,8 @@ ACCEPTED = (
     "academy archive art atlas author bakery bank bicycle bird book bread bridge castle church cinema city clinic club college community company concert council "
     "craft culture dance design doctor earth engineering family farming film forest forum garden gallery geology guide harbour health heritage history home hospital "
     "house island journal kitchen lake language law library literature magazine maker map market mathematics medicine museum music nature news ocean opera orchestra "
-    "other painting paper park people philosophy photo physics planet poetry radio railway recipe report research restaurant river school science shop society "
-    "sport station street student teacher theatre thermal there thread thing threshold through thunder town travel tree university valley village voice weather "
+    "painting paper park people philosophy photo physics planet poetry radio railway recipe report research restaurant river school science shop society "
+    "sport station street student teacher theatre town travel tree university valley village voice weather "
     "weekly wiki winter woman world writer"
 ).split()
 
@@ -76,80 +92,114 @@ def default_samples(spark: SparkSession) -> DataFrame:
         path = F.concat(of(5, "/en/", "/de/", "/fr/", "/es/", "/"), F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1000)).cast("string"), of(7, "", "", ".html", "/"))
         return n.select(F.concat(F.lit("https://"), host, path).alias("url"), F.lit(rejected).alias("rejected"))
 
-    return made(REJECTED, True).unionAll(made(ACCEPTED, False))
-
-
-def _characters(of: DataFrame, *keep: str) -> DataFrame:
-    """One row for each character of ``s``, with the grams that end in it: g0 (itself) to g{ORDER}."""
-    padded = F.concat(F.lit("^"), F.col("s"))
-    at = of.where("length(s) > 0").select(*keep, padded.alias("p"), F.explode(F.sequence(F.lit(2), F.length("s") + 1)).alias("i"))
-    gram = lambda k: F.when(F.col("i") > k, F.substring("p", F.col("i") - k, F.lit(k + 1))).alias(f"g{k}")
-    return at.select(*keep, *[gram(k) for k in range(ORDER + 1)])
-
-
-def _model(samples: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(last character | the others) under the rejected model less that under the accepted one."""
-    # Stored level by level: the plan of a level would else hold those of all below it.
-    store = Store(samples.sparkSession, "url-model")
-    rows = store.put(_characters(samples, "rejected"))
-    below: DataFrame | None = None
-    parts = []
-    for k in range(ORDER + 1):
-        count = lambda r: F.sum(F.when(F.col("rejected") == r, 1).otherwise(0))
-        grams = rows.where(F.col(f"g{k}").isNotNull()).groupBy(F.col(f"g{k}").alias("gram")).agg(count(True).alias("n1"), count(False).alias("n0"))
-        grams = grams.withColumn("context", F.substring("gram", 1, k))
-        kinds = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))
-        total = grams.groupBy("context").agg(F.sum("n1").alias("c1"), F.sum("n0").alias("c0"), kinds("n1").alias("t1"), kinds("n0").alias("t0"))
-        now = grams.join(total, "context")
-        if below is None:
-            now = now.withColumn("b1", F.lit(1 / 128)).withColumn("b0", F.lit(1 / 128))
-        else:
-            now = now.withColumn("suffix", F.substring("gram", 2, k)).join(below.select(F.col("gram").alias("suffix"), F.col("p1").alias("b1"), F.col("p0").alias("b0")), "suffix")
-        smooth = lambda n, t, c, b: F.when(F.col(c) > 0, (F.col(n) + F.col(t) * F.col(b)) / (F.col(c) + F.col(t))).otherwise(F.col(b))
-        below = now.select("gram", smooth("n1", "t1", "c1", "b1").alias("p1"), smooth("n0", "t0", "c0", "b0").alias("p0"))
-        below = store.put(below)
-        parts.append(below.select("gram", (F.log("p1") - F.log("p0")).alias("ratio")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-def _score(strings: DataFrame, model: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., score): the mean ratio over the characters, each in its longest known context."""
-    rows = _characters(strings, *keep)
-    for k in range(ORDER + 1):
-        rows = rows.join(F.broadcast(model.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
-    ratio = F.coalesce(*[F.col(f"r{k}") for k in range(ORDER, -1, -1)], F.lit(0.0))
-    # Whole numbers add up to the same mean in any order.
-    return rows.groupBy(*keep).agg((F.sum(F.round(ratio * 1_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000).alias("score"))
+    return made(REJECTED, True).unionAll(made(ACCEPTED + sorted({w for w in ANCHORS if len(w) > 2 and w.isascii()}), False))
+
+
+def symbols(text: str) -> str:
+    """The text in the models' alphabet; ``*`` is any other character."""
+    return "".join(c if c in SYMBOLS else "*" for c in text.translate(str.maketrans(UPPER, LOWER)))
+
+
+class Model:
+    """The automaton of both models: ``table[state * WIDTH + character]`` is (ratio in steps of a nat) * 2^STATE + next state."""
+
+    def __init__(self, samples: list[tuple[str, bool]]):
+        self.counts: dict[bool, dict[str, Counter]] = {True: defaultdict(Counter), False: defaultdict(Counter)}
+        for text, rejected in samples:
+            padded = "^" + symbols(text)
+            own = self.counts[rejected]
+            for i in range(1, len(padded)):
+                for k in range(min(ORDER, i) + 1):
+                    own[padded[i - k : i]][padded[i]] += 1
+        seen = Counter()
+        for own in self.counts.values():
+            for context, after in own.items():
+                seen[context] += after.total()
+        self.contexts = sorted({"", "^", *(c for c, n in seen.items() if n >= LEAST)}, key=lambda c: (len(c), c))
+        number = {c: k for k, c in enumerate(self.contexts)}
+        if len(number) >= 1 << STATE:
+            raise ValueError("too many contexts; take fewer samples")
+        self.start = number["^"]
+        self.table = []
+        chance: dict[str, list[list[float]]] = {}
+        for context in self.contexts:
+            below = chance[context[1:]] if context else [[1 / WIDTH] * WIDTH] * 2
+            chance[context] = [self._smoothed(rejected, context, lower) for rejected, lower in zip((True, False), below, strict=True)]
+            for c, p, q in zip(SYMBOLS + "*", *chance[context], strict=True):
+                after = (context + c)[-ORDER:]
+                while after not in number:
+                    after = after[1:]
+                self.table.append((round(NAT * (math.log(p) - math.log(q))) << STATE) + number[after])
+
+    def _smoothed(self, rejected: bool, context: str, lower: list[float]) -> list[float]:
+        after = self.counts[rejected].get(context)
+        if not after:
+            return lower
+        total, kinds = after.total(), len(after)
+        return [(after[c] + kinds * p) / (total + kinds) for c, p in zip(SYMBOLS + "*", lower, strict=True)]
+
+    def score(self, text: str) -> float:
+        """The same walk on the driver, for calibration."""
+        acc = self.start
+        for c in symbols(text):
+            state = acc & ((1 << STATE) - 1)
+            acc += self.table[state * WIDTH + (SYMBOLS + "*").index(c)] - state
+        return (acc >> STATE) / NAT / len(text) if text else 0.0
+
+
+def scored(text: Column, model: Model) -> Column:
+    """The mean log ratio over a text's characters; 0 for an empty text."""
+    table = F.from_json(F.lit(json.dumps(model.table)), "array<bigint>")
+    code = [len(SYMBOLS)] * 128
+    for k, c in enumerate(SYMBOLS):
+        code[ord(c)] = code[ord(c.upper())] = k
+    codes = F.from_json(F.lit(json.dumps(code)), "array<int>")
+    # One sign for each character beyond ASCII, as splitting goes by UTF-16 units.
+    characters = F.split(F.regexp_replace(text, r"[^\x00-\x7F]", "*"), "")
+    state = lambda acc: acc.bitwiseAND(F.lit((1 << STATE) - 1))
+    step = lambda acc, c: acc - state(acc) + F.get(table, (state(acc) * WIDTH + F.get(codes, F.ascii(c))).cast("int"))
+    total = F.aggregate(characters, F.lit(model.start).cast("long"), step)
+    return F.when(F.length(text) > 0, F.shiftright(total, STATE) / NAT / F.length(text)).otherwise(0.0)
 
 
 class Filter:
-    """The trained models: ``table(gram, ratio)`` and the ``threshold`` above which a url is blocked."""
+    """The trained ``model`` and the ``threshold`` above which a url is blocked."""
 
     def __init__(self, samples: DataFrame):
-        text = F.concat(host_of(F.col("url")), path_of(F.col("url")))
-        seen = samples.select(text.alias("s"), F.coalesce(F.col("rejected"), F.lit(False)).alias("rejected")).where("s <> ''").limit(MOST_SAMPLES)
-        seen = seen.withColumn("fold", F.pmod(F.xxhash64("s"), F.lit(4)))
-        rows = _model(seen.where("fold > 0")).collect()  # bounded by MOST_SAMPLES
-        self.table = samples.sparkSession.createDataFrame([(r.gram, r.ratio) for r in rows], "gram string, ratio double")
-        held = _score(seen.where("fold = 0").select("s", "rejected").distinct(), self.table, "s", "rejected").groupBy("rejected").agg(F.avg("score").alias("m"))
-        mean = {r.rejected: r.m for r in held.collect()}
-        self.threshold = (mean[True] + mean[False]) / 2 if len(mean) == 2 else math.inf
+        url = F.col("url").cast("string")
+        seen = samples.select(F.concat(host_of(url), path_of(url)).alias("s"), F.coalesce(F.col("rejected"), F.lit(False)).alias("rejected")).where("s <> ''").distinct()
+        size = {r.rejected: r["count"] for r in seen.groupBy("rejected").count().collect()}
+        share = F.when(F.col("rejected"), MOST_SAMPLES / max(1, size.get(True, 0))).otherwise(MOST_SAMPLES / max(1, size.get(False, 0)))
+        drawn = seen.where(F.pmod(F.xxhash64("s", F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20)).withColumn("fold", F.pmod(F.xxhash64("s"), F.lit(4)))
+        rows = sorted((r.s, r.rejected, r.fold) for r in drawn.limit(3 * MOST_SAMPLES).collect())  # the draw gives about 2 * MOST_SAMPLES at most
+        self.model = Model([(s, rejected) for s, rejected, fold in rows if fold])
+        held = sorted(self.model.score(s) for s, rejected, fold in rows if not fold and not rejected)
+        both = held and any(rejected for _, rejected, _ in rows)
+        self.threshold = held[min(len(held) - 1, int(len(held) * (1 - FALSE_POSITIVES)))] if both else math.inf
 
 
 def verdicts(pages: DataFrame, samples: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages(page_id, url)``."""
     made = Filter(default_samples(pages.sparkSession) if samples is None else samples)
     url = F.col("url").cast("string")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("s", F.concat("host", "path"))
-    scores = _score(rows.select("s").distinct(), made.table, "s")
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     name, what = rule_for(F.col("host"), F.col("path"), rules)
-    judged = rows.join(scores, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    by_model = F.when((F.col("s") != "") & (F.col("score") > made.threshold), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(what, by_model).alias("verdict"), "score")
+    judged = rows.select("page_id", "host", "path", name.alias("rule"), what.alias("ruled"), scored(F.concat("host", "path"), made.model).alias("score"))
+    by_model = F.when((F.concat("host", "path") != "") & (F.col("score") > made.threshold), "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op4_url_filter`` that SQL can express: hosts, paths and deciding rules."""
+    return op4_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+URL_RULES_SQL = f"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN (host = '{r[: r.index('/')]}' OR suffix(host, '.{r[: r.index('/')]}')) AND prefix(path, '{r[r.index('/') :]}') THEN '{r}'" for _, r in sorted(RULES, key=lambda r: (-len(r[1]), r[1])))} END AS rule FROM p
+"""

@@ -1,18 +1,30 @@
 """WARC derivatives: metadata and plain-text conversion records linked to responses.
 
 ``read`` parses WARC files (plain or gzipped), ``derive`` makes the linked
-records and ``write`` stores them as gzipped WARC files, one for each partition.
-
-For each response, a ``metadata`` record lists the source's HTTP status and
-headers, its length and digests as ``application/warc-fields``, and a
-``conversion`` record holds the page's text.  Both carry the response's record
-id in ``WARC-Refers-To``, and its target URI and date; digests are SHA-1 in
-base 32.  Record ids derive from the response's id and the record's type, so
-reruns agree.
+records and ``write`` stores records as gzipped WARC files, one for each partition.
+
+For each response, a ``metadata`` record lists as ``application/warc-fields`` the
+source's own WARC headers (digests, address, warcinfo id and all others), its HTTP
+status and headers, its lengths, and digests made anew; where the source states a
+digest in SHA-1, ``source-...-digest-valid`` says whether it holds.  A
+``conversion`` record holds the page's text, from the payload with its transfer
+and content encodings undone.  Both carry the response's record id in
+``WARC-Refers-To``, its target URI and date, and its warcinfo id; digests are
+SHA-1 in base 32.  Record ids derive from the response's id and the record's type,
+so reruns agree.
+
+``read`` lets Spark's text source cut the files where a record begins, so a record
+is a row, a plain file is read by many tasks, and memory is that of one batch of
+records.  A block that itself holds a blank line and then ``WARC/1.`` at the start
+of a line (an archive in an archive) would be cut there; such a record does not
+have its stated length and is refused (``whole=True`` reads each file in one piece
+instead, which takes twice a file's size in memory).
 
 Defined cases: a null or empty body gives a conversion of length 0; null ids,
 urls and dates are left out of the headers; records that are not responses pass
-``derive`` by; repeated rows give repeated records.
+``derive`` by; an unknown charset counts as UTF-8, an unknown or broken encoding
+leaves the payload as it is; repeated rows give repeated records; an empty table
+gives no rows; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -24,16 +36,21 @@ import html as entities
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.html_main import BLOCKS, tags_of
+from gridloom.llm.store import Store
+
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
-_RAW = re.compile(r"<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
+#: What the text source cuts files by: the end of a record and the beginning of the next one's version.
+BORDER = "\r\n\r\nWARC/1."
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*+>", re.I)
+_TAG = re.compile(r"</?[A-Za-z!?][^<>]*+>")
 RECORD = "record_id string, type string, refers_to string, target_uri string, date string, headers array<struct<name:string,value:string>>, block binary"
 
 
@@ -47,11 +64,21 @@ def record_id(*parts: object) -> str:
 
 def plain_text(source: str) -> str:
     """All of a page's visible text: a line for each block, white space made single."""
-    text = _BREAK.sub("\n", " ".join(_RAW.sub(" ", source).split()))
-    lines = (" ".join(line.split()) for line in entities.unescape(_TAG.sub(" ", text)).split("\n"))
+    out, at = [], 0
+    for tag in tags_of(source):
+        out += [" ".join(source[at : tag.start].split()) if source[at : tag.start].strip() else " " * (at < tag.start), "\n" if tag.name in BLOCKS or tag.name == "br" else " "]
+        at = tag.stop
+    out.append(" ".join(source[at:].split()))
+    lines = (" ".join(line.split()) for line in entities.unescape("".join(out)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def same_digest(stated: str, data: bytes) -> bool:
+    """Whether a stated SHA-1 (base 32 or base 16) is that of the data."""
+    value, own = stated.partition(":")[2].strip(), hashlib.sha1(data)
+    return value.lower() == own.hexdigest() if len(value) == 40 else value.upper() == base64.b32encode(own.digest()).decode()
+
+
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """(status line, headers, payload) of an HTTP response."""
     head, found, body = block.partition(b"\r\n\r\n")
@@ -61,22 +88,53 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(n.strip(), v.strip()) for n, _, v in (line.partition(":") for line in lines[1:])], body
 
 
-def derivatives(rid: str | None, uri: str | None, date: str | None, block: bytes) -> list[dict]:
+def undone(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer encoding (chunks) and content encoding (gzip, deflate); as it is where it does not decode."""
+    of = {n.lower(): v.lower().strip() for n, v in headers}
+    if "chunked" in of.get("transfer-encoding", ""):
+        out, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            try:
+                size = int(payload[at:end].split(b";")[0], 16)
+            except ValueError:
+                break
+            if not size:
+                payload = b"".join(out)
+                break
+            out.append(payload[end + 2 : end + 2 + size])
+            at = end + 2 + size + 2
+    for name in reversed([e.strip() for e in of.get("content-encoding", "").split(",") if e.strip()]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(name, ()):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
+def derivatives(rid: str | None, uri: str | None, date: str | None, own_headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     status, headers, payload = split_http(block)
     kind = next((v for n, v in headers if n.lower() == "content-type"), "text/html")
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
+    raw = undone(payload, headers)
     try:
-        body = payload.decode(charset[1] if charset else "utf-8", "replace")
+        body = raw.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        body = payload.decode("utf-8", "replace")
+        body = raw.decode("utf-8", "replace")
     text = (plain_text(body) if "html" in kind.lower() else body).encode("utf-8", "replace")
-    fields = [("http-status", status)] * bool(status) + [(f"http-header-{n.lower()}", v) for n, v in headers]
+    fields = [(f"source-{n.lower()}", v) for n, v in own_headers]
+    fields += [("http-status", status)] * bool(status) + [(f"http-header-{n.lower()}", v) for n, v in headers]
     fields += [("source-payload-length", str(len(payload))), ("source-payload-digest", digest(payload)), ("source-block-digest", digest(block))]
-    info = "".join(f"{n}: {v}\r\n" for n, v in fields).encode("utf-8", "replace")
+    stated = {n.lower(): v for n, v in own_headers}
+    for name, data in (("payload", payload), ("block", block)):
+        if (old := stated.get(f"warc-{name}-digest", "")).lower().startswith("sha1:"):
+            fields.append((f"source-{name}-digest-valid", str(same_digest(old, data)).lower()))
+    info = "".join(f"{n}: {' '.join(v.split())}\r\n" for n, v in fields).encode("utf-8", "replace")
     out = []
     for name, content_type, data in (("metadata", "application/warc-fields", info), ("conversion", "text/plain; charset=utf-8", text)):
         own = record_id(rid, uri, date, name)
-        head = [("WARC-Type", name), ("WARC-Record-ID", own), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", digest(data)), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
+        head = [("WARC-Type", name), ("WARC-Record-ID", own), ("WARC-Refers-To", rid), ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Warcinfo-ID", stated.get("warc-warcinfo-id")), ("WARC-Block-Digest", digest(data)), ("Content-Type", content_type), ("Content-Length", str(len(data)))]
         out.append({"record_id": own, "type": name, "refers_to": rid, "target_uri": uri, "date": date, "headers": [{"name": n, "value": v} for n, v in head if v is not None], "block": data})
     return out
 
@@ -85,24 +143,36 @@ _SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("refers
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two linked records for each ``response`` of ``records(record_id, type, target_uri, date, block)``."""
+    """Two linked records for each ``response`` of ``records(record_id, type, target_uri, date, headers, block)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = [d for r in batch.slice(at, 64).to_pylist() for d in derivatives(r["record_id"], r["target_uri"], r["date"], r["block"] or b"")]
+                rows = [
+                    d for r in batch.slice(at, 64).to_pylist()
+                    for d in derivatives(r["record_id"], r["target_uri"], r["date"], [(h["name"], h["value"] or "") for h in r["headers"] or () if h and h["name"]], r["block"] or b"")
+                ]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return records.where("type = 'response'").select("record_id", "target_uri", "date", "block").mapInArrow(run, RECORD)
+    return records.where("type = 'response'").select("record_id", "target_uri", "date", "headers", "block").mapInArrow(run, RECORD)
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Response records of ``pages(page_id, url, html)``: the html below an HTTP head; ids derive from id and url."""
-    key = F.md5(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))).cast("binary"))
     shape = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    return pages.select(shape.alias("record_id"), F.lit("response").alias("type"), F.col("url").cast("string").alias("target_uri"), F.lit(date).alias("date"), F.concat(head, body).cast("binary").alias("block"))
+    url = F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20]", "%20")  # a header is one line
+    made = pages.select(shape.alias("record_id"), url.alias("target_uri"), body.alias("body"), F.concat(head, body).cast("binary").alias("block"))
+    entry = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    sha = lambda c: F.concat(F.lit("sha1:"), F.upper(F.sha1(c)))  # noqa: E731  written in base 16, which the format allows too
+    headers = F.array(
+        entry("WARC-Type", F.lit("response")), entry("WARC-Record-ID", F.col("record_id")), entry("WARC-Target-URI", F.col("target_uri")), entry("WARC-Date", F.lit(date)),
+        entry("WARC-Payload-Digest", sha(F.col("body").cast("binary"))), entry("Content-Type", F.lit("application/http; msgtype=response")), entry("Content-Length", F.octet_length("block")),
+    )
+    headers = F.filter(headers, lambda h: h["value"].isNotNull())
+    return made.select("record_id", F.lit("response").alias("type"), F.lit(None).cast("string").alias("refers_to"), "target_uri", F.lit(date).alias("date"), headers.alias("headers"), "block")
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -123,10 +193,10 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {"record_id": of.get("warc-record-id"), "type": of.get("warc-type"), "refers_to": of.get("warc-refers-to"), "target_uri": of.get("warc-target-uri"), "date": of.get("warc-date"), "headers": [{"name": n, "value": v} for n, v in head], "block": block}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files below ``path``; a file is read by one task."""
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """The records of all WARC files below ``path``; ``whole`` reads each file in one piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 part, size = [], 0
@@ -138,20 +208,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         part, size = [], 0
                 yield pa.RecordBatch.from_pylist(part, schema=_SCHEMA)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column(0):
+                data = raw.as_buffer().to_pybytes()
+                if not data.strip():
+                    continue
+                # The cut took the version's beginning, except from a file's first record.
+                (r,) = [*parse(data if data.startswith(b"WARC/") else b"WARC/1." + data)][:1] or [None]
+                if r is None:
+                    continue
+                stated = int({h["name"].lower(): h["value"] for h in r["headers"]}.get("content-length", len(r["block"])))
+                if stated != len(r["block"]):
+                    raise ValueError(f"record {r['record_id']} has {len(r['block'])} of {stated} bytes: an archive in an archive, or a damaged file; read with whole=True")
+                out.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+    if whole:
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(files, RECORD)
+    return spark.read.option("lineSep", BORDER).text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(cut, RECORD)
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Store records whose blocks are UTF-8 (as all derivatives are) as gzipped WARC files below ``path``.
+    """Store records as gzipped WARC files below ``path``, their headers and blocks byte by byte.
 
     Spark's text writer does it, so tasks commit atomically and may be retried; a record's end is the line separator.
     """
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
-    whole = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), F.decode(F.coalesce("block", F.lit("").cast("binary")), "UTF-8"))
-    records.select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    whole = F.concat(F.lit("WARC/1.1\r\n").cast("binary"), head.cast("binary"), F.lit("\r\n").cast("binary"), F.coalesce("block", F.lit("").cast("binary")))
+    records.select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """All pages as responses, written to WARC files, read from them again, and their derivatives."""
+    files = f"{Store(spark, 'warc').base}/responses"
+    write(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), files)
+    made = derive(read(spark, files))
     value = lambda n: F.element_at(F.filter("headers", lambda h: h["name"] == n), 1)["value"].alias(n.lower().replace("-", "_"))
     return made.select("record_id", "type", "refers_to", "target_uri", "date", value("Content-Type"), value("Content-Length"), value("WARC-Block-Digest"), F.decode("block", "UTF-8").alias("content"))
