@@ -193,6 +193,39 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {"record_id": of.get("warc-record-id"), "type": of.get("warc-type"), "refers_to": of.get("warc-refers-to"), "target_uri": of.get("warc-target-uri"), "date": of.get("warc-date"), "headers": [{"name": n, "value": v} for n, v in head], "block": block}
 
 
+def _cut(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", BORDER).text(path).select(F.col("value").cast("binary").alias("value"))
+
+
+def _record(data: bytes) -> dict | None:
+    """The record of a piece between two borders; the cut took the version's beginning, except from a file's first record."""
+    r = next(parse(data if data.startswith(b"WARC/") else b"WARC/1." + data), None) if data.strip() else None
+    if r is not None:
+        stated = int(next((h["value"] for h in r["headers"] if h["name"].lower() == "content-length"), len(r["block"])))
+        if stated != len(r["block"]):
+            raise ValueError(f"record {r['record_id']} has {len(r['block'])} of {stated} bytes: an archive in an archive, or a damaged file; read with whole=True")
+    return r
+
+
+def derive_files(spark: SparkSession, path: str) -> DataFrame:
+    """``derive(read(spark, path))`` in one pass, in which no record goes back to Spark between the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for raw in batch.column(0):
+                r = _record(raw.as_buffer().to_pybytes())
+                if r and r["type"] == "response":
+                    out += derivatives(r["record_id"], r["target_uri"], r["date"], [(h["name"], h["value"]) for h in r["headers"] if h["name"]], r["block"])
+                    size += len(r["block"])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                    out, size = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+    return _cut(spark, path).mapInArrow(run, RECORD)
+
+
 def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """The records of all WARC files below ``path``; ``whole`` reads each file in one piece."""
 
@@ -210,24 +243,11 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch.column(0):
-                data = raw.as_buffer().to_pybytes()
-                if not data.strip():
-                    continue
-                # The cut took the version's beginning, except from a file's first record.
-                (r,) = [*parse(data if data.startswith(b"WARC/") else b"WARC/1." + data)][:1] or [None]
-                if r is None:
-                    continue
-                stated = int({h["name"].lower(): h["value"] for h in r["headers"]}.get("content-length", len(r["block"])))
-                if stated != len(r["block"]):
-                    raise ValueError(f"record {r['record_id']} has {len(r['block'])} of {stated} bytes: an archive in an archive, or a damaged file; read with whole=True")
-                out.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist([r for raw in batch.column(0) if (r := _record(raw.as_buffer().to_pybytes()))], schema=_SCHEMA)
 
     if whole:
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(files, RECORD)
-    return spark.read.option("lineSep", BORDER).text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(cut, RECORD)
+    return _cut(spark, path).mapInArrow(cut, RECORD)
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -244,6 +264,6 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as responses, written to WARC files, read from them again, and their derivatives."""
     files = f"{Store(spark, 'warc').base}/responses"
     write(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), files)
-    made = derive(read(spark, files))
+    made = derive_files(spark, files)
     value = lambda n: F.element_at(F.filter("headers", lambda h: h["name"] == n), 1)["value"].alias(n.lower().replace("-", "_"))
     return made.select("record_id", "type", "refers_to", "target_uri", "date", value("Content-Type"), value("Content-Length"), value("WARC-Block-Digest"), F.decode("block", "UTF-8").alias("content"))

@@ -617,7 +617,7 @@ def test_warc_source_headers_and_encodings(spark, tmp_path):
         read = warc.read(spark, str(tmp_path / "in"), whole)
         assert {r.record_id: bytes(r.block) for r in read.collect()} == {f"<urn:{k}>": b for k, b in own.items()} | {"<urn:info>": b"a:b"}
     out = {(r.refers_to, r.type): r for r in warc.derive(read).collect()}
-    assert len(out) == 2 * len(own)
+    assert len(out) == 2 * len(own) and sorted(map(str, warc.derive_files(spark, str(tmp_path / "in")).collect())) == sorted(map(str, out.values()))
     text = {k: bytes(out[f"<urn:{k}>", "conversion"].block).decode() for k in own}
     assert text["a"] == "caf\u00e9\ntwo\nthree" and text["b"] == "a < b" and text["c"] == "not gzip" and text["d"] == ""
     info = {k: bytes(out[f"<urn:{k}>", "metadata"].block).decode() for k in own}
