@@ -92,19 +92,63 @@ def bounds(geometry: Geometry | None) -> tuple[float, float, float, float] | Non
     return (*p.min(0).tolist(), *p.max(0).tolist())
 
 
+def edges_of(rings: list[np.ndarray]) -> np.ndarray:
+    """All edges (x0, y0, x1, y1) of closed rings."""
+    if not rings:
+        return np.zeros((0, 4))
+    out = np.concatenate([np.concatenate([r, np.roll(r, -1, 0)], 1) for r in rings])
+    return out[(out[:, :2] != out[:, 2:]).any(1)]
+
+
+def near_edges(edges: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Edges that tell inside from outside for positions in the box.
+
+    A position is inside if an odd number of edges lies to its right.  So edges above, below or left of the box do not
+    matter, and a run of edges to its right counts as one upright edge from the run's begin to its end.
+    """
+    x0, y0, x1, y1 = box
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    level = (high[:, 1] >= y0) & (low[:, 1] <= y1)
+    right = low[:, 0] > x1
+    meets = edges[level & ~right & (high[:, 0] >= x0)]
+    far = np.flatnonzero(right)
+    if not len(far):
+        return meets
+    linked = (np.diff(far) == 1) & (edges[far[1:], :2] == edges[far[:-1], 2:]).all(1)
+    first, last = far[np.concatenate(([True], ~linked))], far[np.concatenate((~linked, [True]))]
+    run = np.stack([np.full(len(first), x1 + 1.0), edges[first, 1], np.full(len(first), x1 + 1.0), edges[last, 3]], 1)
+    run = run[(np.maximum(run[:, 1], run[:, 3]) >= y0) & (np.minimum(run[:, 1], run[:, 3]) <= y1) & (run[:, 1] != run[:, 3])]
+    return np.concatenate([meets, run])
+
+
+def within(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Strictly inside by the even-odd rule; a position on an edge is not inside.
+
+    Positions are sorted by height, so each edge meets only those between its ends.
+    """
+    odd, on = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    order = np.argsort(y, kind="stable")
+    height = y[order]
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    first, last = np.searchsorted(height, low, side="left"), np.searchsorted(height, high, side="right")
+    count = last - first
+    cuts = np.searchsorted(np.cumsum(count), np.arange(1 << 20, int(count.sum()) + 1, 1 << 20))
+    for part in np.split(np.arange(len(edges)), np.unique(cuts)):
+        n = count[part]
+        e = np.repeat(part, n)
+        at = order[np.repeat(first[part], n) + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)]
+        ax, ay, bx, by = edges[e].T
+        px, py = x[at], y[at]
+        cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+        on[at[(cross == 0) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx))]] = True
+        spans = (ay > py) != (by > py)
+        odd += np.bincount(at[spans & ((cross > 0) == (by > ay))], minlength=len(x))
+    return (odd % 2 == 1) & ~on
+
+
 def inside(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Strictly inside by the even-odd rule; a position on a ring is not inside."""
-    odd, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    for ring in rings:
-        for (x0, y0), (x1, y1) in zip(ring, np.roll(ring, -1, 0), strict=True):
-            if x0 == x1 and y0 == y1:
-                continue
-            cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-            edge |= (cross == 0) & (x >= min(x0, x1)) & (x <= max(x0, x1)) & (y >= min(y0, y1)) & (y <= max(y0, y1))
-            if y0 != y1:
-                spans = (y0 > y) != (y1 > y)
-                odd ^= spans & ((cross > 0) == (y1 > y0))
-    return odd & ~edge
+    """``within`` for rings."""
+    return within(edges_of(rings), x, y)
 
 
 def area(rings: list[np.ndarray]) -> float:
@@ -113,32 +157,75 @@ def area(rings: list[np.ndarray]) -> float:
     return one(rings[0]) - sum(one(r) for r in rings[1:]) if rings else 0.0
 
 
-def clip_ring(ring: np.ndarray, axis: int, at: float, below: bool) -> np.ndarray:
-    """The part of a ring on one side of an axis-parallel line."""
-    ring = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-    out: list[np.ndarray] = []
-    keep = (ring[:, axis] <= at) if below else (ring[:, axis] >= at)
-    for k in range(len(ring)):
-        a, b = ring[k - 1], ring[k]
-        if keep[k] != keep[k - 1]:
-            t = (at - a[axis]) / (b[axis] - a[axis])
-            p = a + t * (b - a)
-            p[axis] = at
-            out.append(p)
-        if keep[k]:
-            out.append(b)
-    if len(out) < 3:
-        return np.zeros((0, 2))
-    out = np.array(out + out[:1])
-    return out if area([out]) > 0 else np.zeros((0, 2))
+def closed(ring: np.ndarray) -> np.ndarray:
+    return ring if len(ring) and (ring[0] == ring[-1]).all() else np.concatenate([ring, ring[:1]])
+
+
+def nested(rings: list[np.ndarray]) -> list[Geometry]:
+    """Polygons of rings that do not cross: a ring inside an odd number of others is a hole of the smallest of them."""
+    rings = sorted((r for r in map(closed, rings) if len(r) > 3 and area([r]) > 0), key=lambda r: -area([r]))
+    out: list[list[np.ndarray]] = []
+    shells: list[int | None] = []
+    for k, ring in enumerate(rings):
+        # A position on the ring that is on no other: vertices may touch, the middles of edges do not.
+        middle = (ring[:-1] + ring[1:]) / 2
+        around = [j for j in range(k) if inside([rings[j]], middle[:, 0], middle[:, 1]).mean() > 0.5]
+        if len(around) % 2 == 0:
+            shells.append(len(out))
+            out.append([ring])
+        else:
+            shells.append(None)
+            home = next((shells[j] for j in reversed(around) if shells[j] is not None), None)
+            if home is not None:
+                out[home].append(ring)
+    return [("polygon", rings) for rings in out]
+
+
+def half(rings: list[np.ndarray], axis: int, at: float, below: bool) -> list[Geometry]:
+    """The part of a polygon (even-odd) on one side of an axis-parallel line, as separate polygons.
+
+    Each ring falls into runs of vertices on the side, which end on the line.  Along the line, inside and outside
+    alternate from end to end, so the ends are joined in pairs by their order there.
+    """
+    whole: list[np.ndarray] = []
+    runs: list[np.ndarray] = []
+    for ring in rings:
+        ring = closed(ring)[:-1]
+        keep = ring[:, axis] < at if below else ring[:, axis] > at
+        if keep.all():
+            whole.append(ring)
+            continue
+        ring, keep = np.roll(ring, -int(np.argmin(keep)), 0), np.roll(keep, -int(np.argmin(keep)))  # begins off the side
+        edge = np.flatnonzero(np.diff(np.concatenate((keep, [False])).astype(int)))
+        for first, last in zip(edge[::2], edge[1::2], strict=True):  # vertices first + 1 .. last are kept
+            ends = []
+            for u, v in ((ring[first], ring[first + 1]), (ring[last], ring[(last + 1) % len(ring)])):
+                p = u + (at - u[axis]) / (v[axis] - u[axis]) * (v - u)
+                p[axis] = at
+                ends.append(p)
+            runs.append(np.concatenate([ends[:1], ring[first + 1 : last + 1], ends[1:]]))
+    place = sorted((run[end][1 - axis], k, end) for k, run in enumerate(runs) for end in (0, -1))
+    mate = {}
+    for (_, k, e), (_, m, f) in zip(place[::2], place[1::2], strict=True):
+        mate[k, e], mate[m, f] = (m, f), (k, e)
+    left = set(range(len(runs)))
+    while left:
+        start = k = min(left)
+        end, parts = 0, []
+        while k in left:
+            left.discard(k)
+            parts.append(runs[k] if end == 0 else runs[k][::-1])
+            k, end = mate[k, -1 if end == 0 else 0]
+        assert k == start
+        whole.append(np.concatenate(parts))
+    return nested(whole)
 
 
 def clip(geometry: Geometry, axis: int, at: float, below: bool) -> list[Geometry]:
     """Pieces of a polygon or line on one side of an axis-parallel line."""
     kind, parts = geometry
     if kind == "polygon":
-        shell = clip_ring(parts[0], axis, at, below)
-        return [("polygon", [shell] + [r for r in (clip_ring(h, axis, at, below) for h in parts[1:]) if len(r)])] if len(shell) else []
+        return half(parts, axis, at, below)
     if kind == "point":
         v = parts[0][0, axis]
         return [geometry] if (v <= at if below else v >= at) else []
@@ -160,14 +247,152 @@ def clip(geometry: Geometry, axis: int, at: float, below: bool) -> list[Geometry
     return [("line", [np.array(r)]) for r in pieces if len(r) > 1]
 
 
+def _meetings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, positions) where segments a-b meet: crossings, touches and the ends of overlaps; ends that both share are left out."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    last = np.searchsorted(low[order, 0], high[order, 0], side="right")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = len(a)
+    grain = 2.0 ** (math.frexp(float(np.abs(np.concatenate([a, b])).max()))[1] - 42)
+    step = max(1, (1 << 20) // max(1, int((last - np.arange(n)).max(initial=1))))
+    for at in range(0, n, step):
+        rows = np.arange(at, min(at + step, n))
+        count = last[rows] - rows - 1
+        i = np.repeat(rows, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        i, j = order[i], order[j]
+        near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+        i, j = i[near], j[near]
+        d, e, f = b[i] - a[i], b[j] - a[j], a[j] - a[i]
+        cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (f[:, 0] * e[:, 1] - f[:, 1] * e[:, 0]) / cross, (f[:, 0] * d[:, 1] - f[:, 1] * d[:, 0]) / cross
+            meet = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        # Crossings are rounded, so that several through one place are one; an end that lies on the other segment keeps its own numbers.
+        p = np.round((a[i] + np.where(meet, t, 0.0)[:, None] * d) / grain) * grain
+        for ends, v in ((a[i], t == 0), (b[i], t == 1), (a[j], u == 0), (b[j], u == 1)):
+            p = np.where(v[:, None], ends, p)
+        shared = np.isin(np.where(t == 0, 0, np.where(t == 1, 1, 2)), (0, 1)) & np.isin(np.where(u == 0, 0, np.where(u == 1, 1, 2)), (0, 1))
+        keep = meet & ~shared
+        found.append((i[keep], j[keep], p[keep]))
+        flat_ = (cross == 0) & (f[:, 0] * d[:, 1] == f[:, 1] * d[:, 0])
+        for x, y in zip(i[flat_].tolist(), j[flat_].tolist(), strict=True):
+            for p, k in ((a[x], y), (b[x], y), (a[y], x), (b[y], x)):
+                w = b[k] - a[k]
+                s = float((p - a[k]) @ w) / float(w @ w) if (w @ w) else -1.0
+                if 0 < s < 1:
+                    found.append((np.array([k]), np.array([k]), p[None]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def make_valid(geometry: Geometry) -> list[Geometry]:
+    """Polygons whose rings do not cross, covering what the polygon covers by the even-odd rule; a line or point stays as it is.
+
+    Edges are split where they meet, those met an even number of times cancel, and each of the others is directed so
+    that the inside is on its left.  At a vertex a ring goes on along the first edge clockwise from where it came, so
+    rings that only touch come apart.
+    """
+    if geometry[0] != "polygon":
+        return [geometry]
+    a = np.concatenate([closed(r)[:-1] for r in geometry[1]])
+    b = np.concatenate([closed(r)[1:] for r in geometry[1]])
+    real = (a != b).any(1)
+    a, b = a[real], b[real]
+    if len(a) < 3:
+        return []
+    i, j, p = _meetings(a, b)
+    pieces: dict[tuple, int] = {}
+    on: dict[int, list[np.ndarray]] = {}
+    for x, y, q in zip(i.tolist(), j.tolist(), p, strict=True):
+        on.setdefault(x, []).append(q)
+        if y != x:
+            on.setdefault(y, []).append(q)
+    for k in range(len(a)):
+        way = [a[k], *sorted(on.get(k, []), key=lambda q: float((q - a[k]) @ (b[k] - a[k]))), b[k]]
+        for u, v in zip(way[:-1], way[1:], strict=True):
+            u, v = tuple(u.tolist()), tuple(v.tolist())
+            if u != v:
+                pieces[min(u, v), max(u, v)] = pieces.get((min(u, v), max(u, v)), 0) + 1
+    edges = np.array([e for e, n in pieces.items() if n % 2]).reshape(-1, 2, 2)
+    if not len(edges):
+        return []
+    if not len(i) and all(n == 1 for n in pieces.values()) and len(np.unique(a, axis=0)) == len(a):
+        return nested(geometry[1])
+    out: dict[tuple, list[tuple]] = {}
+    u, v = edges[:, 0], edges[:, 1]  # sorted: u is left of v, or below it
+    for k in range(len(edges)):
+        x, y = (u[k] + v[k]) / 2
+        axis = 0 if u[k, 0] != v[k, 0] else 1  # look up from the middle of an edge, to the right from that of an upright one
+        s, t, at, level = (u, v, x, y) if axis == 0 else (u, v, y, x)
+        over = (np.minimum(s[:, axis], t[:, axis]) <= at) & (at < np.maximum(s[:, axis], t[:, axis]))
+        over[k] = False
+        s, t = s[over], t[over]
+        height = s[:, 1 - axis] + (at - s[:, axis]) / (t[:, axis] - s[:, axis]) * (t[:, 1 - axis] - s[:, 1 - axis])
+        odd = int((height > level).sum()) % 2
+        first, second = tuple(u[k].tolist()), tuple(v[k].tolist())
+        # Above an edge that runs to the right is its left; right of one that runs up is its right.
+        if bool(odd) == (axis == 1):
+            first, second = second, first
+        out.setdefault(first, []).append(second)
+    rings = []
+    while out:
+        start = here = min(out)
+        back = None
+        ring = [start]
+        while True:
+            options = out[here]
+            if back is None:
+                k = 0
+            else:
+                angle = [(back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi) or 2 * math.pi for q in options]
+                k = angle.index(min(angle))
+            there = options.pop(k)
+            if not options:
+                del out[here]
+            back = math.atan2(here[1] - there[1], here[0] - there[0])
+            here = there
+            if here == start:
+                break
+            ring.append(here)
+            if here not in out:  # numbers too close to tell: leave the open rest
+                break
+        if len(ring) > 2 and here == start:
+            rings += _parted(ring)
+    return nested([np.array(r) for r in rings])
+
+
+def _parted(ring: list[tuple]) -> list[list[tuple]]:
+    """A ring that comes back to a vertex, as rings that do not."""
+    out, way, seen = [], [], {}
+    for p in ring:
+        if p in seen:
+            k = seen[p]
+            part = way[k:]
+            if len(part) > 2:
+                out.append(part)
+            for q in way[k + 1 :]:
+                del seen[q]
+            del way[k + 1 :]
+        else:
+            seen[p] = len(way)
+            way.append(p)
+    return [*out, way] if len(way) > 2 else out
+
+
 def bisect(geometry: Geometry, threshold: float, most_depth: int = 250, spacing: float | None = None) -> list[Geometry]:
     """Halve the bounding box across its longer side until its area is at most ``threshold``.
 
-    With ``spacing``, edges that lie on a cut get vertices at its multiples.
-    Points are never cut.
+    Polygons that are to be cut are made valid first.  With ``spacing``, edges
+    that lie on a cut get vertices at its multiples.  Points are never cut.
     """
-    out, cuts = [], []
-    stack = [(g, 0) for g in flat(geometry)]
+    out, cuts = [], {0: set(), 1: set()}
+    stack = []
+    for g in flat(geometry):
+        x0, y0, x1, y1 = bounds(g)
+        stack += [(p, 0) for p in (make_valid(g) if (x1 - x0) * (y1 - y0) > threshold else [g])]
     while stack:
         g, depth = stack.pop()
         x0, y0, x1, y1 = bounds(g)
@@ -176,34 +401,42 @@ def bisect(geometry: Geometry, threshold: float, most_depth: int = 250, spacing:
             continue
         axis = 1 if y1 - y0 >= x1 - x0 else 0
         at = (y0 + y1) / 2 if axis else (x0 + x1) / 2
-        cuts.append((axis, at))
+        cuts[axis].add(at)
         for below in (False, True):
             stack += [(p, depth + 1) for p in clip(g, axis, at, below)]
-    if spacing and cuts:
-        out = [(k, [densify(r, cuts, spacing) for r in parts]) if k == "polygon" else (k, parts) for k, parts in out]
+    lines = {axis: np.array(sorted(at)) for axis, at in cuts.items()}
+    if spacing and (len(lines[0]) or len(lines[1])):
+        out = [(k, [densify(r, lines, spacing) for r in parts]) if k == "polygon" else (k, parts) for k, parts in out]
     return out
 
 
-def densify(ring: np.ndarray, cuts: list[tuple[int, float]], spacing: float) -> np.ndarray:
-    lines = {axis: np.array(sorted(at for a, at in cuts if a == axis)) for axis in (0, 1)}
+def densify(ring: np.ndarray, lines: dict[int, np.ndarray], spacing: float) -> np.ndarray:
+    """The ring with vertices at all multiples of ``spacing`` on its segments along a cut; ``lines`` holds the sorted cuts by axis.
 
-    def on_cut(axis: int, value: float) -> bool:
-        own = lines[axis]
-        k = int(np.searchsorted(own, value))
-        return any(0 <= i < len(own) and abs(own[i] - value) <= 1e-3 * spacing for i in (k - 1, k))
-
-    out = [ring[0]]
-    for a, b in zip(ring[:-1], ring[1:], strict=True):
-        for axis in (0, 1):
-            if a[axis] == b[axis] and on_cut(axis, a[axis]) and abs(b[1 - axis] - a[1 - axis]) > spacing:
-                low, high = sorted((a[1 - axis], b[1 - axis]))
-                steps = np.arange(math.floor(low / spacing) + 1, math.ceil(high / spacing)) * spacing
-                extra = np.zeros((len(steps), 2))
-                extra[:, axis], extra[:, 1 - axis] = a[axis], steps
-                out += list(extra if a[1 - axis] < b[1 - axis] else extra[::-1])
-                break
-        out.append(b)
-    return np.array(out)
+    One pass over all segments: the number of multiples inside each one on a cut, then all new vertices at once.  Both
+    polygons beside a cut get the same ones, as the multiples do not depend on where a segment begins.
+    """
+    a, b = ring[:-1], ring[1:]
+    extra = np.zeros(len(a), np.int64)
+    first, sign, along = np.zeros(len(a)), np.ones(len(a)), np.zeros(len(a), np.int64)
+    for axis, own in lines.items():
+        if not len(own):
+            continue
+        k = np.searchsorted(own, a[:, axis])
+        gap = np.minimum(np.abs(own[np.minimum(k, len(own) - 1)] - a[:, axis]), np.abs(own[np.maximum(k - 1, 0)] - a[:, axis]))
+        on = (a[:, axis] == b[:, axis]) & (gap <= spacing / 1000)
+        start, stop = a[on, 1 - axis] / spacing, b[on, 1 - axis] / spacing
+        low, high = np.floor(np.minimum(start, stop)) + 1, np.ceil(np.maximum(start, stop)) - 1
+        extra[on] = np.maximum(0, high - low + 1)
+        sign[on] = np.where(start < stop, 1, -1)
+        first[on] = np.where(start < stop, low, high)
+        along[on] = 1 - axis
+    at = np.repeat(np.arange(len(a)), extra + 1)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(extra + 1) - extra - 1, extra + 1)
+    out = a[at].copy()
+    new = np.flatnonzero(step)
+    out[new, along[at[new]]] = (first[at[new]] + sign[at[new]] * (step[new] - 1)) * spacing
+    return np.concatenate([out, ring[-1:]])
 
 
 def wrap(geometry: Geometry) -> tuple[Geometry, bool]:

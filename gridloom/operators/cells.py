@@ -1,8 +1,9 @@
 """Cells of features: point lookup, polygon fill, line trace, hierarchy and compaction.
 
 Geometries are never cut for a fill.  A polygon becomes rows of (feature, block
-of up to 5,000 cells); these are spread over the cluster, so one huge polygon is
-work for all executors, and each cell centre is tested exactly once.
+of up to 5,000 cells, the edges that matter there); these are spread over the
+cluster, so one huge polygon is work for all executors, each cell centre is tested
+exactly once, and all rows of a polygon together hold little more than its edges.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions import geohash, geometry as geo, rhealpix, s2
+from gridloom.functions import geohash, geometry as geo, h3, rhealpix, s2
 from gridloom.types import DEFAULT_CELLS_PER_PIECE, GEOMETRY, RESOLUTIONS, check_resolution, column_name, parent_resolution
 
-GRIDS = {"geohash": geohash, "s2": s2, "rhp": rhealpix}
+GRIDS = {"geohash": geohash, "s2": s2, "rhp": rhealpix, "h3": h3}
 
 
 def grid(dggs: str):
@@ -54,52 +55,102 @@ def _box_cap(rings: list[np.ndarray]) -> tuple[np.ndarray, float]:
     return middle, reach * 1.02 + 1e-9
 
 
-def blocks(module, rings: list[np.ndarray], res: int) -> list[list[int]]:
-    """Blocks of cells that may hold centres inside the polygon."""
+def _shifted(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings wider than 180 degrees as the narrow shape across the antimeridian that they stand for on a grid of the whole sphere."""
+    x = np.concatenate(rings)[:, 0]
+    return [np.stack([np.where(r[:, 0] < 0, r[:, 0] + 360, r[:, 0]), r[:, 1]], 1) for r in rings] if x.max() - x.min() > 180 else rings
+
+
+class Flat:
+    """The plane of a polygon's edges: longitude and latitude, or for great-circle edges the gnomonic one about its middle."""
+
+    def __init__(self, module, rings: list[np.ndarray]):
+        self.wide = module is h3 and rings is not (rings := _shifted(rings))
+        self.middle, self.reach = _cap(rings)[:2] if module is s2 else _box_cap(rings)
+        # A polygon beyond 85 degrees of its middle does not fit the gnomonic plane; its edges are taken on the other one.
+        self.gnomonic = module is s2 and self.reach <= np.radians(85)
+        self.rings = rings
+
+    def head(self) -> np.ndarray:
+        return np.array([self.gnomonic, self.wide, self.reach, *self.middle], float)
+
+    @classmethod
+    def of(cls, head: np.ndarray) -> Flat:
+        out = cls.__new__(cls)
+        out.gnomonic, out.wide, out.reach, out.middle = bool(head[0]), bool(head[1]), head[2], head[3:6]
+        return out
+
+    def xy(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plane positions of unit vectors; those behind a gnomonic plane have none."""
+        if not self.gnomonic:
+            lon, lat = s2.lonlat(p)
+            return np.where(lon < 0, lon + 360, lon) if self.wide else lon, lat
+        east = np.cross([0.0, 0.0, 1.0], self.middle)
+        east = east / n if (n := np.linalg.norm(east)) > 1e-9 else np.array([1.0, 0.0, 0.0])
+        depth = p @ self.middle
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x, y = (p @ east) / depth, (p @ np.cross(self.middle, east)) / depth
+        return np.where(depth > 1e-9, x, np.nan), np.where(depth > 1e-9, y, np.nan)
+
+    def edges(self) -> np.ndarray:
+        return geo.edges_of([np.stack(self.xy(s2.xyz(*r.T)), 1) for r in self.rings] if self.gnomonic else self.rings)
+
+    def box(self, centre: np.ndarray, angle: float) -> tuple[float, float, float, float] | None:
+        """A box of the plane around a circle on the sphere; none where the circle has none of use."""
+        if angle > 0.5 or not self.gnomonic and (abs(centre[2]) > 0.99 or not self.wide and np.arctan2(np.hypot(centre[1], 0), -centre[0]) < 2 * angle / max(1e-9, np.hypot(*centre[:2]))):
+            return None
+        side = np.cross(centre, [1.0, 0.0, 0.0] if abs(centre[0]) < 0.9 else [0.0, 1.0, 0.0])
+        side /= np.linalg.norm(side)
+        turn = np.linspace(0, 2 * np.pi, 33)[:, None]
+        angle *= 1.05
+        x, y = self.xy(np.cos(angle) * centre + np.sin(angle) * (np.cos(turn) * side + np.sin(turn) * np.cross(centre, side)))
+        if np.isnan(x).any() or self.gnomonic and max(np.abs(x).max(), np.abs(y).max()) > 50 or self.wide and np.ptp(x) > 180:
+            return None
+        mx, my = 0.02 * np.ptp(x), 0.02 * np.ptp(y)
+        return x.min() - mx, y.min() - my, x.max() + mx, y.max() + my
+
+
+def blocks(module, rings: list[np.ndarray], res: int) -> Iterator[tuple[list[int], bytes]]:
+    """(block, what its fill needs) for blocks of cells that may hold centres inside the polygon; blocks wholly outside are left out."""
     if module is geohash:
+        edges = geo.edges_of(rings)
         p = np.concatenate(rings)
-        return [list(t) for t in geohash.tiles((*p.min(0), *p.max(0)), res, DEFAULT_CELLS_PER_PIECE)]
-    middle, reach = _cap(rings)[:2] if module.GEODESIC else _box_cap(rings)
+        nx, ny = geohash._bits(res)
+        for t in geohash.tiles((*p.min(0), *p.max(0)), res, DEFAULT_CELLS_PER_PIECE):
+            box = (t[0] * 360 / (1 << nx) - 180, t[1] * 180 / (1 << ny) - 90, (t[2] + 1) * 360 / (1 << nx) - 180, (t[3] + 1) * 180 / (1 << ny) - 90)
+            if len(own := geo.near_edges(edges, box)):
+                yield list(t), own.tobytes()
+        return
+    flat = Flat(module, rings)
+    edges, head = flat.edges(), flat.head()
     cells, level, want = module.roots(), 0, res - (6 if module is s2 else 4)
     while level < want and len(cells):
-        cells, level = module.divide(_near(module, cells, level, middle, reach)), level + 1
-    return [[level, *c] for c in _near(module, cells, level, middle, reach).tolist()]
+        cells, level = module.divide(_near(module, cells, level, flat.middle, flat.reach)), level + 1
+    cells = _near(module, cells, level, flat.middle, flat.reach)
+    for cell, centre in zip(cells.tolist(), module.middle(cells, level) if len(cells) else [], strict=True):
+        box = flat.box(centre, module.radius(level))
+        own = edges if box is None else geo.near_edges(edges, box)
+        if len(own):
+            yield [level, *cell], np.concatenate([head, own.ravel()]).tobytes()
 
 
-def fill_block(module, rings: list[np.ndarray], block: list[int], res: int) -> np.ndarray:
+def fill_block(module, block: list[int], need: bytes, res: int) -> np.ndarray:
     """Names of the block's cells whose centre is inside the polygon."""
+    numbers = np.frombuffer(need, float)
     if module is geohash:
         x, y, name = geohash.tile_cells(tuple(block), res)
-        return name[geo.inside(rings, x, y)]
+        return name[geo.within(numbers.reshape(-1, 4), x, y)]
+    flat, edges = Flat.of(numbers[:6]), numbers[6:].reshape(-1, 4)
     level, *cell = block
     cells = np.array([cell], np.int64)
-    middle, reach = _cap(rings)[:2] if module.GEODESIC else _box_cap(rings)
     while level < res and len(cells):
-        cells, level = _near(module, module.divide(cells), level + 1, middle, reach), level + 1
+        cells, level = _near(module, module.divide(cells), level + 1, flat.middle, flat.reach), level + 1
     if not len(cells):
         return np.zeros(0, str)
-    centre = module.middle(cells, res)
-    if module.GEODESIC:
-        return module.named(cells[_inside_sphere(rings, middle, reach, centre)], res)
-    return module.named(cells[geo.inside(rings, *s2.lonlat(centre))], res)
-
-
-def _inside_sphere(rings: list[np.ndarray], middle: np.ndarray, reach: float, points: np.ndarray) -> np.ndarray:
-    """Containment with great-circle edges: they are straight lines in the gnomonic projection about the polygon's middle.
-
-    A polygon beyond 85 degrees of its middle does not fit that plane; its edges are taken on the longitude-latitude plane.
-    """
-    if reach > np.radians(85):
-        return geo.inside(rings, *s2.lonlat(points))
-    east = np.cross([0.0, 0.0, 1.0], middle)
-    east = east / n if (n := np.linalg.norm(east)) > 1e-9 else np.array([1.0, 0.0, 0.0])
-    north = np.cross(middle, east)
-    flat = lambda p: np.stack([p @ east, p @ north], 1) / (p @ middle)[:, None]
-    front = points @ middle > 1e-9
-    out = np.zeros(len(points), bool)
-    q = flat(points[front])
-    out[front] = geo.inside([flat(s2.xyz(*r.T)) for r in rings], q[:, 0], q[:, 1])
-    return out
+    x, y = flat.xy(module.middle(cells, res))
+    front = ~np.isnan(x)
+    cells = cells[front]
+    return module.named(cells[geo.within(edges, x[front], y[front])], res) if len(cells) else np.zeros(0, str)
 
 
 def trace(module, line: np.ndarray, res: int) -> list[str]:
@@ -113,6 +164,10 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
         return list(out)
     if module is s2:
         return sorted(_cover_lines([line], res)[0])
+    if module is h3:
+        for a, b in zip(line[:-1], line[1:], strict=True):
+            out.update(dict.fromkeys(h3.path(tuple(a), tuple(b), res)))
+        return h3.named(np.array(list(out), np.int64)[:, None], res).tolist()
     step = np.degrees(module.radius(res)) / 12
     for a, b in zip(line[:-1], line[1:], strict=True):
         n = int(np.ceil(np.hypot(*(b - a)) / step)) + 1
@@ -196,43 +251,51 @@ def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None)
     """
     module, name = grid(dggs), column_name(dggs, check_resolution(dggs, res))
     at = df.columns.index(GEOMETRY)
-    block = T.StructField("_block", T.ArrayType(T.LongType()))
+    keep = [k for k in range(len(df.columns)) if k != at]
+    fields = [df.schema.fields[k] for k in keep]
+    own = [T.StructField("_block", T.ArrayType(T.LongType())), T.StructField("_need", T.BinaryType())]
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
+            rows, out, needs, size = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                taken = batch.take(pa.array(rows, pa.int64()))
+                return pa.record_batch([*[taken.column(k) for k in keep], pa.array(out, pa.list_(pa.int64())), pa.array(needs, pa.binary())], names=[*[batch.schema.names[k] for k in keep], "_block", "_need"])
+
             for k, raw in enumerate(batch.column(at).to_pylist()):
                 for part in geo.flat(geo.decode(raw)):
-                    for b in blocks(module, part[1], res) if part[0] == "polygon" else [[]]:
+                    for b, need in blocks(module, part[1], res) if part[0] == "polygon" else [([], geo.encode(part))]:
                         rows.append(k)
                         out.append(b)
-            yield pa.record_batch([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names, "_block"])
+                        needs.append(need)
+                        size += len(need) + 100
+                        if size > 1 << 24:
+                            yield made()
+                            rows, out, needs, size = [], [], [], 0
+            yield made()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = [], []
             lines: list[tuple[int, np.ndarray]] = []
-            for k, (raw, own) in enumerate(zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
-                for kind, parts in geo.flat(geo.decode(raw)):
-                    if (kind == "polygon") != bool(own):
-                        continue
-                    if kind == "polygon":
-                        found = fill_block(module, parts, own, res).tolist()
-                        rows += [k] * len(found)
-                        out += found
-                    else:
-                        lines.append((k, parts[0]))
+            for k, (block, need) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True)):
+                if block:
+                    found = fill_block(module, block, need, res).tolist()
+                    rows += [k] * len(found)
+                    out += found
+                else:
+                    lines.append((k, geo.decode(need)[1][0]))
             for (k, _), found in zip(lines, traces(module, [line for _, line in lines], res), strict=True):
                 rows += [k] * len(found)
                 out += found
             taken = batch.take(pa.array(rows, pa.int64()))
-            keep = [k for k in range(batch.num_columns - 1) if k != at]
-            yield pa.record_batch([pa.array(out, pa.string()), *[taken.column(k) for k in keep]], names=[name, *[batch.schema.names[k] for k in keep]])
+            yield pa.record_batch([pa.array(out, pa.string()), *[taken.column(k) for k in range(len(keep))]], names=[name, *batch.schema.names[: len(keep)]])
 
-    spread = df.mapInArrow(tiles, T.StructType([*df.schema.fields, block]))
+    spread = df.mapInArrow(tiles, T.StructType([*fields, *own]))
     # Round robin: a block's cost does not show in its bytes, so partitions must not be coalesced by size.
     spread = spread.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = T.StructType([T.StructField(name, T.StringType()), *[f for f in df.schema.fields if f.name != GEOMETRY]])
+    schema = T.StructType([T.StructField(name, T.StringType()), *fields])
     return spread.mapInArrow(cells, schema).dropDuplicates()
 
 
@@ -246,6 +309,11 @@ def with_parent(cells: DataFrame, dggs: str, res: int, parent: int | None = None
     return cells.withColumn(column_name(dggs, parent), grid(dggs).parent(F.col(column_name(dggs, res)), parent))
 
 
+def leaves(module, cell: Column, from_res: int, res: int) -> Column | int:
+    """The number of descendants of a cell; on H3, pentagons have fewer."""
+    return module.leaves_of(cell, from_res, res) if module is h3 else module.leaf_count(from_res, res)
+
+
 def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str) -> DataFrame:
     """Complete sibling sets of each feature merge upward, not beyond ``parent``.
 
@@ -266,7 +334,7 @@ def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str) -
     for k in range(res - 1, parent - 1, -1):
         up = module.parent(F.col(name), k)
         rows = rows.withColumn(f"_up{k}", up)
-        full = F.sum("_first").over(Window.partitionBy(parent_name, id_field, f"_up{k}")) == module.leaf_count(k, res)
+        full = F.sum("_first").over(Window.partitionBy(parent_name, id_field, f"_up{k}")) == leaves(module, F.col(f"_up{k}"), k, res)
         rows = rows.withColumn(f"_full{k}", full)
         merged = F.when(F.col(f"_full{k}"), F.col(f"_up{k}")).otherwise(merged)
         leaf = F.when(F.col(f"_full{k}"), module.representative(F.col(f"_up{k}"), res)).otherwise(leaf)
@@ -275,16 +343,22 @@ def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str) -
 
 
 def compact_all(cells: DataFrame, dggs: str, id_field: str) -> DataFrame:
-    """(id, cell): complete sibling sets merged to the coarsest level, whatever the levels of the input."""
+    """(id, cell): complete sibling sets merged to the coarsest level, whatever the levels of the input.
+
+    One exchange, on the id and the coarsest ancestor, beyond which nothing merges; the windows of all levels keep to it.
+    """
     module = grid(dggs)
     low = RESOLUTIONS[dggs].low
-    rows = cells.select(id_field, "cell").where("cell is not null").distinct()
+    rows = cells.where("cell is not null").select(id_field, "cell", module.parent(F.col("cell"), low).alias("_root")).repartition(id_field, "_root")
+    keys = [id_field, "_root"]
+    rows = rows.groupBy(*keys, "cell").agg(F.lit(1).alias("_one"))
     for level in range(RESOLUTIONS[dggs].high, low, -1):
         here = module.resolution(F.col("cell")) == level
-        up = F.when(here, module.parent(F.col("cell"), level - 1)).otherwise(F.col("cell"))
-        n = F.when(here, F.count(F.lit(1)).over(Window.partitionBy(id_field, up, here)))
-        rows = rows.select(id_field, F.when(n == module.leaf_count(level - 1, level), up).otherwise(F.col("cell")).alias("cell")).distinct()
-    return rows
+        rows = rows.withColumn("_up", F.when(here, module.parent(F.col("cell"), level - 1)))
+        n = F.count("_up").over(Window.partitionBy(*keys, "_up"))
+        full = F.col("_up").isNotNull() & (n == leaves(module, F.col("_up"), level - 1, level))
+        rows = rows.withColumn("cell", F.when(full, F.col("_up")).otherwise(F.col("cell"))).groupBy(*keys, "cell").agg(F.lit(1).alias("_one"))
+    return rows.select(id_field, "cell")
 
 
 def expand(cells: DataFrame, dggs: str, res: int, column: str) -> DataFrame:
@@ -331,6 +405,6 @@ def morton(lon: Column, lat: Column, bits: int = 16) -> Column:
 
 def cells_in(table: DataFrame, dggs: str, res: int, parent: int, wanted: list[str]) -> DataFrame:
     """Rows of the wanted cells, with the derived predicate on the parent so that only their partitions are read."""
-    names = {geohash: lambda c: c[:parent], rhealpix: lambda c: c[: parent + 1], s2: lambda c: s2.names(*[np.array([v >> (res - parent) if k else v]) for k, v in enumerate(s2.split(c)[:3])], parent)[0]}
+    names = {geohash: lambda c: c[:parent], rhealpix: lambda c: c[: parent + 1], s2: lambda c: s2.names(*[np.array([v >> (res - parent) if k else v]) for k, v in enumerate(s2.split(c)[:3])], parent)[0], h3: lambda c: f"{int(c, 16) & ~(15 << 52) | parent << 52 | (1 << (3 * (15 - parent))) - 1:x}"}
     ups = sorted({names[grid(dggs)](c) for c in wanted})
     return table.where(F.col(column_name(dggs, parent)).isin(ups) & F.col(column_name(dggs, res)).isin(list(wanted)))

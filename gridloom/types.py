@@ -24,7 +24,7 @@ class Range:
     high: int
 
 
-RESOLUTIONS = {"geohash": Range(1, 12), "s2": Range(0, 30), "rhp": Range(0, 15)}
+RESOLUTIONS = {"geohash": Range(1, 12), "s2": Range(0, 30), "rhp": Range(0, 15), "h3": Range(0, 15)}
 
 
 def column_name(dggs: str, res: int) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import geohash, geometry as geo, rhealpix, s2
+from gridloom.functions import geohash, geometry as geo, h3, rhealpix, s2
 from gridloom.index import index, index_to_parquet
 from gridloom.operators import cells as ops
 from gridloom.operators import prepare
@@ -35,20 +35,21 @@ def test_known_answers():
     assert s2.split("6d3a4841c")[3] == 15 and abs(lat[0] + 41.8575453834871) < 1e-9 and abs(lon[0] - 173.225170164961) < 1e-9
 
 
-@pytest.mark.parametrize("module,levels", [(geohash, (1, 5, 9)), (s2, (0, 4, 13, 28)), (rhealpix, (0, 3, 9))])
+@pytest.mark.parametrize("module,levels", [(geohash, (1, 5, 9)), (s2, (0, 4, 13, 28)), (rhealpix, (0, 3, 9)), (h3, (0, 1, 2, 9, 15))])
 def test_centres_return_to_their_cells(module, levels):
     for res in levels:
         names = module.encode(LON, LAT, res)
         assert (module.encode(*module.centers(names.tolist()), res) == names).all()
 
 
-@pytest.mark.parametrize("module,res", [(geohash, 8), (s2, 14), (rhealpix, 8)])
+@pytest.mark.parametrize("module,res", [(geohash, 8), (s2, 14), (rhealpix, 8), (h3, 9)])
 def test_expressions_agree_with_kernels(spark, module, res):
     rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(LON, LAT, strict=True)], "lon double, lat double")
     c = rows.select(module.point(F.col("lon"), F.col("lat"), res).alias("c")).withColumn("p", module.parent(F.col("c"), res - 2)).withColumn("r", module.resolution(F.col("c")))
     got = c.select("*", F.array_contains(module.children(F.col("p"), res - 2, res), F.col("c")).alias("child"), module.parent(module.representative(F.col("p"), res), res - 2).alias("back")).collect()
     assert [r.c for r in got] == module.encode(LON, LAT, res).tolist()
-    assert [r.p for r in got] == module.encode(LON, LAT, res - 2).tolist()
+    if module is not h3:  # an H3 cell may reach a little beyond its parent
+        assert [r.p for r in got] == module.encode(LON, LAT, res - 2).tolist()
     assert all(r.r == res and r.child and r.back == r.p for r in got)
 
 
@@ -69,7 +70,7 @@ def test_bisection_keeps_area_and_threshold():
     assert max(len(p[1][0]) for p in dense) > 20 and abs(sum(geo.area(p[1]) for p in dense) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("dggs,res", [("geohash", 5), ("s2", 11), ("rhp", 7)])
+@pytest.mark.parametrize("dggs,res", [("geohash", 5), ("s2", 11), ("rhp", 7), ("h3", 7)])
 def test_fill_is_centre_inside(spark, dggs, res):
     module = ops.grid(dggs)
     shape = ("polygon", [np.array([(174.0, -41.5), (175.0, -41.3), (174.7, -40.8), (174.0, -41.5)]), np.array([(174.5, -41.3), (174.6, -41.3), (174.6, -41.2), (174.5, -41.3)])])
@@ -78,12 +79,12 @@ def test_fill_is_centre_inside(spark, dggs, res):
     near = sorted(set(module.encode(x.ravel(), y.ravel(), res).tolist()))
     lon, lat = module.centers(near)
     rings = shape[1]
-    if module.GEODESIC:  # edges of a great circle: dense vertices on the plane
+    if module is s2:  # edges of a great circle: dense vertices on the plane
         rings = [np.concatenate([np.stack(s2.lonlat((1 - t) * s2.xyz(*a) + t * s2.xyz(*b)), -1)[None] for a, b in zip(r[:-1], r[1:], strict=True) for t in np.linspace(0, 1, 200)[:-1]]) for r in rings]
     assert got == {c for c, k in zip(near, geo.inside(rings, lon, lat), strict=True) if k} and got
 
 
-@pytest.mark.parametrize("dggs,res", [("geohash", 6), ("s2", 14), ("rhp", 8)])
+@pytest.mark.parametrize("dggs,res", [("geohash", 6), ("s2", 14), ("rhp", 8), ("h3", 9)])
 def test_lines_hold_their_positions_and_do_not_repeat(spark, dggs, res):
     zigzag = np.array([(174.80, -41.30), (174.85, -41.31), (174.80, -41.32), (174.85, -41.33), (174.80, -41.30)])
     got = [r[0] for r in ops.polyfill(features(spark, ("line", [zigzag])), dggs, res).select(column_name(dggs, res)).collect()]
@@ -95,7 +96,7 @@ def test_lines_hold_their_positions_and_do_not_repeat(spark, dggs, res):
         assert set(s2.encode(*s2.lonlat(dense), res).tolist()) <= set(got)
 
 
-@pytest.mark.parametrize("dggs,res,parent", [("geohash", 5, 3), ("s2", 9, 5), ("rhp", 6, 4)])
+@pytest.mark.parametrize("dggs,res,parent", [("geohash", 5, 3), ("s2", 9, 5), ("rhp", 6, 4), ("h3", 7, 4)])
 def test_compaction_round_trip_and_floor(spark, dggs, res, parent):
     module, name = ops.grid(dggs), column_name(dggs, res)
     up = module.encode(np.array([174.0]), np.array([-41.0]), parent)[0]
