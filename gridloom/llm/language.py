@@ -12,8 +12,10 @@ else covers all rows.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0;
 without any labelled row every other document is ``und`` too; with one learned
-language all get it with score 1.  Repeated rows get equal results.  Only
-``doc_id``, ``text`` and, for fitting, ``lang`` are read.
+language all get it with score 1.  Repeated rows get equal results; an empty
+table gives no rows.  Features are made for up to 256 texts or half a megabyte at
+once, or for one longer text (about 60 bytes a byte of it).  Only ``doc_id``,
+``text`` and, for fitting, ``lang`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first, last, matrix): unit rows of hashed letter n-grams; a text without letters has a zero row."""
     letters = wd.letters_and_digits()
     letters[48:58] = False
-    for first, last, data, offsets in wd.slices(pc.utf8_lower(texts.cast(pa.large_string())), 1 << 19):
+    for first, last, data, offsets in wd.slices(pc.utf8_lower(texts.cast(pa.large_string())), 1 << 19, 256):
         rows = last - first
         doc = np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets))
         inside = letters[data] if len(data) else np.zeros(0, bool)

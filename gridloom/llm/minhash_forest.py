@@ -15,7 +15,7 @@
     The first and last rows of every partition are compared in a second, small
     step, so no region is lost where a partition ends.
 3.  Every class is verified against its best candidate on full sets, which yields
-    most links; components are built, and only candidates still in different
+    most links; components are built, and all candidates still in different
     components are verified in a second round.
 4.  A large region whose classes still lie in several components is completed
     exactly: its classes are joined on the rarest quarter of their shingles
@@ -23,14 +23,15 @@
     of similarity 0.75 or more.
 
 A pair of similarity 0.75 agrees in one order's first three minima with
-probability 0.42 and is a candidate unless fewer than two of 32 orders agree,
-which happens to 6 in 10 million such pairs; pairs of higher similarity are
-missed less.
+probability 0.42 and is a candidate unless none of 32 orders agrees, which
+happens to 3 in 100 million such pairs; pairs of higher similarity are missed
+less.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and
 is its own component; fewer than five words are one shingle; repeated rows get
 equal results; a null ``doc_id`` is linked with nothing, has a null component
-and is kept.  Only ``doc_id`` and ``text`` are read.
+and is kept; very long texts are hashed piece by piece (about 60 bytes a word at
+once).  Only ``doc_id`` and ``text`` are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ from gridloom.llm.store import Store
 SHINGLE = 5
 TREES = 32
 MINIMA = 96
-DEPTH = 6
+#: Rows (one for each class and order) of a sorted run of the forest, held by one task at 32 bytes each.
+RUN = 1 << 20
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A region up to this many classes gives all its pairs.
@@ -214,10 +216,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_check, "a long, b long")
 
 
-def _prefixes(common: np.ndarray, count: np.ndarray):
-    """Rows (shingle, doc_id, n, place) for the rarest quarter of each set, by (frequency, hash); ``common`` is sorted."""
+def _prefixes(shared):
+    """Rows (shingle, doc_id, n, place) for the rarest quarter of each set, by (frequency, hash); ``shared`` is a broadcast of (sorted common shingles, their counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = shared.value
         for batch in batches:
             shingles, docs, sizes, places = [], [], [], []
             for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -270,7 +273,8 @@ def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFram
     table = top.toArrow()
     common, count = table.column("shingle").to_numpy().view(np.uint64), table.column("k").to_numpy()
     order = np.argsort(common)
-    rows = own.mapInArrow(_prefixes(common[order], count[order]), "shingle long, doc_id long, n long, place long").join(open_, "doc_id")
+    shared = spark.sparkContext.broadcast((common[order], count[order]))  # 16 bytes for each of MOST_COMMON at most
+    rows = own.mapInArrow(_prefixes(shared), "shingle long, doc_id long, n long, place long").join(open_, "doc_id")
     # Only shingles of several components can link them.
     rows = store.put(rows)
     several = store.put(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"))
@@ -287,11 +291,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     signed = store.put(text.mapInArrow(_sign, _SIGNED))
     classes = store.put(signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     planted = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select("doc_id", "n", "sig").mapInArrow(_plant, "hi long, lo long, doc_id long, n long")
-    walked = store.put(planted.repartitionByRange("hi", "lo", "doc_id").sortWithinPartitions("hi", "lo", "doc_id").mapInArrow(_walk, _RUN))
+    runs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * TREES // RUN))
+    walked = store.put(planted.repartitionByRange(runs, "hi", "lo", "doc_id").sortWithinPartitions("hi", "lo", "doc_id").mapInArrow(_walk, _RUN))
     ends = walked.where("kind = 1").select("hi", "lo", "x", "n").groupBy("hi").applyInArrow(_ends, "x long, y long")
     pairs = store.put(walked.where("kind = 0").select("x", "y").unionAll(ends).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("orders")))
     rest = walked.where("kind = 2").select("hi", F.col("x").alias("doc_id"))
-    crowded = walked.where("kind = 2 and y = 1").select(F.col("x").alias("doc_id")).distinct()
 
     ids = store.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(rest.select("doc_id")).distinct())
     sets = store.put(text.join(ids, "doc_id", "left_semi").mapInArrow(_pack, "doc_id long, shingles binary"))
@@ -299,13 +303,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = store.put(_verify(best, sets))
     part = components(spark, links, store)
 
-    # Pairs met in one order only are left, unless a large region may have hidden others.
-    chosen = pairs.where("orders >= 2").select("a", "b").unionAll(
-        pairs.where("orders = 1").select("a", "b").join(crowded.withColumnRenamed("doc_id", "a"), "a", "left_semi")
-    )
     left = part.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     right = part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = chosen.join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    apart = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     more = _verify(apart, sets)
     links_2 = store.put(links.unionAll(more))
     part = components(spark, links_2, store)

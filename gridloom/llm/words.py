@@ -36,8 +36,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets): documents first..last-1; a null text has no bytes."""
+def slices(column: pa.Array, size: int = SLICE, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets): documents first..last-1, ``rows`` at most; a null text has no bytes."""
     column = column.cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -50,7 +50,7 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + rows if rows else n)
         own = offsets[at : to + 1]
         yield at, to, data[own[0] : own[-1]], own - own[0]
         at = to
