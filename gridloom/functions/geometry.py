@@ -452,6 +452,14 @@ def wrap(geometry: Geometry) -> tuple[Geometry, bool]:
     return geometry, False
 
 
+def transformed(geometry: Geometry, f) -> Geometry:
+    """Positions mapped by ``f(x, y)``."""
+    kind, parts = geometry
+    if kind in ("point", "line", "polygon"):
+        return kind, [np.stack(f(p[:, 0], p[:, 1]), 1) for p in parts]
+    return kind, [transformed(p, f) for p in parts]
+
+
 def _moved(geometry: Geometry, f) -> Geometry:
     kind, parts = geometry
     if kind in ("point", "line", "polygon"):
@@ -527,6 +535,7 @@ def from_wkt(text: str | None) -> Geometry | None:
 
     def one() -> Geometry:
         nonlocal at
+        ring = tokens[at].upper() == "LINEARRING"
         kind = _WKT[tokens[at].upper()]
         at += 1
         while tokens[at].upper() in ("Z", "M", "ZM"):
@@ -544,6 +553,7 @@ def from_wkt(text: str | None) -> Geometry | None:
         data = positions()
         if kind == "multipoint":
             return kind, [_from_lists("point", p[0] if isinstance(p[0], list) else p) for p in data]
-        return _from_lists(kind, data[0] if kind == "point" else data)
+        # A closed ring stands for the area in it.
+        return _from_lists("polygon", [data]) if ring else _from_lists(kind, data[0] if kind == "point" else data)
 
     return one()

@@ -2,24 +2,64 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.functions.crs import crs as system
 from gridloom.operators import cells as ops
 from gridloom.operators import prepare
 from gridloom.sources import read as src
 from gridloom.sources import write as out
-from gridloom.types import IdFieldError, column_name, parent_resolution
+from gridloom.types import IdFieldError, cell_area, column_name, parent_resolution
+
+LOG = logging.getLogger("gridloom")
+DEGREES = "EPSG:4326"
+
+
+def threshold_of(cut_threshold: float | str, dggs: str, res: int, cut_crs: str | int) -> float:
+    """A threshold in square map units; ``auto`` is the box of about 5,000 cells."""
+    return prepare.default_threshold(cell_area(dggs, res), system(cut_crs).metres) if cut_threshold == "auto" else float(cut_threshold)
+
+
+def features(
+    df: DataFrame, dggs: str, res: int, id_field: str | None = None, keep_attributes: bool = False, cut_threshold: float | str = 0, cut_crs: str | int | None = None,
+    crs: str | int | None = None, spatial_sorting: str = "none", chunksize: int | None = None,
+) -> DataFrame:
+    """Parts of features in longitude and latitude, ready for cells; ``crs`` names the input's system if its metadata does not."""
+    source = crs or src.crs_of(df) or DEGREES
+    module = ops.grid(dggs)
+    rows = prepare.with_id(df, id_field, keep_attributes)
+    if chunksize is not None and chunksize < 1:
+        raise ValueError("a chunk has one row at least")
+    if spatial_sorting != "none" or chunksize:
+        rows = prepare.spatially_sorted(rows, spatial_sorting, chunksize, rows.count() if chunksize else None)
+    threshold = threshold_of(cut_threshold, dggs, res, cut_crs or source)
+    if threshold > 0:
+        rows = prepare.reprojected(rows, source, cut_crs or source)
+        rows = prepare.bisected(rows, threshold, prepare.blade_spacing(dggs, res, module.GEODESIC, cut_crs or source))
+        rows = prepare.reprojected(rows, cut_crs or source, DEGREES)
+    else:
+        rows = prepare.reprojected(rows, source, DEGREES)
+    return prepare.cleaned(rows, module.GEODESIC, not system(source).geographic)
+
 
+def index(
+    df: DataFrame, dggs: str, res: int, parent_res: int | None = None, id_field: str | None = None, keep_attributes: bool = False, compact: bool = False, geo: str = "none",
+    cut_threshold: float | str = 0, cut_crs: str | int | None = None, crs: str | int | None = None, spatial_sorting: str = "none", chunksize: int | None = None, threads: int | None = None,
+) -> DataFrame:
+    """The cells of ``df`` (WKB ``geometry``) with their parents.
 
-def index(df: DataFrame, dggs: str, res: int, parent_res: int | None = None, id_field: str | None = None, keep_attributes: bool = False, compact: bool = False, geo: str = "none", cut_threshold: float = 0) -> DataFrame:
-    """The cells of ``df`` (WKB ``geometry`` in longitude and latitude) with their parents."""
+    Fills are dealt out by blocks of cells whatever a feature's size, so polygons are only cut where a threshold asks for
+    it (a number of square map units of ``cut_crs``, or ``auto``).  ``threads`` is the number of partitions of the fill.
+    """
     parent = parent_resolution(dggs, res, parent_res)
     if compact and id_field is None:
         raise IdFieldError("compaction needs an id field")
-    module, name, parent_name = ops.grid(dggs), column_name(dggs, res), column_name(dggs, parent)
-    rows = prepare.cleaned(prepare.with_id(df, id_field, keep_attributes), module.GEODESIC)
-    rows = prepare.bisected(rows, cut_threshold)
-    table = ops.with_parent(ops.polyfill(rows, dggs, res), dggs, res, parent)
+    name, parent_name = column_name(dggs, res), column_name(dggs, parent)
+    rows = features(df, dggs, res, id_field, keep_attributes, cut_threshold, cut_crs, crs, spatial_sorting, chunksize)
+    table = ops.with_parent(ops.polyfill(rows, dggs, res, threads), dggs, res, parent)
     if compact:
         table = ops.compact(table, dggs, res, parent, id_field)
     if geo != "none":
@@ -28,16 +68,37 @@ def index(df: DataFrame, dggs: str, res: int, parent_res: int | None = None, id_
     return table.select(*first, *[c for c in table.columns if c not in first])
 
 
-def index_to_parquet(spark: SparkSession, source: str, target: str, dggs: str, res: int, *, layer: str | None = None, geom_col: str = "geom", compression: str = "snappy", overwrite: bool = False, crs: str | None = None, **options) -> None:
+def index_to_parquet(
+    spark: SparkSession, source: str, target: str, dggs: str, res: int, *, layer: str | None = None, geom_col: str = "geom", compression: str = "snappy", overwrite: bool = False,
+    crs: str | int | None = None, **options,
+) -> None:
+    """Index a source into a folder; dropped features and features without cells are logged."""
     out.check_codec(compression)
     parent = parent_resolution(dggs, res, options.get("parent_res"))
-    if options.get("compact") and options.get("id_field") is None:
+    id_field = options.get("id_field")
+    if options.get("compact") and id_field is None:
         raise IdFieldError("compaction needs an id field")
     if out.exists(spark, target) and not overwrite:
         raise FileExistsError(target)
-    df = src.read(spark, source, layer, geom_col, options.get("id_field"), options.get("keep_attributes", False))
+    df = src.read(spark, source, layer, geom_col, id_field, options.get("keep_attributes", False))
     df = src.with_crs(df, crs) if crs else df
-    known = src.require_crs(df) if not source.endswith(("json", "geojsonl", "geojsons")) else "EPSG:4326"
-    if known not in ("EPSG:4326", "EPSG:4167"):
-        raise ValueError(f"CRS {known} is not longitude and latitude; reproject the input first")
-    out.write_cells(index(df, dggs, res, **options), target, column_name(dggs, res), column_name(dggs, parent), compression, overwrite)
+    known = src.require_crs(df)
+    system(known)
+    (n, empty) = prepare.emptied(df).first()
+    if not n:
+        LOG.warning("%s has no features; the output is empty", source)
+    prepare.report("features without a geometry of points, lines or polygons", empty, n)
+    cut = options.get("cut_crs") or known
+    threshold = threshold_of(options.get("cut_threshold", 0), dggs, res, cut)
+    if threshold > 0 and n:
+        large = prepare.bounds(prepare.reprojected(df, known, cut)).agg(F.count_if(prepare.oversize(threshold))).first()[0]
+        LOG.info("%d of %d features are larger than %g and are cut", large, n, threshold)
+    name, parent_name = column_name(dggs, res), column_name(dggs, parent)
+    out.write_cells(index(df, dggs, res, **options), target, name, parent_name, compression, overwrite)
+    done = out.read_cells(spark, target) if n and out.has_files(spark, target) else None
+    if n and done is None:
+        LOG.warning("no feature of %s gave a cell; the output is empty", source)
+    key = id_field or "fid"
+    ids = done.select(key).distinct().count() if done is not None else 0
+    want = df.select(key).distinct().count() if id_field else n
+    prepare.report("features that gave no cell", want - ids, want)

@@ -244,11 +244,14 @@ def _cover_lines(lines: list[np.ndarray], res: int) -> list[set[str]]:
     return found
 
 
-def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None) -> DataFrame:
+def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None, mode: str = "centre") -> DataFrame:
     """A row for each (feature, cell): the cells of every point, line and polygon of ``df``; ``geometry`` goes.
 
-    Expects cleaned parts (see ``prepare.cleaned``).  Repeated rows of one feature's parts are made one.
+    Expects cleaned parts (see ``prepare.cleaned``).  Repeated rows of one feature's parts are made one.  With mode
+    ``intersects`` (S2 only) a polygon has all cells it meets: those whose centre is inside and those its rings cross.
     """
+    if mode not in ("centre", "intersects") or mode == "intersects" and dggs != "s2":
+        raise ValueError(f"mode {mode!r} is not one of {dggs}")
     module, name = grid(dggs), column_name(dggs, check_resolution(dggs, res))
     at = df.columns.index(GEOMETRY)
     keep = [k for k in range(len(df.columns)) if k != at]
@@ -265,7 +268,8 @@ def polyfill(df: DataFrame, dggs: str, res: int, partitions: int | None = None)
 
             for k, raw in enumerate(batch.column(at).to_pylist()):
                 for part in geo.flat(geo.decode(raw)):
-                    for b, need in blocks(module, part[1], res) if part[0] == "polygon" else [([], geo.encode(part))]:
+                    edge = [([], geo.encode(("line", [geo.closed(r)]))) for r in part[1]] if mode == "intersects" and part[0] == "polygon" else []
+                    for b, need in [*edge, *blocks(module, part[1], res)] if part[0] == "polygon" else [([], geo.encode(part))]:
                         rows.append(k)
                         out.append(b)
                         needs.append(need)
@@ -403,8 +407,62 @@ def morton(lon: Column, lat: Column, bits: int = 16) -> Column:
     return out
 
 
+def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", res: int = 4) -> DataFrame:
+    """Pairs of rows of ``points(lon, lat, ...)`` and ``polygons(geometry, ...)`` where the point is strictly inside.
+
+    Both sides meet by geohash cell: a polygon has a row for each cell that it may reach into, with the edges that
+    matter there, so the test of a pair costs those edges only.  Columns of both sides stay, but for the geometry.
+    """
+    at = polygons.columns.index(GEOMETRY)
+    keep = [k for k in range(len(polygons.columns)) if k != at]
+    nx, ny = geohash._bits(res)
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column(at).to_pylist()):
+                names, needs = [], []
+                for kind, parts in geo.flat(geo.decode(raw)):
+                    if kind != "polygon":
+                        continue
+                    edges, p = geo.edges_of(parts), np.concatenate(parts)
+                    for t in geohash.tiles((*p.min(0), *p.max(0)), res, 1):
+                        box = (t[0] * 360 / (1 << nx) - 180, t[1] * 180 / (1 << ny) - 90, (t[0] + 1) * 360 / (1 << nx) - 180, (t[1] + 1) * 180 / (1 << ny) - 90)
+                        if len(own := geo.near_edges(edges, box)):
+                            names += geohash.names(np.array([t[0]]), np.array([t[1]]), res).tolist()
+                            needs.append(own.tobytes())
+                taken = batch.take(pa.array([k] * len(names), pa.int64()))
+                yield pa.record_batch([*[taken.column(j) for j in keep], pa.array(names, pa.string()), pa.array(needs, pa.binary())], names=[*[batch.schema.names[j] for j in keep], "_cell", "_need"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float) for c in (lon, lat))
+            found = np.zeros(batch.num_rows, bool)
+            groups: dict[bytes, list[int]] = {}
+            for k, need in enumerate(batch.column("_need").to_pylist()):
+                groups.setdefault(need, []).append(k)
+            for need, rows in groups.items():
+                found[rows] = geo.within(np.frombuffer(need, float).reshape(-1, 4), x[rows], y[rows])
+            yield batch.filter(pa.array(found))
+
+    cover = polygons.mapInArrow(tiles, T.StructType([*[polygons.schema.fields[k] for k in keep], T.StructField("_cell", T.StringType()), T.StructField("_need", T.BinaryType())]))
+    met = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_cell", geohash.point(F.col(lon), F.col(lat), res)).join(cover, "_cell")
+    # A point in several parts of one feature is one pair.
+    return met.mapInArrow(test, met.schema).drop("_cell", "_need").distinct()
+
+
+def ancestor(dggs: str, cell: str, res: int, parent: int) -> str:
+    """The ancestor of one cell, on the driver."""
+    if dggs == "geohash":
+        return cell[:parent]
+    if dggs == "rhp":
+        return cell[: parent + 1]
+    if dggs == "h3":
+        return f"{int(cell, 16) & ~(15 << 52) | parent << 52 | (1 << (3 * (15 - parent))) - 1:x}"
+    face, i, j, _ = s2.split(cell)
+    return s2.names(np.array([face]), np.array([i >> (res - parent)]), np.array([j >> (res - parent)]), parent)[0]
+
+
 def cells_in(table: DataFrame, dggs: str, res: int, parent: int, wanted: list[str]) -> DataFrame:
     """Rows of the wanted cells, with the derived predicate on the parent so that only their partitions are read."""
-    names = {geohash: lambda c: c[:parent], rhealpix: lambda c: c[: parent + 1], s2: lambda c: s2.names(*[np.array([v >> (res - parent) if k else v]) for k, v in enumerate(s2.split(c)[:3])], parent)[0], h3: lambda c: f"{int(c, 16) & ~(15 << 52) | parent << 52 | (1 << (3 * (15 - parent))) - 1:x}"}
-    ups = sorted({names[grid(dggs)](c) for c in wanted})
+    ups = sorted({ancestor(dggs, c, res, parent) for c in wanted})
     return table.where(F.col(column_name(dggs, parent)).isin(ups) & F.col(column_name(dggs, res)).isin(list(wanted)))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import geohash, geometry as geo, rhealpix, s2
 from gridloom.operators import cells as ops
 from gridloom.operators import prepare
-from gridloom.types import GEOMETRY, column_name, parent_resolution
+from gridloom.index import threshold_of
+from gridloom.types import GEOMETRY, column_name
 
 ALPHABET = geohash.ALPHABET
 
@@ -156,13 +157,72 @@ def lon_normalise(spark, d):
 
 
 def antimeridian_flag(spark, d):
-    e = events(spark, d).withColumn("far", F.col("lon") + (F.col("event_id") % 4) * 90)
-    return e.select("event_id", (F.col("far") - F.col("lon") > 180).alias("crosses"), F.when(F.col("lon") >= 180, "east").when(F.col("far") <= -180, "west").when((F.col("far") > 180) | (F.col("lon") < -180), "straddle").otherwise("inside").alias("class"))
+    e = events(spark, d).select("event_id", F.col("lon").alias("x"), (F.col("lon") + (F.col("event_id") % 4) * 90).alias("far"), F.col("lat").alias("y"))
+    lines = _shaped(e, lambda x, far, y: ("line", [np.array([(x, y), (far, y)])]), "x", "far", "y")
+    return prepare.longitude_class(prepare.bounds(lines)).select("event_id", "crosses", "class")
 
 
 def oversize_count(spark, d):
-    b = prepare.bounds(supplier_boxes(spark, d))
-    return b.agg(F.count_if(F.round((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 6) > 0.1).alias("n_oversize"), F.count("*").alias("n"))
+    # Products of tenths, so a hair above the bound parts them whatever the last digit.
+    return prepare.bounds(supplier_boxes(spark, d)).agg(F.count_if(prepare.oversize(0.1 + 1e-7)).alias("n_oversize"), F.count("*").alias("n"))
+
+
+def default_threshold(spark, d):
+    """Boxes larger than the default of 5,000 cells."""
+    limit = threshold_of("auto", "geohash", 6, 4326)
+    return prepare.bounds(supplier_boxes(spark, d)).agg(F.count_if(prepare.oversize(limit)).alias("n_oversize"), F.count("*").alias("n"))
+
+
+def dataset_bounds(spark, d):
+    b = prepare.bounds(supplier_boxes(spark, d)).agg(*[f(c).alias(c) for f, c in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))])
+    return b.select(*[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in b.columns])
+
+
+def _area_u(df, key: str):
+    """Sums of areas and numbers of polygons by key, in millionths."""
+    at = df.columns.index(GEOMETRY)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(1 - at), pa.array([geo.area(geo.decode(r)[1]) for r in batch.column(at).to_pylist()], pa.float64())], names=[key, "area"])
+
+    measured = df.mapInArrow(run, f"{key} long, area double")
+    return measured.groupBy(key).agg(F.count("*").alias("n_parts"), F.round(F.sum("area") * 1e6).cast("long").alias("area_u"))
+
+
+def make_valid_bow_ties(spark, d):
+    shapes = supplier_boxes(spark, d, lambda x0, y0, x1, y1: ("polygon", [np.array([(x0, y0), (x1, y1), (x1, y0), (x0, y1), (x0, y0)])]))
+    return _area_u(prepare.repaired(shapes), "s_suppkey")
+
+
+def clip_concave(spark, d):
+    """The upper half of a U is two towers."""
+
+    def u(x0, y0, x1, y1):
+        w, h = x1 - x0, y1 - y0
+        return "polygon", [np.array([(x0, y0), (x1, y0), (x1, y1), (x1 - w / 4, y1), (x1 - w / 4, y0 + h / 4), (x0 + w / 4, y0 + h / 4), (x0 + w / 4, y1), (x0, y1), (x0, y0)])]
+
+    upper = prepare.mapped(supplier_boxes(spark, d, u), lambda g: geo.clip(g, 1, (lambda b: (b[1] + b[3]) / 2)(geo.bounds(g)), False))
+    return _area_u(upper, "s_suppkey")
+
+
+def reproject_mercator(spark, d):
+    points = _shaped(customers(spark, d).select("c_custkey", "lon", "lat"), lambda x, y: ("point", [np.array([(x, y)])]), "lon", "lat")
+    b = prepare.bounds(prepare.reprojected(points, 4326, 3857))
+    return b.select("c_custkey", F.round("minx").cast("long").alias("x_m"), F.round("miny").cast("long").alias("y_m"))
+
+
+def points_in_polygons(spark, d):
+    # A little north-east of the events, so that those with a supplier's key lie in its box.
+    points = events(spark, d).select("event_id", (F.col("lon") + 0.0503).alias("lon"), (F.col("lat") + 0.0503).alias("lat"))
+    return ops.points_in_polygons(points, supplier_boxes(spark, d)).select("event_id", "s_suppkey")
+
+
+def s2_intersects(spark, d):
+    """Cells that a box meets, against those whose centre is inside."""
+    boxes = supplier_boxes(spark, d)
+    count = lambda mode, name: ops.polyfill(boxes, "s2", 10, mode=mode).groupBy("s_suppkey").agg(F.count("*").alias(name))
+    return count("intersects", "n_met").join(count("centre", "n_inside"), "s_suppkey", "left").select("s_suppkey", "n_met", F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
 
 
 def bisect_rect_piece_count(spark, d):
@@ -196,13 +256,9 @@ def morton_sort_key(spark, d):
     return events(spark, d).select("event_id", ops.morton(F.col("lon"), F.col("lat")).alias("key"))
 
 
-def default_threshold(spark, d):
-    return spark.range(1).select(F.lit(round(prepare.default_threshold(105_332.513, 1.0))).cast("long").alias("threshold"), F.lit(parent_resolution("s2", 13)).alias("parent_res"))
-
-
 def drop_report(spark, d):
     shapes = supplier_boxes(spark, d).withColumn(GEOMETRY, F.when(F.col("s_suppkey") % 10 != 0, F.col(GEOMETRY)))
-    return prepare.cleaned(shapes).agg(F.count("*").alias("n_kept")).crossJoin(shapes.agg(F.count("*").alias("n"))).select((F.col("n") - F.col("n_kept")).alias("n_dropped"), "n")
+    return prepare.emptied(shapes).select(F.col("n_empty").alias("n_dropped"), "n")
 
 
 def line_trace(dggs: str, res: int):
@@ -275,6 +331,16 @@ def queries() -> dict:
         "rhp_polyfill": polyfill_counts("rhp", 7),
         "s2_compact": compact_counts("s2", 9, 6),
         "rhp_compact": compact_counts("rhp", 6, 4),
+        "h3_hierarchy": hierarchy("h3", 9, 5),
+        "h3_polyfill": polyfill_counts("h3", 7),
+        "h3_compact": compact_counts("h3", 9, 6),
+        "line_trace_h3": line_trace("h3", 6),
+        "dataset_bounds": dataset_bounds,
+        "make_valid_bow_ties": make_valid_bow_ties,
+        "clip_concave": clip_concave,
+        "reproject_mercator": reproject_mercator,
+        "points_in_polygons": points_in_polygons,
+        "s2_intersects": s2_intersects,
     }
 
 
@@ -331,12 +397,52 @@ _HOLE = "cx >= x0 + (x1 - x0) / 4 AND cx <= x1 - (x1 - x0) / 4 AND cy >= y0 + (y
 _LETTERS = f"(SELECT unnest(string_split('{','.join(ALPHABET)}', ',')) AS a)"
 _NUMBERED = f"(SELECT k - 1 AS p, substr('{ALPHABET}', k::INTEGER, 1) AS a FROM range(1, 33) t(k))"
 _SETS = f"""
-u AS (SELECT s_suppkey, {_gh('(((s_suppkey * 7919) % 360000) / 1000 - 180)', '(((s_suppkey * 104729) % 170000) / 1000 - 85)', 3)} AS up FROM supplier WHERE s_suppkey <= 60),
+u AS (SELECT s_suppkey, {_gh('(((s_suppkey * 7919) % 360000) / 1000 - 180)', '(((s_suppkey * 104729) % 170000) / 1000 - 85)', 3)} AS up FROM supplier),
 l AS (SELECT s_suppkey, m.p * 32 + n.p AS k, up || m.a || n.a AS leaf FROM u, {_NUMBERED} m, {_NUMBERED} n),
 x AS (SELECT * FROM l WHERE s_suppkey % 3 = 0 OR k % 101 <> s_suppkey % 101 OR (s_suppkey % 3 = 1 AND k < 512)),
 f AS (SELECT *, count(*) OVER (PARTITION BY s_suppkey, substr(leaf, 1, 3)) = 1024 AS f3, count(*) OVER (PARTITION BY s_suppkey, substr(leaf, 1, 4)) = 32 AS f4 FROM x)"""
 
 
+_S = f"(SELECT s_suppkey, ((s_suppkey * 7919) % 360000) / 1000 - 180 AS x0, ((s_suppkey * 104729) % 170000) / 1000 - 85 AS y0, {_W} AS w, {_H} AS h FROM supplier)"
+
+
+def _s2_hierarchy(res: int, parent: int) -> str:
+    """SQL for S2 tokens of the events: face, quadratic transform, Hilbert curve."""
+    flat = lambda rows: "[" + ", ".join(str(v) for r in rows for v in (r if isinstance(r, tuple) else (r,))) + "]"
+    st = lambda w: f"CASE WHEN {w} >= 0 THEN 0.5 * sqrt(1 + 3 * {w}) ELSE 1 - 0.5 * sqrt(1 - 3 * {w}) END"
+    token = lambda p, level: f"rtrim(lower(lpad(to_hex((face::HUGEINT * {1 << 61} + ({p})::HUGEINT * {1 << (61 - 2 * level)} + {1 << (60 - 2 * level)})::UBIGINT), 16, '0')), '0')"
+    quadrant = f"({flat(s2.IJ_TO_POS)})[(acc & 3) * 4 + ((i >> k) & 1) * 2 + ((j >> k) & 1) + 1]"
+    up = f"(p >> {2 * (res - parent)})"
+    return f"""
+WITH e AS (SELECT event_id, radians(lon) AS lam, radians(lat) AS phi FROM {_E}),
+x AS (SELECT event_id, cos(phi) * cos(lam) AS x, cos(phi) * sin(lam) AS y, sin(phi) AS z FROM e),
+a AS (SELECT *, CASE WHEN abs(x) > abs(y) AND abs(x) > abs(z) THEN 0 WHEN abs(y) > abs(z) AND abs(y) >= abs(x) THEN 1 ELSE 2 END AS axis FROM x),
+f AS (SELECT *, axis + CASE WHEN CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END < 0 THEN 3 ELSE 0 END AS face FROM a),
+w AS (SELECT event_id, face, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
+        CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v FROM f),
+n AS (SELECT event_id, face, least(greatest(floor(({st('u')}) * {1 << 30})::BIGINT, 0), {(1 << 30) - 1}) AS i, least(greatest(floor(({st('v')}) * {1 << 30})::BIGINT, 0), {(1 << 30) - 1}) AS j FROM w),
+h AS (SELECT event_id, face, list_reduce(list_prepend((face & 1)::BIGINT, range(29, {29 - res}, -1)), lambda acc, k: ((acc >> 2) * 4 + {quadrant}) * 4 + xor(acc & 3, ({flat(s2.TURN)})[{quadrant} + 1])) >> 2 AS p FROM n)
+SELECT event_id, {token('p', res)} AS cell, {token(up, parent)} AS parent, {res} AS res, {token(f'{up} << {2 * (res - parent)}', res)} AS first FROM h"""
+
+
+def _rhp_hierarchy(res: int, parent: int) -> str:
+    """SQL for rHEALPix names of the events."""
+    e1, e2, qp, half = repr(rhealpix.E1), repr(rhealpix.E2), repr(rhealpix.QP), "(pi() / 2)"
+    powers = "[" + ", ".join(str(3**k) for k in range(res)) + "]"
+    return f"""
+WITH e AS (SELECT event_id, radians(lon) AS lam, sin(radians(lat)) AS s FROM {_E}),
+z AS (SELECT event_id, lam, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (1 - {e2}) * (s / (1 - {e2} * s * s) - ln((1 - {e1} * s) / (1 + {e1} * s)) / (2 * {e1})) / {qp})) AS z, least(floor(2 * lam / pi() + 2), 3)::INTEGER AS cap FROM e),
+d AS (SELECT *, sqrt(3 * (1 - abs(z))) AS sigma, abs(z) > 2.0 / 3 AS polar, CASE WHEN z > 0 THEN cap ELSE (4 - cap) % 4 END AS n FROM z),
+o AS (SELECT *, (lam - (cap * {half} - 3 * pi() / 4)) * sigma AS dx, -sign(z) * (pi() / 4) * sigma AS dy, least(floor((lam + pi()) / {half}), 3)::INTEGER AS col FROM d),
+t AS (SELECT *, CASE WHEN polar THEN CASE n WHEN 0 THEN dx WHEN 1 THEN -dy WHEN 2 THEN -dx ELSE dy END - 3 * pi() / 4 ELSE lam END AS x,
+        CASE WHEN polar THEN CASE n WHEN 0 THEN dy WHEN 1 THEN dx WHEN 2 THEN -dy ELSE -dx END + sign(z) * {half} ELSE 3 * pi() / 8 * z END AS y,
+        CASE WHEN polar THEN CASE WHEN z > 0 THEN 3 * pi() / 4 ELSE -pi() / 4 END ELSE pi() / 4 END AS top FROM o),
+g AS (SELECT event_id, substr('{rhealpix.FACES}', CASE WHEN polar THEN CASE WHEN z > 0 THEN 1 ELSE 6 END ELSE col + 2 END, 1) AS face,
+        least(greatest(floor((x + pi() - CASE WHEN polar THEN 0 ELSE col END * {half}) / {half} * {3**res}), 0), {3**res - 1})::BIGINT AS i, least(greatest(floor((top - y) / {half} * {3**res}), 0), {3**res - 1})::BIGINT AS j FROM t),
+c AS (SELECT event_id, face || array_to_string(list_transform(range({res}, 0, -1), lambda k: ((j // ({powers})[k] % 3) * 3 + i // ({powers})[k] % 3)::VARCHAR), '') AS cell FROM g)
+SELECT event_id, cell, substr(cell, 1, {parent + 1}) AS parent, {res} AS res, rpad(substr(cell, 1, {parent + 1}), {res + 1}, '4') AS first FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     x6, y6 = _numbers("cell", 6)
     x4, y4 = _numbers("cell", 4)
@@ -369,8 +475,16 @@ def oracle_sql() -> dict[str, str]:
         "attach_attributes": f"SELECT a.c_custkey, {_gh('lon', 'lat', 4)} AS cell, c_name, c_nationkey FROM {_C} a JOIN customer USING (c_custkey)",
         "cell_join_events_customers": f"WITH e AS (SELECT {_gh('lon', 'lat', 4)} AS cell, count(*) AS n_events FROM {_E} GROUP BY 1), c AS (SELECT {_gh('lon', 'lat', 4)} AS cell, count(*) AS n_customers FROM {_C} GROUP BY 1) SELECT cell, n_events, n_customers FROM e JOIN c USING (cell)",
         "morton_sort_key": f"SELECT event_id, ({morton})::BIGINT AS key FROM (SELECT event_id, least(floor((lon + 180.0) / 360.0 * 65536), 65535)::BIGINT AS x, least(floor((lat + 90.0) / 180.0 * 65536), 65535)::BIGINT AS y FROM {_E})",
-        "default_threshold": "SELECT round(5000 * 105332.513)::BIGINT AS threshold, 7::INTEGER AS parent_res",
+        "default_threshold": f"SELECT count(*) FILTER ((s_suppkey % 7 + 1) * (s_suppkey % 5 + 1) / 100 > 5000 * {360 / 32768!r} * {180 / 32768!r}) AS n_oversize, count(*) AS n FROM supplier",
         "drop_report": "SELECT count(*) FILTER (s_suppkey % 10 = 0) AS n_dropped, count(*) AS n FROM supplier",
-        "s2_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 9 END::BIGINT AS n FROM customer WHERE c_custkey <= 200",
-        "rhp_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 16 END::BIGINT AS n FROM customer WHERE c_custkey <= 200",
+        "s2_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 9 END::BIGINT AS n FROM customer",
+        "rhp_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 16 END::BIGINT AS n FROM customer",
+        "h3_compact": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 18 END::BIGINT AS n FROM customer",
+        "dataset_bounds": f"SELECT {u('min(x0)')} AS minx, {u('min(y0)')} AS miny, {u('max(x0 + w)')} AS maxx, {u('max(y0 + h)')} AS maxy FROM {_S}",
+        "make_valid_bow_ties": f"SELECT s_suppkey, 2::BIGINT AS n_parts, {u('w * h / 2')} AS area_u FROM {_S}",
+        "clip_concave": f"SELECT s_suppkey, 2::BIGINT AS n_parts, {u('w * h / 4')} AS area_u FROM {_S}",
+        "reproject_mercator": f"SELECT c_custkey, round(6378137.0 * radians(lon))::BIGINT AS x_m, round(6378137.0 * asinh(tan(radians(lat))))::BIGINT AS y_m FROM {_C}",
+        "points_in_polygons": f"SELECT event_id, s_suppkey FROM {_E} JOIN {_S} ON lon + 0.0503 > x0 AND lon + 0.0503 < x0 + w AND lat + 0.0503 > y0 AND lat + 0.0503 < y0 + h",
+        "s2_hierarchy": _s2_hierarchy(13, 7),
+        "rhp_hierarchy": _rhp_hierarchy(8, 3),
     }

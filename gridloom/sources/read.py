@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import sqlite3
+import zipfile
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions import geometry as geo
+from gridloom.sources.geoparquet import crs_of_footer
 from gridloom.types import GEOMETRY
 
 # Database schemes and the JDBC driver class of each.
@@ -38,13 +41,41 @@ def read(spark: SparkSession, source: str, layer: str | None = None, geom_col: s
         return read_geojson(spark, source, lines=True)
     if kind in ("csv", "tsv"):
         return read_csv(spark, source)
+    if kind == "zip":
+        return read_zip(spark, source, layer)
     df = spark.read.parquet(source)
     for name in (GEOMETRY, geom_col):
         if name in df.columns:
-            return df.withColumnRenamed(name, GEOMETRY)
+            df = df.withColumnRenamed(name, GEOMETRY)
+            known = crs_of(df) or crs_of_footer(source)
+            return with_crs(df, known) if known else df
     raise ValueError(f"{source} has no geometry column")
 
 
+def read_zip(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """GeoJSON members of a zip file (``layer`` names one); a feature's properties are one map column, as its columns are only known inside.
+
+    A zip file is read by one task, member by member.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    for name in sorted(archive.namelist()):
+                        if not name.lower().endswith((".geojson", ".json")) or layer not in (None, name, name.rsplit(".", 1)[0]):
+                            continue
+                        value = json.loads(archive.read(name))
+                        found = value["features"] if value.get("type") == "FeatureCollection" else [value]
+                        for k in range(0, len(found), 2000):
+                            part = found[k : k + 2000]
+                            raw = [geo.encode(g) if (g := geo.from_geojson(f.get("geometry"))) else None for f in part]
+                            props = [[(n, None if v is None else v if isinstance(v, str) else json.dumps(v)) for n, v in (f.get("properties") or {}).items()] for f in part]
+                            yield pa.record_batch([pa.array([name] * len(part)), pa.array(props, pa.map_(pa.string(), pa.string())), pa.array(raw, pa.binary())], names=["member", "properties", GEOMETRY])
+
+    return with_crs(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"member string, properties map<string,string>, {GEOMETRY} binary"), "EPSG:4326")
+
+
 def _converted(df: DataFrame, column: str, convert) -> DataFrame:
     """``df`` with a text column turned into the WKB geometry."""
     at = df.columns.index(column)
@@ -65,7 +96,7 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     rows = raw if lines else raw.select(F.explode("features").alias("f")).select("f.*")
     shape = rows.withColumn("_geometry", F.to_json("geometry"))
     props = [F.col(f"properties.{f.name}") for f in rows.schema["properties"].dataType] if "properties" in rows.columns and isinstance(rows.schema["properties"].dataType, T.StructType) else []
-    return _converted(shape.select(*props, "_geometry"), "_geometry", geo.from_geojson)
+    return with_crs(_converted(shape.select(*props, "_geometry"), "_geometry", geo.from_geojson), "EPSG:4326")
 
 
 def read_csv(spark: SparkSession, path: str, column: str = "wkt") -> DataFrame:
@@ -109,21 +140,39 @@ def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataF
     return spark.range(1, numPartitions=1).mapInArrow(run, schema)
 
 
-def read_table(spark: SparkSession, url: str, layer: str, geom_col: str, id_field: str | None, keep_attributes: bool) -> DataFrame:
-    """A spatial table over JDBC; only the columns that are wanted are selected."""
+def table_query(layer: str, geom_col: str, id_field: str | None, keep_attributes: bool) -> str:
+    """The columns that are wanted: all with attributes, else the id if there is one; the geometry as WKB and its SRID."""
+    wanted = ["t.*"] if keep_attributes else [f't."{id_field}"'] if id_field else []
+    own = f't."{geom_col}"'
+    # A name of its own: the table may have a column ``geometry`` beside, or as, the geometry column.
+    return f"select {', '.join([*wanted, f'ST_AsBinary({own}) as gridloom_wkb', f'ST_SRID({own}) as gridloom_srid'])} from {layer} t"
+
+
+def read_table(spark: SparkSession, url: str, layer: str, geom_col: str, id_field: str | None, keep_attributes: bool, partitions: tuple[str, int, int, int] | None = None) -> DataFrame:
+    """A spatial table over JDBC; only the columns that are wanted are selected.
+
+    ``partitions`` (a number column, its least and greatest value, how many) reads by ranges of that column in parallel.
+    The CRS is the SRID of the first geometry.
+    """
     parts = urlsplit(url)
     scheme = parts.scheme.split("+")[0]
     try:
         spark.sparkContext._jvm.java.lang.Class.forName(DRIVERS[scheme])
     except Exception as e:
         raise ImportError(f"no JDBC driver {DRIVERS[scheme]} on the class path; add its jar with spark.jars") from e
-    wanted = "*" if keep_attributes else f"{id_field}, " if id_field else ""
-    query = f"select {wanted}{', ' if wanted == '*' else ''}ST_AsBinary({geom_col}) as {GEOMETRY} from {layer}"
-    reader = spark.read.format("jdbc").option("url", f"jdbc:{scheme}://{parts.hostname}{f':{parts.port}' if parts.port else ''}{parts.path}").option("query", query).option("driver", DRIVERS[scheme])
+    reader = spark.read.format("jdbc").option("url", f"jdbc:{scheme}://{parts.hostname}{f':{parts.port}' if parts.port else ''}{parts.path}").option("driver", DRIVERS[scheme])
     for name, value in (("user", parts.username), ("password", parts.password)):
         reader = reader.option(name, value) if value else reader
+    query = table_query(layer, geom_col, id_field, keep_attributes or partitions is not None)
+    reader = reader.option("dbtable", f"({query}) q")
+    if partitions:
+        column, low, high, n = partitions
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
     df = reader.load()
-    return df.drop(geom_col) if geom_col != GEOMETRY else df
+    first = df.select("gridloom_srid").where("gridloom_srid > 0").first()
+    keep = [c for c in df.columns if c not in ("gridloom_wkb", "gridloom_srid", geom_col, GEOMETRY)] if keep_attributes else [id_field] if id_field else []
+    df = df.select(*keep, F.col("gridloom_wkb").alias(GEOMETRY))
+    return with_crs(df, f"EPSG:{first[0]}") if first else df
 
 
 def crs_of(df: DataFrame) -> str | None:
@@ -139,12 +188,3 @@ def require_crs(df: DataFrame) -> str:
     if not crs:
         raise ValueError("the input has no CRS; name it with with_crs()")
     return crs
-
-
-def geo_metadata(box: tuple | None, kinds: list[str]) -> str:
-    """GeoParquet 1.1.0 file metadata of a WKB column in EPSG:4326."""
-    column = {"encoding": "WKB", "geometry_types": kinds, "crs": None}
-    column.pop("crs")  # absent means longitude and latitude on WGS 84
-    if box:
-        column["bbox"] = list(box)
-    return json.dumps({"version": "1.1.0", "primary_column": GEOMETRY, "columns": {GEOMETRY: column}})

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Codecs that Spark's Parquet writer takes here.
-CODECS = ("none", "uncompressed", "snappy", "gzip", "lz4", "lz4_raw", "zstd")
+from gridloom.sources.geoparquet import CellSink
+from gridloom.types import GEOMETRY
+
+# Codecs that Spark's Parquet writer takes here; the writer of geometries takes brotli too.
+CODECS = ("none", "uncompressed", "snappy", "gzip", "lz4", "lz4_raw", "zstd", "brotli")
 
 
 def check_codec(codec: str) -> str:
@@ -25,6 +28,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a written table has any partition."""
+    p, fs = _path(spark, path)
+    return any("=" in f.getPath().getName() for f in fs.listStatus(p))
+
+
 def beside(path: str, kind: str) -> str:
     head, _, name = path.rstrip("/").rpartition("/")
     return f"{head}/.{name}.{kind}" if head else f".{name}.{kind}"
@@ -48,7 +57,7 @@ def commit(spark: SparkSession, staged: str, target: str, overwrite: bool) -> No
 
 
 def write_cells(cells: DataFrame, target: str, cell: str, parent: str, compression: str = "snappy", overwrite: bool = False) -> None:
-    """One file for each parent cell; rows without a cell go.  A failed run leaves an old target as it was."""
+    """One file for each parent cell, with GeoParquet metadata where there are geometries; rows without a cell go.  A failed run leaves an old target as it was."""
     spark = cells.sparkSession
     for name in (cell, parent):
         if name not in cells.columns:
@@ -61,7 +70,13 @@ def write_cells(cells: DataFrame, target: str, cell: str, parent: str, compressi
     fs.delete(p, True)
     try:
         rows = cells.where(F.col(cell).isNotNull()).withColumn(parent, F.col(parent).cast("string"))
-        rows.repartition(parent).write.partitionBy(parent).option("compression", codec).parquet(staged)
+        if GEOMETRY in rows.columns or codec == "brotli":
+            spark.dataSource.register(CellSink)
+            plain = {"uncompressed": "none", "lz4_raw": "lz4"}.get(codec, codec)
+            shaped = rows if GEOMETRY in rows.columns else rows.withColumn(GEOMETRY, F.lit(None).cast("binary"))
+            shaped.repartition(parent).sortWithinPartitions(parent).write.format(CellSink.name()).option("path", staged).option("parent", parent).option("codec", plain).mode("append").save()
+        else:
+            rows.repartition(parent).write.partitionBy(parent).option("compression", codec).parquet(staged)
         commit(spark, staged, target, overwrite)
     finally:
         fs.delete(p, True)
