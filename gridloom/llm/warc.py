@@ -250,20 +250,20 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return _cut(spark, path).mapInArrow(cut, RECORD)
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Store records as gzipped WARC files below ``path``, their headers and blocks byte by byte.
+def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Store records as WARC files below ``path`` (gzipped, or plain with ``none``), their headers and blocks byte by byte.
 
     Spark's text writer does it, so tasks commit atomically and may be retried; a record's end is the line separator.
     """
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
     whole = F.concat(F.lit("WARC/1.1\r\n").cast("binary"), head.cast("binary"), F.lit("\r\n").cast("binary"), F.coalesce("block", F.lit("").cast("binary")))
-    records.select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as responses, written to WARC files, read from them again, and their derivatives."""
     files = f"{Store(spark, 'warc').base}/responses"
-    write(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), files)
+    write(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), files, "none")  # plain files can be split
     made = derive_files(spark, files)
     value = lambda n: F.element_at(F.filter("headers", lambda h: h["name"] == n), 1)["value"].alias(n.lower().replace("-", "_"))
     return made.select("record_id", "type", "refers_to", "target_uri", "date", value("Content-Type"), value("Content-Length"), value("WARC-Block-Digest"), F.decode("block", "UTF-8").alias("content"))
