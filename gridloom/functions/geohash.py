@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.guard import finer
+
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 NAME, GEODESIC = "geohash", False
 
@@ -46,8 +48,8 @@ def parent(cell: Column, res: int) -> Column:
 
 
 def representative(cell: Column, res: int) -> Column:
-    """The first descendant at ``res``."""
-    return F.rpad(cell, res, ALPHABET[0])
+    """The first descendant at ``res``; an error for a cell that is not coarser."""
+    return finer(resolution(cell), res, F.rpad(cell, res, ALPHABET[0]))
 
 
 def children(cell: Column, from_res: int, res: int) -> Column:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.guard import finer
+
 NAME, GEODESIC = "rhp", False
 FACES = "NOPQRS"
 E2 = 0.0066943799901413165
@@ -62,8 +64,8 @@ def parent(cell: Column, res: int) -> Column:
 
 
 def representative(cell: Column, res: int) -> Column:
-    """The central descendant."""
-    return F.rpad(cell, res + 1, "4")
+    """The central descendant; an error for a cell that is not coarser."""
+    return finer(resolution(cell), res, F.rpad(cell, res + 1, "4"))
 
 
 def children(cell: Column, from_res: int, res: int) -> Column:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.guard import finer
+
 NAME, GEODESIC = "s2", True
 # Fixed values of the public S2 curve: quadrant order and orientation change by position.
 IJ_TO_POS = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 1, 0), (2, 1, 3, 0))
@@ -77,8 +79,9 @@ def parent(cell: Column, res: int) -> Column:
 
 
 def representative(cell: Column, res: int) -> Column:
+    """The first descendant; an error for a cell that is not coarser."""
     id_ = number(cell)
-    return token(id_ - _lowest(id_) + F.lit(1 << (60 - 2 * res)))
+    return finer(resolution(cell), res, token(id_ - _lowest(id_) + F.lit(1 << (60 - 2 * res))))
 
 
 def children(cell: Column, from_res: int, res: int) -> Column:

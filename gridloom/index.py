@@ -94,8 +94,11 @@ def index_to_parquet(
         large = prepare.bounds(prepare.reprojected(df, known, cut)).agg(F.count_if(prepare.oversize(threshold))).first()[0]
         LOG.info("%d of %d features are larger than %g and are cut", large, n, threshold)
     name, parent_name = column_name(dggs, res), column_name(dggs, parent)
-    out.write_cells(index(df, dggs, res, **options), target, name, parent_name, compression, overwrite)
+    table = index(df, dggs, res, **options)
+    out.write_cells(table, target, name, parent_name, compression, overwrite)
     done = out.read_cells(spark, target) if n and out.has_files(spark, target) else None
+    if done is not None and compression.lower() == "brotli":
+        done = table  # Spark itself cannot read that codec back
     if n and done is None:
         LOG.warning("no feature of %s gave a cell; the output is empty", source)
     key = id_field or "fid"

@@ -23,6 +23,8 @@ GRIDS = {"geohash": geohash, "s2": s2, "rhp": rhealpix, "h3": h3}
 
 
 def grid(dggs: str):
+    if dggs == "a5":
+        raise ImportError("the A5 grid is not part of this version; use one of " + ", ".join(sorted(GRIDS)))
     if dggs not in GRIDS:
         raise ValueError(f"unknown grid {dggs!r}; known: {', '.join(sorted(GRIDS))}")
     return GRIDS[dggs]

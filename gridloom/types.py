@@ -52,7 +52,8 @@ def parent_resolution(dggs: str, res: int, parent: int | None = None) -> int:
 
 
 #: Average area in square metres of a cell of the first level, and by how much each level divides it.
-_AREAS = {"s2": (85_011_012_191_000.0, 4.0), "rhp": (85_010_937_000_000.0, 9.0), "h3": (4_357_449_416_078.4, 7.0)}
+_SPHERE = 4 * 3.141592653589793 * EARTH_RADIUS_M**2
+_AREAS = {"s2": (_SPHERE / 6, 4.0), "rhp": (_SPHERE / 6, 9.0)}
 
 
 def cell_area(dggs: str, res: int) -> float:
@@ -62,8 +63,7 @@ def cell_area(dggs: str, res: int) -> float:
         x, y = (5 * res + 1) // 2, 5 * res // 2
         degree = EARTH_RADIUS_M * 3.141592653589793 / 180
         return 360 / (1 << x) * degree * (180 / (1 << y) * degree)
-    first, ratio = _AREAS[dggs]
     if dggs == "h3":
-        # 2 + 120 * 7^res cells; the first level has 122.
-        return 122 * first / (2 + 120 * 7**res)
+        return _SPHERE / (2 + 120 * 7**res)
+    first, ratio = _AREAS[dggs]
     return first / ratio**res
