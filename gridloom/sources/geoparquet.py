@@ -113,7 +113,7 @@ def footer(path: str) -> dict | None:
     fs, root = filesystem(path)
     info = fs.get_file_info(root)
     files = [root] if info.is_file else sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".parquet"))
-    raw = (pq.read_schema(files[0], filesystem=fs).metadata or {}).get(b"geo") if files else None
+    raw = (pq.read_metadata(files[0], filesystem=fs).metadata or {}).get(b"geo") if files else None
     return json.loads(raw) if raw else None
 
 

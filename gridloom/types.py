@@ -51,19 +51,15 @@ def parent_resolution(dggs: str, res: int, parent: int | None = None) -> int:
     return parent
 
 
-#: Average area in square metres of a cell of the first level, and by how much each level divides it.
-_SPHERE = 4 * 3.141592653589793 * EARTH_RADIUS_M**2
-_AREAS = {"s2": (_SPHERE / 6, 4.0), "rhp": (_SPHERE / 6, 9.0)}
-
-
 def cell_area(dggs: str, res: int) -> float:
-    """About the area of a cell in square metres; that of a geohash cell on the equator."""
+    """The area in square metres of the largest cells: on S2 by the quadratic projection's bound, on H3 at a face's centre, on rHEALPix in the projection's plane, of geohash on the equator."""
     check_resolution(dggs, res)
-    if dggs == "geohash":
-        x, y = (5 * res + 1) // 2, 5 * res // 2
-        degree = EARTH_RADIUS_M * 3.141592653589793 / 180
-        return 360 / (1 << x) * degree * (180 / (1 << y) * degree)
+    square = EARTH_RADIUS_M**2
+    if dggs == "s2":
+        return 2.635799256963161486 * square / 4**res
     if dggs == "h3":
-        return _SPHERE / (2 + 120 * 7**res)
-    first, ratio = _AREAS[dggs]
-    return first / ratio**res
+        return 3**0.5 / 2 * 0.38196601125010500003**2 * square / 7**res
+    if dggs == "rhp":
+        return (3.141592653589793 / 2) ** 2 * square / 9**res
+    degree = EARTH_RADIUS_M * 3.141592653589793 / 180
+    return 360 / (1 << (5 * res + 1) // 2) * degree * (180 / (1 << 5 * res // 2) * degree)
