@@ -227,7 +227,7 @@ def test_projections():
 
 def test_default_thresholds():
     area = cell_area("h3", 9)
-    assert abs(area / 127090.737 - 1) < 0.001 and abs(cell_area("rhp", 3) / 137381550.93 - 1) < 0.001 and abs(cell_area("geohash", 5) / 4.89e3**2 - 1) < 0.01
+    assert abs(area / 127090.737 - 1) < 0.001 and abs(cell_area("rhp", 3) / 137381550930.8 - 1) < 0.001 and abs(cell_area("geohash", 5) / 4.89e3**2 - 1) < 0.01
     assert threshold_of("auto", "h3", 9, 2193) == 5000 * area
     assert abs(threshold_of("auto", "h3", 5, 2230) / (5000 * cell_area("h3", 5) / (1200 / 3937) ** 2) - 1) < 1e-9
     assert abs(threshold_of("auto", "h3", 5, 4167) / (5000 * cell_area("h3", 5) / 111195**2) - 1) < 0.001
