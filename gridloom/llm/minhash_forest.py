@@ -36,6 +36,7 @@ once).  Only ``doc_id`` and ``text`` are read; other columns may have any name.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ TREES = 32
 MINIMA = 96
 #: Rows (one for each class and order) of a sorted run of the forest, held by one task at 32 bytes each.
 RUN = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH = 8 << 20
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A region up to this many classes gives all its pairs.
@@ -191,23 +194,33 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids.slice(first, last - first), pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
 
 
-def unpack(raw: bytes) -> np.ndarray:
+def unpack(raw: bytes | np.ndarray) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out[:, :6] = (np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column, without a copy."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
         keep = []
-        for i, (p, q) in enumerate(zip(left, right, strict=True)):
-            both = np.concatenate([unpack(p), unpack(q)])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= PERCENT * (len(both) - common) and common:
-                keep.append(i)
-        yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        if batch.num_rows:
+            (left, lo), (right, ro) = _cells(batch.column(2)), _cells(batch.column(3))
+            for i in range(batch.num_rows):
+                both = np.concatenate([unpack(left[lo[i] : lo[i + 1]]), unpack(right[ro[i] : ro[i + 1]])])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= PERCENT * (len(both) - common) and common:
+                    keep.append(i)
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,8 +297,25 @@ def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFram
     return side("a").join(side("b"), "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH bytes for the steps inside, all of which run before it ends: texts and sets are large rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
+    with _small_batches(spark):
+        return _near_duplicates(spark, docs)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     store = Store(spark, "minhash-forest")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store.put(text.mapInArrow(_sign, _SIGNED))
