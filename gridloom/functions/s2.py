@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -21,38 +22,60 @@ MAX_DIAGONAL = 2.438654594434021
 # -- column expressions -------------------------------------------------------------------------
 
 
-def _table(rows) -> Column:
-    return F.array(*[F.lit(v) for r in rows for v in (r if isinstance(r, tuple) else (r,))])
+def _steps() -> list[int]:
+    """For each orientation and four bits of i and of j: the eight bits of the curve and the orientation after them, as 4 * bits + orientation."""
+    out = []
+    for start in range(4):
+        for i in range(16):
+            for j in range(16):
+                o, p = start, 0
+                for k in (3, 2, 1, 0):
+                    q = IJ_TO_POS[o][(i >> k & 1) * 2 + (j >> k & 1)]
+                    p, o = p * 4 + q, o ^ TURN[q]
+                out.append(p * 4 + o)
+    return out
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value formed once, where its parts are used many times."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def point(lon: Column, lat: Column, res: int) -> Column:
-    phi, lam = F.radians(lat), F.radians(lon)
-    x, y, z = F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
-    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-    axis = F.when((ax > ay) & (ax > az), 0).when((ay > az) & (ay >= ax), 1).otherwise(2)
-    big = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-    face = axis + F.when(big < 0, 3).otherwise(0)
-    u = F.when(face == 0, y / x).when(face == 1, -x / y).when(face == 2, -x / z).when(face == 3, z / x).when(face == 4, z / y).otherwise(-y / z)
-    v = F.when(face == 0, z / x).when(face == 1, z / y).when(face == 2, -y / z).when(face == 3, y / x).when(face == 4, -x / y).otherwise(-x / z)
-    st = lambda w: F.when(w >= 0, 0.5 * F.sqrt(1 + 3 * w)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * w))
-    size = 1 << 30
-    ij = lambda w: F.least(F.greatest(F.floor(st(w) * size), F.lit(0)), F.lit(size - 1)).cast("long")
-    seed = F.struct(face.cast("long").alias("face"), ij(u).alias("i"), ij(v).alias("j"))
-    pos, turn = _table(IJ_TO_POS), _table(TURN)
-
-    def made(c: Column) -> Column:
-        zero = F.struct(c["face"].bitwiseAND(F.lit(1)).cast("int").alias("o"), F.lit(0).cast("long").alias("p"))
-
-        def step(s: Column, k: Column) -> Column:
-            bit = lambda w: F.call_function("shiftright", w, k).bitwiseAND(F.lit(1)).cast("int")
-            q = F.get(pos, s["o"] * 4 + bit(c["i"]) * 2 + bit(c["j"]))
-            return F.struct(s["o"].bitwiseXOR(F.get(turn, q)).alias("o"), (s["p"] * 4 + q).alias("p"))
-
-        curve = F.aggregate(F.sequence(F.lit(29), F.lit(30 - res), F.lit(-1)), zero, step)["p"] if res else F.lit(0).cast("long")
+    """The cell of a position; four levels of the curve are one look-up."""
+    size, steps = 1 << 30, -(-res // 4)
+    lead = 4 * steps - res
+    table = F.from_json(F.lit(json.dumps(_steps())), "array<int>")
+    st = lambda w: F.when(w >= 0, 0.5 * F.sqrt(1 + 3 * F.abs(w))).otherwise(1 - 0.5 * F.sqrt(1 + 3 * F.abs(w)))
+    # The bits above the cell's level.
+    ij = lambda w: F.shiftright(F.least(F.greatest(F.floor(st(w) * size), F.lit(0)), F.lit(size - 1)).cast("long"), 30 - res)
+
+    def on_face(p: Column) -> Column:
+        x, y, z = p["x"], p["y"], p["z"]
+        ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
+        first, second = (ax > ay) & (ax > az), (ay > az) & (ay >= ax)
+        w = lambda face, u, v: F.struct(F.lit(face).cast("long").alias("face"), u.alias("u"), v.alias("v"))
+        return (
+            F.when(first, F.when(x < 0, w(3, z / x, y / x)).otherwise(w(0, y / x, z / x)))
+            .when(second, F.when(y < 0, w(4, z / y, -x / y)).otherwise(w(1, -x / y, z / y)))
+            .otherwise(F.when(z < 0, w(5, -y / z, -x / z)).otherwise(w(2, -x / z, -y / z)))
+        )
+
+    def on_curve(c: Column) -> Column:
+        nibble = lambda w, k: F.shiftright(w, 4 * k).bitwiseAND(F.lit(15)).cast("int")
+        # Levels of nothing before the first keep position 0; an odd number of them swaps the two orientations.
+        state = F.pmod(c["face"] + lead % 2, F.lit(2)).cast("int")
+        curve = F.lit(0).cast("long")
+        for k in range(steps - 1, -1, -1):
+            value = F.get(table, state * 256 + nibble(c["i"], k) * 16 + nibble(c["j"], k))
+            curve = curve * 256 + F.shiftright(value, 2).cast("long")
+            state = value.bitwiseAND(F.lit(3))
         return F.shiftleft(c["face"], 61) + F.shiftleft(curve, 61 - 2 * res) + F.lit(1 << (60 - 2 * res))
 
-    id_ = F.element_at(F.transform(F.array(seed), made), 1)
-    return F.when(lon.isNotNull() & lat.isNotNull(), token(id_))
+    phi, lam = F.radians(lat), F.radians(lon)
+    sphere = F.struct((F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"))
+    flat = _bound(_bound(sphere, on_face), lambda w: F.struct(w["face"].alias("face"), ij(w["u"]).alias("i"), ij(w["v"]).alias("j")))
+    return F.when(lon.isNotNull() & lat.isNotNull(), token(_bound(flat, on_curve)))
 
 
 def token(id_: Column) -> Column:
