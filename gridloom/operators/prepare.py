@@ -22,7 +22,8 @@ def with_id(df: DataFrame, id_field: str | None, keep_attributes: bool) -> DataF
     """The id column, the geometry and, if asked, the attributes; without an id field, ``fid`` counts rows from 0 in input order.
 
     Rows count on inside their partition, after those of the partitions before it; the counts come from one pass over the
-    same columns, so that both runs are cut into partitions alike.
+    same columns.  So the input must be cut into the same partitions each time it runs, as scans of files and tables are;
+    after an exchange by ranges, whose borders are drawn anew, store it first.
     """
     if id_field is None:
         rest = [c for c in df.columns if c != "fid"]

@@ -6,6 +6,9 @@ engines see the same doubles; results are names and whole numbers.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -218,6 +221,69 @@ def points_in_polygons(spark, d):
     return ops.points_in_polygons(points, supplier_boxes(spark, d)).select("event_id", "s_suppkey")
 
 
+def antimeridian_fill(spark, d):
+    """Boxes that begin a little west of the limit and reach over it."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", _lat("s_suppkey").alias("y"), ((F.col("s_suppkey") % 7 + 1) / 10).alias("w"), ((F.col("s_suppkey") % 5 + 1) / 10).alias("h"))
+    shapes = _shaped(rows, lambda y, w, h: box(179.8503, y, 179.8503 + w, y + h), "y", "w", "h")
+    return ops.polyfill(prepare.cleaned(shapes), "geohash", 5).select("s_suppkey", F.col("geohash_05").alias("cell"))
+
+
+def polyfill_multi(spark, d):
+    """A collection of a box and a multipolygon of two more, one degree apart."""
+
+    def made(x0, y0, x1, y1):
+        return "collection", [box(x0, y0, x1, y1), ("multipolygon", [box(x0 + 1, y0, x1 + 1, y1), box(x0 + 2, y0, x1 + 2, y1)])]
+
+    rows = prepare.cleaned(supplier_boxes(spark, d, made).where("s_suppkey * 7919 % 360000 < 357000"))
+    return ops.polyfill(rows, "geohash", 4).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+def compact_unbounded(spark, d):
+    cells = _sibling_sets(spark, d).select("s_suppkey", F.col("geohash_05").alias("cell"))
+    return ops.compact_all(cells, "geohash", "s_suppkey")
+
+
+def densified_cut(spark, d):
+    """Squares cut once across: vertices of both pieces, with those at quarters along the cut."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 7 + 1).cast("double").alias("n"))
+    squares = _shaped(rows, lambda n: box(0.0, 0.0, n, n), "n")
+    at = squares.columns.index(GEOMETRY)
+
+    def run(batches):
+        for batch in batches:
+            sizes = []
+            for raw in batch.column(at).to_pylist():
+                shape = geo.decode(raw)
+                x0, y0, x1, y1 = geo.bounds(shape)
+                sizes.append(sum(len(r) for _, rings in geo.bisect(shape, (x1 - x0) * (y1 - y0) / 2, spacing=0.25) for r in rings))
+            yield pa.record_batch([batch.column(1 - at), pa.array(sizes, pa.int64())], names=["s_suppkey", "n_vertices"])
+
+    return squares.mapInArrow(run, "s_suppkey long, n_vertices long")
+
+
+def cell_polygon_bounds(spark, d):
+    c = encode(4)(spark, d)
+    b = prepare.bounds(ops.cell_geometry(c, "geohash", "cell", "polygon"))
+    return b.select("event_id", *[F.round(F.col(k) * 1e6).cast("long").alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+
+
+def cell_point_center(spark, d):
+    b = prepare.bounds(ops.cell_geometry(encode(6)(spark, d), "geohash", "cell", "point"))
+    return b.select("event_id", F.round(F.col("minx") * 1e6).cast("long").alias("lon_u"), F.round(F.col("miny") * 1e6).cast("long").alias("lat_u"))
+
+
+def written_cells(spark, d):
+    """Cells written by parent, one file for each, and read back."""
+    from gridloom.sources import write as out
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
+    target = f"{shared.rstrip('/')}/written-cells-{uuid.uuid4().hex}"
+    cells = ops.with_parent(ops.point_cells(customers(spark, d), F.col("lon"), F.col("lat"), "geohash", 5), "geohash", 5, 1)
+    out.write_cells(cells, target, "geohash_05", "geohash_01")
+    files = F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)
+    return out.read_cells(spark, target).groupBy(F.col("geohash_01").alias("parent")).agg(F.count("*").alias("n"), F.countDistinct("geohash_05").alias("n_cells"), F.countDistinct(files).alias("n_files"))
+
+
 def s2_intersects(spark, d):
     """Cells that a box meets, against those whose centre is inside."""
     boxes = supplier_boxes(spark, d)
@@ -236,7 +302,8 @@ def features_without_cells(spark, d):
 
 
 def synthetic_fid(spark, d):
-    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").withColumn(GEOMETRY, F.lit(None).cast("binary"))
+    # A table of 25 rows at every size; one sorted partition is the same in every run, as a range exchange is not.
+    rows = spark.read.parquet(f"{d}/nation.parquet").coalesce(1).sortWithinPartitions("n_nationkey").withColumn(GEOMETRY, F.lit(None).cast("binary"))
     return prepare.with_id(rows, None, True).select("fid", "n_name")
 
 
@@ -341,6 +408,13 @@ def queries() -> dict:
         "reproject_mercator": reproject_mercator,
         "points_in_polygons": points_in_polygons,
         "s2_intersects": s2_intersects,
+        "antimeridian_fill": antimeridian_fill,
+        "polyfill_multi": polyfill_multi,
+        "compact_unbounded": compact_unbounded,
+        "densified_cut": densified_cut,
+        "cell_polygon_bounds": cell_polygon_bounds,
+        "cell_point_center": cell_point_center,
+        "written_cells": written_cells,
     }
 
 
@@ -485,6 +559,23 @@ def oracle_sql() -> dict[str, str]:
         "clip_concave": f"SELECT s_suppkey, 2::BIGINT AS n_parts, {u('w * h / 4')} AS area_u FROM {_S}",
         "reproject_mercator": f"SELECT c_custkey, round(6378137.0 * radians(lon))::BIGINT AS x_m, round(6378137.0 * asinh(tan(radians(lat))))::BIGINT AS y_m FROM {_C}",
         "points_in_polygons": f"SELECT event_id, s_suppkey FROM {_E} JOIN {_S} ON lon + 0.0503 > x0 AND lon + 0.0503 < x0 + w AND lat + 0.0503 > y0 AND lat + 0.0503 < y0 + h",
+        "antimeridian_fill": f"""
+WITH b AS (SELECT s_suppkey, 179.8503 AS x0, 179.8503 + w AS x1, y0, y0 + h AS y1 FROM {_S}),
+i AS (SELECT *, unnest(range(floor((x0 + 180) / 360 * 8192)::BIGINT, floor((x1 + 180) / 360 * 8192)::BIGINT + 1)) AS i FROM b),
+j AS (SELECT *, unnest(range(floor((y0 + 90) / 180 * 4096)::BIGINT, floor((y1 + 90) / 180 * 4096)::BIGINT + 1)) AS j FROM i),
+c AS (SELECT *, (i + 0.5) * 360 / 8192 - 180 AS cx, (j + 0.5) * 180 / 4096 - 90 AS cy FROM j)
+SELECT s_suppkey, {_name('(i % 8192)', 'j', 5)} AS cell FROM c WHERE {_IN}""",
+        "polyfill_multi": f"""
+WITH b AS (SELECT s_suppkey, x0 + k AS x0, x0 + w + k AS x1, y0, y0 + h AS y1 FROM {_S}, range(3) t(k) WHERE s_suppkey * 7919 % 360000 < 357000),
+i AS (SELECT *, unnest(range(floor((x0 + 180) / 360 * 1024)::BIGINT, floor((x1 + 180) / 360 * 1024)::BIGINT + 1)) AS i FROM b),
+j AS (SELECT *, unnest(range(floor((y0 + 90) / 180 * 1024)::BIGINT, floor((y1 + 90) / 180 * 1024)::BIGINT + 1)) AS j FROM i),
+c AS (SELECT *, (i + 0.5) * 360 / 1024 - 180 AS cx, (j + 0.5) * 180 / 1024 - 90 AS cy FROM j)
+SELECT s_suppkey, count(DISTINCT (i, j)) AS n FROM c WHERE {_IN} GROUP BY 1""",
+        "compact_unbounded": f"WITH {_SETS} SELECT DISTINCT s_suppkey, CASE WHEN f3 THEN substr(leaf, 1, 3) WHEN f4 THEN substr(leaf, 1, 4) ELSE leaf END AS cell FROM f",
+        "densified_cut": "SELECT s_suppkey, 8 * (s_suppkey % 7 + 1) + 8 AS n_vertices FROM supplier",
+        "cell_polygon_bounds": f"SELECT event_id, {u(f'{x4} * {360 / 1024!r} - 180')} AS minx, {u(f'{y4} * {180 / 1024!r} - 90')} AS miny, {u(f'({x4} + 1) * {360 / 1024!r} - 180')} AS maxx, {u(f'({y4} + 1) * {180 / 1024!r} - 90')} AS maxy FROM ({enc(4)})",
+        "cell_point_center": f"SELECT event_id, {u(f'({x6} + 0.5) * {360 / (1 << 15)!r} - 180')} AS lon_u, {u(f'({y6} + 0.5) * {180 / (1 << 15)!r} - 90')} AS lat_u FROM ({enc(6)})",
+        "written_cells": f"SELECT substr(cell, 1, 1) AS parent, count(*) AS n, count(DISTINCT cell) AS n_cells, 1::BIGINT AS n_files FROM (SELECT {_gh('lon', 'lat', 5)} AS cell FROM {_C}) GROUP BY 1",
         "s2_hierarchy": _s2_hierarchy(13, 7),
         "rhp_hierarchy": _rhp_hierarchy(8, 3),
     }
