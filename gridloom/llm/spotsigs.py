@@ -11,13 +11,17 @@ texts have equal fingerprints.
 
 Likeness is the Jaccard similarity of two sets.  Sets are partitioned by the
 logarithm of their size: a pair can reach ``tau`` only inside a partition or
-between adjacent ones, and within them only if a rarest-by-hash prefix is shared
-(``similar_pairs``), which prunes the comparisons.
+between adjacent ones, and there only if the prefixes of both in hash order share a
+spot (``similar_pairs`` joins by partition and spot), which prunes the comparisons.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint; two
 empty sets have likeness 1, an empty and another 0; a text without letters and
-digits has one signature, of itself; a null ``doc_id`` comes after all others;
-repeated rows follow each other in the order of their text.
+digits has one signature, of itself; rows without a ``doc_id`` come after all
+others, by 4096 parts of their texts' hashes and then by text, so that however many
+there are they do not meet in one task; repeated ids follow each other in the order
+of their text.  A text, its neighbour and their spots are held at once (about ten
+times the text).  Only ``doc_id`` and ``text`` are read; other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -125,9 +129,10 @@ def similar_pairs(docs: DataFrame, tau: float = 0.75) -> DataFrame:
     size = F.size("sig")
     prefix = F.slice("sig", 1, (size - F.ceil(size * tau) + 1).cast("int"))
     keyed = classes.select("rep", F.size("sig").alias("n"), length_class(size, tau).alias("part"), F.explode(prefix).alias("spot"))
-    a = keyed.select("spot", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    b = keyed.select("spot", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    met = a.join(b, "spot").where(f"a < b and abs(pa - pb) <= 1 and least(na, nb) >= {tau} * greatest(na, nb)").select("a", "b").distinct()
+    # The smaller set of a pair lies in the larger one's partition or in the one before.
+    a = keyed.select("spot", "part", F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = keyed.select("spot", F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["part", "spot"]).where(f"(na < nb or na = nb and a < b) and na >= {tau} * nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = classes.select(F.col("rep").alias("a"), F.col("sig").alias("x")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
     return met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= tau)
 
@@ -153,7 +158,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they and the next document's are."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    group = F.shiftright(key, int(math.log2(GROUP)))
+    bits = int(math.log2(GROUP))
+    group = F.when(F.col("doc_id").cast("long").isNull(), F.lit(1 << (63 - bits)) + F.shiftrightunsigned(F.xxhash64(text), 52)).otherwise(F.shiftright(key, bits))
     # The one exchange of texts; signatures are formed after it, so that it carries nothing else and both uses share it.
     base = docs.select(key.alias("k"), group.alias("g"), text.alias("text")).repartition("g")
     order = Window.partitionBy("g").orderBy("k", "text")

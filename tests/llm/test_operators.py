@@ -427,6 +427,23 @@ def test_next_document_over_sparse_and_repeated_ids(spark):
     assert Counter(r.edited_sha256 for r in rows) == want
 
 
+def test_next_document_of_many_rows_without_ids(spark):
+    """All rows form one circle: each text's edited form ends with the beginning of some other row's, and every row is once the next."""
+    texts = [f"{k:03d} the text {k} of no id" for k in range(60)]
+    ids = [1, 2, *[None] * 58]
+    docs = table(spark, texts, [-1] * 60).drop("doc_id").withColumn("n", F.substring("text", 1, 3).cast("int"))
+    docs = docs.withColumn("doc_id", F.when(F.col("n") < 2, F.col("n") + 1).cast("long"))
+    rows = spotsigs.edited_fingerprints(docs).collect()
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest(): (k, j) for k, t in enumerate(texts) for j, o in enumerate(texts)}
+    edges = dict(want[r.edited_sha256] for r in rows)
+    assert len(edges) == 60 and edges[0] == 1 and sum(r.doc_id is None for r in rows) == ids.count(None)
+    seen, k = [], 0
+    while k not in seen:
+        seen.append(k)
+        k = edges[k]
+    assert len(seen) == 60
+
+
 def test_spotsigs_pairs_match_brute_force(spark):
     anchors = ["the", "of", "and", "in"]
     base = [" ".join(f"{rng.choice(anchors)} {rng.choice(VOCABULARY)}" for _ in range(60)) for _ in range(4)]
