@@ -23,6 +23,7 @@ extra conversation.  Only ``conv_id``, ``turn``, ``role`` and ``text`` are read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 import re
@@ -60,11 +61,30 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
     return "".join(out), np.array(spans, np.int64).reshape(-1, 2)
 
 
-def mask(spans: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(first, last + 1) token of each span: tokens that intersect it; both sorted."""
-    first = np.searchsorted(offsets[:, 1], spans[:, 0], side="right")
-    last = np.searchsorted(offsets[:, 0], spans[:, 1], side="left")
-    return np.stack([first, np.maximum(first, last)], 1)
+class Offsets:
+    """Where an encoding's tokens begin and stop in the string, both in order; only the tokens asked for are looked at.
+
+    Byte-level offsets leave out the spaces a token begins with, which are given back: it begins where the one before stops.
+    """
+
+    def __init__(self, encoding):
+        self.span, self.n = encoding.token_to_chars, len(encoding)
+
+    def stop(self, i: int) -> int:
+        return self.span(i)[1]
+
+    def start(self, i: int) -> int:
+        return min(self.span(i)[0], self.stop(i - 1)) if i else 0
+
+
+def mask(spans: np.ndarray, offsets: Offsets) -> list[tuple[int, int]]:
+    """(first, last + 1) token of each span: tokens that intersect it; spans are sorted as tokens are, so each search begins where the last one ended."""
+    out, low = [], 0
+    for start, stop in spans.tolist():
+        first = bisect.bisect_right(range(offsets.n), start, lo=low, key=offsets.stop)
+        low = max(first, bisect.bisect_left(range(offsets.n), stop, lo=first, key=offsets.start))
+        out.append((first, low))
+    return out
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -80,15 +100,6 @@ def tokenizer_from(source: str):
     return t
 
 
-def token_spans(encoding) -> np.ndarray:
-    """Non-decreasing (start, stop) of each token; byte-level offsets leave out leading spaces, which are given back."""
-    offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-    if len(offsets):
-        offsets[1:, 0] = np.minimum(offsets[1:, 0], np.maximum.accumulate(offsets[:-1, 1]))
-        offsets[0, 0] = 0
-    return offsets
-
-
 def formatter(source: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_from(source)
@@ -101,13 +112,13 @@ def formatter(source: str):
                 encodings = tokenizer.encode_batch([f for f, _ in made], add_special_tokens=False)
                 out = []
                 for r, (formatted, spans), encoding in zip(part, made, encodings, strict=True):
-                    offsets = token_spans(encoding)
-                    tokens = mask(spans, offsets) if len(offsets) else np.zeros((0, 2), np.int64)
-                    loss = [unescape(formatted[offsets[a, 0] : offsets[b - 1, 1]]) if b > a else "" for a, b in tokens.tolist()]
+                    offsets = Offsets(encoding)
+                    tokens = mask(spans, offsets)
+                    loss = [unescape(formatted[offsets.start(a) : offsets.stop(b - 1)]) if b > a else "" for a, b in tokens]
                     turns = parse(formatted)
                     digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode("utf-8", "surrogatepass"))
                     text = "".join(loss)
-                    out.append((r["conv_id"], len(turns), digest.hexdigest(), len(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted), len(offsets), int((tokens[:, 1] - tokens[:, 0]).sum()), formatted, tokens.tolist()))
+                    out.append((r["conv_id"], len(turns), digest.hexdigest(), len(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted), offsets.n, sum(b - a for a, b in tokens), formatted, [list(t) for t in tokens]))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.record_batch([pa.array([o[k] for o in out], kinds[k]) for k in range(len(names))], names=names)
 
