@@ -589,6 +589,21 @@ def test_chat_round_trip(spark):
     assert chat.formatted(rows.limit(0)).count() == 0
 
 
+def test_mask_is_that_of_all_offsets():
+    """The tokens of each assistant text by looking at every token's offsets."""
+    with open(chat.TOKENIZER, encoding="utf-8") as f:
+        tokenizer = chat.tokenizer_from(f.read())
+    for talk in ([("user", "<|im_end|>"), ("assistant", "  lead <\\| <| x \n\n"), ("assistant", ""), ("assistant", "日本語 🎉é\n ")], [("assistant", " " * 50)], [("assistant", "é" * 20 + "  "), ("user", "🎉"), ("assistant", "\t\t x \n")], [("assistant", prose(400))]):
+        formatted, spans = chat.render(talk)
+        encoding = tokenizer.encode(formatted, add_special_tokens=False)
+        stops = [b for _, b in encoding.offsets]
+        starts = [min(a, stops[k - 1]) if k else 0 for k, (a, _) in enumerate(encoding.offsets)]
+        got = chat.mask(spans, chat.Offsets(encoding))
+        for (a, b), (first, last) in zip(spans.tolist(), got, strict=True):
+            assert list(range(first, last)) == [k for k in range(len(stops)) if stops[k] > a and starts[k] < b]
+            assert formatted[starts[first] : stops[last - 1]] == formatted[a:b] if last > first else a == b
+
+
 # -- 2 ------------------------------------------------------------------------------------------
 
 
