@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import os
 import sqlite3
+import tempfile
 import zipfile
 from urllib.parse import urlsplit
 
@@ -112,32 +114,72 @@ def gpkg_wkb(raw: bytes | None) -> bytes | None:
     return None if raw[3] & 0x10 else raw[8 + envelope :]
 
 
+def _layers(db: sqlite3.Connection) -> list[tuple[str, str, int, list[tuple[str, str]]]]:
+    """(name, geometry column, SRS id, [(column, type)]) of the feature layers."""
+    out = []
+    for (name,) in db.execute("select table_name from gpkg_contents where data_type = 'features' order by table_name").fetchall():
+        geom, srs = db.execute("select column_name, srs_id from gpkg_geometry_columns where table_name = ?", (name,)).fetchone()
+        out.append((name, geom, srs, [(r[1], (r[2] or "").upper()) for r in db.execute(f'pragma table_info("{name}")')]))
+    return out
+
+
+def _opened(source: str | bytes):
+    """A GeoPackage by path, or from its bytes by way of a file of the task's own."""
+    if isinstance(source, str):
+        return contextlib.closing(sqlite3.connect(f"file:{source}?mode=ro", uri=True))
+
+    @contextlib.contextmanager
+    def copied():
+        with tempfile.NamedTemporaryFile(suffix=".gpkg") as f:
+            f.write(source)
+            f.flush()
+            with contextlib.closing(sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)) as db:
+                yield db
+
+    return copied()
+
+
 def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """A layer of a GeoPackage file.  SQLite gives one cursor, so a file is read by one reader, in bounded batches."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        layers = [r[0] for r in db.execute("select table_name from gpkg_contents where data_type = 'features' order by table_name")]
-        if layer is not None and layer not in layers:
-            raise ValueError(f"{path} has no layer {layer!r}; it has {layers}")
-        if not layers:
-            raise ValueError(f"{path} has no feature layer")
-        layer = layer or layers[0]
-        (geom, srs) = db.execute("select column_name, srs_id from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
-        info = [(r[1], (r[2] or "").upper()) for r in db.execute(f'pragma table_info("{layer}")')]
+    """A layer of a GeoPackage file.  SQLite gives one cursor, so a file is read by one task, in bounded batches.
+
+    On a local master the task opens the file itself; on a cluster, or by a URI, it gets the file's bytes from Spark.
+    """
+    direct = spark.sparkContext.master.startswith("local") and os.path.exists(path)
+    content = spark.read.format("binaryFile").load(path).select("content")
+    if direct:
+        with _opened(path) as db:
+            layers = _layers(db)
+    else:
+
+        def probe(batches):
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    with _opened(data) as db:
+                        yield pa.record_batch([pa.array([json.dumps(_layers(db))])], names=["layers"])
+
+        layers = json.loads(content.mapInArrow(probe, "layers string").first()[0])
+    names = [name for name, *_ in layers]
+    if layer is not None and layer not in names:
+        raise ValueError(f"{path} has no layer {layer!r}; it has {names}")
+    if not layers:
+        raise ValueError(f"{path} has no feature layer")
+    layer, geom, srs, info = next(own for own in layers if layer in (None, own[0]))
     kind = lambda t: T.LongType() if "INT" in t else T.DoubleType() if t in ("REAL", "DOUBLE", "FLOAT") else T.BinaryType() if t == "BLOB" else T.StringType()
     names = [n for n, _ in info if n != geom]
     schema = T.StructType([*[T.StructField(n, kind(t)) for n, t in info if n != geom], T.StructField(GEOMETRY, T.BinaryType(), True, {"crs": f"EPSG:{srs}"})])
     query = f"select {', '.join(f'"{n}"' for n in [*names, geom])} from \"{layer}\""
+    kinds = [{T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary()}.get(type(schema[n].dataType), pa.string()) for n in names]
 
     def run(batches):
-        for _ in batches:
-            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                cursor = db.execute(query)
-                while rows := cursor.fetchmany(2000):
-                    cols = list(zip(*rows, strict=True))
-                    arrays = [pa.array(c, {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary()}.get(type(schema[n].dataType), pa.string())) for n, c in zip(names, cols[:-1], strict=True)]
-                    yield pa.record_batch([*arrays, pa.array([gpkg_wkb(v) for v in cols[-1]], pa.binary())], names=[*names, GEOMETRY])
-
-    return spark.range(1, numPartitions=1).mapInArrow(run, schema)
+        for batch in batches:
+            for data in [path] if direct else batch.column(0).to_pylist():
+                with _opened(data) as db:
+                    cursor = db.execute(query)
+                    while rows := cursor.fetchmany(2000):
+                        cols = list(zip(*rows, strict=True))
+                        yield pa.record_batch([*[pa.array(c, k) for c, k in zip(cols[:-1], kinds, strict=True)], pa.array([gpkg_wkb(v) for v in cols[-1]], pa.binary())], names=[*names, GEOMETRY])
+
+    return (spark.range(1, numPartitions=1) if direct else content).mapInArrow(run, schema)
 
 
 def table_query(layer: str, geom_col: str, id_field: str | None, keep_attributes: bool) -> str:

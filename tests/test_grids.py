@@ -166,6 +166,8 @@ def test_geopackage_source(spark, tmp_path):
     df = src.read(spark, path)
     assert src.require_crs(df) == "EPSG:4326" and df.count() == 2
     assert [r.geohash_06 for r in index(df, "geohash", 6, id_field="fid").collect()] == geohash.encode([174.7], [-41.3], 6).tolist()
+    remote = src.read(spark, f"file://{path}")
+    assert src.require_crs(remote) == "EPSG:4326" and sorted(map(str, remote.collect())) == sorted(map(str, df.collect()))
     with pytest.raises(ValueError):
         src.read(spark, path, layer="absent")
 
