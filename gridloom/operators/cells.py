@@ -36,6 +36,16 @@ def _near(module, cells: np.ndarray, level: int, middle: np.ndarray, reach: floa
     return cells[angle <= reach + module.radius(level) + 1e-12]
 
 
+def _divided(module, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The children of cells, and for each the number of its parent."""
+    own = np.arange(len(cells))
+    if module is h3:
+        five = h3.are_pentagons(cells[:, 0])
+        return module.divide(cells), np.concatenate([own if d != 1 else own[~five] for d in range(7)])
+    kids = module.divide(cells)
+    return kids, np.tile(own, len(kids) // max(1, len(cells)))
+
+
 def _cap(rings: list[np.ndarray]) -> tuple[np.ndarray, float, np.ndarray]:
     """(centre, radius) of a circle that holds the positions, and the positions as unit vectors."""
     p = s2.xyz(*np.concatenate(rings).T)
@@ -115,25 +125,39 @@ class Flat:
 def blocks(module, rings: list[np.ndarray], res: int) -> Iterator[tuple[list[int], bytes]]:
     """(block, what its fill needs) for blocks of cells that may hold centres inside the polygon; blocks wholly outside are left out."""
     if module is geohash:
-        edges = geo.edges_of(rings)
+        edges, band, local = geo.edges_of(rings), None, None
         p = np.concatenate(rings)
         nx, ny = geohash._bits(res)
-        for t in geohash.tiles((*p.min(0), *p.max(0)), res, DEFAULT_CELLS_PER_PIECE):
-            box = (t[0] * 360 / (1 << nx) - 180, t[1] * 180 / (1 << ny) - 90, (t[2] + 1) * 360 / (1 << nx) - 180, (t[3] + 1) * 180 / (1 << ny) - 90)
-            if len(own := geo.near_edges(edges, box)):
+        x = lambda k: k * 360 / (1 << nx) - 180
+        y = lambda k: k * 180 / (1 << ny) - 90
+        for t in geohash.tiles((*p.min(0), *p.max(0)), res, DEFAULT_CELLS_PER_PIECE):  # row by row
+            if t[1] != band:
+                band, local = t[1], geo.near_edges(edges, (-np.inf, y(t[1]), np.inf, y(t[3] + 1)))
+            if len(own := geo.near_edges(local, (x(t[0]), y(t[1]), x(t[2] + 1), y(t[3] + 1)))):
                 yield list(t), own.tobytes()
         return
+    # Down the hierarchy each cell takes from its parent's edges those that matter to it; a cell that none matters to is outside.
     flat = Flat(module, rings)
     edges, head = flat.edges(), flat.head()
     cells, level, want = module.roots(), 0, res - (6 if module is s2 else 4)
-    while level < want and len(cells):
-        cells, level = module.divide(_near(module, cells, level, flat.middle, flat.reach)), level + 1
-    cells = _near(module, cells, level, flat.middle, flat.reach)
-    for cell, centre in zip(cells.tolist(), module.middle(cells, level) if len(cells) else [], strict=True):
-        box = flat.box(centre, module.radius(level))
-        own = edges if box is None else geo.near_edges(edges, box)
-        if len(own):
-            yield [level, *cell], np.concatenate([head, own.ravel()]).tobytes()
+    local = [edges] * len(cells)
+    while len(cells):
+        keep, kept = [], []
+        angle = np.arccos(np.clip((centre := module.middle(cells, level)) @ flat.middle, -1, 1))
+        for k in np.flatnonzero(angle <= flat.reach + module.radius(level) + 1e-12).tolist():
+            box = flat.box(centre[k], module.radius(level))
+            if len(own := local[k] if box is None else geo.near_edges(local[k], box)):
+                keep.append(k)
+                kept.append(own)
+        cells = cells[keep]
+        if level >= want:
+            for cell, own in zip(cells.tolist(), kept, strict=True):
+                yield [level, *cell], np.concatenate([head, own.ravel()]).tobytes()
+            return
+        if len(cells):
+            cells, parent = _divided(module, cells)
+            local = [kept[k] for k in parent.tolist()]
+        level += 1
 
 
 def fill_block(module, block: list[int], need: bytes, res: int) -> np.ndarray:
