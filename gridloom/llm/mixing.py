@@ -38,7 +38,7 @@ from gridloom.llm.store import Store
 WORD = r"[^\x20\x09-\x0D]+"
 COPIES = 3
 SEED = "mix-1"
-MOST_PATTERNS = 20_000
+MOST_PATTERNS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +64,9 @@ def targets(sizes: list[int], weights: list[int], total: int) -> list[float]:
 def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int], copies: int = COPIES) -> list[dict[int, int]]:
     """Words from each pattern to each of its sources, at least cost among the largest flows.
 
-    Successive shortest paths with potentials; the copies of a pattern are
-    parallel arcs of cost 0, 1, 2 from the root, so the cost is convex.
+    The copies of a pattern are parallel arcs of cost 0, 1, 2 from the root, so the cost is convex.  Primal and dual by
+    turns: shortest distances give potentials, and a largest flow along arcs of no reduced cost is added at once, by
+    blocking flows.  A path costs 0 to ``copies - 1``, so there are at most ``copies`` turns.
     """
     n, m = len(capacity), len(quota)
     root, sink = n + m, n + m + 1
@@ -89,9 +90,9 @@ def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int]
     for s, words in enumerate(quota):
         arc(n + s, sink, words, 0)
     potential = [0] * len(out)
+    infinite = float("inf")
     while True:
-        far: list[float] = [float("inf")] * len(out)
-        via = [-1] * len(out)
+        far: list[float] = [infinite] * len(out)
         far[root] = 0
         heap = [(0, root)]
         while heap:
@@ -100,22 +101,50 @@ def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int]
                 continue
             for e in out[u]:
                 if cap[e] and (x := d + cost[e] + potential[u] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], via[to[e]] = x, e
+                    far[to[e]] = x
                     heapq.heappush(heap, (x, to[e]))
-        if far[sink] == float("inf"):
+        if far[sink] == infinite:
             break
         for u, d in enumerate(far):
-            if d < float("inf"):
+            if d < infinite:
                 potential[u] += d
-        u, most = sink, None
-        while u != root:
-            most = cap[via[u]] if most is None else min(most, cap[via[u]])
-            u = to[via[u] ^ 1]
-        u = sink
-        while u != root:
-            cap[via[u]] -= most
-            cap[via[u] ^ 1] += most
-            u = to[via[u] ^ 1]
+        free = lambda u, e: cap[e] and far[to[e]] < infinite and not cost[e] + potential[u] - potential[to[e]]
+        while True:
+            # A blocking flow by levels: each arc that led nowhere is passed over from then on.
+            level = {root: 0}
+            queue = [root]
+            for u in queue:
+                for e in out[u]:
+                    if to[e] not in level and free(u, e):
+                        level[to[e]] = level[u] + 1
+                        queue.append(to[e])
+            if sink not in level:
+                break
+            at = [0] * len(out)
+            path: list[int] = []
+            u = root
+            while True:
+                if u == sink:
+                    most = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= most
+                        cap[e ^ 1] += most
+                    keep = next(k for k, e in enumerate(path) if not cap[e])
+                    u = to[path[keep] ^ 1]
+                    del path[keep:]
+                while at[u] < len(out[u]):
+                    e = out[u][at[u]]
+                    if level.get(to[e]) == level[u] + 1 and free(u, e):
+                        break
+                    at[u] += 1
+                if at[u] < len(out[u]):
+                    path.append(out[u][at[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
+                else:
+                    break
     flows: list[dict[int, int]] = []
     for p in range(n):
         flows.append({to[e] - n: cap[e ^ 1] for e in out[p] if n <= to[e] < n + m and cap[e ^ 1]})
@@ -151,7 +180,10 @@ def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = Non
     sources = sorted({s for p in patterns for s in p})
     at = {s: k for k, s in enumerate(sources)}
     member = [[at[s] for s in p] for p in patterns]
-    size = [sum(w for w, m in zip(words, member, strict=True) if k in m) for k in range(len(sources))]
+    size = [0] * len(sources)
+    for w, m in zip(words, member, strict=True):
+        for k in m:
+            size[k] += w
     target = targets(size, [1 + k % 3 for k in range(len(sources))], sum(w for w, m in zip(words, member, strict=True) if m))
     flows = min_cost_flow(words, member, [int(t) for t in target])
     plan = [
