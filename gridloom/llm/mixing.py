@@ -12,8 +12,10 @@ nearer to its flow.
 
 Only sums by pattern and by (pattern, 1 of 4096 hash buckets) are formed, both
 with map-side combination; exact order is needed in one bucket of each pattern.
-The flow runs on the driver over the patterns: at most ``MOST_PATTERNS``
-(more is a ValueError).
+What a pattern takes comes down to one row: its full rounds, the last document in
+hash order that the remainder reaches, and the one further document.  Those rows
+are broadcast, so no document moves.  The flow runs on the driver over the
+patterns: at most ``MOST_PATTERNS`` (more is a ValueError).
 
 Defined cases: null or blank texts have size 0 and are taken 0 times over;
 a null source is a source of its own, ordered last; a row without a ``doc_id`` is
@@ -151,27 +153,25 @@ def min_cost_flow(capacity: list[int], member: list[list[int]], quota: list[int]
     return flows
 
 
-def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = None, seed: str = SEED, row: Column | None = None) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, pattern, row.
-
-    ``members`` is an array of source names, by default the one ``source``; a
-    document of several sources may serve any of them.  Sources by code point,
-    null last, weigh 1, 2, 3, repeating; source_size and target are sums over a
-    document's sources.  ``row`` tells rows apart, by default a number.
-    """
-    store = Store(spark, "mixing")
+def _facts(members: Column | None, seed: str, row: Column) -> list[Column]:
+    """What the mix needs of a document: doc_id, size, pattern, h (its place in hash order) and row."""
     names = F.array(F.col("source").cast("string")) if members is None else members
     keys = F.array_sort(F.array_distinct(F.transform(names, lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
     text = F.col("text").cast("string")
-    sized = store.put(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            word_count(text).alias("size"),
-            F.coalesce(F.to_json(keys), F.lit("[]")).alias("pattern"),
-            F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary")).alias("h"),
-            (F.monotonically_increasing_id() if row is None else row).alias("row"),
-        )
-    )
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        word_count(text).alias("size"),
+        F.coalesce(F.to_json(keys), F.lit("[]")).alias("pattern"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary")).alias("h"),
+        row.cast("long").alias("row"),
+    ]
+
+
+_KEY = "struct(h, doc_id, size, row)"
+
+
+def _plan(spark: SparkSession, store: Store, sized: DataFrame) -> DataFrame:
+    """One row for each pattern: pattern, source_size, target, rounds, edge (documents up to it get one copy more) and last (the row of the one further document)."""
     rows = sized.groupBy("pattern").agg(F.sum("size").alias("words")).orderBy("pattern").limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -186,48 +186,72 @@ def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = Non
             size[k] += w
     target = targets(size, [1 + k % 3 for k in range(len(sources))], sum(w for w, m in zip(words, member, strict=True) if m))
     flows = min_cost_flow(words, member, [int(t) for t in target])
-    plan = [
+    made = [
         (r.pattern, sum(size[k] for k in m) if m else None, float(sum(target[k] for k in m)) if m else None, sum(f.values()) // w if w else 0, sum(f.values()) % w if w else 0)
         for r, w, m, f in zip(rows, words, member, flows, strict=True)
     ]
-    plan_df = spark.createDataFrame(plan, "pattern string, source_size long, target double, rounds long, rest long")
+    # MOST_PATTERNS rows at most, here and below: small enough to broadcast.
+    plan = F.broadcast(spark.createDataFrame(made, "pattern string, source_size long, target double, rounds long, rest long"))
 
     bucket = F.substring("h", 1, 3)
-    sums = sized.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = sums.withColumn("high", F.sum("words").over(before)).withColumn("low", F.col("high") - F.col("words")).drop("words").join(plan_df, "pattern")
-    placed = sized.withColumn("bucket", bucket).join(edges, ["pattern", "bucket"])
-    cut = "low <= rest and rest < high"
-    columns = ["doc_id", "size", "source_size", "target", "rounds", "rest", "pattern", "h", "row"]
-    clear = placed.where(f"not ({cut})").select(*columns, F.when(F.col("high") <= F.col("rest"), 1).otherwise(0).alias("extra"))
+    sums = sized.groupBy("pattern", bucket.alias("cut")).agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("pattern").orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = sums.withColumn("high", F.sum("words").over(before)).withColumn("low", F.col("high") - F.col("words"))
+    cut = store.put(edges.join(plan, "pattern").where("low <= rest and rest < high").select("pattern", "cut", "low", "rest"))
     order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    close = placed.where(cut).select(*columns, F.when(F.sum("size").over(order) + F.col("low") <= F.col("rest"), 1).otherwise(0).alias("extra"))
-    chosen = store.put(clear.unionAll(close))
-    left = chosen.groupBy("pattern").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("left"))
+    close = sized.join(F.broadcast(cut), "pattern").where(bucket == F.col("cut")).withColumn("fits", F.sum("size").over(order) + F.col("low") <= F.col("rest"))
+    reached = close.groupBy("pattern").agg(F.max(F.expr(f"if(fits, {_KEY}, null)")).alias("edge"), F.sum(F.expr("if(fits, size, 0)")).alias("more"))
+    # Without one in the cut bucket, the edge lies before all of it: its name is a beginning of their hashes.
+    none = F.expr("named_struct('h', cut, 'doc_id', cast(null as bigint), 'size', cast(null as bigint), 'row', cast(null as bigint))")
+    edge = store.put(cut.join(F.broadcast(reached), "pattern", "left").select("pattern", F.coalesce("edge", none).alias("edge"), (F.col("rest") - F.col("low") - F.coalesce("more", F.lit(0))).alias("left")))
     miss = F.abs(F.col("size") - F.col("left"))
-    # One row a pattern, MOST_PATTERNS at most: small enough to broadcast, and a hot pattern stays dealt out.
-    last = chosen.where("extra = 0 and size > 0").join(F.broadcast(left), "pattern").where(miss < F.col("left"))
-    last = last.groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "row")).alias("last"))
-    once = F.col("last.row") == F.col("row")
-    copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra") + F.when(once, 1).otherwise(0)).otherwise(0).cast("long")
-    out = chosen.join(F.broadcast(last), "pattern", "left").withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pattern", "row")
+    beyond = sized.where("size > 0").join(F.broadcast(edge), "pattern").where(F.expr(f"{_KEY} > edge") & (miss < F.col("left")))
+    last = beyond.groupBy("pattern").agg(F.min(F.struct(miss.alias("miss"), "h", "doc_id", "size", "row")).alias("last"))
+    out = plan.join(F.broadcast(edge), "pattern", "left").join(F.broadcast(last), "pattern", "left")
+    return F.broadcast(store.put(out.select("pattern", "source_size", "target", "rounds", "edge", F.col("last.row").alias("last"))))
+
+
+def _counted(x: Column) -> Column:
+    key = F.struct(x["h"], x["doc_id"], x["size"], x["row"])
+    extra = F.coalesce(key <= x["edge"], F.lit(False))
+    once = F.coalesce(x["last"] == x["row"], F.lit(False))
+    return F.when(x["size"] > 0, x["rounds"] + F.when(extra, 1).otherwise(0) + F.when(once, 1).otherwise(0)).otherwise(0).cast("long")
+
+
+def copies_of(spark: SparkSession, docs: DataFrame, members: Column | None = None, seed: str = SEED) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, size, source_size, target, taken, copies, pattern.
+
+    ``members`` is an array of source names, by default the one ``source``; a
+    document of several sources may serve any of them.  Sources by code point,
+    null last, weigh 1, 2, 3, repeating; source_size and target are sums over a
+    document's sources.
+    """
+    store = Store(spark, "mixing")
+    sized = store.put(docs.select(*_facts(members, seed, F.monotonically_increasing_id())))
+    out = sized.join(_plan(spark, store, sized), "pattern").withColumn("copies", F.element_at(F.transform(F.array(F.struct("h", "doc_id", "size", "row", "rounds", "edge", "last")), _counted), 1))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "pattern")
 
 
-def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, members: Column | None = None, seed: str = SEED) -> DataFrame:
     """The documents the mix takes, with ``copies`` saying how often and ``target`` what their source is to give.
 
     Rows are numbered in a stored copy, so that each row follows its own count, repeated ids or not.  The input's own
     columns stay as they are; where it has these two names already, the new ones get a number behind them.
     """
-    row, copies, target = fresh(docs.columns, "row", "copies", "target")
-    numbered = Store(spark, "mixed").put(docs.withColumn(row, F.monotonically_increasing_id()))
-    take = copies_of(spark, numbered, row=own(row)).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies), F.col("target").alias(target))
-    return numbered.join(take, row).select(*[own(c) for c in docs.columns], own(copies), own(target))
+    store = Store(spark, "mixed")
+    row, facts, plan, copies, target = fresh(docs.columns, "row", "facts", "plan", "copies", "target")
+    numbered = store.put(docs.withColumn(row, F.monotonically_increasing_id()))
+    made = _plan(spark, store, store.put(numbered.select(*_facts(members, seed, own(row)))))
+    whole = numbered.select(*[own(c) for c in docs.columns], F.struct(*_facts(members, seed, own(row))).alias(facts))
+    inner = [F.col(facts)[c].alias(c) for c in ("doc_id", "size", "pattern", "h", "row")]
+    both = whole.join(F.broadcast(made.select(F.struct("*").alias(plan))), F.col(f"{facts}.pattern") == F.col(f"{plan}.pattern"))
+    # The names inside the two structs stand for themselves in one struct of results.
+    count = F.element_at(F.transform(F.array(F.struct(*inner, *[F.col(plan)[c].alias(c) for c in ("target", "rounds", "edge", "last")])), _counted), 1)
+    return both.withColumn(copies, count).where(own(copies) > 0).select(*[own(c) for c in docs.columns], own(copies), F.col(plan)["target"].alias(target))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies_of(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pattern", "row")
+    return copies_of(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("pattern")
 
 
 OP1_SQL = f"""

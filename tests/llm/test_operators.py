@@ -295,8 +295,8 @@ def test_mix_follows_targets_and_sql(spark):
     sources = ["a", "b", None, "c", "b"] * 60
     texts = [None if k % 37 == 0 else prose(1 + k % 50) for k in range(300)]
     docs = table(spark, texts, sources=sources)
-    rows = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
-    again = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
+    rows = mixing.copies_of(spark, docs).drop("pattern").toPandas()
+    again = mixing.copies_of(spark, docs).drop("pattern").toPandas()
     documents = docs.select("doc_id", "text", "source").toPandas()
     want = duckdb.sql(mixing.OP1_SQL).df()
     order = lambda f: f[sorted(f.columns)].sort_values("doc_id").reset_index(drop=True)
@@ -314,7 +314,7 @@ def test_mix_of_repeated_rows_matches_sql(spark):
     rows = [(5, "a b c d e f", "s"), (5, "a b c d e f", "s")] * 12 + [(None, "x y z", "t"), (None, "x y z", "t"), (None, None, None), (7, "w " * 9, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     documents = docs.toPandas().astype({"doc_id": "Int64"})
-    got = mixing.copies_of(spark, docs).drop("pattern", "row").toPandas()
+    got = mixing.copies_of(spark, docs).drop("pattern").toPandas()
     want = duckdb.sql(mixing.OP1_SQL).df()
     plain = lambda f: sorted(tuple(-1.0 if v != v else float(v) for v in r) for r in f[sorted(f.columns)].astype(float).itertuples(index=False))
     assert plain(got) == plain(want) and len(documents) == len(rows)

@@ -151,7 +151,7 @@ def test_tables_with_other_columns_repeated_rows_and_nulls(spark, n):
     talks = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None), (2, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     items = spark.createDataFrame([(1, "the house sat on a mat near"), (None, None), (2, "")], "item_id long, text string")
     run = {
-        1: (docs, lambda d: mixing.copies_of(spark, d).drop("row")), 2: (pages, lambda d: warc.derive(warc.responses(d))), 3: (docs, lambda d: decontaminate.leaks(d, items)),
+        1: (docs, lambda d: mixing.copies_of(spark, d)), 2: (pages, lambda d: warc.derive(warc.responses(d))), 3: (docs, lambda d: decontaminate.leaks(d, items)),
         4: (pages, url_filter.verdicts), 5: (pages, html_main.extract), 6: (talks, chat.formatted), 7: (docs, lambda d: minhash_forest.near_duplicates(spark, d)),
         8: (docs, spotsigs.edited_fingerprints), 9: (docs, secrets.secrets), 10: (docs, language.identify),
     }
