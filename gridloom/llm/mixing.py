@@ -239,11 +239,10 @@ def mixed(spark: SparkSession, docs: DataFrame, members: Column | None = None, s
     columns stay as they are; where it has these two names already, the new ones get a number behind them.
     """
     store = Store(spark, "mixed")
-    row, facts, plan, copies, target = fresh(docs.columns, "row", "facts", "plan", "copies", "target")
-    numbered = store.put(docs.withColumn(row, F.monotonically_increasing_id()))
-    made = _plan(spark, store, store.put(numbered.select(*_facts(members, seed, own(row)))))
-    whole = numbered.select(*[own(c) for c in docs.columns], F.struct(*_facts(members, seed, own(row))).alias(facts))
+    facts, plan, copies, target = fresh(docs.columns, "facts", "plan", "copies", "target")
+    whole = store.put(docs.withColumn(facts, F.struct(*_facts(members, seed, F.monotonically_increasing_id()))))
     inner = [F.col(facts)[c].alias(c) for c in ("doc_id", "size", "pattern", "h", "row")]
+    made = _plan(spark, store, whole.select(*inner))
     both = whole.join(F.broadcast(made.select(F.struct("*").alias(plan))), F.col(f"{facts}.pattern") == F.col(f"{plan}.pattern"))
     # The names inside the two structs stand for themselves in one struct of results.
     count = F.element_at(F.transform(F.array(F.struct(*inner, *[F.col(plan)[c].alias(c) for c in ("target", "rounds", "edge", "last")])), _counted), 1)
