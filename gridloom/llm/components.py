@@ -50,3 +50,12 @@ def components(spark: SparkSession, links: DataFrame, store: Store | None = None
     if result is None:
         return spark.createDataFrame([], "id long, component long")
     return store.put(result)
+
+
+def merged(spark: SparkSession, part: DataFrame, links: DataFrame, store: Store) -> DataFrame:
+    """``part(id, component)`` with further ``links(a, b)``: only the components that these join are met again, not the links before."""
+    side = lambda end: part.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    step = components(spark, between, store)
+    moved = part.join(step.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    return store.put(moved.unionByName(step.join(part.select("id"), "id", "left_anti")))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
-from gridloom.llm.components import components
+from gridloom.llm.components import components, merged
 from gridloom.llm.store import Store
 
 SHINGLE = 5
@@ -337,12 +337,11 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     right = part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     more = _verify(apart, sets)
-    links_2 = store.put(links.unionAll(more))
-    part = components(spark, links_2, store)
+    part = merged(spark, part, store.put(more), store)
     extra = _complete(spark, store, rest, part, sets)
     links_3 = store.put(_verify(extra, sets))
     if not links_3.isEmpty():
-        part = components(spark, links_2.unionAll(links_3), store)
+        part = merged(spark, part, links_3, store)
 
     # Members of a class follow their first document; AQE splits a hot class.
     first = store.put(classes.join(part, classes.rep == part.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))).hint("merge")

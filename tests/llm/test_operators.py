@@ -70,6 +70,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.component_id == i) for i, r in out.items())
 
 
+def test_components_with_further_links(spark):
+    from gridloom.llm.components import components, merged
+    from gridloom.llm.store import Store
+
+    r = random.Random(2)
+    first, more = ([(r.randrange(300), r.randrange(300)) for _ in range(n)] for n in (150, 60))
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    store = Store(spark, "test")
+    plain = {x.id: x.component for x in components(spark, frame([e for e in first + more]), store).collect()}
+    got = [(x.id, x.component) for x in merged(spark, components(spark, frame(first), store), frame(more), store).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == plain
+    none = merged(spark, components(spark, frame([]), store), frame([]), store)
+    assert none.count() == 0
+
+
 def test_large_groups_are_completed(spark):
     base = prose(100)
     texts = [edited(base, 1) for _ in range(150)] + [edited(base, 5) for _ in range(40)] + [base]
