@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
-from gridloom.llm.columns import in_place
+from gridloom.llm.columns import in_place, text_batches
 
 SHINGLE = 5
 #: Similarity needed, in hundredths.
@@ -311,6 +311,7 @@ def load(items: DataFrame) -> Iterator[Index]:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words) for every document that holds an item."""
+    text_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def searched(index: Index) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
-from gridloom.llm.columns import in_place
+from gridloom.llm.columns import in_place, text_batches
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
@@ -214,6 +214,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` rows of each language of ``docs(doc_id, text, lang)``."""
+    text_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:

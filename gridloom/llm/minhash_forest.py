@@ -36,7 +36,6 @@ once).  Only ``doc_id`` and ``text`` are read; other columns may have any name.
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
+from gridloom.llm.columns import text_batches
 from gridloom.llm.components import components, merged
 from gridloom.llm.store import Store
 
@@ -53,8 +53,6 @@ TREES = 32
 MINIMA = 96
 #: Rows (one for each class and order) of a sorted run of the forest, held by one task at 32 bytes each.
 RUN = 1 << 20
-#: Bytes of an Arrow batch.
-BATCH = 8 << 20
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A region up to this many classes gives all its pairs.
@@ -297,25 +295,9 @@ def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFram
     return side("a").join(side("b"), "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
 
 
-@contextlib.contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH bytes for the steps inside, all of which run before it ends: texts and sets are large rows."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
-    with _small_batches(spark):
-        return _near_duplicates(spark, docs)
-
-
-def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    text_batches(spark)
     store = Store(spark, "minhash-forest")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = store.put(text.mapInArrow(_sign, _SIGNED))

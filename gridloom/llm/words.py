@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Bytes of a slice; a longer single document makes a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
