@@ -102,6 +102,45 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash_forest.keep_one(spark, twice).columns == twice.columns
 
 
+def test_near_duplicates_start_no_program_for_their_tables(tmp_path):
+    """Hadoop's local file system starts chmod for what it writes; a session with another chmod before it in PATH tells."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/started\nexec /bin/chmod "$@"\n')
+    (tmp_path / "chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from gridloom.llm import minhash_forest
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+docs = spark.createDataFrame([(k, "a b c d e f g h " + "xyz"[k // 2]) for k in range(6)], "doc_id long, text string")
+assert sorted(r.doc_id for r in minhash_forest.keep_one(spark, docs).collect()) == [0, 2, 4]
+spark.range(1).write.parquet("{tmp_path}/by_spark")
+"""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PATH": f"{tmp_path}:{os.environ['PATH']}", "PYTHONPATH": top}
+    subprocess.run([sys.executable, "-c", code], env={k: v for k, v in env.items() if not k.startswith("PYSPARK_GATEWAY")}, check=True, timeout=300)
+    started = (tmp_path / "started").read_text()
+    assert "/by_spark" in started and "/shared/minhash-forest" not in started
+
+
+def test_tables_by_python(spark):
+    from gridloom.llm.store import Store
+
+    store = Store(spark, "test", by_python=True)
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as int) as k", "id % 2 = 0 as even", "encode(cast(id as string), 'UTF-8') as raw", "if(id % 3 = 0, null, cast(id as string)) as text")
+    got = store.put(df)
+    assert got.dtypes == df.dtypes and sorted(got.collect()) == sorted(df.collect())
+    assert store.put(got.where("id < 0")).count() == 0 and store.put(got.where("id < 0")).dtypes == df.dtypes
+    one = store.put(df.select("id"), lambda batches: (b for b in batches), "id long")
+    assert one.agg(F.sum("id")).first()[0] == 499500
+    store.drop(got)
+    import os
+
+    assert store.folder and not os.path.exists(f"{store.folder}/t1")
+
+
 # -- 3 ------------------------------------------------------------------------------------------
 
 
