@@ -1,14 +1,15 @@
-"""The ten operators as queries over the whole tables, and their SQL where SQL can express them."""
+"""The operators as queries over the whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from gridloom.llm import chat, decontaminate, html_main, language, minhash_forest, mixing, secrets, spotsigs, url_filter, warc
+from gridloom.llm import chat, decontaminate, html_main, language, minhash_forest, mixing, periodic, secrets, spotsigs, url_filter, warc
 
 
 def queries() -> dict:
     made = (
         mixing.op1_mix_sources, warc.op2_warc_derivatives, decontaminate.op3_decontaminate, url_filter.op4_url_filter, html_main.op5_html_main_text,
         chat.op6_chat_format, minhash_forest.op7_minhash_forest, spotsigs.op8_spotsigs, secrets.op9_secret_scan, language.op10_language_id,
+        periodic.op13_periodic_runs,
         # Parts of the above that SQL can express.
         url_filter.url_rules, spotsigs.spotsigs_edits, secrets.secret_base_spans,
     )
