@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import words as wd
 from gridloom.llm.columns import text_batches
 from gridloom.llm.components import components, merged
+from gridloom.llm.shingle_sets import packed, sets_of, unpack, verified
 from gridloom.llm.store import Store
 
 SHINGLE = 5
@@ -60,26 +61,17 @@ SMALL = 16
 _MULTIPLIERS = np.random.default_rng(75).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Minima that each order looks at first: three of its own, then some of the others.
 _ORDERS = np.array([[(3 * t + j) % MINIMA for j in range(3)] + [(3 * t + 3 + 31 * j) % MINIMA for j in range(1, 4)] for t in range(TREES)])
-_SPACE = wd.white_space_split()
 
 _SIGNED = "doc_id long, n long, s1 long, s2 long, sig binary"
 _RUN = "kind int, x long, y long, hi long, lo long, n long"
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each document and their bounds."""
-    hashes, bounds = wd.word_hashes(data, offsets, _SPACE)
-    shingles, part = wd.shingle_hashes(hashes, bounds, SHINGLE)
-    sets = [np.unique(shingles[a:b]) for a, b in zip(part[:-1], part[1:], strict=True)]
-    return (np.concatenate(sets) if sets else shingles), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
     for batch in batches:
         ids = batch.column(0)
         for first, last, data, offsets in wd.slices(batch.column(1)):
-            sets, bounds = _sets(data, offsets)
+            sets, bounds = sets_of(data, offsets, SHINGLE)
             n = np.diff(bounds)
             s1, s2 = np.zeros(last - first, np.uint64), np.zeros(last - first, np.uint64)
             minima = np.zeros((last - first, MINIMA), np.uint32)
@@ -182,51 +174,6 @@ def _ends(table: pa.Table) -> pa.Table:
     return pa.table({"x": pairs[:, 0].copy(), "y": pairs[:, 1].copy()})
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets as sorted 6-byte hashes; pairs of sets of 20,000 confuse a shingle once in 700,000 pairs."""
-    for batch in batches:
-        ids = batch.column(0)
-        for first, last, data, offsets in wd.slices(batch.column(1)):
-            sets, bounds = _sets(data, offsets)
-            raw = np.ascontiguousarray(sets >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.record_batch([ids.slice(first, last - first), pa.array([raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
-
-
-def unpack(raw: bytes | np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = (np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a binary column, without a copy."""
-    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        if batch.num_rows:
-            (left, lo), (right, ro) = _cells(batch.column(2)), _cells(batch.column(3))
-            for i in range(batch.num_rows):
-                both = np.concatenate([unpack(left[lo[i] : lo[i + 1]]), unpack(right[ro[i] : ro[i + 1]])])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= PERCENT * (len(both) - common) and common:
-                    keep.append(i)
-        at = pa.array(keep, pa.int64())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
-
-
-def _verified(store: Store, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return store.put(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right"), _check, "a long, b long")
-
-
 def _prefixes(shared):
     """Rows (shingle, doc_id, n, place) for the rarest quarter of each set, by (frequency, hash); ``shared`` is a broadcast of (sorted common shingles, their counts)."""
 
@@ -310,17 +257,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rest = walked.where("kind = 2").select("hi", F.col("x").alias("doc_id"))
 
     ids = store.put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(rest.select("doc_id")).distinct())
-    sets = store.put(text.join(ids, "doc_id", "left_semi"), _pack, "doc_id long, shingles binary")
+    sets = packed(store, text, ids, SHINGLE)
     best = pairs.groupBy("b").agg(F.max(F.struct("orders", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), "b")
-    links = _verified(store, best, sets)
+    links = verified(store, best, sets, PERCENT)
     part = components(spark, links, store)
 
     left = part.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     right = part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    part = merged(spark, part, _verified(store, apart, sets), store)
+    part = merged(spark, part, verified(store, apart, sets, PERCENT), store)
     extra = _complete(spark, store, rest, part, sets)
-    links_3 = _verified(store, extra, sets)
+    links_3 = verified(store, extra, sets, PERCENT)
     if not links_3.isEmpty():
         part = merged(spark, part, links_3, store)
 
