@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import words as wd
 from gridloom.llm.columns import text_batches
 from gridloom.llm.components import components, merged
-from gridloom.llm.shingle_sets import packed, sets_of, unpack, verified
+from gridloom.llm.shingle_sets import packed, rare_pairs, sets_of, verified
 from gridloom.llm.store import Store
 
 SHINGLE = 5
@@ -174,72 +174,15 @@ def _ends(table: pa.Table) -> pa.Table:
     return pa.table({"x": pairs[:, 0].copy(), "y": pairs[:, 1].copy()})
 
 
-def _prefixes(shared):
-    """Rows (shingle, doc_id, n, place) for the rarest quarter of each set, by (frequency, hash); ``shared`` is a broadcast of (sorted common shingles, their counts)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, count = shared.value
-        for batch in batches:
-            shingles, docs, sizes, places = [], [], [], []
-            for d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = unpack(raw)
-                keep = len(own) - -(-PERCENT * len(own) // 100) + 1
-                often = np.zeros(len(own), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    often = np.where(common[at] == own, count[at], 0)
-                order = np.lexsort((own, often))[:keep]
-                # A shingle of no other document meets none.
-                real = np.flatnonzero(often[order] > 0) if len(common) < MOST_COMMON else np.arange(len(order))
-                shingles.append(own[order[real]].view(np.int64))
-                docs += [d] * len(real)
-                sizes += [len(own)] * len(real)
-                places.append(real)
-            if shingles:
-                yield pa.record_batch([pa.array(np.concatenate(shingles)), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(places))], names=["shingle", "doc_id", "n", "place"])
-
-    return run
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = b"".join(batch.column(1).to_pylist())
-        for at in range(0, len(raw), 6 << 20):
-            shingle, k = np.unique(unpack(raw[at : at + (6 << 20)]), return_counts=True)
-            yield pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(k)], names=["shingle", "k"])
-
-
-#: Shingles whose frequency is known exactly for the prefix filter's order; others count as rare, which is as right but prunes less.
-MOST_COMMON = 1 << 18
-
-
 def _complete(spark: SparkSession, store: Store, rest: DataFrame, part: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact candidate pairs between components inside the large regions ``rest(hi, doc_id)``.
-
-    Prefix and position filter: with shingles ordered from rare to common, two
-    sets of similarity 0.75 share a shingle of both prefixes, and the shingles
-    from there on are enough for the overlap they need.
-    """
+    """Exact candidate pairs between components inside the large regions ``rest(hi, doc_id)``."""
     placed = rest.join(part, rest.doc_id == part.id, "left").select("hi", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("hi").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where(f"low <> high and k > {SMALL}")
     mixed = store.put(mixed.select("hi")).hint("merge")  # a sort-merge join of stored rows is one that AQE splits where a region is hot
     open_ = store.put(placed.join(mixed, "hi", "left_semi").select("doc_id", "component").distinct())
     if open_.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    own = store.put(sets.join(open_.select("doc_id"), "doc_id", "left_semi"))
-    top = own.mapInArrow(_tally, "shingle long, k long").groupBy("shingle").agg(F.sum("k").alias("k")).where("k > 1").orderBy(F.desc("k"), "shingle").limit(MOST_COMMON)
-    table = top.toArrow()
-    common, count = table.column("shingle").to_numpy().view(np.uint64), table.column("k").to_numpy()
-    order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[order], count[order]))  # 16 bytes for each of MOST_COMMON at most
-    rows = own.mapInArrow(_prefixes(shared), "shingle long, doc_id long, n long, place long").join(open_, "doc_id")
-    # Only shingles of several components can link them.
-    rows = store.put(rows)
-    several = store.put(rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"))
-    rows = store.put(rows.join(several.hint("merge"), "shingle", "left_semi"))
-    side = lambda x: rows.select("shingle", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
-    enough = f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)"
-    return side("a").join(side("b"), "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
+    return rare_pairs(store, sets, open_, PERCENT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

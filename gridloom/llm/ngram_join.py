@@ -15,14 +15,17 @@ all shingles to more than H segments, the two sets agree wholly in some segment.
     several components are looked at further, and only pairs of two of them.
 *   Allocation by cost: a segment that is empty, or whose key is so common that
     its pairs of different components outnumber its sets by ``COSTLY`` times, is
-    allotted nothing.  Each band has some segments more than H needs (``spare``), so
-    a set may have that many such segments and still lose no link.  Where it has
-    more, its segments are allotted two differences instead of one: every segment
-    is met with each one of its shingles left out as well.  If z of m segments
-    are allotted nothing, at most ``2z - spare - 1`` segments can fail to meet so, which
-    is fewer than m while ``z <= (m + spare) / 2``.  A set with even more also
-    meets by all its keys, common ones too (among such sets only).  So every link
-    between different components is found, whatever the data.
+    allotted nothing.  Each band has some segments more than H needs (``SPARE``),
+    so a set may have that many such segments and still lose no link.  Where it has
+    more, its segments are allotted two differences instead of one: each is met
+    with every one of its shingles left out as well, by keys of the same cost at
+    most.  Of a pair that fails to meet so, at most half of H segments differ by two
+    or more, and in all others its common part is too costly a key, which each of
+    the two sets sees from its own keys.  So only sets with such keys in more than
+    ``H / 2 + SPARE`` segments, which consist of passages that very many documents
+    share, can still have links that are not found; these few are completed by
+    their rarest shingles.  So every link between different components is found,
+    whatever the data.
 *   A pair must share at least as many keys as its sizes imply, less the segments
     that were allotted nothing; those that do are compared on their full sets.
 
@@ -45,14 +48,14 @@ from pyspark.sql import functions as F
 from gridloom.llm import words as wd
 from gridloom.llm.columns import text_batches
 from gridloom.llm.components import components, merged
-from gridloom.llm.shingle_sets import cells, packed, sets_of, unpack, verified
+from gridloom.llm.shingle_sets import cells, packed, rare_pairs, sets_of, unpack, verified
 from gridloom.llm.store import Store
 
 SHINGLE = 4
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A key with more pairs of different components than this for each of its sets is allotted nothing.
-COSTLY = 32
+COSTLY = 4
 #: Classes that a task remembers, so that further copies in it are passed over.
 SEEN = 1 << 18
 
@@ -69,11 +72,11 @@ BAND = _bands()
 _TOP = BAND[1:] - 1
 #: Most shingles that are in one set only, of the spare segments of each band, and its segments.
 DIFFER = (100 - PERCENT) * (_TOP + 100 * _TOP // PERCENT) // (100 + PERCENT)
-SPARE = np.maximum(1, (DIFFER + 1) // 8)
+SPARE = np.maximum(1, (DIFFER + 1) // 3)
 SEGMENTS = DIFFER + 1 + SPARE
 
-#: Kinds of key, in a key's last two bits: a whole segment, one less a shingle or whole to be met by such, and a whole segment of a set with many that are allotted nothing.
-WHOLE, LESS, ALL = 0, 1, 2
+#: Kinds of key, in a key's last bit: a whole segment, and one less a shingle, or whole to be met by such.
+WHOLE, LESS = 0, 1
 _KEYS = "key long, doc_id long, meta long"
 
 
@@ -86,9 +89,9 @@ def bands_of(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def deal(tokens: np.ndarray, n: np.ndarray, band: np.ndarray, extra: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, set, segments left empty by the set) of sets of n tokens each, which lie one behind the other.
+    """(key, set, number) of sets of n tokens each, which lie one behind the other.
 
-    Without ``extra``, the whole non-empty segments, and the further keys of sets with more empty segments than their band has to spare; with it, the further keys of all sets, of which ``extra`` says how many more segments are allotted nothing.
+    Without ``extra``, the whole non-empty segments, with the number of segments that the set leaves empty, and the further keys, with their segment's number, of sets with more empty segments than their band has to spare; with it, the further keys only, where ``extra`` is how many more segments are allotted nothing.
     """
     segments = SEGMENTS[band]
     first = np.concatenate(([0], np.cumsum(segments)))
@@ -103,35 +106,30 @@ def deal(tokens: np.ndarray, n: np.ndarray, band: np.ndarray, extra: np.ndarray
     place = np.arange(int(first[-1])) - first[holder]
     salt = wd.mix((band[holder].astype(np.uint64) << np.uint64(40)) | place.astype(np.uint64))
     empty = segments - np.bincount(holder[filled], minlength=len(n))
-    nothing = empty if extra is None else empty + extra
 
     def keys(sums: np.ndarray, salts: np.ndarray, kind: int) -> np.ndarray:
-        return ((wd.mix(sums + salts) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
+        return ((wd.mix(sums + salts) & ~np.uint64(1)) | np.uint64(kind)).view(np.int64)
 
     if extra is None:
         yield keys(total[filled], salt[filled], WHOLE), holder[filled], empty[holder[filled]]
-    over = nothing > SPARE[band]
+    over = (empty if extra is None else empty + extra) > SPARE[band]
     if over.any():
         at = over[holder]
-        yield keys(total[at], salt[at], LESS), holder[at], nothing[holder[at]]
+        yield keys(total[at], salt[at], LESS), holder[at], place[at]
         at = over[owner]
-        yield keys(total[slot[at]] - value[at], salt[slot[at]], LESS), owner[at], nothing[owner[at]]
-    most = 2 * nothing > segments + SPARE[band]
-    if most.any():
-        at = most[holder]
-        yield keys(total[at], salt[at], ALL), holder[at], nothing[holder[at]]
+        yield keys(total[slot[at]] - value[at], salt[slot[at]], LESS), owner[at], place[slot[at]]
 
 
 def _rows(tokens: np.ndarray, bounds: np.ndarray, ids: np.ndarray, which: np.ndarray, band: np.ndarray, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Key rows of the sets ``which``; meta holds the set's size, its band and its segments that are allotted nothing."""
+    """Key rows of the sets ``which``; meta holds the set's size, its band and the key's number (see ``deal``)."""
     n = np.diff(bounds)
     if not len(which):
         return
     own = n[which]
     start = np.concatenate(([0], np.cumsum(own)))
     take = np.arange(int(start[-1])) + np.repeat(bounds[:-1][which] - start[:-1], own)
-    for key, of, nothing in deal(tokens[take], own, band, extra):
-        meta = (own[of] << 32) | (band[of] << 24) | np.minimum(nothing, (1 << 24) - 1)
+    for key, of, number in deal(tokens[take], own, band, extra):
+        meta = (own[of] << 32) | (band[of] << 24) | np.minimum(number, (1 << 24) - 1)
         yield pa.record_batch([pa.array(key), pa.array(ids[which[of]]), pa.array(meta)], names=["key", "doc_id", "meta"])
 
 
@@ -194,7 +192,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_meta = np.where(start >= 0, meta[np.maximum(start, 0)], held[2] if held else 0)
         follows = np.zeros(len(key), bool)
         follows[:-1] = ~begins[1:]
-        give = ~begins | follows | ((key & 3) != WHOLE)
+        give = ~begins | follows | ((key & 1) != WHOLE)
         columns = [key[give], doc[give], meta[give], first_doc[give], first_meta[give]]
         if waits:
             columns = [np.concatenate(([v], c)) for v, c in zip((held[0], held[1], held[2], held[1], held[2]), columns, strict=True)]
@@ -204,18 +202,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: The parts of meta and of a key, as SQL.
-_SIZE, _BAND, _NOTHING, _KIND = "shiftright(meta, 32)", "shiftright(meta, 24) & 255", f"meta & {(1 << 24) - 1}", "key & 3"
+_SIZE, _BAND, _NUMBER, _KIND = "shiftright(meta, 32)", "cast(shiftright(meta, 24) & 255 as int)", f"meta & {(1 << 24) - 1}", "key & 1"
 
 
 def _table(values: np.ndarray):
     return F.array(*[F.lit(int(v)) for v in values])
 
 
+def _placed(store: Store, rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Key rows with their set's component, where a key has several; ``costly`` says whether its pairs are too many."""
+    rows = rows.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rows = store.put(rows.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.expr(_SIZE).alias("n"), F.expr(_BAND).alias("band"), F.expr(_NUMBER).alias("number")))
+    cost = rows.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same")).where("k * k > same")
+    cost = store.put(cost.select("key", (F.col("k") * F.col("k") - F.col("same") > 2 * COSTLY * F.col("k")).alias("costly"))).hint("merge")
+    return store.put(rows.join(cost, "key"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of different components with equal keys, once for each key and band."""
+    side = lambda x: rows.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("number").alias(f"z{x}"), *(["band"] if x == "a" else []))
+    return side("a").join(side("b"), "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components among ``rows(key, doc_id, component, n, band, nothing)`` that share as many keys as their sizes need."""
-    side = lambda x: rows.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("nothing").alias(f"z{x}"), *(["band"] if x == "a" else []))
-    fits = f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-    met = side("a").join(side("b"), "key").where(fits).groupBy("a", "b", "band").agg(F.count("*").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("za").alias("za"), F.max("zb").alias("zb"))
+    """Pairs (a, b) among ``rows``, whose number is how many segments are allotted nothing, that share as many keys as their sizes need."""
+    met = _met(rows).groupBy("a", "b", "band").agg(F.count("*").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("za").alias("za"), F.max("zb").alias("zb"))
     need = F.get(_table(SEGMENTS), F.col("band")) - F.floor((100 - PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT)) - F.least("za", "zb")
     return met.where(F.col("k") >= need).select("a", "b").distinct()
 
@@ -246,29 +257,25 @@ def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
     best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), "b")
     part = components(spark, verified(store, best, sets, PERCENT), store)
 
-    # Groups of several components.
-    placed = met.select("key", "doc_id", "meta").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    placed = store.put(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.expr(_SIZE).alias("n"), F.expr(_BAND).cast("int").alias("band"), F.expr(_NOTHING).alias("nothing")))
-    whole = placed.where(f"{_KIND} = {WHOLE}")
-    cost = whole.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same")).where("k * k > same")
-    cost = store.put(cost.select("key", (F.col("k") * F.col("k") - F.col("same") > 2 * COSTLY * F.col("k")).alias("costly"))).hint("merge")
-    open_ = store.put(whole.join(cost, "key"))
-    costly = open_.where("costly").groupBy("doc_id", "band").agg(F.count("*").alias("extra"))
-    costly = store.put(costly)
-    cheap = open_.where("not costly").join(costly, ["doc_id", "band"], "left").withColumn("nothing", F.col("nothing") + F.coalesce("extra", F.lit(0)))
+    # Groups of several components, by their whole segments.
+    open_ = _placed(store, met.where(f"{_KIND} = {WHOLE}").select("key", "doc_id", "meta"), part)
+    costly = store.put(open_.where("costly").groupBy("doc_id", "band").agg(F.count("*").alias("extra")))
+    cheap = open_.where("not costly").join(costly, ["doc_id", "band"], "left").withColumn("number", F.col("number") + F.coalesce("extra", F.lit(0)))
     part = merged(spark, part, verified(store, _pairs(cheap), sets, PERCENT), store)
 
-    # Sets with more segments allotted nothing than their band can spare.
-    over = open_.select("doc_id", "band", "nothing").distinct().join(costly, ["doc_id", "band"]).where(F.col("nothing") + F.col("extra") > F.get(_table(SPARE), F.col("band")))
+    # Sets with more segments allotted nothing than their band can spare: with a shingle left out.
+    over = open_.where("costly").select("doc_id", "band", "number").distinct().join(costly, ["doc_id", "band"]).where(F.col("number") + F.col("extra") > F.get(_table(SPARE), F.col("band")))
     more = sets.join(over.select("doc_id", "band", "extra"), "doc_id").select("doc_id", "shingles", "band", "extra").mapInArrow(_further, _KEYS)
-    rest = more.unionByName(met.where(f"{_KIND} <> {WHOLE}").select("key", "doc_id", "meta")).groupBy("key", "doc_id").agg(F.max("meta").alias("meta"))
-    rest = rest.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.expr(_SIZE).alias("n"))
+    less = more.unionByName(met.where(f"{_KIND} <> {WHOLE}").select("key", "doc_id", "meta"))
+    open_ = _placed(store, less, part)
+    part = merged(spark, part, verified(store, _met(open_.where("not costly")).select("a", "b").distinct(), sets, PERCENT), store)
+
+    # Sets that consist of common passages.
+    blind = open_.where("costly").groupBy("doc_id", "band").agg(F.countDistinct("number").alias("k")).where(2 * F.col("k") > F.get(_table(DIFFER + 2 * SPARE), F.col("band")))
+    rest = blind.select("doc_id").distinct().join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     rest = store.put(rest)
-    several = store.put(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")).hint("merge")
-    rest = store.put(rest.join(several, "key", "left_semi"))
-    side = lambda x: rest.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
-    last = side("a").join(side("b"), "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-    part = merged(spark, part, verified(store, last, sets, PERCENT), store)
+    if not rest.isEmpty():
+        part = merged(spark, part, verified(store, rare_pairs(store, sets, rest, PERCENT), sets, PERCENT), store)
 
     # Documents of one class share a component, whose name is the smallest id of all its classes.
     signed = store.put(text, _sign, "doc_id long, n long, s1 long, s2 long")

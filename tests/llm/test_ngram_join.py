@@ -93,12 +93,10 @@ def test_every_pair_at_the_border_meets():
             assert len(b) == large and len(shared) == 1
             one, other = keys_of([a, b], shared[0])
             assert one & other
-            # Without any of the whole segments that they share: their further keys.
-            m = int(ngram_join.SEGMENTS[shared[0]])
-            for extra in range(m + 1):
-                x, y = keys_of([a, b], shared[0], np.array([extra, extra]))
-                if extra > ngram_join.SPARE[shared[0]]:
-                    assert x & y
+            # With all segments allotted two differences: more keys are shared than half of the differences hide.
+            m, differ = int(ngram_join.SEGMENTS[shared[0]]), int(ngram_join.DIFFER[shared[0]])
+            x, y = keys_of([a, b], shared[0], np.array([m, m]))
+            assert x & y and m - differ // 2 > 0
 
 
 def test_nulls_repeated_rows_and_other_columns(spark):
