@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as wd
@@ -212,10 +212,11 @@ def _table(values: np.ndarray):
 def _placed(store: Store, rows: DataFrame, part: DataFrame) -> DataFrame:
     """Key rows with their set's component, where a key has several; ``costly`` says whether its pairs are too many."""
     rows = rows.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = store.put(rows.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.expr(_SIZE).alias("n"), F.expr(_BAND).alias("band"), F.expr(_NUMBER).alias("number")))
-    cost = rows.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same")).where("k * k > same")
-    cost = store.put(cost.select("key", (F.col("k") * F.col("k") - F.col("same") > 2 * COSTLY * F.col("k")).alias("costly"))).hint("merge")
-    return store.put(rows.join(cost, "key"))
+    rows = rows.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.expr(_SIZE).cast("int").alias("n"), F.expr(_BAND).alias("band"), F.expr(_NUMBER).cast("int").alias("number"))
+    own = rows.withColumn("same", F.count("*").over(Window.partitionBy("key", "component")))  # one exchange by key serves both windows
+    of_key = Window.partitionBy("key")
+    own = own.withColumn("k", F.count("*").over(of_key)).withColumn("same", F.sum("same").over(of_key)).where("k * k > same")
+    return store.put(own.withColumn("costly", F.expr(f"k * k - same > {2 * COSTLY} * k")).drop("k", "same"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
