@@ -26,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--version", action="version", version=f"gridloom {VERSION}")
     grids = top.add_subparsers(dest="grid", required=True)
     for name, own in RESOLUTIONS.items():
+        if name == "a5":  # its cells have no positions here
+            continue
         p = grids.add_parser(name, help=f"index features to {name} cells")
         p.add_argument("source", help="a file, folder or URI that Spark reads, or a database URL")
         p.add_argument("target")

@@ -16,14 +16,27 @@ import numpy as np
 
 KINDS = {1: "point", 2: "line", 3: "polygon", 4: "multipoint", 5: "multiline", 6: "multipolygon", 7: "collection"}
 CODES = {v: k for k, v in KINDS.items()}
+#: Curves and surfaces that are read past as a whole: strings of positions, lists of rings, lists of geometries.
+STRINGS, SURFACES, LISTS = (8,), (17,), (9, 10, 11, 12, 15, 16)
 Geometry = tuple[str, list]
 
 
 def decode(raw: bytes | None) -> Geometry | None:
-    """The geometry of a WKB or EWKB value; a collection's parts are geometries."""
+    """The geometry of a WKB or EWKB value; a collection's parts are geometries.
+
+    Curves, and surfaces other than polygons, are of kind ``other`` and have no parts, so they are dropped and counted as empty
+    geometries are; in a collection the parts beside them stay.  A value of a type that WKB does not define is ``other`` as a whole.
+    """
     if not raw:
         return None
-    return _read(memoryview(bytes(raw)), 0)[0]
+    try:
+        return _read(memoryview(bytes(raw)), 0)[0]
+    except Undefined:
+        return "other", []
+
+
+class Undefined(ValueError):
+    """A type code whose length nobody knows."""
 
 
 def _read(raw: memoryview, at: int) -> tuple[Geometry, int]:
@@ -34,8 +47,11 @@ def _read(raw: memoryview, at: int) -> tuple[Geometry, int]:
         at += 4
     extra = bool(code & 0x80000000) + bool(code & 0x40000000)
     code &= 0x0FFFFFFF
-    extra += (0, 1, 1, 2)[code // 1000]
-    kind = KINDS[code % 1000]
+    code, z_and_m = code % 1000, code // 1000
+    if z_and_m > 3 or code not in KINDS and code not in STRINGS + SURFACES + LISTS:
+        raise Undefined(code)
+    extra += (0, 1, 1, 2)[z_and_m]
+    kind = KINDS.get(code, "other")
     width = 2 + extra
 
     def positions(at: int) -> tuple[np.ndarray, int]:
@@ -46,21 +62,21 @@ def _read(raw: memoryview, at: int) -> tuple[Geometry, int]:
     if kind == "point":
         data = np.frombuffer(raw, f"{order}f8", width, at)[:2].astype(float)
         return ("point", [] if np.isnan(data).any() else [data.reshape(1, 2)]), at + 8 * width
-    if kind == "line":
+    if kind == "line" or code in STRINGS:
         data, at = positions(at)
-        return ("line", [data] if len(data) else []), at
+        return (kind, [data] if len(data) and kind == "line" else []), at
     (n,) = struct.unpack_from(f"{order}I", raw, at)
     at += 4
     parts = []
     for _ in range(n):
-        part, at = positions(at) if kind == "polygon" else _read(raw, at)
+        part, at = positions(at) if kind == "polygon" or code in SURFACES else _read(raw, at)
         parts.append(part)
-    return (kind, parts), at
+    return (kind, parts if kind != "other" else []), at
 
 
 def encode(geometry: Geometry) -> bytes:
     kind, parts = geometry
-    head = struct.pack("<BI", 1, CODES[kind])
+    head = struct.pack("<BI", 1, CODES.get(kind, CODES["collection"]))
     if kind == "point":
         return head + (np.asarray(parts[0], "<f8").tobytes() if parts else struct.pack("<dd", math.nan, math.nan))
     if kind == "line":
@@ -467,15 +483,80 @@ def _moved(geometry: Geometry, f) -> Geometry:
     return kind, [_moved(p, f) for p in parts]
 
 
+def unwrapped(rings: list[np.ndarray]) -> tuple[list[np.ndarray], bool, bool]:
+    """(rings, whether an edge crosses 180 degrees, whether the shell goes round a pole), with every edge taken the short way.
+
+    Longitudes run on beyond 180, holes lie near their shell.  A ring round a pole comes as three turns of it, from one before
+    to one behind its own, closed over the nearer pole: an even-odd test is right for any position of its middle turn.
+    """
+    out, crosses, polar, shell = [], False, False, None
+    for ring in rings:
+        ring = closed(ring)
+        step = np.diff(ring[:, 0])
+        far = np.abs(step) > 180
+        crosses = crosses or bool(far.any())
+        x = ring[0, 0] + np.concatenate(([0.0], np.cumsum(np.where(far, step - 360 * np.round(step / 360), step)))) if far.any() else ring[:, 0]
+        turn = x[-1] - x[0]
+        if abs(turn) > 180:
+            if turn < 0:
+                x, ring = x[::-1], ring[::-1]
+            x = x - x[0] + (x[0] + 180) % 360 - 180
+            polar = polar or shell is None
+            pole = 90.0 if ring[:, 1].mean() >= 0 else -90.0
+            x, y = np.concatenate([x[:-1] - 360, x[:-1], x + 360]), np.concatenate([ring[:-1, 1], ring[:-1, 1], ring[:, 1]])
+            ring = np.stack([np.concatenate([x, [x[-1], x[0], x[0]]]), np.concatenate([y, [pole, pole, y[0]]])], 1)
+        else:
+            if shell is not None and not polar:
+                x = x + 360 * round((shell - (x.min() + x.max()) / 2) / 360)
+            ring = np.stack([x, ring[:, 1]], 1)
+        if shell is None:
+            shell = (x.min() + x.max()) / 2
+        out.append(ring)
+    if polar:  # holes that do not go round the pole are in all turns
+        out = [r for ring in out for r in ([ring] if np.ptp(ring[:, 0]) > 720 else [ring + [360.0 * k, 0.0] for k in (-1, 0, 1)])]
+    return out, crosses, polar
+
+
 def split_antimeridian(geometry: Geometry) -> list[Geometry]:
-    """A polygon or line that spans more than 180 degrees, cut at 180 as the narrow shape it stands for."""
-    box = bounds(geometry)
-    if box is None or geometry[0] == "point" or box[2] - box[0] <= 180:
+    """A polygon or line with edges of more than 180 degrees, which go the other way round, cut at 180.
+
+    A polygon is cut straight in degrees, and one round a pole reaches up to it (positions on a cut are strictly inside no part); a line is cut where the great circle of its edge meets 180.
+    """
+    kind, parts = geometry
+    if kind == "line":
+        return [("line", [p]) for p in _split_line(parts[0])] if parts else [geometry]
+    if kind != "polygon":
         return [geometry]
-    whole = _moved(geometry, lambda x: np.where(x < 0, x + 360, x))
-    west = clip(whole, 0, 180.0, True)
-    east = [_moved(p, lambda x: x - 360) for p in clip(whole, 0, 180.0, False)]
-    return west + east
+    rings, crosses, polar = unwrapped(parts)
+    if not crosses:
+        return [geometry]
+    out, x = [], rings[0][:, 0]
+    turns = [0] if polar else range(int(np.floor((x.min() + 180) / 360)), int(np.ceil((x.max() + 180) / 360)))
+    for k in turns:
+        for east in clip(("polygon", rings), 0, 180.0 + 360 * k, True):
+            for piece in clip(east, 0, -180.0 + 360 * k, False):
+                out.append(_moved(piece, lambda v, k=k: v - 360 * k))
+    return out
+
+
+def _split_line(line: np.ndarray) -> list[np.ndarray]:
+    step = np.diff(line[:, 0])
+    out, begin = [], [line[0]]
+    for k in range(len(step)):
+        if abs(step[k]) > 180:
+            side = 180.0 if line[k, 0] > 0 else -180.0
+            (a, b), (f, g) = np.radians([line[k, 0] - side, line[k + 1, 0] + side]), np.radians(line[[k, k + 1], 1])
+            width = np.sin(b - a)
+            lat = np.degrees(np.arctan((np.tan(f) * np.sin(b) + np.tan(g) * np.sin(-a)) / width)) if abs(width) > 1e-12 else np.degrees((f + g) / 2)
+            if line[k, 0] != side:
+                begin.append(np.array([side, lat]))
+            if len(begin) > 1:
+                out.append(np.array(begin))
+            begin = [np.array([-side, lat])] if line[k + 1, 0] != -side else []
+        begin.append(line[k + 1])
+    if len(begin) > 1 or not out:
+        out.append(np.array(begin))
+    return out
 
 
 # -- text forms ---------------------------------------------------------------------------------

@@ -16,17 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions import geohash, geometry as geo, h3, rhealpix, s2
+from gridloom.functions import a5, geohash, geometry as geo, h3, rhealpix, s2
 from gridloom.types import DEFAULT_CELLS_PER_PIECE, GEOMETRY, RESOLUTIONS, check_resolution, column_name, parent_resolution
 
 GRIDS = {"geohash": geohash, "s2": s2, "rhp": rhealpix, "h3": h3}
 
 
 def grid(dggs: str):
+    """The grid's module, with its positions on the sphere."""
     if dggs == "a5":
-        raise ImportError("the A5 grid is not part of this version; use one of " + ", ".join(sorted(GRIDS)))
+        raise ImportError("positions on A5 need its projection, which this version has not; parent, children, representative, compaction and expansion of A5 cells work; other grids: " + ", ".join(sorted(GRIDS)))
+    return hierarchy(dggs)
+
+
+def hierarchy(dggs: str):
+    """The grid's module; of A5 only the arithmetic of its ids."""
+    if dggs == "a5":
+        return a5
     if dggs not in GRIDS:
-        raise ValueError(f"unknown grid {dggs!r}; known: {', '.join(sorted(GRIDS))}")
+        raise ValueError(f"unknown grid {dggs!r}; known: {', '.join(sorted([*GRIDS, 'a5']))}")
     return GRIDS[dggs]
 
 
@@ -67,36 +75,34 @@ def _box_cap(rings: list[np.ndarray]) -> tuple[np.ndarray, float]:
     return middle, reach * 1.02 + 1e-9
 
 
-def _shifted(rings: list[np.ndarray]) -> list[np.ndarray]:
-    """Rings wider than 180 degrees as the narrow shape across the antimeridian that they stand for on a grid of the whole sphere."""
-    x = np.concatenate(rings)[:, 0]
-    return [np.stack([np.where(r[:, 0] < 0, r[:, 0] + 360, r[:, 0]), r[:, 1]], 1) for r in rings] if x.max() - x.min() > 180 else rings
-
-
 class Flat:
     """The plane of a polygon's edges: longitude and latitude, or for great-circle edges the gnomonic one about its middle."""
 
     def __init__(self, module, rings: list[np.ndarray]):
-        self.wide = module is h3 and rings is not (rings := _shifted(rings))
+        self.west = None  # where the plane begins, if a ring crosses 180 degrees
+        if module is h3:
+            around, crosses, polar = geo.unwrapped(rings)
+            if crosses:
+                rings, self.west = around, -180.0 if polar else float(around[0][:, 0].min())
         self.middle, self.reach = _cap(rings)[:2] if module is s2 else _box_cap(rings)
         # A polygon beyond 85 degrees of its middle does not fit the gnomonic plane; its edges are taken on the other one.
         self.gnomonic = module is s2 and self.reach <= np.radians(85)
         self.rings = rings
 
     def head(self) -> np.ndarray:
-        return np.array([self.gnomonic, self.wide, self.reach, *self.middle], float)
+        return np.array([self.gnomonic, np.nan if self.west is None else self.west, self.reach, *self.middle], float)
 
     @classmethod
     def of(cls, head: np.ndarray) -> Flat:
         out = cls.__new__(cls)
-        out.gnomonic, out.wide, out.reach, out.middle = bool(head[0]), bool(head[1]), head[2], head[3:6]
+        out.gnomonic, out.west, out.reach, out.middle = bool(head[0]), None if np.isnan(head[1]) else head[1], head[2], head[3:6]
         return out
 
     def xy(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Plane positions of unit vectors; those behind a gnomonic plane have none."""
         if not self.gnomonic:
             lon, lat = s2.lonlat(p)
-            return np.where(lon < 0, lon + 360, lon) if self.wide else lon, lat
+            return lon if self.west is None else self.west + (lon - self.west) % 360, lat
         east = np.cross([0.0, 0.0, 1.0], self.middle)
         east = east / n if (n := np.linalg.norm(east)) > 1e-9 else np.array([1.0, 0.0, 0.0])
         depth = p @ self.middle
@@ -109,14 +115,14 @@ class Flat:
 
     def box(self, centre: np.ndarray, angle: float) -> tuple[float, float, float, float] | None:
         """A box of the plane around a circle on the sphere; none where the circle has none of use."""
-        if angle > 0.5 or not self.gnomonic and (abs(centre[2]) > 0.99 or not self.wide and np.arctan2(np.hypot(centre[1], 0), -centre[0]) < 2 * angle / max(1e-9, np.hypot(*centre[:2]))):
+        if angle > 0.5 or not self.gnomonic and (abs(centre[2]) > 0.99 or self.west is None and np.arctan2(np.hypot(centre[1], 0), -centre[0]) < 2 * angle / max(1e-9, np.hypot(*centre[:2]))):
             return None
         side = np.cross(centre, [1.0, 0.0, 0.0] if abs(centre[0]) < 0.9 else [0.0, 1.0, 0.0])
         side /= np.linalg.norm(side)
         turn = np.linspace(0, 2 * np.pi, 33)[:, None]
         angle *= 1.05
         x, y = self.xy(np.cos(angle) * centre + np.sin(angle) * (np.cos(turn) * side + np.sin(turn) * np.cross(centre, side)))
-        if np.isnan(x).any() or self.gnomonic and max(np.abs(x).max(), np.abs(y).max()) > 50 or self.wide and np.ptp(x) > 180:
+        if np.isnan(x).any() or self.gnomonic and max(np.abs(x).max(), np.abs(y).max()) > 50 or self.west is not None and np.ptp(x) > 180:
             return None
         mx, my = 0.02 * np.ptp(x), 0.02 * np.ptp(y)
         return x.min() - mx, y.min() - my, x.max() + mx, y.max() + my
@@ -336,7 +342,7 @@ def point_cells(df: DataFrame, lon: Column, lat: Column, dggs: str, res: int) ->
 
 def with_parent(cells: DataFrame, dggs: str, res: int, parent: int | None = None) -> DataFrame:
     parent = parent_resolution(dggs, res, parent)
-    return cells.withColumn(column_name(dggs, parent), grid(dggs).parent(F.col(column_name(dggs, res)), parent))
+    return cells.withColumn(column_name(dggs, parent), hierarchy(dggs).parent(F.col(column_name(dggs, res)), parent))
 
 
 def leaves(module, cell: Column, from_res: int, res: int) -> Column | int:
@@ -352,7 +358,7 @@ def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str) -
     the ancestor; the other merged rows go.  One exchange, on the parent and the
     id, serves all levels; null ids and cells go.
     """
-    module, name, parent_name = grid(dggs), column_name(dggs, res), column_name(dggs, parent)
+    module, name, parent_name = hierarchy(dggs), column_name(dggs, res), column_name(dggs, parent)
     rows = cells.where(F.col(id_field).isNotNull() & F.col(name).isNotNull())
     if parent_name not in rows.columns:
         rows = rows.withColumn(parent_name, module.parent(F.col(name), parent))
@@ -377,7 +383,7 @@ def compact_all(cells: DataFrame, dggs: str, id_field: str) -> DataFrame:
 
     One exchange, on the id and the coarsest ancestor, beyond which nothing merges; the windows of all levels keep to it.
     """
-    module = grid(dggs)
+    module = hierarchy(dggs)
     low = RESOLUTIONS[dggs].low
     rows = cells.where("cell is not null").select(id_field, "cell", module.parent(F.col("cell"), low).alias("_root")).repartition(id_field, "_root")
     keys = [id_field, "_root"]
@@ -393,7 +399,7 @@ def compact_all(cells: DataFrame, dggs: str, id_field: str) -> DataFrame:
 
 def expand(cells: DataFrame, dggs: str, res: int, column: str) -> DataFrame:
     """Every cell replaced by its descendants at ``res`` (a row for each); the inverse of compaction."""
-    module = grid(dggs)
+    module = hierarchy(dggs)
     level = module.resolution(F.col(column))
     out = F.array(F.col(column))
     for k in range(RESOLUTIONS[dggs].low, res):
@@ -436,8 +442,9 @@ def morton(lon: Column, lat: Column, bits: int = 16) -> Column:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", res: int = 4) -> DataFrame:
     """Pairs of rows of ``points(lon, lat, ...)`` and ``polygons(geometry, ...)`` where the point is strictly inside.
 
-    Both sides meet by geohash cell: a polygon has a row for each cell that it may reach into, with the edges that
-    matter there, so the test of a pair costs those edges only.  Columns of both sides stay, but for the geometry.
+    Both sides meet by geohash cell: a polygon has one row for each cell that it may reach into, with the edges of each of its parts
+    that matter there, so the test of a pair costs those edges only and no pair comes twice; repeated rows of either side each have
+    their pairs.  Columns of both sides stay under their names, but for the geometry.
     """
     at = polygons.columns.index(GEOMETRY)
     keep = [k for k in range(len(polygons.columns)) if k != at]
@@ -446,7 +453,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, raw in enumerate(batch.column(at).to_pylist()):
-                names, needs = [], []
+                needs: dict[str, list[bytes]] = {}
                 for kind, parts in geo.flat(geo.decode(raw)):
                     if kind != "polygon":
                         continue
@@ -454,26 +461,29 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
                     for t in geohash.tiles((*p.min(0), *p.max(0)), res, 1):
                         box = (t[0] * 360 / (1 << nx) - 180, t[1] * 180 / (1 << ny) - 90, (t[0] + 1) * 360 / (1 << nx) - 180, (t[1] + 1) * 180 / (1 << ny) - 90)
                         if len(own := geo.near_edges(edges, box)):
-                            names += geohash.names(np.array([t[0]]), np.array([t[1]]), res).tolist()
-                            needs.append(own.tobytes())
-                taken = batch.take(pa.array([k] * len(names), pa.int64()))
-                yield pa.record_batch([*[taken.column(j) for j in keep], pa.array(names, pa.string()), pa.array(needs, pa.binary())], names=[*[batch.schema.names[j] for j in keep], "_cell", "_need"])
+                            needs.setdefault(geohash.names(np.array([t[0]]), np.array([t[1]]), res)[0], []).append(own.tobytes())
+                taken = batch.take(pa.array([k] * len(needs), pa.int64()))
+                yield pa.record_batch([*[taken.column(j) for j in keep], pa.array(list(needs), pa.string()), pa.array(list(needs.values()), pa.list_(pa.binary()))], names=[*[batch.schema.names[j] for j in keep], "cell", "need"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float) for c in (lon, lat))
+            x, y = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float) for c in ("x", "y"))
             found = np.zeros(batch.num_rows, bool)
             groups: dict[bytes, list[int]] = {}
-            for k, need in enumerate(batch.column("_need").to_pylist()):
-                groups.setdefault(need, []).append(k)
+            for k, parts in enumerate(batch.column("need").to_pylist()):
+                for need in parts:
+                    groups.setdefault(need, []).append(k)
             for need, rows in groups.items():
-                found[rows] = geo.within(np.frombuffer(need, float).reshape(-1, 4), x[rows], y[rows])
+                found[rows] |= geo.within(np.frombuffer(need, float).reshape(-1, 4), x[rows], y[rows])
             yield batch.filter(pa.array(found))
 
-    cover = polygons.mapInArrow(tiles, T.StructType([*[polygons.schema.fields[k] for k in keep], T.StructField("_cell", T.StringType()), T.StructField("_need", T.BinaryType())]))
-    met = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_cell", geohash.point(F.col(lon), F.col(lat), res)).join(cover, "_cell")
-    # A point in several parts of one feature is one pair.
-    return met.mapInArrow(test, met.schema).drop("_cell", "_need").distinct()
+    # Columns go by number meanwhile, as both sides may have the same names.
+    cover = polygons.toDF(*[f"q{k}" for k in range(len(polygons.columns))])
+    cover = cover.mapInArrow(tiles, T.StructType([*[cover.schema.fields[k] for k in keep], T.StructField("cell", T.StringType()), T.StructField("need", T.ArrayType(T.BinaryType()))]))
+    x, y = (points[c].cast("double") for c in (lon, lat))
+    placed = points.where(x.isNotNull() & y.isNotNull()).select(*[points[c].alias(f"p{k}") for k, c in enumerate(points.columns)], x.alias("x"), y.alias("y"), geohash.point(x, y, res).alias("cell"))
+    met = placed.join(cover, "cell").drop("cell")
+    return met.mapInArrow(test, met.schema).drop("x", "y", "need").toDF(*points.columns, *[polygons.columns[k] for k in keep])
 
 
 def ancestor(dggs: str, cell: str, res: int, parent: int) -> str:
@@ -482,6 +492,8 @@ def ancestor(dggs: str, cell: str, res: int, parent: int) -> str:
         return cell[:parent]
     if dggs == "rhp":
         return cell[: parent + 1]
+    if dggs == "a5":
+        return a5.ancestor(cell, parent)
     if dggs == "h3":
         return f"{int(cell, 16) & ~(15 << 52) | parent << 52 | (1 << (3 * (15 - parent))) - 1:x}"
     face, i, j, _ = s2.split(cell)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import geohash, geometry as geo, rhealpix, s2
+from gridloom.functions import a5, geohash, geometry as geo, rhealpix, s2
 from gridloom.operators import cells as ops
 from gridloom.operators import prepare
 from gridloom.index import threshold_of
@@ -154,6 +154,46 @@ def expand_roundtrip(spark, d):
     return ops.expand(packed, "geohash", 5, "geohash_05").select("s_suppkey", F.col("geohash_05").alias("cell"))
 
 
+def _a5_cells(key: str, res: int):
+    """A cell of A5 for each number: all faces and fifths, and places spread along their curves."""
+    place = F.col(key) * 2654435761 % 4 ** (res - 1)
+    return a5.named(F.shiftleft(F.col(key) % 60, a5.TOP).bitwiseOR(F.shiftleft(place, a5.marker(res) + 1)).bitwiseOR(F.lit(1 << a5.marker(res))))
+
+
+def a5_hierarchy(spark, d):
+    cells = spark.read.parquet(f"{d}/events.parquet").select("event_id", _a5_cells("event_id", 15).alias("cell"))
+    up = {k: a5.parent(F.col("cell"), k) for k in (9, 2, 1, 0)}
+    names = [v.alias(f"cell_{k}") for k, v in up.items()]
+    return cells.select("event_id", "cell", *names, a5.resolution(F.col("cell")).alias("res"), *[a5.resolution(up[k]).alias(f"res_{k}") for k in (9, 1, 0)], a5.representative(up[9], 29).alias("first_29"), a5.representative(up[0], 3).alias("first_3"))
+
+
+def a5_children(spark, d):
+    """The grandchildren of a face, a fifth or a finer cell for every supplier."""
+    cells = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", _a5_cells("s_suppkey", 6).alias("cell"))
+    made = F.when(F.col("s_suppkey") % 3 == 0, a5.children(a5.parent(F.col("cell"), 0), 0, 2)).when(F.col("s_suppkey") % 3 == 1, a5.children(a5.parent(F.col("cell"), 1), 1, 3)).otherwise(a5.children(F.col("cell"), 6, 8))
+    return cells.select("s_suppkey", F.explode(made).alias("cell"))
+
+
+def _a5_sets(spark, d):
+    """The cells two levels below one of each supplier, without the last one or two for two suppliers in three."""
+    base = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", _a5_cells("s_suppkey", 6).alias("up"))
+    leaves = base.select("s_suppkey", F.posexplode(a5.children(F.col("up"), 6, 8)).alias("k", "a5_08"))
+    return leaves.where("k < 16 - s_suppkey % 3").select("s_suppkey", F.col("k").alias("attr"), "a5_08")
+
+
+def a5_compact(spark, d):
+    return ops.compact(_a5_sets(spark, d), "a5", 8, 6, "s_suppkey").select("s_suppkey", "attr", F.col("a5_08").alias("cell"))
+
+
+def a5_compact_unbounded(spark, d):
+    return ops.compact_all(_a5_sets(spark, d).select("s_suppkey", F.col("a5_08").alias("cell")), "a5", "s_suppkey")
+
+
+def a5_expand(spark, d):
+    packed = ops.compact(_a5_sets(spark, d), "a5", 8, 6, "s_suppkey").select("s_suppkey", "a5_08")
+    return ops.expand(packed, "a5", 8, "a5_08").select("s_suppkey", F.col("a5_08").alias("cell"))
+
+
 def lon_normalise(spark, d):
     e = events(spark, d).withColumn("wide", F.col("lon") + 360 * (F.col("event_id") % 3 - 1))
     return e.select("event_id", F.round(prepare.longitude(F.col("wide")) * 1000).cast("long").alias("lon_m"))
@@ -378,6 +418,11 @@ def queries() -> dict:
         "compact_geohash": compact_geohash,
         "compact_floor": compact_floor,
         "expand_roundtrip": expand_roundtrip,
+        "a5_hierarchy": a5_hierarchy,
+        "a5_children": a5_children,
+        "a5_compact": a5_compact,
+        "a5_compact_unbounded": a5_compact_unbounded,
+        "a5_expand": a5_expand,
         "lon_normalise": lon_normalise,
         "antimeridian_flag": antimeridian_flag,
         "oversize_count": oversize_count,
@@ -517,6 +562,18 @@ c AS (SELECT event_id, face || array_to_string(list_transform(range({res}, 0, -1
 SELECT event_id, cell, substr(cell, 1, {parent + 1}) AS parent, {res} AS res, rpad(substr(cell, 1, {parent + 1}), {res + 1}, '4') AS first FROM c"""
 
 
+def _a5(top: str, place: str, res: int) -> str:
+    """An A5 id from its head and its place along the curve of 4^(res - 1) cells."""
+    if res < 2:
+        return f"format('{{:x}}', ({top})::HUGEINT * {1 << 58} + {1 << 57 - res})"
+    return f"format('{{:x}}', ({top})::HUGEINT * {1 << 58} + ({place})::HUGEINT * {1 << 60 - 2 * res} + {1 << 59 - 2 * res})"
+
+
+_A5_SETS = f"""k AS (SELECT s_suppkey, s_suppkey % 60 AS t, s_suppkey * 2654435761 % 1024 AS p FROM supplier),
+x AS (SELECT *, i, {_a5('t', 'p * 16 + i', 8)} AS leaf FROM (SELECT *, unnest(range(16)) AS i FROM k) WHERE i < 16 - s_suppkey % 3)"""
+_A5_UP = f"CASE WHEN s_suppkey % 3 = 0 THEN {_a5('t', 'p', 6)} WHEN i < 12 THEN {_a5('t', 'p * 4 + i // 4', 7)} ELSE leaf END"
+
+
 def oracle_sql() -> dict[str, str]:
     x6, y6 = _numbers("cell", 6)
     x4, y4 = _numbers("cell", 4)
@@ -539,6 +596,16 @@ def oracle_sql() -> dict[str, str]:
         "polyfill_triangle": _fill("cx > x0 AND cy > y0 AND w * (cy - y0) + w * (cx - x1) < 0", 5, _W, _W),
         "compact_geohash": f"WITH {_SETS} SELECT s_suppkey, k::INTEGER AS attr, CASE WHEN f3 THEN substr(leaf, 1, 3) WHEN f4 THEN substr(leaf, 1, 4) ELSE leaf END AS cell FROM f WHERE CASE WHEN f3 THEN k = 0 WHEN f4 THEN k % 32 = 0 ELSE true END",
         "compact_floor": f"WITH {_SETS} SELECT s_suppkey, CASE WHEN f4 THEN substr(leaf, 1, 4) ELSE leaf END AS cell FROM f WHERE NOT f4 OR k % 32 = 0",
+        "a5_hierarchy": f"""SELECT event_id, {_a5('t', 'p', 15)} AS cell, {_a5('t', 'p // 4096', 9)} AS cell_9, {_a5('t', 'p // 67108864', 2)} AS cell_2, {_a5('t', '', 1)} AS cell_1, {_a5('t // 5', '', 0)} AS cell_0,
+            15 AS res, 9 AS res_9, 1 AS res_1, 0 AS res_0, {_a5('t', f'p // 4096 * {4**20}', 29)} AS first_29, {_a5('t // 5 * 5', '0', 3)} AS first_3
+            FROM (SELECT event_id, event_id % 60 AS t, event_id * 2654435761 % 268435456 AS p FROM events)""",
+        "a5_children": f"""WITH k AS (SELECT s_suppkey, s_suppkey % 60 AS t, s_suppkey * 2654435761 % 1024 AS p FROM supplier)
+            SELECT s_suppkey, {_a5('t // 5 * 5 + i // 4', 'i % 4', 2)} AS cell FROM (SELECT *, unnest(range(20)) AS i FROM k WHERE s_suppkey % 3 = 0)
+            UNION ALL SELECT s_suppkey, {_a5('t', 'i', 3)} FROM (SELECT *, unnest(range(16)) AS i FROM k WHERE s_suppkey % 3 = 1)
+            UNION ALL SELECT s_suppkey, {_a5('t', 'p * 16 + i', 8)} FROM (SELECT *, unnest(range(16)) AS i FROM k WHERE s_suppkey % 3 = 2)""",
+        "a5_compact": f"WITH {_A5_SETS} SELECT s_suppkey, min(i)::INT AS attr, {_A5_UP} AS cell FROM x GROUP BY s_suppkey, cell",
+        "a5_compact_unbounded": f"WITH {_A5_SETS} SELECT DISTINCT s_suppkey, {_A5_UP} AS cell FROM x",
+        "a5_expand": f"WITH {_A5_SETS} SELECT s_suppkey, leaf AS cell FROM x",
         "expand_roundtrip": f"WITH {_SETS} SELECT s_suppkey, leaf AS cell FROM x",
         "lon_normalise": f"SELECT event_id, CAST(round(lon * 1000) AS BIGINT) AS lon_m FROM {_E}",
         "antimeridian_flag": f"SELECT event_id, (event_id % 4) * 90 > 180 AS crosses, CASE WHEN lon >= 180 THEN 'east' WHEN lon + (event_id % 4) * 90 <= -180 THEN 'west' WHEN lon + (event_id % 4) * 90 > 180 OR lon < -180 THEN 'straddle' ELSE 'inside' END AS class FROM {_E}",

@@ -24,7 +24,7 @@ class Range:
     high: int
 
 
-RESOLUTIONS = {"geohash": Range(1, 12), "s2": Range(0, 30), "rhp": Range(0, 15), "h3": Range(0, 15)}
+RESOLUTIONS = {"geohash": Range(1, 12), "s2": Range(0, 30), "rhp": Range(0, 15), "h3": Range(0, 15), "a5": Range(0, 29)}
 
 
 def column_name(dggs: str, res: int) -> str:
@@ -52,13 +52,15 @@ def parent_resolution(dggs: str, res: int, parent: int | None = None) -> int:
 
 
 def cell_area(dggs: str, res: int) -> float:
-    """The area in square metres of the largest cells: on S2 by the quadratic projection's bound, on H3 at a face's centre, on rHEALPix in the projection's plane, of geohash on the equator."""
+    """The area in square metres of the largest cells: on S2 by the quadratic projection's bound, on H3 at a face's centre, on A5 of all cells, on rHEALPix in the projection's plane, of geohash on the equator."""
     check_resolution(dggs, res)
     square = EARTH_RADIUS_M**2
     if dggs == "s2":
         return 2.635799256963161486 * square / 4**res
     if dggs == "h3":
         return 3**0.5 / 2 * 0.38196601125010500003**2 * square / 7**res
+    if dggs == "a5":
+        return 4 * 3.141592653589793 * 6_371_007.180918475**2 / (12 if res == 0 else 60 * 4 ** (res - 1))
     if dggs == "rhp":
         return (3.141592653589793 / 2) ** 2 * square / 9**res
     degree = EARTH_RADIUS_M * 3.141592653589793 / 180
