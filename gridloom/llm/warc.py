@@ -15,10 +15,13 @@ so reruns agree.
 
 ``read`` lets Spark's text source cut the files where a record begins, so a record
 is a row, a plain file is read by many tasks, and memory is that of one batch of
-records.  A block that itself holds a blank line and then ``WARC/1.`` at the start
-of a line (an archive in an archive) would be cut there; such a record does not
-have its stated length and is refused (``whole=True`` reads each file in one piece
-instead, which takes twice a file's size in memory).
+records.  The stated lengths decide: a piece is read record by record to its end, so
+one that holds several gives all of them, and bytes that belong to none are an error.
+A block that itself holds a blank line and then ``WARC/1.`` at the start of a line
+(an archive in an archive) would be cut there, so ``write`` puts such records in
+files below ``whole``, and ``read`` reads these in one piece each.  In files from
+elsewhere such a record does not have its stated length and is refused (``whole=True``
+reads every file in one piece, which takes twice a file's size in memory).
 
 Defined cases: a null or empty body gives a conversion of length 0; null ids,
 urls and dates are left out of the headers; records that are not responses pass
@@ -175,21 +178,25 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return made.select("record_id", F.lit("response").alias("type"), F.lit(None).cast("string").alias("refers_to"), "target_uri", F.lit(date).alias("date"), headers.alias("headers"), "block")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped."""
+def parse(data: bytes, strict: bool = False) -> Iterator[dict]:
+    """The records of a WARC file, plain or gzipped; with ``strict``, a block that is cut short and what stands between records are errors."""
     stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
     while True:
         line = stream.readline()
         if not line:
             return
         if not line.startswith(b"WARC/"):
+            if strict and line.strip():
+                raise ValueError(f"bytes that belong to no record: {line[:80]!r}; an archive in an archive, or a damaged file; read with whole=True")
             continue
         head = []
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head.append((name.strip(), value.strip()))
         of = {n.lower(): v for n, v in head}
-        block = stream.read(int(of.get("content-length", 0)))
+        block = stream.read(stated := int(of.get("content-length", 0)))
+        if strict and len(block) < stated:
+            raise ValueError(f"record {of.get('warc-record-id')} has {len(block)} of {stated} bytes: an archive in an archive, or a damaged file; read with whole=True")
         yield {"record_id": of.get("warc-record-id"), "type": of.get("warc-type"), "refers_to": of.get("warc-refers-to"), "target_uri": of.get("warc-target-uri"), "date": of.get("warc-date"), "headers": [{"name": n, "value": v} for n, v in head], "block": block}
 
 
@@ -197,14 +204,15 @@ def _cut(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", BORDER).text(path).select(F.col("value").cast("binary").alias("value"))
 
 
-def _record(data: bytes) -> dict | None:
-    """The record of a piece between two borders; the cut took the version's beginning, except from a file's first record."""
-    r = next(parse(data if data.startswith(b"WARC/") else b"WARC/1." + data), None) if data.strip() else None
-    if r is not None:
-        stated = int(next((h["value"] for h in r["headers"] if h["name"].lower() == "content-length"), len(r["block"])))
-        if stated != len(r["block"]):
-            raise ValueError(f"record {r['record_id']} has {len(r['block'])} of {stated} bytes: an archive in an archive, or a damaged file; read with whole=True")
-    return r
+def _records(data: bytes) -> Iterator[dict]:
+    """The records of a piece between two borders: one, or more where the cutting missed a border; the cut took the version's beginning, except from a file's first record."""
+    return parse(data if data.startswith(b"WARC/") else b"WARC/1." + data, strict=True) if data.strip() else iter(())
+
+
+def _apart(spark: SparkSession, path: str) -> str | None:
+    """Where ``write`` put records whose blocks hold a border, if this folder has such files."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/whole")
+    return str(folder) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else None
 
 
 def derive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -214,16 +222,17 @@ def derive_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             out, size = [], 0
             for raw in batch.column(0):
-                r = _record(raw.as_buffer().to_pybytes())
-                if r and r["type"] == "response":
-                    out += derivatives(r["record_id"], r["target_uri"], r["date"], [(h["name"], h["value"]) for h in r["headers"] if h["name"]], r["block"])
-                    size += len(r["block"])
+                for r in _records(raw.as_buffer().to_pybytes()):
+                    if r["type"] == "response":
+                        out += derivatives(r["record_id"], r["target_uri"], r["date"], [(h["name"], h["value"]) for h in r["headers"] if h["name"]], r["block"])
+                        size += len(r["block"])
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
                     out, size = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return _cut(spark, path).mapInArrow(run, RECORD)
+    made = _cut(spark, path).mapInArrow(run, RECORD)
+    return made.unionByName(derive(read(spark, apart, whole=True))) if (apart := _apart(spark, path)) else made
 
 
 def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -243,11 +252,12 @@ def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([r for raw in batch.column(0) if (r := _record(raw.as_buffer().to_pybytes()))], schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist([r for raw in batch.column(0) for r in _records(raw.as_buffer().to_pybytes())], schema=_SCHEMA)
 
     if whole:
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(files, RECORD)
-    return _cut(spark, path).mapInArrow(cut, RECORD)
+    made = _cut(spark, path).mapInArrow(cut, RECORD)
+    return made.unionByName(read(spark, apart, whole=True)) if (apart := _apart(spark, path)) else made
 
 
 def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -257,7 +267,9 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
     whole = F.concat(F.lit("WARC/1.1\r\n").cast("binary"), head.cast("binary"), F.lit("\r\n").cast("binary"), F.coalesce("block", F.lit("").cast("binary")))
-    records.select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    holds = F.coalesce(F.contains(F.col("block"), F.lit(BORDER).cast("binary")), F.lit(False))
+    for where, folder in ((~holds, path), (holds, f"{path}/whole")):
+        records.where(where).select(whole.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(folder)
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
