@@ -6,7 +6,7 @@ languages and vote.  Features are hashed byte bigrams and trigrams of the
 lower-cased letters of the whole text, as square roots of relative frequencies.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows:
-about ``PER_LANGUAGE`` documents of each language, chosen by a hash of the id
+about ``PER_LANGUAGE`` distinct texts of each language, chosen by their own hash
 (never more than twice that many feature rows reach the driver).  Everything
 else covers all rows.
 
@@ -213,17 +213,23 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about ``per_language`` rows of each language of ``docs(doc_id, text, lang)``."""
+    """Fit on about ``per_language`` distinct texts of each language of ``docs(text, lang)``.
+
+    A text's own hash decides whether it is drawn, so ids do not matter and copies count once; a language's text of the least hash
+    is always drawn.
+    """
     text_batches(docs.sparkSession)
-    known = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    draw = F.pmod(F.xxhash64(F.col("text"), F.lit("language sample")), F.lit(1 << 40))
+    known = docs.where("lang is not null and text is not null").select("lang", "text", draw.alias("draw"))
+    of = known.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("k"), F.min("draw").alias("least"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(of) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    if not of:
         return Model()
-    share = F.create_map(*[F.lit(v) for lang, k in counts.items() for v in (lang, min(1.0, per_language / k))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / (1 << 20)
-    sample = known.where(draw < share[F.col("lang")]).select("lang", "text")
+    most = F.create_map(*[F.lit(v) for r in of for v in (r.lang, max(r.least, int((1 << 40) * min(1.0, per_language / max(1, r.k)))))])
+    sample = known.where(F.col("draw") <= most[F.col("lang")]).dropDuplicates(["lang", "draw", "text"])
+    # Some more than wanted come where the distinct count is wrong or a hash is shared; the order makes the cut the same in every run.
+    sample = sample.orderBy("draw", "lang", "text").limit(2 * per_language * len(of)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +237,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 raw = [np.concatenate([(at := np.flatnonzero(r)).astype(np.float32), r[at]]).tobytes() for r in x]
                 yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(raw, pa.binary())], names=["lang", "x"])
 
-    rows = sample.mapInArrow(run, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    rows = sample.mapInArrow(run, "lang string, x binary").collect()
     rows = sorted((r for r in rows if len(r.x)), key=lambda r: (r.lang, bytes(r.x)))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
@@ -275,9 +281,9 @@ LEAST_SCORE = 0.25
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those that have no language, too low a score or letters unlike their language's; the text is judged in place, without a join."""
+    """``docs`` without those that have no language, too low a score or letters unlike their language's; all labelled rows may be learned from; the text is judged in place, without a join."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = train(columns.where(~held_out()))
+    model = train(columns)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
