@@ -261,6 +261,20 @@ def parse(source: str) -> Page:
     return page
 
 
+def wrappers(page: Page, text: np.ndarray) -> np.ndarray:
+    """Nodes that hold the page rather than a part of it, given the length of the text below each: what their names say is about the page.
+
+    These are the document and its body, a node with nearly all the text, and one with most of it that holds a title, an article or a main part.
+    """
+    n = len(page.tag)
+    holds = np.zeros(n, bool)
+    for v in range(n - 1, 0, -1):
+        if (p := page.parent[v]) >= 0:
+            holds[p] |= holds[v] or page.tag[v] in ("article", "main", "h1") and not page.bad[v]
+    share = text / max(1.0, text[0] if n else 0.0, text.max(initial=0.0))
+    return np.isin(page.tag, ("html", "body")) | (share >= 0.97) | (share >= 0.5) & holds
+
+
 def features(page: Page) -> np.ndarray:
     """A row for each node."""
     n = len(page.tag)
@@ -278,6 +292,8 @@ def features(page: Page) -> np.ndarray:
             tags[p] += tags[v]
             stops[p] += stops[v]
             children[p] += 1
+    wraps = wrappers(page, text)
+    bad, tag_of = np.where(wraps, 0, page.bad), ["div" if w and t in ("form", "aside", "header", "footer", "nav") else t for w, t in zip(wraps.tolist(), page.tag, strict=True)]
     up_bad, up_good, up_main, up_nav = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     place = np.zeros(n)
     seen: dict[int, int] = {}
@@ -287,10 +303,10 @@ def features(page: Page) -> np.ndarray:
         place[v] = seen[p] = seen.get(p, -1) + 1
         same[p, page.tag[v]] = same.get((p, page.tag[v]), 0) + 1
         if p >= 0:
-            up_bad[v] = up_bad[p] + page.bad[p]
+            up_bad[v] = up_bad[p] + bad[p]
             up_good[v] = up_good[p] + page.good[p]
-            up_main[v] = up_main[p] or page.tag[p] in ("article", "main")
-            up_nav[v] = up_nav[p] or page.tag[p] in ("nav", "aside", "header", "footer", "form")
+            up_main[v] = up_main[p] or tag_of[p] in ("article", "main")
+            up_nav[v] = up_nav[p] or tag_of[p] in ("nav", "aside", "header", "footer", "form")
     siblings = np.array([seen[p] + 1 for p in page.parent], float)
     alike = np.array([same[p, t] for p, t in zip(page.parent, page.tag, strict=True)], float)
     total = max(1.0, own.sum())
@@ -298,7 +314,7 @@ def features(page: Page) -> np.ndarray:
     index = {t: k for k, t in enumerate(TAGS)}
     kind = np.zeros((n, len(TAGS)))
     up_kind = np.zeros((n, len(TAGS)))
-    for v, t in enumerate(page.tag):
+    for v, t in enumerate(tag_of):
         if t in index:
             kind[v, index[t]] = 1
     up_kind[:] = np.where(parent[:, None] >= 0, kind[above], 0)
@@ -306,7 +322,7 @@ def features(page: Page) -> np.ndarray:
         [
             np.log1p(own), np.log1p(text), text / tags, np.minimum(1, link / np.maximum(1, text)), text / total, own / np.maximum(1, text), np.array(page.depth, float), siblings,
             place / siblings, alike / siblings, np.where(parent >= 0, text / np.maximum(1, text[above]), 1), np.log1p(children), 100 * stops / np.maximum(1, text),
-            np.array(page.bad, float), np.array(page.good, float), up_bad, up_good, up_main, up_nav, np.where(parent >= 0, np.minimum(1, link[above] / np.maximum(1, text[above])), 0), np.log1p(tags),
+            bad.astype(float), np.array(page.good, float), up_bad, up_good, up_main, up_nav, np.where(parent >= 0, np.minimum(1, link[above] / np.maximum(1, text[above])), 0), np.log1p(tags),
         ],
         1,
     )
@@ -437,6 +453,11 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
             kind = rng.random()
             if kind < 0.7:
                 text = kept(*rng.choice([(1, 4), (5, 30), (30, 150)]))
+                if rng.random() < 0.25:  # links inside the text
+                    own = text.split(" ")
+                    for k in rng.sample(range(len(own)), min(len(own) // 2, rng.randint(1, 4))):
+                        own[k] = link(own[k])
+                    text = " ".join(own)
                 out.append(rng.choice([f"<p>{text}</p>", f"<p><b>{text}<br>", f"<p>{text}", f"<p><em>{text}</em></p>"]) + ("</p>" if rng.random() < 0.0 else ""))
             elif kind < 0.78:
                 out.append(f"<{(h := rng.choice(['h2', 'h3']))}>{kept(1, 8)}</{h}>")
