@@ -243,39 +243,51 @@ def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _rows(tokens, np.array([0, len(tokens)]), ids[one], np.array([0]), band[one].astype(np.int64), extra[one])
 
 
+def _ids(store: Store, rows: DataFrame, *columns: str) -> DataFrame:
+    return store.put(rows.select(F.explode(F.array(*columns)).alias("doc_id")).distinct())
+
+
+def _links(store: Store, text: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are links; only sets of documents in pairs are made and moved."""
+    pairs = store.put(pairs.select("a", "b"))
+    return pairs if pairs.isEmpty() else verified(store, pairs, packed(store, text, _ids(store, pairs, "a", "b"), SHINGLE), PERCENT)
+
+
 def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs(doc_id, text)``."""
     text_batches(spark)
     store = Store(spark, "ngram-join", by_python=True)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = store.put(text.mapInArrow(_keys, _KEYS).repartition("key").sortWithinPartitions("key", "doc_id"), _groups, _KEYS + ", first long, first_meta long")
-    sets = packed(store, text, store.put(met.select("doc_id").distinct()), SHINGLE)
 
-    # Every set with the first of its groups that it shares most keys with.
+    # Every set with the first of its groups that it shares most keys with, if these are not a few only: what is left out here is met below.
     sizes = "shiftright(meta, 32), shiftright(first_meta, 32)"
     stars = met.where(f"{_KIND} = {WHOLE} and doc_id <> first and 100 * least({sizes}) >= {PERCENT} * greatest({sizes})")
-    stars = stars.groupBy(F.col("first").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
+    stars = stars.groupBy(F.col("first").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("k"), F.min(F.expr(_BAND)).alias("band"))
+    stars = stars.where(2 * F.col("k") >= F.get(_table(SPARE), F.col("band")))
     best = stars.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("low"))).alias("top")).select((-F.col("top.low")).alias("a"), "b")
-    part = components(spark, verified(store, best, sets, PERCENT), store)
+    part = components(spark, _links(store, text, best), store)
 
     # Groups of several components, by their whole segments.
     open_ = _placed(store, met.where(f"{_KIND} = {WHOLE}").select("key", "doc_id", "meta"), part)
     costly = store.put(open_.where("costly").groupBy("doc_id", "band").agg(F.count("*").alias("extra")))
     cheap = open_.where("not costly").join(costly, ["doc_id", "band"], "left").withColumn("number", F.col("number") + F.coalesce("extra", F.lit(0)))
-    part = merged(spark, part, verified(store, _pairs(cheap), sets, PERCENT), store)
+    part = merged(spark, part, _links(store, text, _pairs(cheap)), store)
 
     # Sets with more segments allotted nothing than their band can spare: with a shingle left out.
     over = open_.where("costly").select("doc_id", "band", "number").distinct().join(costly, ["doc_id", "band"]).where(F.col("number") + F.col("extra") > F.get(_table(SPARE), F.col("band")))
-    more = sets.join(over.select("doc_id", "band", "extra"), "doc_id").select("doc_id", "shingles", "band", "extra").mapInArrow(_further, _KEYS)
+    over = store.put(over)
+    more = packed(store, text, _ids(store, over, "doc_id"), SHINGLE).join(over.select("doc_id", "band", "extra"), "doc_id").select("doc_id", "shingles", "band", "extra").mapInArrow(_further, _KEYS)
     less = more.unionByName(met.where(f"{_KIND} <> {WHOLE}").select("key", "doc_id", "meta"))
     open_ = _placed(store, less, part)
-    part = merged(spark, part, verified(store, _met(open_.where("not costly")).select("a", "b").distinct(), sets, PERCENT), store)
+    part = merged(spark, part, _links(store, text, _met(open_.where("not costly")).select("a", "b").distinct()), store)
 
     # Sets that consist of common passages.
     blind = open_.where("costly").groupBy("doc_id", "band").agg(F.countDistinct("number").alias("k")).where(2 * F.col("k") > F.get(_table(DIFFER + 2 * SPARE), F.col("band")))
     rest = blind.select("doc_id").distinct().join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     rest = store.put(rest)
     if not rest.isEmpty():
+        sets = packed(store, text, _ids(store, rest, "doc_id"), SHINGLE)
         part = merged(spark, part, verified(store, rare_pairs(store, sets, rest, PERCENT), sets, PERCENT), store)
 
     # Documents of one class share a component, whose name is the smallest id of all its classes.
