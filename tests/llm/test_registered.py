@@ -11,9 +11,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
 
 
-def rows(frame):
-    names = sorted(frame.columns)
-    return sorted((tuple(str(v) for v in r) for r in frame[names].itertuples(index=False)), key=str)
+def rows(names, values):
+    """Rows as texts, columns by name; values as the engines give them, as pandas has no null for whole numbers."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted((tuple(str(r[k]) for k in order) for r in values), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -21,12 +22,13 @@ def test_queries_match_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = db.execute(oracle_sql()[name]).df()
-    got = queries()[name](spark, SF).toPandas()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) and rows(got) == rows(want)
+    want = db.execute(oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names) and rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_each_operator_has_one_query(n):
     assert sum(k.startswith(f"op{n}_") for k in queries()) == 1
 
