@@ -710,10 +710,13 @@ def test_warc_source_headers_and_encodings(spark, tmp_path):
     assert "source-warc-ip-address: 10.0.0.1\r\n" in info["a"] and f"source-warc-payload-digest: {stated['a']}\r\n" in info["a"]
     assert "source-payload-digest-valid: true" in info["a"] and "source-payload-digest-valid: false" in info["b"] and "-valid" not in info["c"]
     assert {h.name: h.value for h in out["<urn:a>", "conversion"].headers}["WARC-Warcinfo-ID"] == "<urn:info>"
-    nested = [("<urn:n>", "response", None, None, None, [("Content-Length", "24")], bytearray(b"x\r\n\r\nWARC/1.0\r\n\r\n..."))]
+    nested = [("<urn:n>", "response", None, None, None, [("Content-Length", "20")], bytearray(b"x\r\n\r\nWARC/1.0\r\n\r\n..."))]
     warc.write(spark.createDataFrame(nested, warc.RECORD), str(tmp_path / "nested"))
+    assert [bytes(r.block) for r in warc.read(spark, str(tmp_path / "nested")).collect()] == [b"x\r\n\r\nWARC/1.0\r\n\r\n..."]  # written apart, so read whole
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "a.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 24\r\n\r\nx\r\n\r\nWARC/1.0\r\n\r\n...........\r\n\r\n")
     with pytest.raises(Exception, match="whole=True"):
-        warc.read(spark, str(tmp_path / "nested")).collect()
+        warc.read(spark, str(tmp_path / "foreign")).collect()
 
 
 def test_warc_query_matches_a_plain_loop(spark):
