@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions import geometry as geo
 from gridloom.sources.geoparquet import crs_of_footer
+from gridloom.sources.vector_files import read_flatgeobuf, read_shapefile
 from gridloom.types import GEOMETRY
 
 # Database schemes and the JDBC driver class of each.
@@ -37,6 +38,10 @@ def read(spark: SparkSession, source: str, layer: str | None = None, geom_col: s
     kind = source.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("gpkg",):
         return read_gpkg(spark, source, layer)
+    if kind == "shp":
+        return read_shapefile(spark, source)
+    if kind == "fgb":
+        return read_flatgeobuf(spark, source)
     if kind in ("geojson", "json"):
         return read_geojson(spark, source)
     if kind in ("geojsonl", "ndjson", "geojsons"):
