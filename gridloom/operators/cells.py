@@ -439,16 +439,53 @@ def morton(lon: Column, lat: Column, bits: int = 16) -> Column:
     return out
 
 
+#: A cell with more points than this, and than one in MOST_PLACES of all, is taken apart by the join below.
+CROWD, MOST_PLACES = 100_000, 4096
+#: Levels that a crowded cell is taken apart by, and points that meet a polygon's edges together.
+DEEPER, BLOCK = 4, 256
+
+
+def crowds(placed: DataFrame, n: int, res: int, deepest: int) -> dict[str, int]:
+    """Crowded geohash cells of ``placed(deep)`` at levels res..deepest, with how often each is crowded; at most MOST_PLACES a level."""
+    most = max(CROWD, n // MOST_PLACES)
+    if n <= most:
+        return {}
+    counted = placed.groupBy("deep").agg(F.count("*").alias("k"))
+    levels = F.explode(F.array(*[F.substring("deep", 1, level) for level in range(res, deepest + 1)]))
+    rows = counted.select(levels.alias("cell"), "k").groupBy("cell").agg(F.sum("k").alias("k")).where(F.col("k") > most).collect()
+    return {r.cell: -(-r.k // most) for r in rows}
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", res: int = 4) -> DataFrame:
     """Pairs of rows of ``points(lon, lat, ...)`` and ``polygons(geometry, ...)`` where the point is strictly inside.
 
     Both sides meet by geohash cell: a polygon has one row for each cell that it may reach into, with the edges of each of its parts
     that matter there, so the test of a pair costs those edges only and no pair comes twice; repeated rows of either side each have
-    their pairs.  Columns of both sides stay under their names, but for the geometry.
+    their pairs.  A crowded cell is taken apart, level by level, on both sides; if it is still crowded ``DEEPER`` levels below, as many
+    equal points are, its points are dealt to several copies of its polygons' rows.  Points go in blocks of one cell, so edges are sent
+    once for each block and not with each point.  Columns of both sides stay under their names, but for the geometry.
     """
     at = polygons.columns.index(GEOMETRY)
     keep = [k for k in range(len(polygons.columns)) if k != at]
-    nx, ny = geohash._bits(res)
+    deepest = min(res + DEEPER, RESOLUTIONS["geohash"].high)
+    x, y = (points[c].cast("double") for c in (lon, lat))
+    # Columns go by number meanwhile, as both sides may have the same names.
+    placed = points.where(x.isNotNull() & y.isNotNull()).select(*[points[c].alias(f"p{k}") for k, c in enumerate(points.columns)], x.alias("x"), y.alias("y"), geohash.point(x, y, deepest).alias("deep"))
+    crowd = crowds(placed.select("deep"), points.count(), res, deepest)
+    copies = {c: k for c, k in crowd.items() if len(c) == deepest}
+
+    def parts_of(edges: np.ndarray, i: np.ndarray, j: np.ndarray, level: int) -> Iterator[tuple[str, bytes]]:
+        nx, ny = geohash._bits(level)
+        for name, a, b in zip(geohash.names(i, j, level), i.tolist(), j.tolist(), strict=True):
+            own = geo.near_edges(edges, (a * 360 / (1 << nx) - 180, b * 180 / (1 << ny) - 90, (a + 1) * 360 / (1 << nx) - 180, (b + 1) * 180 / (1 << ny) - 90))
+            if not len(own):
+                continue
+            if name not in crowd or level == deepest:
+                yield name, own.tobytes()
+                continue
+            dx, dy = (1 << (m - n) for m, n in zip(geohash._bits(level + 1), (nx, ny), strict=True))
+            u, v = np.meshgrid(np.arange(a * dx, (a + 1) * dx), np.arange(b * dy, (b + 1) * dy))
+            yield from parts_of(own, u.ravel(), v.ravel(), level + 1)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,31 +496,61 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
                         continue
                     edges, p = geo.edges_of(parts), np.concatenate(parts)
                     for t in geohash.tiles((*p.min(0), *p.max(0)), res, 1):
-                        box = (t[0] * 360 / (1 << nx) - 180, t[1] * 180 / (1 << ny) - 90, (t[0] + 1) * 360 / (1 << nx) - 180, (t[1] + 1) * 180 / (1 << ny) - 90)
-                        if len(own := geo.near_edges(edges, box)):
-                            needs.setdefault(geohash.names(np.array([t[0]]), np.array([t[1]]), res)[0], []).append(own.tobytes())
-                taken = batch.take(pa.array([k] * len(needs), pa.int64()))
-                yield pa.record_batch([*[taken.column(j) for j in keep], pa.array(list(needs), pa.string()), pa.array(list(needs.values()), pa.list_(pa.binary()))], names=[*[batch.schema.names[j] for j in keep], "cell", "need"])
+                        for name, own in parts_of(edges, np.array([t[0]]), np.array([t[1]]), res):
+                            needs.setdefault(name, []).append(own)
+                rows = [(name, salt) for name in needs for salt in range(copies.get(name, 1))]
+                taken = batch.take(pa.array([k] * len(rows), pa.int64()))
+                yield pa.record_batch([*[taken.column(j) for j in keep], pa.array([name for name, _ in rows], pa.string()), pa.array([salt for _, salt in rows], pa.int32()), pa.array([needs[name] for name, _ in rows], pa.list_(pa.binary()))], names=[*[batch.schema.names[j] for j in keep], "cell", "salt", "need"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.array(batch.column("cell").to_pylist())  # sorted
+            begins = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+            cuts = np.array([c for a, b in zip(begins, [*begins[1:], len(names)], strict=True) for c in range(a, b, BLOCK)])
+            offsets = pa.array(np.append(cuts, len(names)), pa.int32())
+            first = names[cuts].tolist()
+            salts = [(turn + k) % copies.get(c, 1) for k, c in enumerate(first)]
+            turn += len(first)
+            rest = [n for n in batch.schema.names if n != "cell"]
+            yield pa.record_batch([*[pa.ListArray.from_arrays(offsets, batch.column(n)) for n in rest], pa.array(first), pa.array(salts, pa.int32())], names=[*rest, "cell", "salt"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), float) for c in ("x", "y"))
-            found = np.zeros(batch.num_rows, bool)
-            groups: dict[bytes, list[int]] = {}
-            for k, parts in enumerate(batch.column("need").to_pylist()):
-                for need in parts:
-                    groups.setdefault(need, []).append(k)
-            for need, rows in groups.items():
-                found[rows] |= geo.within(np.frombuffer(need, float).reshape(-1, 4), x[rows], y[rows])
-            yield batch.filter(pa.array(found))
-
-    # Columns go by number meanwhile, as both sides may have the same names.
+            xs, ys = batch.column("x"), batch.column("y")
+            starts = xs.offsets.to_numpy() - xs.offsets[0].as_py()
+            flat_x, flat_y = (c.flatten().to_numpy(zero_copy_only=False) for c in (xs, ys))
+            member, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, needs in enumerate(batch.column("need").to_pylist()):
+                own = slice(starts[k], starts[k + 1])
+                found = np.zeros(own.stop - own.start, bool)
+                for need in needs:
+                    found |= geo.within(np.frombuffer(need, float).reshape(-1, 4), flat_x[own], flat_y[own])
+                hits = np.flatnonzero(found)
+                member.append(hits + own.start)
+                row.append(np.full(len(hits), k))
+            member, row = pa.array(np.concatenate(member)), pa.array(np.concatenate(row))
+            yield pa.record_batch([*[batch.column(n).flatten().take(member) for n in left], *[batch.column(n).take(row) for n in right]], names=[*left, *right])
+
+    left, right = [f"p{k}" for k in range(len(points.columns))], [f"q{k}" for k in keep]
     cover = polygons.toDF(*[f"q{k}" for k in range(len(polygons.columns))])
-    cover = cover.mapInArrow(tiles, T.StructType([*[cover.schema.fields[k] for k in keep], T.StructField("cell", T.StringType()), T.StructField("need", T.ArrayType(T.BinaryType()))]))
-    x, y = (points[c].cast("double") for c in (lon, lat))
-    placed = points.where(x.isNotNull() & y.isNotNull()).select(*[points[c].alias(f"p{k}") for k, c in enumerate(points.columns)], x.alias("x"), y.alias("y"), geohash.point(x, y, res).alias("cell"))
-    met = placed.join(cover, "cell").drop("cell")
-    return met.mapInArrow(test, met.schema).drop("x", "y", "need").toDF(*points.columns, *[polygons.columns[k] for k in keep])
+    own = [cover.schema.fields[k] for k in keep]
+    cover = cover.mapInArrow(tiles, T.StructType([*own, T.StructField("cell", T.StringType()), T.StructField("salt", T.IntegerType()), T.StructField("need", T.ArrayType(T.BinaryType()))]))
+    cell = F.substring("deep", 1, res)
+    for level in range(res, deepest):
+        if names := [c for c in crowd if len(c) == level]:
+            # At most MOST_PLACES rows.
+            apart = F.broadcast(placed.sparkSession.createDataFrame([(c,) for c in names], f"at{level} string"))
+            placed = placed.join(apart, F.substring("deep", 1, level) == F.col(f"at{level}"), "left")
+            cell = F.when(F.col(f"at{level}").isNotNull(), F.substring("deep", 1, level + 1)).otherwise(cell)
+    placed = placed.select(*left, "x", "y", cell.alias("cell"))
+    lists = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in placed.schema.fields[:-1]]
+    packed = placed.sortWithinPartitions("cell").mapInArrow(packs, T.StructType([*lists, T.StructField("cell", T.StringType()), T.StructField("salt", T.IntegerType())]))
+    met = packed.join(cover, ["cell", "salt"])
+    out = met.mapInArrow(test, T.StructType([*[T.StructField(n, placed.schema[n].dataType) for n in left], *own]))
+    return out.toDF(*points.columns, *[polygons.columns[k] for k in keep])
 
 
 def ancestor(dggs: str, cell: str, res: int, parent: int) -> str:
