@@ -39,9 +39,15 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+#: The file of a folder that holds the metadata of all its files; Spark takes it for no data.
+SUMMARY = "_metadata"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
+    geo: str | None = None  # the task's files as one
+    schema: bytes | None = None
 
 
 class CellWriter(DataSourceArrowWriter):
@@ -53,15 +59,21 @@ class CellWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.path)
         files, writer, now, box, kinds = [], None, None, None, set()
+        task: str | None = None
+        schema: pa.Schema | None = None
 
         def finish() -> None:
+            nonlocal task
             if writer is not None:
-                writer.add_key_value_metadata({"geo": geo_metadata(box, sorted(kinds))})
+                own = geo_metadata(box, sorted(kinds))
+                task = own if task is None else merged_metadata([task, own])
+                writer.add_key_value_metadata({"geo": own})
                 writer.close()
 
         for batch in iterator:
             at = batch.schema.get_field_index(self.parent)
             rest = batch.select([n for n in batch.schema.names if n != self.parent])
+            schema = rest.schema
             keys = batch.column(at).to_pylist()
             cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -82,7 +94,7 @@ class CellWriter(DataSourceArrowWriter):
                         box = own if box is None else (*np.minimum(box[:2], own[:2]), *np.maximum(box[2:], own[2:]))
                 writer.write_batch(part)
         finish()
-        return Written(files)
+        return Written(files, task, schema.serialize().to_pybytes() if files else None)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = filesystem(self.path)
@@ -91,6 +103,10 @@ class CellWriter(DataSourceArrowWriter):
         for info in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
             if info.is_file and info.path.endswith(".parquet") and info.path.lstrip("/") not in {f.lstrip("/") for f in keep}:
                 fs.delete_file(info.path)
+        done = [m for m in messages if m and m.geo]
+        if done:  # one message for each task, so the driver merges as many boxes as there are tasks
+            schema = pa.ipc.read_schema(pa.py_buffer(done[0].schema))
+            pq.write_metadata(schema.with_metadata({**(schema.metadata or {}), "geo": merged_metadata([m.geo for m in done])}), f"{root}/{SUMMARY}", filesystem=fs)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = filesystem(self.path)
@@ -109,10 +125,11 @@ class CellSink(DataSource):
 
 
 def footer(path: str) -> dict | None:
-    """The GeoParquet metadata of a Parquet file, or of the first file of a folder; None without any."""
+    """The GeoParquet metadata of a Parquet file, or of a folder: its summary's, else its first file's; None without any."""
     fs, root = filesystem(path)
     info = fs.get_file_info(root)
-    files = [root] if info.is_file else sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".parquet"))
+    summary = f"{root.rstrip('/')}/{SUMMARY}"
+    files = [root] if info.is_file else [summary] if fs.get_file_info(summary).is_file else sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file and i.path.endswith(".parquet"))
     raw = (pq.read_metadata(files[0], filesystem=fs).metadata or {}).get(b"geo") if files else None
     return json.loads(raw) if raw else None
 

@@ -303,6 +303,9 @@ def test_geoparquet_output(spark, tmp_path):
     index_to_parquet(spark, path, target, "geohash", 4, parent_res=2, id_field="name", geo="polygon", compression="zstd", overwrite=True)
     assert out.read_cells(spark, target).count() == index(src.read(spark, path), "geohash", 4, id_field="name").count()
     assert geoparquet.crs_of_footer(target) == "EPSG:4326" and src.require_crs(src.read(spark, target)) == "EPSG:4326"
+    files = [f"{target}/{d}/{f}" for d in os.listdir(target) if "=" in d for f in os.listdir(f"{target}/{d}") if f.endswith(".parquet")]
+    whole = geoparquet.merged_metadata([pq.read_metadata(f).metadata[b"geo"].decode() for f in files])
+    assert os.path.exists(f"{target}/_metadata") and geoparquet.footer(target) == json.loads(whole)
 
 
 def test_ids_count_from_zero(spark):
@@ -352,6 +355,45 @@ def test_sql_functions(spark):
     assert set(filled[0].f) == {r[0] for r in ops.polyfill(spark.table("shapes").limit(1), "h3", 8).select("h3_08").collect()}
 
 
+def test_sql_functions_keep_rows_of_several_grids_and_nulls_apart(spark):
+    register(spark)
+    rng = np.random.default_rng(3)
+    rows = [(g, float(a), float(b), r) for g, r in (("h3", 5), ("geohash", 4), ("s2", 9), ("rhp", 3), ("h3", 6)) for a, b in zip(rng.uniform(-180, 180, 40), rng.uniform(-90, 90, 40), strict=True)]
+    rows += [("h3", None, 1.0, 5), (None, 1.0, 1.0, 5), ("s2", 1.0, float("nan"), 5), ("s2", 1.0, 1.0, None)]
+    rng.shuffle(rows)
+    spark.createDataFrame([tuple(r) for r in rows], "g string, x double, y double, r int").repartition(3).createOrReplaceTempView("many")
+    for r in spark.sql("select *, dggs_resolution(g, c) q, dggs_parent(g, c, r - 1) p, dggs_center(g, c) m from (select *, dggs_point_to_cell(g, x, y, r) c from many)").collect():
+        if None in (r.g, r.x, r.y, r.r) or r.y != r.y:
+            assert (r.c, r.q, r.p, r.m) == (None,) * 4
+            continue
+        assert r.c == ops.grid(r.g).encode([r.x], [r.y], r.r)[0] and r.q == r.r and r.p == ops.ancestor(r.g, r.c, r.r, r.r - 1)
+        assert np.allclose(geo.decode(r.m)[1][0], np.array(ops.grid(r.g).centers([r.c])).T)
+
+
+def test_children_in_sql(spark):
+    register(spark)
+    cells = [("geohash", "u4", 4), ("s2", "6d3a4841c", 17), ("rhp", "N012", 5), ("h3", "85283473fffffff", 7), ("h3", "8009fffffffffff", 2), ("geohash", "u4p", 3)]
+    for g, cell, res in cells:
+        (got,) = spark.sql(f"select dggs_children('{g}', '{cell}', {res})").first()
+        module = ops.hierarchy(g)
+        low = spark.createDataFrame([(cell,)], "c string").select(module.resolution(F.col("c"))).first()[0]
+        want = spark.createDataFrame([(cell,)], "c string").select(module.children(F.col("c"), low, res)).first()[0] if low < res else [cell]
+        assert got == sorted(want)
+    with pytest.raises(Exception, match="no descendants"):
+        spark.sql("select dggs_children('geohash', 'u4pru', 3)").collect()
+
+
+def test_cells_as_a_table_function(spark):
+    register(spark)
+    shapes = [box(174.7, -41.3, 174.9, -41.2), ("line", [np.array([(174.7, -41.3), (174.9, -41.2)])]), ("multipolygon", [box(1, 1, 1.2, 1.2), box(1.1, 1.1, 1.3, 1.3)]), ("point", [np.array([(5.0, 5.0)])])]
+    table = features(spark, *shapes)
+    table.unionByName(table.limit(1).withColumn("id", F.lit("none")).withColumn("geometry", F.lit(None).cast("binary"))).createOrReplaceTempView("sites2")
+    for g, res in (("h3", 7), ("s2", 11), ("geohash", 5), ("rhp", 6)):
+        got = sorted((r.id, r.cell) for r in spark.sql(f"select id, cell from sites2, lateral dggs_cells('{g}', geometry, {res})").collect())
+        want = sorted((r.id, r[0]) for r in ops.polyfill(prepare.cleaned(table, ops.grid(g).GEODESIC), g, res).select(ops.column_name(g, res), "id").collect())
+        assert got == want and want
+
+
 def test_representatives_must_be_finer(spark):
     for dggs, cell, res in (("geohash", "u4pru", 5), ("s2", "6d3a4841c", 15), ("rhp", "N012", 2), ("h3", "85283473fffffff", 5)):
         with pytest.raises(Exception, match="not finer"):
