@@ -178,3 +178,104 @@ def middle(cells: np.ndarray, res: int) -> np.ndarray:
     from gridloom.functions.s2 import xyz
 
     return xyz(*unproject(cells[:, 0], (cells[:, 1] + 0.5) / 3.0**res, (cells[:, 2] + 0.5) / 3.0**res))
+
+
+def _height(lat: np.ndarray) -> np.ndarray:
+    s = np.sin(np.radians(lat))
+    return np.clip((1 - E2) * (s / (1 - E2 * s * s) - np.log((1 - E1 * s) / (1 + E1 * s)) / (2 * E1)) / QP, -1, 1)
+
+
+def _bisected(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A root of ``f`` in each of the intervals, at whose ends it has different signs."""
+    rising = f(high) > 0
+    for _ in range(54):
+        half = (low + high) / 2
+        up = (f(half) > 0) == rising
+        low, high = np.where(up, low, half), np.where(up, half, high)
+    return (low + high) / 2
+
+
+def _turns(f, low: float, high: float) -> list[float]:
+    """The roots in an interval, two at most, of a function that is convex or concave there."""
+    first, last = f(np.array([low, high])).tolist()
+    if first * last < 0:
+        return _bisected(f, np.array([low]), np.array([high])).tolist()
+    sign = 1.0 if first > 0 or first == 0 and last > 0 else -1.0
+    a, b = low, high
+    for _ in range(10):  # to the point nearest to the other side
+        t = np.linspace(a, b, 33)
+        k = int((v := sign * f(t)).argmin())
+        if v[k] < 0:
+            return _bisected(f, np.array([low, t[k]]), np.array([t[k], high])).tolist()
+        a, b = t[max(0, k - 1)], t[min(32, k + 1)]
+    return []
+
+
+def _between(x: float, y: float) -> np.ndarray:
+    """The whole numbers from x to y, in either order."""
+    return np.arange(math.ceil(min(x, y)), math.floor(max(x, y)) + 1)
+
+
+def crossings(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
+    """Where (0 to 1, ascending, both ends with it) the segment of degrees from a to b meets borders of cells, faces and polar triangles.
+
+    Borders of constant latitude or longitude have closed forms.  The others, across a polar triangle, are at constant
+    products of a longitude and the triangle's width at a latitude; between the at most two turns of that product
+    along the segment each is met once, and found by bisection.
+    """
+    (lon, lat), (wide, high) = np.asarray(a, float), np.asarray(b, float) - np.asarray(a, float)
+    size = 3**res
+    limit = float(unproject(np.array([1]), np.array([0.5]), np.array([0.0]))[1][0])
+    knots = [np.array([0.0, 1.0])]
+    if high:
+        knots.append((np.array([-limit, limit]) - lat) / high)
+    if wide:
+        knots.append((90.0 * _between(lon / 90, (lon + wide) / 90) - lon) / wide)
+    at = np.unique(np.clip(np.concatenate(knots), 0, 1))
+    out = [at]
+    for t0, t1 in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        x0, x1 = lon + t0 * wide, lon + t1 * wide
+        z0, z1, z = (float(v) for v in _height(np.array([lat + t0 * high, lat + t1 * high, lat + (t0 + t1) / 2 * high])))
+        if abs(z) <= 2 / 3:
+            if wide:
+                out.append((_between(x0 / 90 * size, x1 / 90 * size) * 90.0 / size - lon) / wide)
+            if high:
+                rows = _between((0.5 - 0.75 * z0) * size, (0.5 - 0.75 * z1) * size) / size
+                out.append((unproject(np.full(len(rows), 1), np.full(len(rows), 0.5), rows)[1] - lat) / high)
+            continue
+        north = 1 if z > 0 else -1
+        middle = math.radians(90 * math.floor((x0 + x1) / 180) + 45)
+        width = lambda t: np.sqrt(3 * (1 - np.abs(_height(lat + t * high))))
+        offset = lambda t: (np.radians(lon + t * wide) - middle) * width(t)
+        if high:  # rows of the triangle; half a face is as wide as 1 in the width
+            rows = _between(*[(1 - float(width(np.array([t]))[0])) * size / 2 for t in (t0, t1)]) / size
+            out.append((unproject(np.full(len(rows), 0 if north > 0 else 5), np.full(len(rows), 0.5), 1 - rows if north > 0 else rows)[1] - lat) / high)
+        turns = [t0, t1]
+        if wide and high:
+
+            def slope(t: np.ndarray) -> np.ndarray:
+                """Without roots but where the offset turns: its derivative by that of the width."""
+                phi = np.radians(lat + t * high)
+                grows = 2 * (1 - E2) * np.cos(phi) / (1 - E2 * np.sin(phi) ** 2) ** 2 / QP * math.radians(high) * north
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = np.where(np.abs(grows) > 1e-12, -2 * (1 - np.abs(_height(lat + t * high))) / grows, 0.0)
+                return np.radians(lon + t * wide) - middle + math.radians(wide) * ratio
+
+            turns = sorted([*turns, *_turns(slope, t0, t1)])
+        for u, v in zip(turns[:-1], turns[1:], strict=True):
+            ends = [float(offset(np.array([t]))[0]) for t in (u, v)]
+            lines = _between(*[(w / (math.pi / 2) + 0.5) * size for w in ends])
+            level = (lines / size - 0.5) * (math.pi / 2)
+            inner = level[(level - ends[0]) * (level - ends[1]) < 0]
+            if len(inner):
+                out.append(_bisected(lambda t, level=inner: offset(t) - level, np.full(len(inner), u), np.full(len(inner), v)))
+    return np.unique(np.clip(np.concatenate(out), 0, 1))
+
+
+def path(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
+    """Cells (face, column, row) that the segment of degrees from a to b passes, in order: those of its ends and of the middles between its crossings."""
+    t = crossings(a, b, res)
+    t = np.concatenate([[0.0], (t[:-1] + t[1:]) / 2, [1.0]])
+    face, *w = project(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+    cells = np.stack([face, *[np.clip(np.floor(v * 3**res), 0, 3**res - 1).astype(np.int64) for v in w]], 1)
+    return cells[np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(1)])]

@@ -200,35 +200,11 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
         for a, b in zip(line[:-1], line[1:], strict=True):
             out.update(dict.fromkeys(h3.path(tuple(a), tuple(b), res)))
         return h3.named(np.array(list(out), np.int64)[:, None], res).tolist()
-    step = np.degrees(module.radius(res)) / 12
     for a, b in zip(line[:-1], line[1:], strict=True):
-        n = int(np.ceil(np.hypot(*(b - a)) / step)) + 1
-        out.update(dict.fromkeys(module.named(_refined(module, a, b, n, res), res).tolist()))
+        out.update(dict.fromkeys(rhealpix.named(rhealpix.path(a, b, res), res).tolist()))
     return list(out)
 
 
-def _refined(module, a: np.ndarray, b: np.ndarray, n: int, res: int) -> np.ndarray:
-    """Cells of n + 1 positions from a to b, and of those between two whose cells share no edge, halved until they do."""
-
-    def at(t: np.ndarray) -> np.ndarray:
-        p = a + t[:, None] * (b - a)
-        face, *w = module.project(p[:, 0], p[:, 1])
-        return np.stack([face, *[np.clip(np.floor(v * 3**res), 0, 3**res - 1).astype(np.int64) for v in w]], 1)
-
-    t = np.linspace(0, 1, n + 1)
-    cells = at(t)
-    for _ in range(40):
-        step = np.abs(np.diff(cells, axis=0))
-        gaps = np.flatnonzero((step[:, 0] > 0) | (step[:, 1] + step[:, 2] > 1))
-        half = (t[gaps] + t[gaps + 1]) / 2
-        new = (half > t[gaps]) & (half < t[gaps + 1])
-        if not new.any():
-            break
-        gaps, half = gaps[new], half[new]
-        t, cells = np.insert(t, gaps + 1, half), np.insert(cells, gaps + 1, at(half), axis=0)
-    return cells
-
-
 def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
     """``trace`` of every line; those on S2 are traced together."""
     if module is not s2:

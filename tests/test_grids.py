@@ -234,3 +234,56 @@ def test_rhealpix_lines_hold_cells_of_clipped_corners():
         assert len(got) == len(set(got)) and dense(100_001) <= set(got)
         more += len(set(got) - dense(int(np.ceil(np.hypot(*(line[1] - line[0])) / (np.degrees(rhealpix.radius(res)) / 12))) + 2))
     assert more > 0
+
+
+def _met(line: np.ndarray, res: int) -> tuple[set, set]:
+    """Every cell of the level is tested: (those the segment enters by more than 1e-9 of a cell, those it comes so near to)."""
+    size = 3**res
+    place = lambda t: rhealpix.project(*(line[0] + t[:, None] * (line[1] - line[0])).T)
+    t = np.unique(np.concatenate([np.linspace(0, 1, 20_001), np.linspace(0, 1, 4_001) ** 3, 1 - np.linspace(0, 1, 4_001) ** 3]))
+    face, x, y = place(t)
+    sure, near = set(), set()
+    for f, i, j in ((f, i, j) for f in range(6) for i in range(size) for j in range(size)):
+        deep = lambda g, x, y, f=f, i=i, j=j: np.where(g == f, 0.5 - np.maximum(np.abs(x * size - i - 0.5), np.abs(y * size - j - 0.5)), -9.0)
+        d = deep(face, x, y)
+        best = float(d.max())
+        if -0.02 < best < 1e-3:  # look again round the deepest places
+            for k in np.argsort(d)[-3:]:
+                low, high = t[max(0, k - 1)], t[min(len(t) - 1, k + 1)]
+                for _ in range(4):
+                    fine = np.linspace(low, high, 401)
+                    e = deep(*place(fine))
+                    at = int(e.argmax())
+                    best, low, high = max(best, float(e.max())), fine[max(0, at - 1)], fine[min(400, at + 1)]
+        name = rhealpix.named(np.array([(f, i, j)]), res)[0]
+        if best > -1e-7:
+            near.add(name)
+        if best > 1e-9:
+            sure.add(name)
+    return sure, near
+
+
+@pytest.mark.parametrize("res", [0, 1, 2])
+def test_rhealpix_lines_against_every_cell(res):
+    r = np.random.default_rng(17 + res)
+    lines = [r.uniform((-180, -90), (180, 90), (2, 2)) for _ in range(25)]
+    lines += [np.stack([a := np.array([r.uniform(-180, 180), s * r.uniform(42, 89)]), np.clip(a + r.uniform(-40, 40, 2), (-180, -90), (180, 90))]) for s in (-1, 1) for _ in range(12)]
+    # Along parallels and meridians, through a pole's point, round the pole, and a point.
+    lines += [np.array(x, float) for x in ([(-170, 80), (170, 80)], [(-170, -60), (170, -85)], [(12, -90), (12, 90)], [(30, 50), (30, 90)], [(-180, 70), (180, 89.9)], [(-100, 10), (100, 10)], [(5, 66), (5, 66)])]
+    for line in lines:
+        got = ops.trace(rhealpix, line, res)
+        sure, near = _met(line, res)
+        assert len(got) == len(set(got)) and sure <= set(got) <= near, line
+
+
+def test_rhealpix_segments_are_cut_at_each_border_once():
+    a, b = np.array([-179.0, 44.0]), np.array([175.0, 88.0])
+    t = rhealpix.crossings(a, b, 7)
+    assert t[0] == 0 and t[-1] == 1 and (np.diff(t) > 0).all()
+    cells = rhealpix.path(a, b, 7)
+    # Between two crossings a segment keeps its cell: a second look finds no other.
+    more = np.unique(np.concatenate([t[:-1] + (t[1:] - t[:-1]) * w for w in (0.1, 0.35, 0.8)]))
+    names = set(rhealpix.encode(*(a + more[:, None] * (b - a)).T, 7).tolist())
+    assert names <= set(rhealpix.named(cells, 7).tolist())
+    # Whatever the direction, the cells are the same.
+    assert set(rhealpix.named(rhealpix.path(b, a, 7), 7).tolist()) == set(rhealpix.named(cells, 7).tolist())
