@@ -163,38 +163,72 @@ def tile_cells(tile: tuple[int, int, int, int], res: int) -> tuple[np.ndarray, n
     return (x + 0.5) * 360 / (1 << nx) - 180, (y + 0.5) * 180 / (1 << ny) - 90, names(x, y, res)
 
 
+#: Costs of a trace are whole numbers of 2^-30 degrees, so that equal ones are equal whatever their order of addition.
+UNIT = 1 << 30
+#: Room for the sum of a path's cell numbers, which decides between paths of equal cost.
+TIES = 96
+
+
 def trace_segment(a: tuple[float, float], b: tuple[float, float], res: int) -> list[str]:
-    """Cells of the cheapest 8-neighbour path between two points: each step costs 1 plus its centre's distance to the segment."""
+    """Cells of the cheapest 8-neighbour path between two points: each step costs 1 plus its centre's distance to the segment in degrees.
+
+    Of paths of one cost it is the one with the least sum of cell numbers (counted eastwards, row by row from the south);
+    so a segment has the same cells in both directions.
+
+    The path is searched from both ends.  Half of a cell's cost belongs to the step to it and half to the one from it, which
+    makes steps cost the same both ways, and both frontiers are ordered by their cost and half the difference of the steps
+    to one end and the other.  So no step is cheaper than nothing in that order, and the search is over when the two
+    least entries together are not below the best meeting.
+    """
     nx, ny = _bits(res)
     (x0, x1), (y0, y1) = locate(np.array([a[0], b[0]]), np.array([a[1], b[1]]), res)
-    start, goal = (int(x0), int(y0)), (int(x1), int(y1))
+    ends = (int(x0), int(y0)), (int(x1), int(y1))
+    # The first end is the one with the lower number, so that the distance to the segment is the same in both directions.
+    turned = ends[0][::-1] > ends[1][::-1] or ends[0] == ends[1] and a > b
+    if turned:
+        a, b, ends = b, a, ends[::-1]
     w, h = 360 / (1 << nx), 180 / (1 << ny)
     dx, dy = b[0] - a[0], b[1] - a[1]
     length = dx * dx + dy * dy
-
-    def away(c: tuple[int, int]) -> float:
-        px, py = (c[0] + 0.5) * w - 180 - a[0], (c[1] + 0.5) * h - 90 - a[1]
-        t = min(1.0, max(0.0, (px * dx + py * dy) / length)) if length else 0.0
-        return ((px - t * dx) ** 2 + (py - t * dy) ** 2) ** 0.5
-
-    least = lambda c: max(abs(c[0] - goal[0]), abs(c[1] - goal[1]))
-    heap, cost, via = [(least(start), 0.0, start)], {start: 0.0}, {}
-    while heap:
-        _, g, c = heapq.heappop(heap)
-        if c == goal:
+    costs: dict[tuple[int, int], int] = {}
+
+    def cost(c: tuple[int, int]) -> int:
+        """Half of a step to the cell, doubled as all costs are, with its number below."""
+        if c not in costs:
+            px, py = (c[0] + 0.5) * w - 180 - a[0], (c[1] + 0.5) * h - 90 - a[1]
+            t = min(1.0, max(0.0, (px * dx + py * dy) / length)) if length else 0.0
+            costs[c] = (UNIT + round(((px - t * dx) ** 2 + (py - t * dy) ** 2) ** 0.5 * UNIT) << TIES) + (c[1] << nx | c[0])
+        return costs[c]
+
+    steps = lambda c, d: max(abs(c[0] - d[0]), abs(c[1] - d[1]))
+    lead = lambda c, side: (steps(c, ends[1 - side]) - steps(c, ends[side])) * UNIT << TIES
+    reached: tuple[dict, dict] = {ends[0]: 0}, {ends[1]: 0}
+    via: tuple[dict, dict] = {}, {}
+    heaps = [(lead(ends[0], 0), 0, ends[0])], [(lead(ends[1], 1), 0, ends[1])]
+    best, meeting = (0, ends[0]) if ends[0] == ends[1] else (None, None)
+    while heaps[0] and heaps[1]:
+        if best is not None and heaps[0][0][0] + heaps[1][0][0] >= best:
             break
-        if g > cost[c]:
+        side = int(len(heaps[1]) < len(heaps[0]))
+        own, other = reached[side], reached[1 - side]
+        _, g, c = heapq.heappop(heaps[side])
+        if g > own[c]:
             continue
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                n = (c[0] + i, c[1] + j)
-                if (i or j) and 0 <= n[0] < 1 << nx and 0 <= n[1] < 1 << ny:
-                    k = g + 1 + away(n)
-                    if k < cost.get(n, float("inf")):
-                        cost[n], via[n] = k, c
-                        heapq.heappush(heap, (k + least(n), k, n))
-    path = [goal]
-    while path[-1] != start:
-        path.append(via[path[-1]])
+        for n in ((c[0] + i, c[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j):
+            if not (0 <= n[0] < 1 << nx and 0 <= n[1] < 1 << ny):
+                continue
+            k = g + cost(c) + cost(n)
+            if k < own.get(n, k + 1):
+                own[n], via[side][n] = k, c
+                heapq.heappush(heaps[side], (k + lead(n, side), k, n))
+                if n in other and (best is None or k + other[n] < best):
+                    best, meeting = k + other[n], n
+    path = [meeting]
+    while path[-1] != ends[0]:
+        path.append(via[0][path[-1]])
     path.reverse()
+    while path[-1] != ends[1]:
+        path.append(via[1][path[-1]])
+    if turned:
+        path.reverse()
     return names(np.array([p[0] for p in path]), np.array([p[1] for p in path]), res).tolist()

@@ -287,3 +287,51 @@ def test_rhealpix_segments_are_cut_at_each_border_once():
     assert names <= set(rhealpix.named(cells, 7).tolist())
     # Whatever the direction, the cells are the same.
     assert set(rhealpix.named(rhealpix.path(b, a, 7), 7).tolist()) == set(rhealpix.named(cells, 7).tolist())
+
+
+def _cheapest(a, b, res) -> dict:
+    """By a search of the whole grid from one end: what the cheapest path to each cell costs, a step 1 and its centre's distance to the segment."""
+    nx, ny = geohash._bits(res)
+    w, h = 360 / (1 << nx), 180 / (1 << ny)
+    a, b = np.array(a), np.array(b)
+
+    def away(c):
+        p = np.array([(c[0] + 0.5) * w - 180, (c[1] + 0.5) * h - 90])
+        t = np.clip((p - a) @ (b - a) / max(1e-300, (b - a) @ (b - a)), 0, 1)
+        return float(np.hypot(*(p - a - t * (b - a))))
+
+    own = {(i, j): 1 + away((i, j)) for i in range(1 << nx) for j in range(1 << ny)}
+    (x,), (y,) = geohash.locate(a[:1], a[1:], res)
+    cost = {c: np.inf for c in own} | {(int(x), int(y)): 0.0}
+    changed = True
+    while changed:  # until no step makes anything cheaper
+        changed = False
+        for (i, j), g in own.items():
+            low = min(cost[i + p, j + q] for p in (-1, 0, 1) for q in (-1, 0, 1) if (i + p, j + q) in own and (p or q)) + g
+            if low < cost[i, j] - 1e-12:
+                cost[i, j], changed = low, True
+    return {"cost": cost, "own": own}
+
+
+@pytest.mark.parametrize("res,n", [(1, 30), (2, 12)])
+def test_geohash_segments_cost_no_more_than_a_full_search_finds(res, n):
+    r = np.random.default_rng(res)
+    ends = [r.uniform((-180, -90), (180, 90), (2, 2)) for _ in range(n)] + [np.array([(-170.0, 20.0), (170.0, 20.0)]), np.array([(3.0, 4.0), (3.0, 4.0)])]
+    for a, b in ends:
+        path = geohash.trace_segment(tuple(a), tuple(b), res)
+        x, y = geohash.numbers(path)
+        assert path[0] == geohash.encode(a[:1], a[1:], res)[0] and path[-1] == geohash.encode(b[:1], b[1:], res)[0]
+        assert len(set(path)) == len(path) and (np.maximum(abs(np.diff(x)), abs(np.diff(y))) == 1).all()
+        full = _cheapest(a, b, res)
+        assert abs(sum(full["own"][c] for c in list(zip(x.tolist(), y.tolist(), strict=True))[1:]) - full["cost"][int(x[-1]), int(y[-1])]) < 1e-6
+        # Ties go by cell numbers, so the other direction gives the same path.
+        assert geohash.trace_segment(tuple(b), tuple(a), res) == path[::-1]
+
+
+def test_geohash_ties_go_to_the_lower_cell_numbers():
+    # Between opposite corners of two by one cells, along their common border's ends: both ways cost the same.
+    (x, y), nx = (16, 16), geohash._bits(2)[0]
+    at = lambda i, j: ((i + 0.5) * 360 / (1 << nx) - 180, (j + 0.5) * 180 / (1 << geohash._bits(2)[1]) - 90)
+    a, b = at(x, y), at(x + 2, y + 1)
+    low = geohash.trace_segment(a, b, 2)
+    assert low[1] == str(geohash.names(np.array([x + 1]), np.array([y]), 2)[0]) and geohash.trace_segment(b, a, 2) == low[::-1]
