@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,6 +136,35 @@ def emptied(df: DataFrame) -> DataFrame:
     return df.select(GEOMETRY).mapInArrow(run, "n long, n_empty long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_empty"), F.lit(0)).alias("n_empty"))
 
 
+def judged(df: DataFrame, threshold: float) -> DataFrame:
+    """``df`` with ``_gone``, whether ``emptied`` counts a row, and ``_large``, whether its box is larger than ``threshold`` (0: never)."""
+    at = df.columns.index(GEOMETRY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [geo.decode(r) for r in batch.column(at).to_pylist()]
+            gone = [next(geo.flat(g), None) is None for g in shapes]
+            boxes = [geo.bounds(g) if threshold > 0 else None for g in shapes]
+            large = [b is not None and (b[2] - b[0]) * (b[3] - b[1]) > threshold for b in boxes]
+            yield pa.record_batch([*batch.columns, pa.array(gone, pa.bool_()), pa.array(large, pa.bool_())], names=[*batch.schema.names, "_gone", "_large"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_gone", T.BooleanType()), T.StructField("_large", T.BooleanType())]))
+
+
+def counts() -> list[Column]:
+    """Of judged rows: all (n), the emptied (n_empty) and the large ones (n_large)."""
+    return [F.count(F.lit(1)).alias("n"), F.count_if("_gone").alias("n_empty"), F.count_if("_large").alias("n_large")]
+
+
+def watched(df: DataFrame, threshold: float, seen: Observation) -> DataFrame:
+    """``df`` as it is; the job that reads it leaves the ``counts`` of its judged rows in ``seen``.
+
+    A task that runs again after a loss of its executor may be counted again.  A job without any result may leave none, as
+    its plan is cut down while it runs.
+    """
+    return judged(df, threshold).observe(seen, *counts()).drop("_gone", "_large").withMetadata(GEOMETRY, df.schema[GEOMETRY].metadata)
+
+
 SORTS = ("none", "hilbert", "morton", "geohash")
 
 

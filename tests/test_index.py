@@ -8,6 +8,7 @@ import os
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridloom import cli
@@ -287,6 +288,37 @@ def test_dropped_features_are_reported(spark, tmp_path, caplog):
     assert any("no feature" in r.getMessage() for r in caplog.records) and not [f for f in os.listdir(tmp_path / "out") if "=" in f]
 
 
+@pytest.mark.parametrize("dggs,options", [("geohash", {"id_field": "name"}), ("h3", {"id_field": "name", "cut_threshold": 1e-3, "compact": True, "parent_res": 2}), ("geohash", {"id_field": "name", "geo": "point"})])
+def test_source_is_read_once(spark, tmp_path, monkeypatch, caplog, dggs, options):
+    shapes = [(f"s{k}", box(10 + k, 0, 10.5 + k, 0.5)) for k in range(6)]
+    rows = spark.createDataFrame([(n, bytearray(geo.encode(g))) for n, g in shapes], "name string, geometry binary").repartition(3)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    table = rows.mapInArrow(counted, rows.schema).withMetadata("geometry", {"crs": "EPSG:4326"})
+    monkeypatch.setattr(src, "read", lambda *_: table)
+    with caplog.at_level(logging.INFO, "gridloom"):
+        index_to_parquet(spark, "-", str(tmp_path / "out"), dggs, 4, **options)
+    assert reads.value == 6
+    said = [r.getMessage() for r in caplog.records]
+    assert not any("dropped" in m for m in said) and ("cut_threshold" not in options or any("6 of 6 features are larger" in m for m in said))
+    assert out.read_cells(spark, str(tmp_path / "out")).select("name").distinct().count() == 6
+
+
+def test_counts_of_a_watched_job(spark):
+    shapes = [geo.encode(box(10, 0, 12, 2)), geo.encode(box(10, 0, 10.1, 0.1)), None, geo.encode(("polygon", []))]
+    df = spark.createDataFrame([(k % 2, None if g is None else bytearray(g)) for k, g in enumerate(shapes)], "k int, geometry binary")
+    seen = Observation()
+    assert prepare.watched(df, 1.0, seen).groupBy("k").count().count() == 2
+    assert seen.get == {"n": 4, "n_empty": 2, "n_large": 1} == prepare.judged(df, 1.0).agg(*prepare.counts()).first().asDict()
+    assert prepare.judged(df, 0.0).agg(*prepare.counts()).first().n_large == 0
+    assert tuple(prepare.judged(df.limit(0), 1.0).agg(*prepare.counts()).first()) == (0, 0, 0)
+
+
 def test_geoparquet_output(spark, tmp_path):
     path = write_geojson(tmp_path / "in.geojson", [("a", box(10, 0, 11, 1)), ("b", box(20, 0, 21, 1))])
     target = str(tmp_path / "cells")
