@@ -224,7 +224,7 @@ def named(cells: np.ndarray, res: int) -> np.ndarray:
 
 
 def meets(cells: np.ndarray, res: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each cell meets its short great-circle arc a-b (one for all, or one for each cell): clipping of its line on the cell's face."""
+    """Whether each cell meets its short great-circle arc a-b (one for all, or one for each cell): clipping of its line on the cell's face.  A touch counts, with room (1e-12) for rounding."""
     a, b = np.broadcast_to(a, (len(cells), 3)), np.broadcast_to(b, (len(cells), 3))
     ua, va = uv_on(a, cells[:, 0])
     ub, vb = uv_on(b, cells[:, 0])
@@ -234,7 +234,7 @@ def meets(cells: np.ndarray, res: int, a: np.ndarray, b: np.ndarray) -> np.ndarr
     low, high = np.zeros(len(cells)), np.ones(len(cells))
     ok = front.copy()
     for p, q, k in ((ua, ub, cells[:, 1]), (va, vb, cells[:, 2])):
-        first, last = st_to_uv(k / 2.0**res), st_to_uv((k + 1) / 2.0**res)
+        first, last = st_to_uv(k / 2.0**res) - 1e-12, st_to_uv((k + 1) / 2.0**res) + 1e-12
         d = q - p
         with np.errstate(divide="ignore", invalid="ignore"):
             t0, t1 = (first - p) / d, (last - p) / d

@@ -562,6 +562,84 @@ c AS (SELECT event_id, face || array_to_string(list_transform(range({res}, 0, -1
 SELECT event_id, cell, substr(cell, 1, {parent + 1}) AS parent, {res} AS res, rpad(substr(cell, 1, {parent + 1}), {res + 1}, '4') AS first FROM c"""
 
 
+_BOXES = f"SELECT s_suppkey AS k, n, CASE WHEN n IN (1, 4) THEN x0 ELSE x0 + w END AS lon, CASE WHEN n < 3 THEN y0 ELSE y0 + h END AS lat FROM {_S}, range(1, 5) t(n)"
+_SEGMENTS = f"""SELECT event_id * 2 + m AS k, n, lon + CASE m + n WHEN 1 THEN 0 WHEN 2 THEN 0.3 ELSE 0.1 END AS lon, lat + CASE m + n WHEN 1 THEN 0 WHEN 2 THEN 0.2 ELSE 0.4 END AS lat
+    FROM {_E}, range(2) s(m), range(1, 3) t(n)"""
+
+
+def _s2_cells(corners: str, n: int, res: int) -> str:
+    """SQL (ends in a table ``c``) that lists the S2 cells whose square on its face meets the box round the ``n`` corners (k, n, lon, lat), with the corners on that face.
+
+    Great circles are straight on a face, so a shape of great-circle edges that lies before a face is a flat one there.
+    """
+    size = 1 << res
+    st = lambda w: f"CASE WHEN {w} >= 0 THEN 0.5 * sqrt(1 + 3 * {w}) ELSE 1 - 0.5 * sqrt(1 - 3 * {w}) END"
+    uv = lambda t: f"CASE WHEN {t} >= 0.5 THEN (4 * ({t}) * ({t}) - 1) / 3 ELSE (1 - 4 * (1 - ({t})) * (1 - ({t}))) / 3 END"
+    span = lambda w: f"unnest(range(floor(({st(f'greatest(low_{w} - 1e-12, -1)')}) * {size})::BIGINT, least(floor(({st(f'least(high_{w} + 1e-12, 1)')}) * {size})::BIGINT, {size - 1}) + 1))"
+    flat = ", ".join(f"max({w}) FILTER (n = {m}) AS {w}{m}" for w in "uv" for m in range(1, n + 1))
+    return f"""
+WITH e AS (SELECT k, n, radians(lon) AS lam, radians(lat) AS phi FROM ({corners})),
+x AS (SELECT k, n, cos(phi) * cos(lam) AS x, cos(phi) * sin(lam) AS y, sin(phi) AS z FROM e),
+f AS (SELECT *, CASE face % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE z END * CASE WHEN face < 3 THEN 1 ELSE -1 END AS depth FROM x, range(6) t(face)),
+w AS (SELECT *, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
+        CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v FROM f WHERE depth > 0.1),
+g AS (SELECT k, face, min(u) AS low_u, max(u) AS high_u, min(v) AS low_v, max(v) AS high_v, {flat} FROM w GROUP BY k, face HAVING count(*) = {n}),
+i AS (SELECT *, {span('u')} AS i FROM g WHERE high_u > -1 AND low_u < 1 AND high_v > -1 AND low_v < 1),
+j AS (SELECT *, {span('v')} AS j FROM i),
+c AS (SELECT *, {uv(f'(i + 0.5) / {size}')} AS cu, {uv(f'(j + 0.5) / {size}')} AS cv, {uv(f'i / {size}')} AS ua, {uv(f'(i + 1) / {size}')} AS ub, {uv(f'j / {size}')} AS va, {uv(f'(j + 1) / {size}')} AS vb FROM j)"""
+
+
+def _side(a: int, b: int, u: str, v: str) -> str:
+    """Positive where (u, v) is to the left of the way from corner a to corner b."""
+    return f"((u{b} - u{a}) * ({v} - v{a}) - (v{b} - v{a}) * ({u} - u{a}))"
+
+
+_RING = ((1, 2), (2, 3), (3, 4), (4, 1))
+_S2_INSIDE = " AND ".join(f"{_side(a, b, 'cu', 'cv')} > 0" for a, b in _RING)
+#: A cell and a box, both convex, meet unless a line along a side of either parts them; a touch counts, with room for rounding.
+_S2_MEETS = "ua <= high_u + 1e-12 AND ub >= low_u - 1e-12 AND va <= high_v + 1e-12 AND vb >= low_v - 1e-12"
+_corners_of = lambda a, b, f: f"{f}({', '.join(_side(a, b, u, v) for u in ('ua', 'ub') for v in ('va', 'vb'))})"
+
+
+def _s2_name(res: int) -> str:
+    """SQL for the token of (face, i, j) at a level."""
+    flat = lambda rows: "[" + ", ".join(str(v) for r in rows for v in (r if isinstance(r, tuple) else (r,))) + "]"
+    quadrant = f"({flat(s2.IJ_TO_POS)})[(acc & 3) * 4 + ((i >> k) & 1) * 2 + ((j >> k) & 1) + 1]"
+    place = f"list_reduce(list_prepend((face & 1)::BIGINT, range({res - 1}, -1, -1)), lambda acc, k: ((acc >> 2) * 4 + {quadrant}) * 4 + xor(acc & 3, ({flat(s2.TURN)})[{quadrant} + 1])) >> 2"
+    return f"rtrim(lower(lpad(to_hex((face::HUGEINT * {1 << 61} + ({place})::HUGEINT * {1 << (61 - 2 * res)} + {1 << (60 - 2 * res)})::UBIGINT), 16, '0')), '0')"
+
+
+def _rhp_polyfill(res: int) -> str:
+    """SQL for the rHEALPix cells with their centres in the suppliers' boxes.
+
+    A box is cut at quarters of the sphere and at the caps; a piece's outline on its face is bounded by its corners, as the
+    offset in a triangle is a product of a longitude and a width.  All centres in these bounds are brought back to
+    longitude and latitude.
+    """
+    e1, e2, qp, size = repr(rhealpix.E1), repr(rhealpix.E2), repr(rhealpix.QP), 3**res
+    q = lambda t: f"((1 - {e2}) * ({t} / (1 - {e2} * {t} * {t}) - ln((1 - {e1} * {t}) / (1 + {e1} * {t})) / (2 * {e1})))"
+    digits = f"array_to_string(list_transform(range({res - 1}, -1, -1), lambda p: ((j // pow(3, p)::BIGINT % 3) * 3 + i // pow(3, p)::BIGINT % 3)::VARCHAR), '')"
+    newton = f"p - ({q('sin(p)')} - z * {qp}) * pow(1 - {e2} * sin(p) * sin(p), 2) / (2 * {1 - rhealpix.E2!r} * cos(p))"
+    return f"""
+WITH b AS (SELECT s_suppkey AS k, x0, y0, x0 + w AS x1, y0 + h AS y1, {q('sin(radians(y0))')} / {qp} AS za, {q('sin(radians(y0 + h))')} / {qp} AS zb FROM {_S}),
+q AS (SELECT *, unnest(range(floor((x0 + 180) / 90)::BIGINT, floor((x1 + 180) / 90)::BIGINT + 1)) AS q FROM b),
+r AS (SELECT *, CASE cap WHEN 0 THEN greatest(za, -2.0 / 3) WHEN 1 THEN greatest(za, 2.0 / 3) ELSE za END AS zlow, CASE cap WHEN 0 THEN least(zb, 2.0 / 3) WHEN -1 THEN least(zb, -2.0 / 3) ELSE zb END AS zhigh,
+        greatest(x0 + 135 - 90 * q, -45) AS dlow, least(x1 + 135 - 90 * q, 45) AS dhigh, CASE WHEN cap >= 0 THEN q % 4 ELSE (4 - q % 4) % 4 END AS n FROM q, range(-1, 2) t(cap)),
+o AS (SELECT *, CASE WHEN m % 2 = 0 THEN dlow ELSE dhigh END AS d, CASE WHEN m < 2 THEN zlow ELSE zhigh END AS z FROM r, range(4) t(m) WHERE zlow < zhigh),
+t AS (SELECT *, CASE cap WHEN 0 THEN d / 90 ELSE d / 90 * sqrt(3 * (1 - abs(z))) END AS dx, CASE cap WHEN 0 THEN 0.75 * z ELSE -cap * sqrt(3 * (1 - abs(z))) / 2 END AS dy FROM o),
+u AS (SELECT *, CASE WHEN cap = 0 OR n = 0 THEN dx WHEN n = 1 THEN -dy WHEN n = 2 THEN -dx ELSE dy END + 0.5 AS fx, 0.5 - CASE WHEN cap = 0 OR n = 0 THEN dy WHEN n = 1 THEN dx WHEN n = 2 THEN -dy ELSE -dx END AS fy FROM t),
+g AS (SELECT k, q, cap, x0, x1, y0, y1, CASE cap WHEN 1 THEN 0 WHEN -1 THEN 5 ELSE q % 4 + 1 END AS face, min(fx) AS xa, max(fx) AS xb, min(fy) AS ya, max(fy) AS yb FROM u GROUP BY ALL),
+i AS (SELECT *, unnest(range(greatest(floor(xa * {size})::BIGINT - 1, 0), least(floor(xb * {size})::BIGINT + 1, {size - 1}) + 1)) AS i FROM g),
+j AS (SELECT DISTINCT k, x0, x1, y0, y1, cap, face, i, unnest(range(greatest(floor(ya * {size})::BIGINT - 1, 0), least(floor(yb * {size})::BIGINT + 1, {size - 1}) + 1)) AS j FROM i),
+c AS (SELECT *, (i + 0.5) / {size} - 0.5 AS cx, 0.5 - (j + 0.5) / {size} AS cy FROM j),
+a AS (SELECT *, CASE WHEN -cy * cap >= abs(cx) THEN 0 WHEN cx >= abs(cy) THEN 1 WHEN cy * cap >= abs(cx) THEN 2 ELSE 3 END AS q, 2 * greatest(abs(cx), abs(cy)) AS sigma FROM c),
+h AS (SELECT *, CASE WHEN cap = 0 THEN cy / 0.75 ELSE cap * (1 - sigma * sigma / 3) END AS z,
+        CASE WHEN cap = 0 THEN -135 + 90 * (face - 1) + 90 * cx ELSE -135 + 90 * q + 90 * CASE WHEN q = 0 THEN cx WHEN q = 1 THEN cy * cap WHEN q = 2 THEN -cx ELSE -cy * cap END / sigma END AS lon FROM a),
+l AS (SELECT *, degrees(list_reduce(list_prepend(asin(z), range(6)::DOUBLE[]), lambda p, step: {newton})) AS lat FROM h)
+SELECT k AS s_suppkey, count(*) AS n, min(substr('{rhealpix.FACES}', face + 1, 1) || {digits}) AS first_cell FROM l
+WHERE lat > y0 AND lat < y1 AND abs(lon) < 180 - 1e-9 AND (lon > x0 AND lon < x1 OR lon + 360 > x0 AND lon + 360 < x1) GROUP BY 1"""
+
+
 def _a5(top: str, place: str, res: int) -> str:
     """An A5 id from its head and its place along the curve of 4^(res - 1) cells."""
     if res < 2:
@@ -645,4 +723,8 @@ SELECT s_suppkey, count(DISTINCT (i, j)) AS n FROM c WHERE {_IN} GROUP BY 1""",
         "written_cells": f"SELECT substr(cell, 1, 1) AS parent, count(*) AS n, count(DISTINCT cell) AS n_cells, 1::BIGINT AS n_files FROM (SELECT {_gh('lon', 'lat', 5)} AS cell FROM {_C}) GROUP BY 1",
         "s2_hierarchy": _s2_hierarchy(13, 7),
         "rhp_hierarchy": _rhp_hierarchy(8, 3),
+        "s2_polyfill": f"{_s2_cells(_BOXES, 4, 11)} SELECT k AS s_suppkey, count(*) AS n, min({_s2_name(11)}) AS first_cell FROM c WHERE {_S2_INSIDE} GROUP BY 1",
+        "s2_intersects": f"{_s2_cells(_BOXES, 4, 10)} SELECT k AS s_suppkey, count(*) AS n_met, count(*) FILTER ({_S2_INSIDE}) AS n_inside FROM c WHERE {_S2_MEETS} AND {' AND '.join(_corners_of(a, b, 'greatest') + ' >= -1e-15' for a, b in _RING)} GROUP BY 1",
+        "line_trace_s2": f"{_s2_cells(_SEGMENTS, 2, 9)} SELECT DISTINCT k // 2 AS line_id, {_s2_name(9)} AS cell FROM c WHERE {_S2_MEETS} AND {_corners_of(1, 2, 'least')} <= 1e-15 AND {_corners_of(1, 2, 'greatest')} >= -1e-15",
+        "rhp_polyfill": _rhp_polyfill(7),
     }
