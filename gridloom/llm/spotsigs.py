@@ -9,10 +9,10 @@ the next one give a chain too, so the whole text counts.  A document's
 fingerprint is its sorted set of spot hashes (32 bits each, hexadecimal); equal
 texts have equal fingerprints.
 
-Likeness is the Jaccard similarity of two sets.  Sets are partitioned by the
-logarithm of their size: a pair can reach ``tau`` only inside a partition or
-between adjacent ones, and there only if the prefixes of both in hash order share a
-spot (``similar_pairs`` joins by partition and spot), which prunes the comparisons.
+Likeness is the Jaccard similarity of two sets.  Sets are partitioned by their
+size: a pair can be alike enough only inside a partition or between adjacent ones,
+and there only if the prefixes of both, rare spots first, share a spot
+(``similar_pairs`` joins by partition and spot), which prunes the comparisons.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint; two
 empty sets have likeness 1, an empty and another 0; a text without letters and
@@ -119,22 +119,52 @@ def length_class(size: Column, tau: float = 0.75) -> Column:
     return F.when(size > 0, F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / -math.log(tau))).cast("int")
 
 
-def similar_pairs(docs: DataFrame, tau: float = 0.75) -> DataFrame:
-    """(a, b, likeness) for documents of different fingerprints with likeness of ``tau`` or more, between class representatives.
+#: Spots are counted by so many parts of their hashes, which bounds the table of counts whatever the corpus.
+PARTS = 1 << 16
 
-    Equal fingerprints are one class, named by its smallest id.
+
+def bands(percent: int, most: int = 1 << 31) -> list[int]:
+    """The least sizes of the partitions: each is more than 100 / ``percent`` times the one before, so sets two partitions apart are never so alike."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(100 * out[-1] // percent + 1)
+    return out
+
+
+def similar_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(a, b, likeness) for documents of different fingerprints with a likeness of ``percent`` in 100 or more, between class representatives.
+
+    Equal fingerprints are one class, named by its smallest id.  Rows without an id and empty fingerprints have no pair.
     """
     signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("sig")).where("size(sig) > 0 and doc_id is not null")
-    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    size = F.size("sig")
-    prefix = F.slice("sig", 1, (size - F.ceil(size * tau) + 1).cast("int"))
-    keyed = classes.select("rep", F.size("sig").alias("n"), length_class(size, tau).alias("part"), F.explode(prefix).alias("spot"))
+    return alike(signed.groupBy("sig").agg(F.min("doc_id").alias("rep")), percent)
+
+
+def alike(sets: DataFrame, percent: int = 75) -> DataFrame:
+    """(a, b, likeness) of all pairs of ``sets(rep, sig)``, distinct sets of numbers, with 100 * intersection >= ``percent`` * union (``percent`` from 2 to 99).
+
+    Every comparison is of whole numbers.  A set of n spots in common order of all sets, rare ones first, shares one of its
+    first n - ceil(n * percent / 100) + 1 with every set like it.  Rarity is that of a spot's part of ``PARTS``, of which
+    there is a small table; any order that is the same for all sets gives the same pairs.
+    """
+    if not 2 <= percent <= 99:
+        raise ValueError("percent must be from 2 to 99")
+    spots = sets.select("rep", F.size("sig").alias("n"), F.explode("sig").alias("spot")).withColumn("part", F.pmod(F.xxhash64("spot"), F.lit(PARTS)))
+    # At most PARTS rows.
+    rarity = spots.groupBy("part").agg(F.count("*").alias("f"))
+    ordered = spots.join(F.broadcast(rarity), "part").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("f", "spot"))).alias("all"))
+    starts = F.array(*[F.lit(v) for v in bands(percent)])
+    band = F.size(F.filter(starts, lambda v: v <= F.col("n")))
+    prefix = F.slice("all", 1, (F.col("n") - F.expr(f"(n * {percent}L + 99) div 100") + 1).cast("int"))
+    keyed = ordered.select("rep", "n", band.alias("band"), F.explode(prefix).alias("first")).select("rep", "n", "band", "first.spot")
     # The smaller set of a pair lies in the larger one's partition or in the one before.
-    a = keyed.select("spot", "part", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = keyed.select("spot", F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["part", "spot"]).where(f"(na < nb or na = nb and a < b) and na >= {tau} * nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = classes.select(F.col("rep").alias("a"), F.col("sig").alias("x")), classes.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
-    return met.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).where(F.col("likeness") >= tau)
+    a = keyed.select("spot", "band", F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = keyed.select("spot", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), F.col("rep").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["band", "spot"]).where(f"(na < nb or na = nb and a < b) and 100L * na >= {percent}L * nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = sets.select(F.col("rep").alias("a"), F.col("sig").alias("x")), sets.select(F.col("rep").alias("b"), F.col("sig").alias("y"))
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    both = met.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("whole"))
+    return both.where(f"100 * common >= {percent} * whole").select("a", "b", (F.col("common") / F.col("whole")).alias("likeness"))
 
 
 def following(values: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,6 +514,35 @@ def test_spotsigs_pairs_match_brute_force(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("percent", [50, 55, 75, 90])
+def test_alike_sets_against_all_pairs(spark, percent):
+    r = np.random.default_rng(percent)
+    sets = []
+    for n in (1, 2, 4, 8, 16, 64, 100, 110, 180, 200):
+        base = r.choice(10**6, n, replace=False) + 1000
+        for keep in {n, n - n * (100 - percent) // 100, -(-n * percent // 100), -(-n * percent // 100) - 1, n // 2}:
+            if keep > 0:
+                sets += [set(base[:keep].tolist()), set(base[:keep].tolist()) | {1, 2}, set(base[-keep:].tolist())]
+    sets = sorted({tuple(sorted(x)) for x in sets})
+    df = spark.createDataFrame([(k, list(x)) for k, x in enumerate(sets)], "rep long, sig array<long>")
+    want = {}
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            common, whole = len(set(x) & set(sets[b])), len(set(x) | set(sets[b]))
+            if 100 * common >= percent * whole:
+                want[a, b] = common / whole
+    assert {(p.a, p.b): p.likeness for p in spotsigs.alike(df, percent).collect()} == want and len(want) > 20
+    assert spotsigs.alike(df.limit(0), percent).count() == 0
+
+
+def test_bands_part_sizes_that_cannot_be_alike():
+    for percent in (2, 50, 55, 75, 99):
+        starts = spotsigs.bands(percent, 5000)
+        for k in range(len(starts) - 2):
+            # The largest set of a partition, and the least of the one after the next.
+            assert 100 * (starts[k + 1] - 1) < percent * starts[k + 2]
+
+
 # -- 4 ------------------------------------------------------------------------------------------
 
 
