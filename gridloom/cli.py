@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-cp", "--compression", default="snappy")
         p.add_argument("-lyr", "--layer")
         p.add_argument("-g", "--geom_col", default="geom")
+        p.add_argument("-pc", "--partition_column", help="a number column of a database table, by whose ranges it is read in parallel")
+        p.add_argument("-np", "--partitions", type=positive, default=32, help="how many such ranges")
         p.add_argument("--geo", choices=("none", "point", "polygon"), default="none")
         p.add_argument("--tempdir", help="Spark's folder for spilled data")
         p.add_argument("--input_crs", help="CRS of an input that names none, as EPSG:n or +proj=...")
@@ -65,6 +67,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = builder.getOrCreate()
     if a["spatial_sorting"] == "none":
         a["chunksize"] = None  # without a sort, partitions are those of the source
+    column, n = a.pop("partition_column"), a.pop("partitions")
+    a["partitions"] = (column, n) if column else None
     index_to_parquet(spark, a.pop("source"), a.pop("target"), a.pop("grid"), a.pop("resolution"), crs=a.pop("input_crs"), **a)
 
 

@@ -76,7 +76,7 @@ def index(
 
 def index_to_parquet(
     spark: SparkSession, source: str, target: str, dggs: str, res: int, *, layer: str | None = None, geom_col: str = "geom", compression: str = "snappy", overwrite: bool = False,
-    crs: str | int | None = None, **options,
+    crs: str | int | None = None, partitions: tuple[str, int] | None = None, **options,
 ) -> None:
     """Index a source into a folder; dropped features and features without cells are logged.
 
@@ -91,7 +91,7 @@ def index_to_parquet(
         raise IdFieldError("compaction needs an id field")
     if out.exists(spark, target) and not overwrite:
         raise FileExistsError(target)
-    df = src.read(spark, source, layer, geom_col, id_field, options.get("keep_attributes", False))
+    df = src.read(spark, source, layer, geom_col, id_field, options.get("keep_attributes", False), partitions)
     df = src.with_crs(df, crs) if crs else df
     known = src.require_crs(df)
     system(known)

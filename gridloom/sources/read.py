@@ -29,12 +29,19 @@ def is_database(source: str) -> bool:
     return not os.path.exists(source) and urlsplit(source).scheme.split("+")[0] in DRIVERS
 
 
-def read(spark: SparkSession, source: str, layer: str | None = None, geom_col: str = "geom", id_field: str | None = None, keep_attributes: bool = False) -> DataFrame:
-    """Dispatch by form: an existing path first, then a database URL, then any path that Spark can read."""
+def read(
+    spark: SparkSession, source: str, layer: str | None = None, geom_col: str = "geom", id_field: str | None = None, keep_attributes: bool = False, partitions: tuple[str, int] | None = None,
+) -> DataFrame:
+    """Dispatch by form: an existing path first, then a database URL, then any path that Spark can read.
+
+    ``partitions`` (a number column, how many) reads a database in so many tasks; files are cut by their own means.
+    """
     if is_database(source):
         if not layer:
             raise ValueError("a database source needs a layer (schema.table)")
-        return read_table(spark, source, layer, geom_col, id_field, keep_attributes)
+        return read_table(spark, source, layer, geom_col, id_field, keep_attributes, partitions)
+    if partitions is not None:
+        raise ValueError("only a database is read by partitions of a column")
     kind = source.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("gpkg",):
         return read_gpkg(spark, source, layer)
@@ -187,18 +194,30 @@ def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataF
     return (spark.range(1, numPartitions=1) if direct else content).mapInArrow(run, schema)
 
 
-def table_query(layer: str, geom_col: str, id_field: str | None, keep_attributes: bool) -> str:
-    """The columns that are wanted: all with attributes, else the id if there is one; the geometry as WKB and its SRID."""
-    wanted = ["t.*"] if keep_attributes else [f't."{id_field}"'] if id_field else []
-    own = f't."{geom_col}"'
-    # A name of its own: the table may have a column ``geometry`` beside, or as, the geometry column.
-    return f"select {', '.join([*wanted, f'ST_AsBinary({own}) as gridloom_wkb', f'ST_SRID({own}) as gridloom_srid'])} from {layer} t"
+def quoted(name: str) -> str:
+    """A column's name in a database's query."""
+    return '"' + name.replace('"', '""') + '"'
+
+
+def table_query(layer: str, geom_col: str, id_field: str | None, keep_attributes: bool, partition: str | None = None) -> str:
+    """The columns that are wanted: all with attributes, else the id if there is one; the geometry as WKB and its SRID, and the column that partitions are cut by."""
+    wanted = ["t.*"] if keep_attributes else [f"t.{quoted(id_field)}"] if id_field else []
+    own = f"t.{quoted(geom_col)}"
+    # Names of their own: the table may have a column ``geometry`` beside, or as, the geometry column.
+    made = [f"ST_AsBinary({own}) as gridloom_wkb", f"ST_SRID({own}) as gridloom_srid", *([f"t.{quoted(partition)} as gridloom_part"] if partition else [])]
+    return f"select {', '.join([*wanted, *made])} from {layer} t"
+
+
+def bounds_query(layer: str, column: str) -> str:
+    """The least and the greatest value of a column, by the database itself."""
+    return f"select min(t.{quoted(column)}) as gridloom_low, max(t.{quoted(column)}) as gridloom_high from {layer} t"
 
 
-def read_table(spark: SparkSession, url: str, layer: str, geom_col: str, id_field: str | None, keep_attributes: bool, partitions: tuple[str, int, int, int] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, url: str, layer: str, geom_col: str, id_field: str | None, keep_attributes: bool, partitions: tuple[str, int] | None = None) -> DataFrame:
     """A spatial table over JDBC; only the columns that are wanted are selected.
 
-    ``partitions`` (a number column, its least and greatest value, how many) reads by ranges of that column in parallel.
+    ``partitions`` (a number column, how many) reads by ranges of that column in parallel, between the bounds that the
+    database states; rows beyond them, as added meanwhile, are in the first and last range, and nulls in the first.
     The CRS is the SRID of the first geometry.
     """
     parts = urlsplit(url)
@@ -210,14 +229,16 @@ def read_table(spark: SparkSession, url: str, layer: str, geom_col: str, id_fiel
     reader = spark.read.format("jdbc").option("url", f"jdbc:{scheme}://{parts.hostname}{f':{parts.port}' if parts.port else ''}{parts.path}").option("driver", DRIVERS[scheme])
     for name, value in (("user", parts.username), ("password", parts.password)):
         reader = reader.option(name, value) if value else reader
-    query = table_query(layer, geom_col, id_field, keep_attributes or partitions is not None)
-    reader = reader.option("dbtable", f"({query}) q")
-    if partitions:
-        column, low, high, n = partitions
-        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
-    df = reader.load()
+    table = lambda query: reader.option("dbtable", f"({query}) q")
+    column, n = partitions or (None, 1)
+    low, high = table(bounds_query(layer, column)).load().first() if column and n > 1 else (None, None)
+    # Options stay with a reader, so those of the ranges come last.
+    ready = table(table_query(layer, geom_col, id_field, keep_attributes, column if low is not None else None))
+    if low is not None:
+        ready = ready.option("partitionColumn", "gridloom_part").option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", n)
+    df = ready.load()
     first = df.select("gridloom_srid").where("gridloom_srid > 0").first()
-    keep = [c for c in df.columns if c not in ("gridloom_wkb", "gridloom_srid", geom_col, GEOMETRY)] if keep_attributes else [id_field] if id_field else []
+    keep = [c for c in df.columns if c not in ("gridloom_wkb", "gridloom_srid", "gridloom_part", geom_col, GEOMETRY)] if keep_attributes else [id_field] if id_field else []
     df = df.select(*keep, F.col("gridloom_wkb").alias(GEOMETRY))
     return with_crs(df, f"EPSG:{first[0]}") if first else df
 

@@ -447,6 +447,9 @@ def test_zip_and_dispatch(spark, tmp_path):
         src.read(spark, "postgresql://u@h/db")
     assert src.table_query("s.t", "geometry", "id", False) == 'select t."id", ST_AsBinary(t."geometry") as gridloom_wkb, ST_SRID(t."geometry") as gridloom_srid from s.t t'
     assert src.table_query("s.t", "g", None, True).startswith("select t.*, ")
+    # The column of the partitions comes besides, under a name of its own, and attributes stay out.
+    assert src.table_query("s.t", "g", "id", False, 'n"o').endswith(', t."n""o" as gridloom_part from s.t t') and "t.*" not in src.table_query("s.t", "g", "id", False, "no")
+    assert src.bounds_query("s.t", "no") == 'select min(t."no") as gridloom_low, max(t."no") as gridloom_high from s.t t'
     with pytest.raises(Exception):
         src.read(spark, str(tmp_path / "absent.parquet")).collect()
 
@@ -470,3 +473,47 @@ def test_indexed_twice_is_the_same(spark):
     whole = {r[0] for r in index(shapes, "geohash", 3, id_field="id").collect()}
     cut = {r[0] for r in index(shapes, "geohash", 3, id_field="id", cut_threshold=7.3).collect()}
     assert whole == cut and {c[:1] for c in whole} >= {"s"}
+
+
+def test_partitions_of_a_database_from_the_command_line(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr("gridloom.index.index_to_parquet", lambda *a, **k: asked.append(k["partitions"]))
+    cli.main(["geohash", "-r", "4", "-lyr", "s.t", "-pc", "no", "-np", "8", "postgresql://h/db", str(tmp_path / "o")])
+    cli.main(["geohash", "-r", "4", "-lyr", "s.t", "postgresql://h/db", str(tmp_path / "o")])
+    assert asked == [("no", 8), None]
+    with pytest.raises(ValueError, match="only a database"):
+        src.read(spark, str(tmp_path / "a.geojson"), partitions=("no", 8))
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["geohash", "-r", "4", "-np", "0", "in", "out"])
+
+
+def test_ranges_of_a_database_table(spark, monkeypatch):
+    """Without a database: the options that a reader is given, and the columns that stay."""
+    given: list[dict] = []
+
+    class Reader(dict):
+        def format(self, name):
+            return self
+
+        def option(self, name, value):
+            self[name] = value
+            return self
+
+        def load(self):
+            given.append(dict(self))
+            if "gridloom_low" in self["dbtable"]:
+                return spark.createDataFrame([(3, 90)], "gridloom_low long, gridloom_high long")
+            return spark.createDataFrame([(1, "x", bytearray(b"a"), 2193, 5)], "id long, more string, gridloom_wkb binary, gridloom_srid int, gridloom_part long")
+
+    class Session:
+        def __init__(self):
+            self.read = Reader()
+            self.sparkContext = spark.sparkContext
+
+    monkeypatch.setitem(src.DRIVERS, "postgresql", "java.lang.String")  # any class that can be loaded
+    got = src.read_table(Session(), "postgresql://u:p@h:5/db", "s.t", "g", "id", False, ("no", 4))
+    assert got.columns == ["id", "geometry"] and src.crs_of(got) == "EPSG:2193"
+    assert "partitionColumn" not in given[0] and (given[1]["partitionColumn"], given[1]["lowerBound"], given[1]["upperBound"], given[1]["numPartitions"]) == ("gridloom_part", 3, 91, 4)
+    assert given[1]["url"] == "jdbc:postgresql://h:5/db" and given[1]["user"] == "u"
+    got = src.read_table(Session(), "postgresql://h/db", "s.t", "g", "id", True)
+    assert got.columns == ["id", "more", "geometry"] and len(given) == 3 and "partitionColumn" not in given[2]
