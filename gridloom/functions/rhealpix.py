@@ -186,12 +186,15 @@ def _height(lat: np.ndarray) -> np.ndarray:
 
 
 def _bisected(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A root of ``f`` in each of the intervals, at whose ends it has different signs."""
-    rising = f(high) > 0
-    for _ in range(54):
-        half = (low + high) / 2
-        up = (f(half) > 0) == rising
-        low, high = np.where(up, low, half), np.where(up, half, high)
+    """A root of ``f`` in each of the intervals, at whose ends it has different signs; few intervals are cut into more pieces at a time."""
+    rising, own = f(high) > 0, np.arange(len(low))
+    bits = 6 if len(low) <= 256 else 2
+    inner = np.linspace(0, 1, (1 << bits) + 1)[1:-1, None]
+    for _ in range(-(-54 // bits)):
+        at = np.concatenate([low[None], low + inner * (high - low), high[None]])
+        over = (f(at[1:-1]) > 0) == rising
+        k = np.where(over.any(0), over.argmax(0), len(inner))
+        low, high = at[k, own], at[k + 1, own]
     return (low + high) / 2
 
 
@@ -211,6 +214,10 @@ def _turns(f, low: float, high: float) -> list[float]:
     return []
 
 
+#: The latitude where the caps begin.
+LIMIT = float(unproject(np.array([1]), np.array([0.5]), np.array([0.0]))[1][0])
+
+
 def _between(x: float, y: float) -> np.ndarray:
     """The whole numbers from x to y, in either order."""
     return np.arange(math.ceil(min(x, y)), math.floor(max(x, y)) + 1)
@@ -225,10 +232,9 @@ def crossings(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
     """
     (lon, lat), (wide, high) = np.asarray(a, float), np.asarray(b, float) - np.asarray(a, float)
     size = 3**res
-    limit = float(unproject(np.array([1]), np.array([0.5]), np.array([0.0]))[1][0])
     knots = [np.array([0.0, 1.0])]
     if high:
-        knots.append((np.array([-limit, limit]) - lat) / high)
+        knots.append((np.array([-LIMIT, LIMIT]) - lat) / high)
     if wide:
         knots.append((90.0 * _between(lon / 90, (lon + wide) / 90) - lon) / wide)
     at = np.unique(np.clip(np.concatenate(knots), 0, 1))
@@ -241,7 +247,8 @@ def crossings(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
                 out.append((_between(x0 / 90 * size, x1 / 90 * size) * 90.0 / size - lon) / wide)
             if high:
                 rows = _between((0.5 - 0.75 * z0) * size, (0.5 - 0.75 * z1) * size) / size
-                out.append((unproject(np.full(len(rows), 1), np.full(len(rows), 0.5), rows)[1] - lat) / high)
+                if len(rows):
+                    out.append((unproject(np.full(len(rows), 1), np.full(len(rows), 0.5), rows)[1] - lat) / high)
             continue
         north = 1 if z > 0 else -1
         middle = math.radians(90 * math.floor((x0 + x1) / 180) + 45)
@@ -249,7 +256,8 @@ def crossings(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
         offset = lambda t: (np.radians(lon + t * wide) - middle) * width(t)
         if high:  # rows of the triangle; half a face is as wide as 1 in the width
             rows = _between(*[(1 - float(width(np.array([t]))[0])) * size / 2 for t in (t0, t1)]) / size
-            out.append((unproject(np.full(len(rows), 0 if north > 0 else 5), np.full(len(rows), 0.5), 1 - rows if north > 0 else rows)[1] - lat) / high)
+            if len(rows):
+                out.append((unproject(np.full(len(rows), 0 if north > 0 else 5), np.full(len(rows), 0.5), 1 - rows if north > 0 else rows)[1] - lat) / high)
         turns = [t0, t1]
         if wide and high:
 
