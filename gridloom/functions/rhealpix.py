@@ -210,6 +210,10 @@ def _turns(f, low: float, high: float) -> list[float]:
         k = int((v := sign * f(t)).argmin())
         if v[k] < 0:
             return _bisected(f, np.array([low, t[k]]), np.array([t[k], high])).tolist()
+        # Beside its least sample a convex function stays above the chords of the neighbouring samples, drawn on.
+        near = v[k] - max(v[k - 1] - v[k], v[k + 1] - v[k]) if 0 < k < 32 else 2 * v[1] - v[2] if k == 0 else 2 * v[31] - v[30]
+        if near > 0:
+            return []
         a, b = t[max(0, k - 1)], t[min(32, k + 1)]
     return []
 
