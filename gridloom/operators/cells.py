@@ -326,50 +326,76 @@ def leaves(module, cell: Column, from_res: int, res: int) -> Column | int:
     return module.leaves_of(cell, from_res, res) if module is h3 else module.leaf_count(from_res, res)
 
 
-def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str) -> DataFrame:
+def dealt(rows: DataFrame, key: str, grown: int) -> DataFrame:
+    """``rows`` by ``key``, in as many partitions as keep each near a million rows once every row has become ``grown``.
+
+    For rows that are about to be multiplied: a small file is one task, whatever comes of its rows.  Partitions are
+    never fewer than the cores, and their number grows with the table (one count), so a task's share does not.
+    """
+    n = -(-rows.count() * grown // 1_000_000)
+    return rows.repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
+def compact(cells: DataFrame, dggs: str, res: int, parent: int, id_field: str, placed: bool = False) -> DataFrame:
     """Complete sibling sets of each feature merge upward, not beyond ``parent``.
 
     A leaf's result is its coarsest ancestor all of whose leaves are present for
     the same id.  The row of the ancestor's representative leaf stays and carries
-    the ancestor; the other merged rows go.  One exchange, on the parent and the
-    id, serves all levels; null ids and cells go.
+    the ancestor; the other merged rows go, level by level.  One exchange, on the
+    parent and the id, and one sort, by the ancestors from the coarsest, serve the
+    windows of all levels; null ids and cells go.  Rows that are ``placed``, in
+    partitions by the id (see ``dealt``), are not exchanged.
     """
     module, name, parent_name = hierarchy(dggs), column_name(dggs, res), column_name(dggs, parent)
     rows = cells.where(F.col(id_field).isNotNull() & F.col(name).isNotNull())
     if parent_name not in rows.columns:
         rows = rows.withColumn(parent_name, module.parent(F.col(name), parent))
     columns = rows.columns
-    first = F.row_number().over(Window.partitionBy(parent_name, id_field, name).orderBy(F.lit(0)))
-    rows = rows.repartition(parent_name, id_field).withColumn("_first", (first == 1).cast("int"))
-    merged = F.lit(None).cast("string")
-    leaf = F.lit(None).cast("string")
+    if not placed:
+        rows = rows.repartition(parent_name, id_field)
+    ups = {parent: parent_name} | {k: f"_up{k}" for k in range(parent + 1, res)}
+    rows = rows.withColumns({up: module.parent(F.col(name), k) for k, up in ups.items() if k > parent})
+    keys = lambda k: [id_field, *[up for at, up in ups.items() if at <= k]]
+    first = F.row_number().over(Window.partitionBy(*keys(res), name).orderBy(F.lit(0)))
+    # Merged so far: a row stands for a whole cell of the level above its last window.
+    rows = rows.withColumns({"_first": (first == 1).cast("int"), "_whole": F.lit(True), "_out": F.col(name)})
     for k in range(res - 1, parent - 1, -1):
-        up = module.parent(F.col(name), k)
-        rows = rows.withColumn(f"_up{k}", up)
-        full = F.sum("_first").over(Window.partitionBy(parent_name, id_field, f"_up{k}")) == leaves(module, F.col(f"_up{k}"), k, res)
-        rows = rows.withColumn(f"_full{k}", full)
-        merged = F.when(F.col(f"_full{k}"), F.col(f"_up{k}")).otherwise(merged)
-        leaf = F.when(F.col(f"_full{k}"), module.representative(F.col(f"_up{k}"), res)).otherwise(leaf)
-    rows = rows.withColumn("_out", F.coalesce(merged, F.col(name))).where(leaf.isNull() | (leaf == F.col(name)))
+        up = F.col(ups[k])
+        n = F.sum(F.when(F.col("_whole"), F.col("_first"))).over(Window.partitionBy(*keys(k)))
+        rows = rows.withColumn("_whole", F.col("_whole") & (F.coalesce(n, F.lit(0)) == leaves(module, up, k, k + 1)))
+        rows = rows.where(F.when(F.col("_whole"), module.representative(up, res) == F.col(name)).otherwise(True))
+        rows = rows.withColumn("_out", F.when(F.col("_whole"), up).otherwise(F.col("_out")))
     return rows.withColumn(name, F.col("_out")).select(*columns)
 
 
-def compact_all(cells: DataFrame, dggs: str, id_field: str) -> DataFrame:
+def compact_all(cells: DataFrame, dggs: str, id_field: str, finest: int | None = None, placed: bool = False) -> DataFrame:
     """(id, cell): complete sibling sets merged to the coarsest level, whatever the levels of the input.
 
-    One exchange, on the id and the coarsest ancestor, beyond which nothing merges; the windows of all levels keep to it.
+    One exchange, on the id and the coarsest ancestor, beyond which nothing merges, and one sort, by the ancestors from the
+    coarsest, serve the windows of all levels.  ``finest`` is the finest level that occurs, if the caller knows it (a finer
+    cell is an error then); levels below it have no windows.  ``placed``: see ``compact``.
     """
     module = hierarchy(dggs)
-    low = RESOLUTIONS[dggs].low
-    rows = cells.where("cell is not null").select(id_field, "cell", module.parent(F.col("cell"), low).alias("_root")).repartition(id_field, "_root")
-    keys = [id_field, "_root"]
-    rows = rows.groupBy(*keys, "cell").agg(F.lit(1).alias("_one"))
-    for level in range(RESOLUTIONS[dggs].high, low, -1):
-        here = module.resolution(F.col("cell")) == level
-        rows = rows.withColumn("_up", F.when(here, module.parent(F.col("cell"), level - 1)))
-        n = F.count("_up").over(Window.partitionBy(*keys, "_up"))
-        full = F.col("_up").isNotNull() & (n == leaves(module, F.col("_up"), level - 1, level))
-        rows = rows.withColumn("cell", F.when(full, F.col("_up")).otherwise(F.col("cell"))).groupBy(*keys, "cell").agg(F.lit(1).alias("_one"))
+    low, high = RESOLUTIONS[dggs].low, RESOLUTIONS[dggs].high if finest is None else check_resolution(dggs, finest)
+    rows = cells.where("cell is not null").select(id_field, "cell", module.parent(F.col("cell"), low).alias("_up0"), module.resolution(F.col("cell")).cast("int").alias("_level"))
+    if finest is not None:
+        rows = rows.withColumn("_level", F.when(F.col("_level") <= high, F.col("_level")).otherwise(F.raise_error(F.concat(F.lit(f"finer than level {high}: "), F.col("cell"))).cast("int")))
+    if not placed:
+        rows = rows.repartition(id_field, "_up0")
+    # A cell is its own ancestor at its level, so it lies in one window with its children; it has none at finer levels.
+    rows = rows.withColumns({f"_up{k - low}": F.when(F.col("_level") > k, module.parent(F.col("cell"), k)).when(F.col("_level") == k, F.col("cell")) for k in range(low + 1, high)})
+    keys = lambda k: [id_field, *[f"_up{at}" for at in range(k - low + 1)]]
+    first = F.row_number().over(Window.partitionBy(*keys(high - 1), "cell").orderBy(F.lit(0)))
+    rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    for k in range(high - 1, low - 1, -1):
+        up = F.col(f"_up{k - low}")
+        whole = Window.partitionBy(*keys(k))
+        child = F.col("_level") == k + 1
+        rows = rows.withColumns({"_n": F.count(F.when(child, True)).over(whole), "_own": F.count(F.when(F.col("_level") == k, True)).over(whole)})
+        full = child & (F.col("_n") == leaves(module, up, k, k + 1))
+        # Of a whole set one row stays, unless the cell itself is there already.
+        rows = rows.withColumn("_full", full).where(F.when(F.col("_full"), (F.col("_own") == 0) & (module.representative(up, k + 1) == F.col("cell"))).otherwise(True))
+        rows = rows.withColumns({"cell": F.when(F.col("_full"), up).otherwise(F.col("cell")), "_level": F.when(F.col("_full"), F.lit(k)).otherwise(F.col("_level"))})
     return rows.select(id_field, "cell")
 
 
