@@ -206,10 +206,18 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
 
 
 def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
-    """``trace`` of every line; those on S2 are traced together."""
+    """``trace`` of every line; those on S2 and on H3 are traced together."""
+    out: list[list[str]] = []
+    if module is h3:
+        for k in range(0, len(lines), 2048):
+            own = lines[k : k + 2048]
+            found = iter(h3.paths(np.concatenate([line[:-1] for line in own]), np.concatenate([line[1:] for line in own]), res))
+            for line in own:
+                cells = dict.fromkeys(c for _ in line[1:] for c in next(found))
+                out.append(h3.named(np.array(list(cells), np.int64)[:, None], res).tolist() if cells else trace(module, line, res))
+        return out
     if module is not s2:
         return [trace(module, line, res) for line in lines]
-    out: list[list[str]] = []
     for k in range(0, len(lines), 256):
         out += [sorted(found) for found in _cover_lines(lines[k : k + 256], res)]
     return out
