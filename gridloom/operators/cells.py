@@ -180,6 +180,8 @@ def fill_block(module, block: list[int], need: bytes, res: int) -> np.ndarray:
     if not len(cells):
         return np.zeros(0, str)
     x, y = flat.xy(module.middle(cells, res))
+    if module is rhealpix:  # centres on the cut at 180 degrees come out a rounding beside it
+        x = np.where(180 - np.abs(x) < 1e-9, np.copysign(180.0, x), x)
     front = ~np.isnan(x)
     cells = cells[front]
     return module.named(cells[geo.within(edges, x[front], y[front])], res) if len(cells) else np.zeros(0, str)
