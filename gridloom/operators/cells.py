@@ -489,7 +489,10 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
     def parts_of(edges: np.ndarray, i: np.ndarray, j: np.ndarray, level: int) -> Iterator[tuple[str, bytes]]:
         nx, ny = geohash._bits(level)
         for name, a, b in zip(geohash.names(i, j, level), i.tolist(), j.tolist(), strict=True):
-            own = geo.near_edges(edges, (a * 360 / (1 << nx) - 180, b * 180 / (1 << ny) - 90, (a + 1) * 360 / (1 << nx) - 180, (b + 1) * 180 / (1 << ny) - 90))
+            # Positions beyond the limits belong to the outermost cells, so these have no end there.
+            west, east = (a * 360 / (1 << nx) - 180 if a else -np.inf), ((a + 1) * 360 / (1 << nx) - 180 if a + 1 < 1 << nx else np.inf)
+            south, north = (b * 180 / (1 << ny) - 90 if b else -np.inf), ((b + 1) * 180 / (1 << ny) - 90 if b + 1 < 1 << ny else np.inf)
+            own = geo.near_edges(edges, (west, south, east, north))
             if not len(own):
                 continue
             if name not in crowd or level == deepest:
