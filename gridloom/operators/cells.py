@@ -227,7 +227,7 @@ def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
 
 def _cover_lines(lines: list[np.ndarray], res: int) -> list[set[str]]:
     """For each line all S2 cells at ``res`` that it, of great-circle edges, meets."""
-    found = [set(s2.encode(line[:, 0], line[:, 1], res).tolist()) for line in lines]
+    found: list[set[str]] = [set() for _ in lines]
     owner, ends = [], []
     for k, line in enumerate(lines):
         p = s2.xyz(line[:, 0], line[:, 1])
@@ -238,8 +238,11 @@ def _cover_lines(lines: list[np.ndarray], res: int) -> list[set[str]]:
             n = int(np.ceil(angle / np.radians(10)))
             t = np.linspace(0, 1, n + 1)[:, None]
             knots = (np.sin((1 - t) * angle) * a + np.sin(t * angle) * b) / np.sin(angle)
+            knots[0], knots[-1] = a, b
             owner += [k] * n
             ends.append(np.stack([knots[:-1], knots[1:]], 1))
+    for k in sorted(set(range(len(lines))) - set(owner)):  # lines of no length
+        found[k] = set(s2.encode(lines[k][:, 0], lines[k][:, 1], res).tolist())
     if not owner:
         return found
     u, v = np.concatenate(ends).transpose(1, 0, 2)

@@ -105,3 +105,12 @@ def test_h3_paths_together_are_those_of_each_alone():
     a = np.stack([r.uniform(-180, 180, 200), r.uniform(-85, 85, 200)], 1)
     b = a + r.normal(0, 1, a.shape)
     assert h3.paths(a, b, 5) == [h3.path(tuple(x), tuple(y), 5) for x, y in zip(a, b, strict=True)]
+
+
+def test_s2_trace_has_no_cell_of_a_face_that_it_only_touches():
+    """A line of event 297100 ends at 45 degrees west, where two faces meet."""
+    from gridloom.functions import s2
+
+    x, y = 297100 * 7919 % 360000 / 1000 - 180, 297100 * 104729 % 170000 / 1000 - 85
+    (got,) = ops.traces(s2, [np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])], 9)
+    assert got and "9532cc" not in got
