@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 from pyspark.sql import Column
@@ -169,8 +170,8 @@ UNIT = 1 << 30
 TIES = 96
 
 
-def trace_segment(a: tuple[float, float], b: tuple[float, float], res: int) -> list[str]:
-    """Cells of the cheapest 8-neighbour path between two points: each step costs 1 plus its centre's distance to the segment in degrees.
+def searched(a: tuple[float, float], b: tuple[float, float], res: int) -> list[tuple[int, int]]:
+    """Cell numbers of the cheapest 8-neighbour path between two points: each step costs 1 plus its centre's distance to the segment in degrees.
 
     Of paths of one cost it is the one with the least sum of cell numbers (counted eastwards, row by row from the south);
     so a segment has the same cells in both directions.
@@ -197,7 +198,8 @@ def trace_segment(a: tuple[float, float], b: tuple[float, float], res: int) -> l
         if c not in costs:
             px, py = (c[0] + 0.5) * w - 180 - a[0], (c[1] + 0.5) * h - 90 - a[1]
             t = min(1.0, max(0.0, (px * dx + py * dy) / length)) if length else 0.0
-            costs[c] = (UNIT + round(((px - t * dx) ** 2 + (py - t * dy) ** 2) ** 0.5 * UNIT) << TIES) + (c[1] << nx | c[0])
+            ox, oy = px - t * dx, py - t * dy
+            costs[c] = (UNIT + round(math.sqrt(ox * ox + oy * oy) * UNIT) << TIES) + (c[1] << nx | c[0])
         return costs[c]
 
     steps = lambda c, d: max(abs(c[0] - d[0]), abs(c[1] - d[1]))
@@ -231,4 +233,133 @@ def trace_segment(a: tuple[float, float], b: tuple[float, float], res: int) -> l
         path.append(via[1][path[-1]])
     if turned:
         path.reverse()
-    return names(np.array([p[0] for p in path]), np.array([p[1] for p in path]), res).tolist()
+    return path
+
+
+#: Rows to either side of a column's cheapest cell that are tried where those cells make no path.
+BAND = 3
+#: Cells whose costs are held at a time.
+CELLS = 1 << 19
+
+
+def trace_segment(a: tuple[float, float], b: tuple[float, float], res: int) -> list[str]:
+    """The cells of ``searched``, by name."""
+    return named_paths(np.array([a], float), np.array([b], float), res)[1].tolist()
+
+
+def named_paths(a: np.ndarray, b: np.ndarray, res: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, cell) of all segments of positions, in order: the path of ``searched`` for each, many at a time."""
+    with np.errstate(invalid="ignore"):
+        steps = np.max([abs(p - q) for p, q in zip(locate(*a.T, res), locate(*b.T, res), strict=True)], axis=0) if len(a) else np.zeros(0, np.int64)
+    group = np.cumsum(steps.astype(float) + 1) // CELLS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(a)]
+    found = [_paths(a[i:j], b[i:j], res, i) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    own, x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return own, names(x, y, res)
+
+
+def _paths(a: np.ndarray, b: np.ndarray, res: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment from ``begin`` on, cell numbers) of the cheapest paths.
+
+    Along the axis on which the ends are further apart a path has a cell in every column, so it costs no less than the
+    columns' cheapest cells.  In a column between the ends these are beside the place where the segment crosses its
+    middle.  Where they are neighbours they are the path, and no other costs as little.  Where they are not, the best path of
+    one cell a column is found among the rows near them.  It is the cheapest of all if it costs less than one cell
+    more, less than any row further off and is the only one; segments for which this is not so are searched.
+    """
+    bits = np.array(_bits(res))
+    size, low = np.array([360.0, 180.0]) / (1 << bits), np.array([180.0, 90.0])
+    sound = np.isfinite(a).all(1) & np.isfinite(b).all(1)
+    p, q = (np.stack(locate(*np.where(sound[:, None], e, 0.0).T, res), 1) for e in (a, b))
+    turned = (q[:, 1] < p[:, 1]) | (q[:, 1] == p[:, 1]) & (q[:, 0] < p[:, 0])
+    start, d = np.where(turned[:, None], b, a), np.where(turned[:, None], a - b, b - a)
+    p, q = np.where(turned[:, None], q, p), np.where(turned[:, None], p, q)
+    length = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+    steps, all_ = abs(q - p).max(1), np.arange(len(a))
+    along = (abs(q - p)[:, 0] < abs(q - p)[:, 1]).astype(int)
+    across = 1 - along
+    ahead = np.sign(q - p)[all_, along]
+
+    def away(k: np.ndarray, column: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The cost of a cell beyond that of a step, as ``searched`` has it."""
+        x, y = np.where(along[k] == 0, column, row), np.where(along[k] == 0, row, column)
+        px, py = (x + 0.5) * size[0] - 180 - start[k, 0], (y + 0.5) * size[1] - 90 - start[k, 1]
+        t = np.minimum(1.0, np.maximum(0.0, (px * d[k, 0] + py * d[k, 1]) / length[k]))
+        ox, oy = px - t * d[k, 0], py - t * d[k, 1]
+        return np.rint(np.sqrt(ox * ox + oy * oy) * UNIT).astype(np.int64)
+
+    first = np.cumsum(steps + 1) - steps - 1
+    own = np.repeat(all_, steps + 1)
+    at = np.arange(len(own)) - first[own]
+    column, row = p[own, along[own]] + at * ahead[own], p[own, across[own]]
+    row[first + steps] = q[all_, across]
+    inner = np.flatnonzero((at > 0) & (at < steps[own]) & sound[own])
+    k, c = own[inner], column[inner]
+    m, n = along[k], across[k]
+    place = start[k, n] + ((c + 0.5) * size[m] - low[m] - start[k, m]) / d[k, m] * d[k, n]
+    below = np.floor((place + low[n]) / size[n] - 0.5)
+    pair = [np.clip(below + i, 0, (1 << bits[n]) - 1).astype(np.int64) for i in (0, 1)]
+    cost = [away(k, c, r) for r in pair]
+    # Of equal ones the lower row has the lower number.
+    row[inner] = np.where(cost[0] <= cost[1], *pair)
+    least = np.zeros(len(own), np.int64)
+    least[inner] = np.minimum(*cost)
+    broken = np.zeros(len(a), bool)
+    broken[own[1:][(abs(np.diff(row)) > 1) & (at[1:] > 0)]] = True
+    done = sound & ~broken
+    for n in np.unique(steps[broken & sound]).tolist():
+        k = np.flatnonzero(broken & sound & (steps == n))
+        if (n + 1) * (2 * BAND + 1) < 1 << 20:
+            cells = first[k][:, None] + np.arange(n + 1)
+            sure, rows = _one_a_column(k, column[cells], row[cells], least[cells], away, 1 << bits[across[k]])
+            row[cells[sure]] = rows[sure]
+            done[k[sure]] = True
+    kept = done[own]
+    own, column, row, at = own[kept], column[kept], row[kept], at[kept]
+    # From the end where the segment begins.
+    ordered = np.argsort(own * (1 << 32) + np.where(turned[own], steps[own] - at, at), kind="stable")
+    own, column, row = own[ordered], column[ordered], row[ordered]
+    x, y = np.where(along[own] == 0, column, row), np.where(along[own] == 0, row, column)
+    if not done.all():
+        rest = [(k, *c) for k in np.flatnonzero(~done).tolist() for c in searched(tuple(a[k].tolist()), tuple(b[k].tolist()), res)]
+        own, x, y = (np.concatenate([v, np.array(w, np.int64)]) for v, w in zip((own, x, y), zip(*rest, strict=True), strict=True))
+        ordered = np.argsort(own, kind="stable")
+        own, x, y = own[ordered], x[ordered], y[ordered]
+    return own + begin, x, y
+
+
+def _one_a_column(k: np.ndarray, column: np.ndarray, row: np.ndarray, least: np.ndarray, away, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For segments of as many columns each: whether the best path of one cell a column is the cheapest of all, and its rows.
+
+    ``row`` has the columns' cheapest cells and the ends, ``least`` those cells' costs.  Costs are held as what they are
+    above the least, with the sum of row numbers below them.
+    """
+    none, shift, wide = 1 << 62, 20, 2 * BAND + 1
+    off = np.arange(wide) - BAND
+    best = np.where(off == 0, 0, none) * np.ones((len(k), 1), np.int64)
+    twice, outside, via = np.zeros(best.shape, bool), np.full(len(k), none), []
+    for i in range(1, column.shape[1]):
+        # The three cells before: their places in the band of the column before.
+        back = (off + BAND + (row[:, i] - row[:, i - 1])[:, None])[..., None] + np.array([-1, 0, 1])
+        fits = (back >= 0) & (back < wide)
+        back = np.clip(back, 0, wide - 1)
+        each = np.where(fits, best[np.arange(len(k))[:, None, None], back], none)
+        pick = each.argmin(2)[..., None]
+        low = np.take_along_axis(each, pick, 2)
+        via.append(np.take_along_axis(back, pick, 2)[..., 0])
+        low_twice = ((each == low).sum(2) > 1) | np.take_along_axis(twice, via[-1], 1)
+        if i < column.shape[1] - 1:
+            rows = row[:, i, None] + np.arange(-BAND - 1, BAND + 2)
+            above = np.where((rows >= 0) & (rows < limit[:, None]), away(k[:, None], column[:, i, None], rows) - least[:, i, None], none >> shift)
+            outside = np.minimum(outside, np.minimum(above[:, 0], above[:, -1]))
+            own = (above[:, 1:-1] << shift) + off + BAND
+        else:
+            own = np.where(off == 0, 0, none)
+        best, twice = np.minimum(low[..., 0] + np.minimum(own, none - 1), none), low_twice
+    above = best[:, BAND] >> shift
+    sure = (best[:, BAND] < none) & ~twice[:, BAND] & (above < UNIT) & (above < outside)
+    rows, place = row.copy(), np.full(len(k), BAND)
+    for i in range(column.shape[1] - 1, 0, -1):
+        rows[:, i] = row[:, i] + place - BAND
+        place = via[i - 1][np.arange(len(k)), place]
+    return sure, rows

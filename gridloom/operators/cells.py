@@ -191,13 +191,11 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
     """Distinct cells along a line, in order of first visit."""
     if len(line) == 1:
         return module.encode(line[:, 0], line[:, 1], res).tolist()
-    out: dict[str, None] = {}
     if module is geohash:
-        for a, b in zip(line[:-1], line[1:], strict=True):
-            out.update(dict.fromkeys(geohash.trace_segment(tuple(a), tuple(b), res)))
-        return list(out)
+        return traces(module, [line], res)[0]
     if module is s2:
         return sorted(_cover_lines([line], res)[0])
+    out: dict[str, None] = {}
     if module is h3:
         for a, b in zip(line[:-1], line[1:], strict=True):
             out.update(dict.fromkeys(h3.path(tuple(a), tuple(b), res)))
@@ -208,8 +206,16 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
 
 
 def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
-    """``trace`` of every line; those on S2 and on H3 are traced together."""
+    """``trace`` of every line; those on S2, H3 and geohash are traced together."""
     out: list[list[str]] = []
+    if module is geohash:
+        for k in range(0, len(lines), 2048):
+            own = lines[k : k + 2048]
+            segment, cells = module.named_paths(np.concatenate([line[:-1] for line in own]), np.concatenate([line[1:] for line in own]), res)
+            ends = np.searchsorted(segment, np.cumsum([len(line) - 1 for line in own])).tolist()
+            names = cells.tolist()
+            out += [list(dict.fromkeys(names[i:j])) if len(line) > 1 else trace(module, line, res) for line, i, j in zip(own, [0, *ends[:-1]], ends, strict=True)]
+        return out
     if module is h3:
         for k in range(0, len(lines), 2048):
             own = lines[k : k + 2048]

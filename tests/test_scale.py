@@ -114,3 +114,30 @@ def test_s2_trace_has_no_cell_of_a_face_that_it_only_touches():
     x, y = 297100 * 7919 % 360000 / 1000 - 180, 297100 * 104729 % 170000 / 1000 - 85
     (got,) = ops.traces(s2, [np.array([(x, y), (x + 0.3, y + 0.2), (x + 0.1, y + 0.4)])], 9)
     assert got and "9532cc" not in got
+
+
+def event_lines(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of the lines of events."""
+    start = np.stack([ids * 7919 % 360000 / 1000 - 180, ids * 104729 % 170000 / 1000 - 85], 1)
+    knots = [start + by for by in ((0, 0), (0.3, 0.2), (0.1, 0.4))]
+    return np.concatenate(knots[:2]), np.concatenate(knots[1:])
+
+
+def test_geohash_paths_together_are_those_of_the_search(monkeypatch):
+    from gridloom.functions import geohash
+
+    search, asked = geohash.searched, []
+    monkeypatch.setattr(geohash, "searched", lambda *x: asked.append(x) or search(*x))
+    r = np.random.default_rng(4)
+    # Lines of events at two levels, wide segments at a coarse one, ends on borders and corners of cells, beyond the limits.
+    p = r.integers(0, (513, 257), (200, 2))
+    corners = [v * np.array([180 / 256, 90 / 128]) - np.array([180, 90]) for v in (p, np.clip(p + r.integers(-9, 10, p.shape), 0, (512, 256)))]
+    wide = [r.uniform((-200, -95), (200, 95), (60, 2)) for _ in range(2)]
+    for a, b, res, most in ((*event_lines(r.integers(0, 36_000_000, 200)), 5, 0), (*event_lines(r.integers(0, 36_000_000, 10)), 6, 0), (*wide, 1, 60), (*wide, 3, 30), (*corners, 3, 50)):
+        asked.clear()
+        own, names = geohash.named_paths(a, b, res)
+        assert len(asked) <= most
+        for k, ends in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            want = search(*map(tuple, ends), res)
+            assert names[own == k].tolist() == geohash.names(*np.array(want).T, res).tolist()
+    assert [len(v) for v in geohash.named_paths(np.zeros((0, 2)), np.zeros((0, 2)), 5)] == [0, 0]
