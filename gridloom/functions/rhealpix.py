@@ -130,10 +130,9 @@ def unproject(face: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> tuple[np.ndar
 
 
 def named(cells: np.ndarray, res: int) -> np.ndarray:
-    out = np.array(list(FACES))[cells[:, 0]]
-    for k in range(res - 1, -1, -1):
-        out = np.char.add(out, ((cells[:, 2] // 3**k % 3) * 3 + cells[:, 1] // 3**k % 3).astype(str))
-    return out
+    digits = [(cells[:, 2] // 3**k % 3) * 3 + cells[:, 1] // 3**k % 3 + len(FACES) for k in range(res - 1, -1, -1)]
+    letters = np.array(list(FACES + "012345678"))[np.stack([cells[:, 0], *digits], 1)]
+    return letters.view(f"U{res + 1}").ravel() if len(cells) else np.zeros(0, f"U{res + 1}")
 
 
 def encode(lon: np.ndarray, lat: np.ndarray, res: int) -> np.ndarray:
@@ -185,109 +184,172 @@ def _height(lat: np.ndarray) -> np.ndarray:
     return np.clip((1 - E2) * (s / (1 - E2 * s * s) - np.log((1 - E1 * s) / (1 + E1 * s)) / (2 * E1)) / QP, -1, 1)
 
 
-def _bisected(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A root of ``f`` in each of the intervals, at whose ends it has different signs; few intervals are cut into more pieces at a time."""
-    rising, own = f(high) > 0, np.arange(len(low))
+def _bisected(f, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A root of ``f(t, own)`` in each of the intervals, at whose ends it has different signs; few intervals are cut into more pieces at a time."""
+    rising, column = f(high, own) > 0, np.arange(len(low))
     bits = 6 if len(low) <= 256 else 2
     inner = np.linspace(0, 1, (1 << bits) + 1)[1:-1, None]
     for _ in range(-(-54 // bits)):
         at = np.concatenate([low[None], low + inner * (high - low), high[None]])
-        over = (f(at[1:-1]) > 0) == rising
+        over = (f(at[1:-1], own) > 0) == rising
         k = np.where(over.any(0), over.argmax(0), len(inner))
-        low, high = at[k, own], at[k + 1, own]
+        low, high = at[k, column], at[k + 1, column]
     return (low + high) / 2
 
 
-def _turns(f, low: float, high: float) -> list[float]:
-    """The roots in an interval, two at most, of a function that is convex or concave there."""
-    first, last = f(np.array([low, high])).tolist()
-    if first * last < 0:
-        return _bisected(f, np.array([low]), np.array([high])).tolist()
-    sign = 1.0 if first > 0 or first == 0 and last > 0 else -1.0
-    a, b = low, high
-    for _ in range(10):  # to the point nearest to the other side
-        t = np.linspace(a, b, 33)
-        k = int((v := sign * f(t)).argmin())
-        if v[k] < 0:
-            return _bisected(f, np.array([low, t[k]]), np.array([t[k], high])).tolist()
+def _turns(f, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(interval, root) of all roots in the intervals, two at most in each, of functions ``f(t, interval)`` that are convex or concave there."""
+    own = np.arange(len(low))
+    first, last = f(low, own), f(high, own)
+    sign = np.where((first > 0) | (first == 0) & (last > 0), 1.0, -1.0)
+    crossed = np.flatnonzero(first * last < 0)
+    found = [(crossed, low[crossed], high[crossed])]
+    live = np.flatnonzero(~(first * last < 0))
+    a, b = low[live], high[live]
+    for n in (5, *[33] * 10):  # to the point nearest to the other side
+        if not len(live):
+            break
+        t, column = np.linspace(a, b, n), np.arange(len(live))
+        v = sign[live] * f(t, live)
+        k = v.argmin(0)
+        before, after = np.maximum(k - 1, 0), np.minimum(k + 1, n - 1)
+        least, at = v[k, column], t[k, column]
+        below = least < 0
+        found += [(live[below], low[live[below]], at[below]), (live[below], at[below], high[live[below]])]
         # Beside its least sample a convex function stays above the chords of the neighbouring samples, drawn on.
-        near = v[k] - max(v[k - 1] - v[k], v[k + 1] - v[k]) if 0 < k < 32 else 2 * v[1] - v[2] if k == 0 else 2 * v[31] - v[30]
-        if near > 0:
-            return []
-        a, b = t[max(0, k - 1)], t[min(32, k + 1)]
-    return []
+        left, right = v[before, column] - least, v[after, column] - least
+        near = np.where((k > 0) & (k < n - 1), least - np.maximum(left, right), np.where(k == 0, 2 * v[1] - v[2], 2 * v[n - 2] - v[n - 3]))
+        go = ~below & ~(near > 0)
+        a, b, live = t[before, column][go], t[after, column][go], live[go]
+    own, low, high = (np.concatenate(w) for w in zip(*found, strict=True))
+    return own, _bisected(f, own, low, high)
 
 
 #: The latitude where the caps begin.
 LIMIT = float(unproject(np.array([1]), np.array([0.5]), np.array([0.0]))[1][0])
 
 
-def _between(x: float, y: float) -> np.ndarray:
-    """The whole numbers from x to y, in either order."""
-    return np.arange(math.ceil(min(x, y)), math.floor(max(x, y)) + 1)
+def _between(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, number) of the whole numbers from x to y, in either order, of each pair."""
+    first = np.ceil(np.minimum(x, y))
+    n = np.maximum(np.floor(np.maximum(x, y)) - first + 1, 0).astype(np.int64)
+    own = np.repeat(np.arange(len(n)), n)
+    return own, first[own] + (np.arange(len(own)) - (np.cumsum(n) - n)[own])
+
+
+def _ascending(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place on it) in order, each once."""
+    own, t = (np.concatenate(w) for w in zip(*found, strict=True))
+    t = np.clip(t, 0, 1)
+    order = np.lexsort((t, own))
+    own, t = own[order], t[order]
+    fresh = np.concatenate([np.ones(min(1, len(t)), bool), (np.diff(own) != 0) | (np.diff(t) != 0)])
+    return own[fresh], t[fresh]
 
 
 def crossings(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
-    """Where (0 to 1, ascending, both ends with it) the segment of degrees from a to b meets borders of cells, faces and polar triangles.
+    """Where (0 to 1, ascending, both ends with it) the segment of degrees from a to b meets borders of cells, faces and polar triangles."""
+    return all_crossings(np.asarray(a, float)[None], np.asarray(b, float)[None], res)[1]
+
+
+def all_crossings(a: np.ndarray, b: np.ndarray, res: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place) of the ``crossings`` of all segments.
 
     Borders of constant latitude or longitude have closed forms.  The others, across a polar triangle, are at constant
     products of a longitude and the triangle's width at a latitude; between the at most two turns of that product
     along the segment each is met once, and found by bisection.
     """
-    (lon, lat), (wide, high) = np.asarray(a, float), np.asarray(b, float) - np.asarray(a, float)
+    (lon, lat), (wide, high) = a.T, (b - a).T
     size = 3**res
-    knots = [np.array([0.0, 1.0])]
-    if high:
-        knots.append((np.array([-LIMIT, LIMIT]) - lat) / high)
-    if wide:
-        knots.append((90.0 * _between(lon / 90, (lon + wide) / 90) - lon) / wide)
-    at = np.unique(np.clip(np.concatenate(knots), 0, 1))
-    out = [at]
-    for t0, t1 in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        x0, x1 = lon + t0 * wide, lon + t1 * wide
-        z0, z1, z = (float(v) for v in _height(np.array([lat + t0 * high, lat + t1 * high, lat + (t0 + t1) / 2 * high])))
-        if abs(z) <= 2 / 3:
-            if wide:
-                out.append((_between(x0 / 90 * size, x1 / 90 * size) * 90.0 / size - lon) / wide)
-            if high:
-                rows = _between((0.5 - 0.75 * z0) * size, (0.5 - 0.75 * z1) * size) / size
-                if len(rows):
-                    out.append((unproject(np.full(len(rows), 1), np.full(len(rows), 0.5), rows)[1] - lat) / high)
-            continue
-        north = 1 if z > 0 else -1
-        middle = math.radians(90 * math.floor((x0 + x1) / 180) + 45)
-        width = lambda t: np.sqrt(3 * (1 - np.abs(_height(lat + t * high))))
-        offset = lambda t: (np.radians(lon + t * wide) - middle) * width(t)
-        if high:  # rows of the triangle; half a face is as wide as 1 in the width
-            rows = _between(*[(1 - float(width(np.array([t]))[0])) * size / 2 for t in (t0, t1)]) / size
-            if len(rows):
-                out.append((unproject(np.full(len(rows), 0 if north > 0 else 5), np.full(len(rows), 0.5), 1 - rows if north > 0 else rows)[1] - lat) / high)
-        turns = [t0, t1]
-        if wide and high:
-
-            def slope(t: np.ndarray) -> np.ndarray:
-                """Without roots but where the offset turns: its derivative by that of the width."""
-                phi = np.radians(lat + t * high)
-                grows = 2 * (1 - E2) * np.cos(phi) / (1 - E2 * np.sin(phi) ** 2) ** 2 / QP * math.radians(high) * north
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(np.abs(grows) > 1e-12, -2 * (1 - np.abs(_height(lat + t * high))) / grows, 0.0)
-                return np.radians(lon + t * wide) - middle + math.radians(wide) * ratio
-
-            turns = sorted([*turns, *_turns(slope, t0, t1)])
-        for u, v in zip(turns[:-1], turns[1:], strict=True):
-            ends = [float(offset(np.array([t]))[0]) for t in (u, v)]
-            lines = _between(*[(w / (math.pi / 2) + 0.5) * size for w in ends])
-            level = (lines / size - 0.5) * (math.pi / 2)
-            inner = level[(level - ends[0]) * (level - ends[1]) < 0]
-            if len(inner):
-                out.append(_bisected(lambda t, level=inner: offset(t) - level, np.full(len(inner), u), np.full(len(inner), v)))
-    return np.unique(np.clip(np.concatenate(out), 0, 1))
+    ends, slanted, moving = np.arange(len(a)), np.flatnonzero(high), np.flatnonzero(wide)
+    knots = [(ends, np.zeros(len(a))), (ends, np.ones(len(a)))]
+    knots += [(slanted, (limit - lat[slanted]) / high[slanted]) for limit in (-LIMIT, LIMIT)]
+    k, n = _between(lon[moving] / 90, (lon + wide)[moving] / 90)
+    k = moving[k]
+    knots.append((k, (90.0 * n - lon[k]) / wide[k]))
+    own, at = _ascending(knots)
+    out = [(own, at)]
+    whole = np.flatnonzero(np.diff(own) == 0)
+    piece, t0, t1 = own[whole], at[whole], at[whole + 1]
+
+    def taken(i: np.ndarray) -> tuple[np.ndarray, ...]:
+        return piece[i], t0[i], t1[i]
+
+    def crossed(k: np.ndarray, latitude: np.ndarray) -> None:
+        out.append((k, (latitude - lat[k]) / high[k]))
+
+    level = _height(lat[piece] + (t0 + t1) / 2 * high[piece])
+    # Between the caps.
+    k, u, v = taken(np.flatnonzero((np.abs(level) <= 2 / 3) & (wide[piece] != 0)))
+    i, n = _between((lon[k] + u * wide[k]) / 90 * size, (lon[k] + v * wide[k]) / 90 * size)
+    out.append((k[i], (n * 90.0 / size - lon[k[i]]) / wide[k[i]]))
+    k, u, v = taken(np.flatnonzero((np.abs(level) <= 2 / 3) & (high[piece] != 0)))
+    i, n = _between(*[(0.5 - 0.75 * _height(lat[k] + t * high[k])) * size for t in (u, v)])
+    crossed(k[i], unproject(np.full(len(i), 1), np.full(len(i), 0.5), n / size)[1])
+
+    # On the caps.
+    cap = np.flatnonzero(np.abs(level) > 2 / 3)
+    north = np.where(level[cap] > 0, 1, -1)
+    k, t0, t1 = taken(cap)
+    middle = np.radians(90 * np.floor((lon[k] + t0 * wide[k] + lon[k] + t1 * wide[k]) / 180) + 45)
+    width = lambda t, i: np.sqrt(3 * (1 - np.abs(_height(lat[k[i]] + t * high[k[i]]))))
+    offset = lambda t, i: (np.radians(lon[k[i]] + t * wide[k[i]]) - middle[i]) * width(t, i)
+
+    def slope(t: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Without roots but where the offset turns: its derivative by that of the width."""
+        own = k[i]
+        phi = np.radians(lat[own] + t * high[own])
+        grows = 2 * (1 - E2) * np.cos(phi) / (1 - E2 * np.sin(phi) ** 2) ** 2 / QP * np.radians(high[own]) * north[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(np.abs(grows) > 1e-12, -2 * (1 - np.abs(_height(lat[own] + t * high[own]))) / grows, 0.0)
+        return np.radians(lon[own] + t * wide[own]) - middle[i] + np.radians(wide[own]) * ratio
+
+    rows = np.flatnonzero(high[k])  # rows of the triangle; half a face is as wide as 1 in the width
+    i, n = _between(*[(1 - width(t[rows], rows)) * size / 2 for t in (t0, t1)])
+    i = rows[i]
+    crossed(k[i], unproject(np.where(north[i] > 0, 0, 5), np.full(len(i), 0.5), np.where(north[i] > 0, 1 - n / size, n / size))[1])
+    both = np.flatnonzero((wide[k] != 0) & (high[k] != 0))
+    i, t = _turns(lambda t, i: slope(t, both[i]), t0[both], t1[both])
+    part, t = np.concatenate([np.tile(np.arange(len(k)), 2), both[i]]), np.concatenate([t0, t1, t])
+    order = np.lexsort((t, part))
+    part, t = part[order], t[order]
+    joined = np.flatnonzero(np.diff(part) == 0)
+    part, u, v = part[joined], t[joined], t[joined + 1]
+    begin, end = offset(u, part), offset(v, part)
+    i, n = _between(*[(w / (math.pi / 2) + 0.5) * size for w in (begin, end)])
+    line = (n / size - 0.5) * (math.pi / 2)
+    inner = (line - begin[i]) * (line - end[i]) < 0
+    i, line = i[inner], line[inner]
+    out.append((k[part[i]], _bisected(lambda t, j: offset(t, part[i[j]]) - line[j], np.arange(len(i)), u[i], v[i])))
+    return _ascending(out)
+
+
+def paths(a: np.ndarray, b: np.ndarray, res: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, cell) with the cells (face, column, row) that each segment of degrees from a to b passes, in order: those of its ends and of the middles between its crossings."""
+    own, t = all_crossings(a, b, res)
+    inner, ends = np.flatnonzero(np.diff(own) == 0), np.arange(len(a))
+    own, t = np.concatenate([ends, own[inner], ends]), np.concatenate([np.zeros(len(a)), (t[inner] + t[inner + 1]) / 2, np.ones(len(a))])
+    order = np.argsort(own, kind="stable")
+    own, t = own[order], t[order]
+    face, *w = project(a[own, 0] + t * (b[own, 0] - a[own, 0]), a[own, 1] + t * (b[own, 1] - a[own, 1]))
+    cells = np.stack([face, *[np.clip(np.floor(v * 3**res), 0, 3**res - 1).astype(np.int64) for v in w]], 1)
+    fresh = np.concatenate([np.ones(min(1, len(own)), bool), (np.diff(own) != 0) | (np.diff(cells, axis=0) != 0).any(1)])
+    return own[fresh], cells[fresh]
 
 
 def path(a: np.ndarray, b: np.ndarray, res: int) -> np.ndarray:
-    """Cells (face, column, row) that the segment of degrees from a to b passes, in order: those of its ends and of the middles between its crossings."""
-    t = crossings(a, b, res)
-    t = np.concatenate([[0.0], (t[:-1] + t[1:]) / 2, [1.0]])
-    face, *w = project(a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
-    cells = np.stack([face, *[np.clip(np.floor(v * 3**res), 0, 3**res - 1).astype(np.int64) for v in w]], 1)
-    return cells[np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(1)])]
+    """The cells of one segment."""
+    return paths(np.asarray(a, float)[None], np.asarray(b, float)[None], res)[1]
+
+
+#: Crossings, about, that are held at a time.
+HELD = 1 << 17
+
+
+def named_paths(a: np.ndarray, b: np.ndarray, res: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, cell) of all segments, in order, by name."""
+    # A segment crosses up to about twice as many borders as there are cells in its degrees.
+    group = np.cumsum(np.abs(b - a).sum(1) / 90 * 3**res + 8) // HELD
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(a)]
+    found = [(i, *paths(a[i:j], b[i:j], res)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.concatenate([i + own for i, own, _ in found]), named(np.concatenate([cells for *_, cells in found]), res)

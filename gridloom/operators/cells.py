@@ -191,24 +191,20 @@ def trace(module, line: np.ndarray, res: int) -> list[str]:
     """Distinct cells along a line, in order of first visit."""
     if len(line) == 1:
         return module.encode(line[:, 0], line[:, 1], res).tolist()
-    if module is geohash:
-        return traces(module, [line], res)[0]
     if module is s2:
         return sorted(_cover_lines([line], res)[0])
-    out: dict[str, None] = {}
     if module is h3:
+        out: dict[str, None] = {}
         for a, b in zip(line[:-1], line[1:], strict=True):
             out.update(dict.fromkeys(h3.path(tuple(a), tuple(b), res)))
         return h3.named(np.array(list(out), np.int64)[:, None], res).tolist()
-    for a, b in zip(line[:-1], line[1:], strict=True):
-        out.update(dict.fromkeys(rhealpix.named(rhealpix.path(a, b, res), res).tolist()))
-    return list(out)
+    return traces(module, [line], res)[0]
 
 
 def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
-    """``trace`` of every line; those on S2, H3 and geohash are traced together."""
+    """``trace`` of every line; many are traced together."""
     out: list[list[str]] = []
-    if module is geohash:
+    if module in (geohash, rhealpix):
         for k in range(0, len(lines), 2048):
             own = lines[k : k + 2048]
             segment, cells = module.named_paths(np.concatenate([line[:-1] for line in own]), np.concatenate([line[1:] for line in own]), res)
@@ -224,8 +220,6 @@ def traces(module, lines: list[np.ndarray], res: int) -> list[list[str]]:
                 cells = dict.fromkeys(c for _ in line[1:] for c in next(found))
                 out.append(h3.named(np.array(list(cells), np.int64)[:, None], res).tolist() if cells else trace(module, line, res))
         return out
-    if module is not s2:
-        return [trace(module, line, res) for line in lines]
     for k in range(0, len(lines), 256):
         out += [sorted(found) for found in _cover_lines(lines[k : k + 256], res)]
     return out

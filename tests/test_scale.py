@@ -141,3 +141,25 @@ def test_geohash_paths_together_are_those_of_the_search(monkeypatch):
             want = search(*map(tuple, ends), res)
             assert names[own == k].tolist() == geohash.names(*np.array(want).T, res).tolist()
     assert [len(v) for v in geohash.named_paths(np.zeros((0, 2)), np.zeros((0, 2)), 5)] == [0, 0]
+
+
+def test_rhealpix_lines_are_traced_together(monkeypatch):
+    from gridloom.functions import rhealpix
+
+    r = np.random.default_rng(6)
+    a, b = event_lines(r.integers(0, 36_000_000, 150))
+    some = [r.uniform((-180, -90), (180, 90), (n, 2)) for n in (1, 2, 3, 1, 5)]
+    # Along parallels and meridians, to a pole, across 180 degrees, of no length.
+    some += [np.array(x, float) for x in ([(-170, 80), (170, 80)], [(12, -90), (12, 90)], [(30, 50), (30, 90)], [(-180, 70), (180, 89.9)], [(5, 66), (5, 66)])]
+    lines = [*np.stack([a, b], 1), *some]
+    for res in (0, 3, 5):
+        alone = [ops.trace(rhealpix, line, res) for line in lines]
+        for line, cells in zip(lines, alone, strict=True):
+            dense = np.concatenate([line[:1], *[p + np.linspace(0, 1, 2001)[:, None] * (q - p) for p, q in zip(line[:-1], line[1:], strict=True)]])
+            assert len(cells) == len(set(cells)) and set(rhealpix.encode(*dense.T, res).tolist()) <= set(cells)
+        project, asked = rhealpix.project, []
+        with monkeypatch.context() as m:
+            m.setattr(rhealpix, "project", lambda *x: asked.append(x) or project(*x))
+            assert ops.traces(rhealpix, lines, res) == alone
+        assert len(asked) <= 1 + sum(len(line) == 1 for line in lines)
+    assert [len(v) for v in rhealpix.named_paths(np.zeros((0, 2)), np.zeros((0, 2)), 5)] == [0, 0]
